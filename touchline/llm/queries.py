@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import media, warc
+from . import media, secret_scan, warc
 
 QUERIES = {
+    "op1_secrets": secret_scan.query,
     "op2_media_png": media.query,
     "op6_warc": warc.query,
 }
