@@ -29,6 +29,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Fewer rows in each Arrow batch, for tables whose rows are whole texts: bounds what a Python worker holds."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def text_or_empty(column: str | Column) -> Column:
     """The column as a string, a null as the empty string."""
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))

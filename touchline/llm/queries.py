@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import media, secret_scan, warc
+from . import bpe, media, secret_scan, warc
 
 QUERIES = {
     "op1_secrets": secret_scan.query,
     "op2_media_png": media.query,
     "op6_warc": warc.query,
+    "op7_bpe": bpe.query,
 }
 
 ORACLE_SQL: dict[str, str] = {}
