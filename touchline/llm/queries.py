@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, media, secret_scan, warc
+from . import bpe, media, quality_rules, secret_scan, warc
 
 QUERIES = {
     "op1_secrets": secret_scan.query,
     "op2_media_png": media.query,
     "op6_warc": warc.query,
     "op7_bpe": bpe.query,
+    "op8_quality_rules": quality_rules.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_quality_rules": quality_rules.ORACLE_SQL,
+}
