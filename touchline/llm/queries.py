@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, media, quality_rules, secret_scan, warc
+from . import bpe, chat, media, quality_rules, secret_scan, warc
 
 QUERIES = {
     "op1_secrets": secret_scan.query,
@@ -10,8 +10,10 @@ QUERIES = {
     "op6_warc": warc.query,
     "op7_bpe": bpe.query,
     "op8_quality_rules": quality_rules.query,
+    "op9_chat": chat.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op8_quality_rules": quality_rules.ORACLE_SQL,
+    "op9_chat": chat.ORACLE_SQL,
 }
