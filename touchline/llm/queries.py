@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, quality_rules, secret_scan, warc
+from . import bpe, chat, media, near_dup, quality_rules, secret_scan, warc
 
 QUERIES = {
     "op1_secrets": secret_scan.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op7_bpe": bpe.query,
     "op8_quality_rules": quality_rules.query,
     "op9_chat": chat.query,
+    "op10_near_dup": near_dup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
