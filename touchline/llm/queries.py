@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, media, near_dup, quality_rules, secret_scan, warc
+from . import bpe, chat, media, near_dup, packing, quality_rules, secret_scan, warc
 
 QUERIES = {
     "op1_secrets": secret_scan.query,
     "op2_media_png": media.query,
+    "op5_packing": packing.query,
     "op6_warc": warc.query,
     "op7_bpe": bpe.query,
     "op8_quality_rules": quality_rules.query,
