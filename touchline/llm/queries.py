@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, brown_lm, chat, media, near_dup, packing, quality_rules, secret_scan, warc
+from . import bpe, brown_lm, chat, crf, media, near_dup, packing, quality_rules, secret_scan, warc
 
 QUERIES = {
     "op1_secrets": secret_scan.query,
     "op2_media_png": media.query,
+    "op3_crf_quality": crf.query,
     "op4_brown_lm": brown_lm.query,
     "op5_packing": packing.query,
     "op6_warc": warc.query,
