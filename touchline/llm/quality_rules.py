@@ -135,14 +135,25 @@ def cascade(df: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.withColumn("failed_rule", verdict.otherwise(F.lit(None).cast("string")) if rules else F.lit(None).cast("string"))
 
 
-def judged(df: DataFrame, text_column: str = "text") -> DataFrame:
+def judged(df: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
     """The rows with their measures, base_failed, failed_rule and kept."""
     measured = measures(df, text_column)
-    rules, _ = order_rules(measured, default_rules(text_column))
+    rules, _ = order_rules(measured, default_rules(text_column), id_column)
     ruled = cascade(measured, [Rule("base", base_fails()), *rules])
     return ruled.withColumns({"base_failed": base_fails(), "kept": F.col("failed_rule").isNull()})
 
 
+def passing(df: DataFrame, text_column: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """The rows and columns of ``df`` that pass.
+
+    The row number keeps the optimiser from pushing the filter below the
+    measures, which would copy their expressions into it many times over.
+    """
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("_whole"), F.col(id_column), F.col(text_column).alias("text"))
+    numbered = judged(whole, "text", id_column).withColumn("_row", F.monotonically_increasing_id())
+    return numbered.where("kept and _row >= 0").select("_whole.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op8: measures and verdicts of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
