@@ -61,7 +61,7 @@ def centrality(nodes: list[int], links: list[tuple[int, int, float]], rounds: in
                 d = far[v] + cost[v, t]
                 if d < far[t] - 1e-12:
                     far[t], paths[t] = d, paths[v]
-                elif abs(d - far[t]) <= 1e-12:
+                elif np.isfinite(d) and abs(d - far[t]) <= 1e-12:
                     paths[t] += paths[v]
         share = np.zeros(n)
         for t in reversed(order):

@@ -174,7 +174,7 @@ def _with(parts: str, select: str) -> str:
     return f"WITH {parts} {select}"
 
 
-ORACLE_SQL: dict[str, str] = {
+_SQL: dict[str, str] = {
     "players_by_class": _with(LENS, "SELECT match_id, team, class, count(*) AS n, sum((x BETWEEN -2 AND 107 AND y BETWEEN -2 AND 70)::INT)::BIGINT AS on_pitch, sum((x <= 16.5 AND abs(y - 34) <= 20.16)::INT)::BIGINT AS in_left_box FROM t GROUP BY ALL"),
     "possession_frames": _with(POSS, "SELECT match_id, frame, holder_id, team, dist_m FROM poss"),
     "possession_spells": _with(POSS, "SELECT match_id, holder_id, team, start_frame, end_frame FROM spells"),
@@ -245,4 +245,79 @@ ORACLE_SQL: dict[str, str] = {
     "formation_places": _with(f"{POSS}, {PLACES}", f"SELECT match_id, team, state, start_frame, entity_id, {_xa('mx', 'team', 'start_frame')} AS x, {_ya('my', 'team', 'start_frame')} AS y FROM fk WHERE k = 10"),
     "defensive_spread": _with(f"{POSS}, {PHASES}", "SELECT t.match_id, t.entity_id, sqrt(pow(stddev_samp(t.x), 2) + pow(stddev_samp(t.y), 2)) AS spread_m FROM t JOIN ph ON ph.match_id = t.match_id AND ph.frame = t.frame AND ph.poss_team <> 'none' AND ph.poss_team <> t.team WHERE class = 'player' GROUP BY ALL HAVING count(*) >= 10"),
     "radar_frames": _with(LENS, "SELECT match_id, frame, count(*) AS n, array_to_string(list_sort(list(entity_id)), ',') AS jerseys FROM t WHERE frame % 8 = 0 GROUP BY ALL"),
+    "class_votes": _with(LENS, "SELECT match_id, entity_id, class FROM (SELECT match_id, entity_id, class, sum(conf) AS s FROM t GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY match_id, entity_id ORDER BY s DESC, class) = 1"),
+    "jersey_votes": _with(LENS, """, r AS (SELECT match_id, entity_id, entity_id + CASE WHEN (frame * 3 + entity_id) % 5 = 0 THEN 1 ELSE 0 END AS number, sum(conf) AS w, count(*) AS n FROM t WHERE conf >= 0.55 GROUP BY ALL
+        ), b AS (SELECT *, w / sum(w) OVER (PARTITION BY match_id, entity_id) AS weight_share FROM r QUALIFY row_number() OVER (PARTITION BY match_id, entity_id ORDER BY round(w, 6) DESC, number) = 1)
+        SELECT match_id, entity_id, number, weight_share, n FROM b WHERE n >= 2 AND weight_share >= 0.6"""),
+    "attack_direction": _with(LENS, "SELECT match_id, CASE WHEN avg(x) FILTER (team = 'home') <= avg(x) FILTER (team = 'away') THEN 1 ELSE -1 END AS home_sign FROM t WHERE frame < 3000 GROUP BY ALL"),
+    "bridged_gaps": _with(LENS, """, n AS (SELECT *, lead(frame) OVER w AS nf, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(conf) OVER w AS nc FROM t WHERE frame % 50 < 38 WINDOW w AS (PARTITION BY match_id, entity_id ORDER BY frame)
+        ), u AS (SELECT *, unnest(CASE WHEN nf - frame BETWEEN 2 AND 25 THEN range(frame, nf) ELSE [frame] END) AS f FROM n), v AS (SELECT *, (f - frame) / (nf - frame)::DOUBLE AS s FROM u)
+        SELECT match_id, entity_id, f AS frame, CASE WHEN f > frame THEN x + (nx - x) * s ELSE x END AS x, CASE WHEN f > frame THEN y + (ny - y) * s ELSE y END AS y,
+            CASE WHEN f > frame THEN least(conf, nc) * 0.5 * (0.5 + 0.5 * (1 - least(s, 1 - s) * 2)) ELSE conf END AS conf, f > frame AS filled FROM v"""),
+    "match_quality": _with(LENS, """, a AS (SELECT match_id, frame, entity_id, conf FROM t UNION ALL SELECT (f // 6000)::INT, (f % 6000)::INT, -1, 1 - (f * 7 - 13) % 50 / 100.0::DOUBLE FROM fr
+        ), f AS (SELECT match_id, frame, sum((entity_id <> -1)::INT) AS players, max((entity_id = -1)::INT) AS ball FROM a GROUP BY ALL
+        ), g AS (SELECT match_id, count(*) AS n_frames, avg(ball::DOUBLE) AS ball_coverage, quantile_cont(players, 0.5) AS players_median FROM f GROUP BY ALL
+        ), k AS (SELECT match_id, count(*) AS n_tracks, quantile_cont(n, 0.5) AS track_rows_median FROM (SELECT match_id, entity_id, count(*) AS n FROM a WHERE entity_id <> -1 GROUP BY ALL) GROUP BY ALL
+        ), c AS (SELECT match_id, quantile_cont(conf, 0.5) AS conf_median FROM a GROUP BY ALL)
+        SELECT match_id, n_frames, ball_coverage, players_median, conf_median, n_tracks, track_rows_median, CASE WHEN ball_coverage >= 0.8 THEN 'high' WHEN ball_coverage >= 0.5 THEN 'medium' ELSE 'low' END AS ball_level,
+            CASE WHEN ball_coverage < 0.5 OR players_median < 12 OR conf_median < 0.4 THEN 'low' WHEN ball_coverage < 0.8 OR players_median < 18 OR conf_median < 0.7 THEN 'medium' ELSE 'high' END AS level
+        FROM g JOIN k USING (match_id) JOIN c USING (match_id)"""),
+    "long_tracks": _with(LENS, ", a AS (SELECT match_id, entity_id, count(*) AS n FROM t WHERE frame % (entity_id + 1) = 0 GROUP BY ALL HAVING count(*) >= 500 UNION ALL SELECT match_id, -1, count(*) FROM ball GROUP BY ALL) SELECT * FROM a"),
+    "nearest_vectors": "SELECT vec_id, place, round(c, 5) AS cosine FROM (SELECT q.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS place FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) WHERE place <= 5",
 }
+
+#: Columns of each query and their kinds: i integer, d double (compared to six decimals), s string, b boolean.
+COLUMNS: dict[str, str] = {
+    "players_by_class": "match_id:i team:s class:s n:i on_pitch:i in_left_box:i",
+    "possession_frames": "match_id:i frame:i holder_id:i team:s dist_m:d",
+    "possession_spells": "match_id:i holder_id:i team:s start_frame:i end_frame:i",
+    "possession_summary": "match_id:i team:s share:d n_spells:i mean_spell_s:d max_spell_s:d",
+    "rolling_possession": "match_id:i frame:i home_share:d",
+    "derived_events": "match_id:i frame:i type:s team:s from_id:i to_id:i x:d y:d end_x:d end_y:d outcome:s",
+    "event_counts": "match_id:i team:s passes:i completed:i turnovers:i carries:i",
+    "counter_attacks": "match_id:i frame:i team:s gain_m:d duration_s:d speed_mps:d",
+    "minutes_played": "match_id:i entity_id:i team:s minutes:d",
+    "kinematics": "match_id:i entity_id:i run:i frame:i x:d y:d vx:d vy:d speed:d accel:d",
+    "movement_profiles": "match_id:i entity_id:i minutes:d distance_m:d top_speed:d mean_speed:d hi_distance_m:d n_sprints:i accel_p90:d n_turns:i",
+    "top_movers": "match_id:i place:i entity_id:i distance_m:d",
+    "third_occupation": "match_id:i team:s third:i share:d",
+    "heatmap_counts": "match_id:i team:s entity_id:i iy:i ix:i n:i",
+    "heatmap_blurred": "match_id:i team:s iy:i ix:i v:d",
+    "player_features": "match_id:i entity_id:i team:s minutes:d mean_x:d mean_y:d std_x:d std_y:d wideness:d x_range:d y_range:d poss_time_share:d mean_dist_ball:d near_ball_share:d dist_to_centroid:d att_mean_x:d def_mean_x:d push_up_delta:d",
+    "shape_timeseries": "match_id:i frame:i team:s def_line_height_m:d depth_m:d width_m:d centroid_x_att:d in_possession:b",
+    "shape_summary": "match_id:i team:s in_line:d out_line:d in_depth:d out_depth:d in_width:d out_width:d block_label:s",
+    "field_tilt": "match_id:i team:s final_third_share:d own_third_share:d mean_ball_x_att:d tilt:d",
+    "phase_frames": "match_id:i frame:i poss_team:s phase:s def_posture:s",
+    "phase_summary": "match_id:i scope:s value:s share:d",
+    "pressures": "match_id:i frame:i presser_id:i presser_team:s target_id:i dist_m:d closing_mps:d x:d y:d duration_frames:i",
+    "ppda": "match_id:i team:s opp_buildup_passes:i defensive_actions:i ppda:d",
+    "pressing_summary": "match_id:i team:s pressures:i pressures_per_min:d press_height_mean_m:d high_press_share:d press_to_turnover_rate:d",
+    "pass_edges": "match_id:i team:s source:i target:i weight:i",
+    "pass_nodes": "match_id:i team:s entity_id:i x:d y:d volume:i",
+    "pass_summary": "match_id:i team:s n_passes:i n_players:i density:d top_source:i top_target:i top_weight:i",
+    "defensive_lines": "match_id:i frame:i team:s from_id:i line_x:d",
+    "line_breaking_passes": "match_id:i frame:i team:s from_id:i to_id:i n_lines_broken:i",
+    "xt_counts": "match_id:i s:i e:i n:i",
+    "pitch_control_frames": "match_id:i frame:i home_control:d right_third:d left_third:d",
+    "pitch_control_mean": "match_id:i iy:i ix:i home:d",
+    "offscreen_ghosts": "match_id:i entity_id:i frame:i x:d y:d vx:d vy:d ghost:b",
+    "formation_places": "match_id:i team:s state:s start_frame:i entity_id:i x:d y:d",
+    "defensive_spread": "match_id:i entity_id:i spread_m:d",
+    "radar_frames": "match_id:i frame:i n:i jerseys:s",
+    "class_votes": "match_id:i entity_id:i class:s",
+    "jersey_votes": "match_id:i entity_id:i number:i weight_share:d n:i",
+    "attack_direction": "match_id:i home_sign:i",
+    "bridged_gaps": "match_id:i entity_id:i frame:i x:d y:d conf:d filled:b",
+    "match_quality": "match_id:i n_frames:i ball_coverage:d players_median:d conf_median:d n_tracks:i track_rows_median:d ball_level:s level:s",
+    "long_tracks": "match_id:i entity_id:i n:i",
+    "nearest_vectors": "vec_id:i place:i cosine:d",
+}
+
+
+def _typed(name: str) -> str:
+    cast = {"i": "{0}::BIGINT AS {0}", "d": "round({0}::DOUBLE, 6) + 0.0 AS {0}", "s": "{0}", "b": "{0}"}
+    columns = (c.split(":") for c in COLUMNS[name].split())
+    return f"SELECT {', '.join(cast[k].format(c) for c, k in columns)} FROM ({_SQL[name]})"
+
+
+ORACLE_SQL: dict[str, str] = {name: _typed(name) for name in _SQL}

@@ -2,19 +2,39 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pitch
-from ..operators import control, formations, marking, movement, passing, play, possession, tactics
+from ..operators import control, formations, marking, movement, passing, play, possession, tactics, tracks
 from ..sources import lens
 
 QUERIES: dict = {}
 
 
+def _plain(df: DataFrame) -> DataFrame:
+    """Integers as long and doubles to six decimals, so that another engine's rows compare equal."""
+    found = []
+    for name, kind in df.dtypes:
+        column = F.col(name)
+        if kind in ("tinyint", "smallint", "int"):
+            column = column.cast("long")
+        elif kind in ("float", "double"):
+            column = F.round(column.cast("double"), 6) + F.lit(0.0)
+        found.append(column.alias(name))
+    return df.select(*found)
+
+
 def query(function):
     """Registers a function under its name."""
-    QUERIES[function.__name__] = function
+
+    @wraps(function)
+    def plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _plain(function(spark, sf_dir))
+
+    QUERIES[function.__name__] = plain
     return function
 
 
@@ -285,3 +305,46 @@ def radar_frames(spark, sf_dir):
     # three radar frames a second: every eighth frame, its players by jersey
     seen = lens.tracking(spark, sf_dir).where(F.col("frame") % 8 == 0)
     return seen.where("jersey_no is not null").groupBy("match_id", "frame").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list(F.col("jersey_no").cast("int"))).cast("array<string>"), ",").alias("jerseys"))
+
+
+def _people(spark, sf_dir):
+    return possession.players_only(lens.tracking(spark, sf_dir))
+
+
+@query
+def class_votes(spark, sf_dir):
+    return tracks.class_votes(_people(spark, sf_dir))
+
+
+@query
+def jersey_votes(spark, sf_dir):
+    # every fifth reading or so is one off
+    rows = _people(spark, sf_dir).select("match_id", "entity_id", "conf", (F.col("entity_id") + F.when((F.col("frame") * 3 + F.col("entity_id")) % 5 == 0, 1).otherwise(0)).alias("number"))
+    return tracks.jersey_votes(rows)
+
+
+@query
+def attack_direction(spark, sf_dir):
+    return tracks.attack_direction(_people(spark, sf_dir).where("frame < 3000"))
+
+
+@query
+def bridged_gaps(spark, sf_dir):
+    return tracks.bridged(_people(spark, sf_dir).where("frame % 50 < 38").select("match_id", "entity_id", "frame", "x", "y", "conf"))
+
+
+@query
+def match_quality(spark, sf_dir):
+    return tracks.quality(lens.tracking(spark, sf_dir))
+
+
+@query
+def long_tracks(spark, sf_dir):
+    rows = lens.tracking(spark, sf_dir).where("entity_id = -1 or frame % (entity_id + 1) = 0")
+    return tracks.without_fragments(rows, 500).groupBy("match_id", "entity_id").agg(F.count("*").alias("n"))
+
+
+@query
+def nearest_vectors(spark, sf_dir):
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return tracks.nearest_vectors(vectors, vectors.where("vec_id % 50 = 0")).select("vec_id", "place", F.round("cosine", 5).alias("cosine"))
