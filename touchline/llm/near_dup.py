@@ -3,13 +3,15 @@
 1. One pass gives each document the size of its shingle set, a print of the
    set and the band keys of its signature. Documents with equal sets are one
    class from here on, and its least id stands for it.
-2. Classes that share a band key are candidates. Each is compared with the
-   least member of each of its buckets; links join components.
+2. Classes that share a band key are candidates. Elements that no other
+   candidate has bound what a class can share with any other, and so which
+   pairs can be links at all. Each class is compared with the member of each of
+   its buckets that shares most; links join components.
 3. Where a bucket still holds several components, its members are compared
    with their neighbours in several random orders of the bucket.
 4. What is then still outside the largest component of its bucket is compared
-   with all members of the bucket in other components whose set sizes allow a
-   link. So no link between candidates is lost, while a group of many copies
+   with all members of the bucket in other components that the bounds allow,
+   large buckets block by block. So no link between candidates is lost, while a group of many copies
    costs about as many comparisons as it has members.
 
 Every link is confirmed on the full sets. With 36 bands of 5 rows a pair at the
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, modest_batches, stored, table, text_or_empty
+from .common import chunks, modest_batches, stored, string_buffers, table, text_or_empty
 from .components import components
 from .superminhash import band_keys, overlap, set_prints, shingle_sets, signatures
 
@@ -35,6 +37,8 @@ BANDS, BAND_ROWS = 36, 5
 PERCENT = 80
 #: Random orders in which a bucket's members meet their neighbours.
 ORDERS = 3
+#: Members from which a bucket is compared in blocks, and of a block.
+BLOCK = 256
 #: Bytes of text whose sets and permutations are in memory at a time.
 BLOCK_BYTES = 1 << 20
 
@@ -72,67 +76,150 @@ def shingle_rows(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(work, "id bigint, n bigint, elements binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets overlap by at least so many percent of their union."""
+def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, n_a, n_b, both) of pairs (a, b): the sizes of both full sets and of their intersection."""
 
     def work(batches):
         for batch in batches:
-            kept = []
-            for i, (x, y) in enumerate(zip(batch.column("left"), batch.column("right"))):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = overlap(p, q)
-                if 100 * both >= percent * (len(p) + len(q) - both):
-                    kept.append(i)
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).take(pa.array(kept, pa.int64()))
+            found = [(len(p), len(q), overlap(p, q)) for p, q in ((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column("left"), batch.column("right")))]
+            table = np.array(found, np.int64).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), *(pa.array(table[:, i]) for i in range(3))], names=["a", "b", "n_a", "n_b", "both"])
 
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(work, "a bigint, b bigint")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(work, "a bigint, b bigint, n_a bigint, n_b bigint, both bigint")
 
 
-def _sizes_allow(x: str, y: str, percent: int):
-    return (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
+def linked(found: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets overlap by at least so many percent of their union."""
+    return found.where(100 * F.col("both") >= percent * (F.col("n_a") + F.col("n_b") - F.col("both"))).select("a", "b")
+
+
+def reachable(sets: DataFrame) -> DataFrame:
+    """(id, shared): how many of a set's elements some other set has too; no overlap can be larger.
+
+    An element that one set alone has is counted for that set: one grouping by
+    element, summed before the shuffle.
+    """
+
+    def work(batches):
+        for batch in batches:
+            cells = batch.column("elements").cast(pa.large_binary())
+            data, offsets = string_buffers(cells)
+            owner = np.repeat(batch.column("id").to_numpy(), np.diff(offsets) // 8)
+            values = np.ascontiguousarray(data).view(np.int64)
+            for a in range(0, len(values), 200_000):
+                yield pa.RecordBatch.from_arrays([pa.array(values[a : a + 200_000]), pa.array(owner[a : a + 200_000])], names=["element", "id"])
+
+    seen = sets.select("id", "elements").mapInArrow(work, "element bigint, id bigint").groupBy("element").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+    alone = seen.where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    return sets.select("id", "n").join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
+
+
+def _may_link(n: str, shared: str, o_n: str, o_shared: str, percent: int):
+    """Whether two sets of these sizes could overlap enough: by no more than what each shares with any other set."""
+    return (100 + percent) * F.least(shared, o_shared) >= percent * (F.col(n) + F.col(o_n))
 
 
 def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
     """members with their component so far, of the buckets that hold several."""
-    named = members.join(components(links), F.col("id") == F.col("node"), "left").select("bucket", "id", "n", F.coalesce("component", "id").alias("component"))
+    named = members.join(components(links), F.col("id") == F.col("node"), "left").select("bucket", "id", "n", "shared", "away", F.coalesce("component", "id").alias("component"))
     mixed = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     return stored(named.join(mixed, "bucket", "left_semi"))
 
 
 def link_classes(members: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Confirmed links (a, b) that connect the classes of ``members`` (bucket, id, n, centre) as all links would."""
-    stars = members.where(F.col("id") != F.col("centre")).select("id", "n", "centre").distinct()
-    sized = stars.join(sets.select(F.col("id").alias("centre"), F.col("n").alias("m")), "centre")
-    tested = stored(sized.where(_sizes_allow("n", "m", percent)).select(F.col("centre").alias("a"), F.col("id").alias("b")))
-    links = stored(confirmed(tested, sets, percent))
+    """Confirmed links (a, b) that connect the classes of ``members`` (bucket, id, n, shared) as all links would."""
+    keep = ["bucket", "id", "n", "shared"]
+    centres = members.groupBy("bucket").agg(F.max(F.struct("shared", (-F.col("id")).alias("neg"), "n")).alias("c"))
+    starred = members.join(centres, "bucket").select(*keep, (-F.col("c.neg")).alias("o_id"), F.col("c.n").alias("o_n"), F.col("c.shared").alias("o_shared"))
+    pair = [F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b")]
+    stars = starred.where((F.col("id") != F.col("o_id")) & _may_link("n", "shared", "o_n", "o_shared", percent))
+    tested = stored(overlaps(stars.select(*pair).distinct(), sets))
+    links = stored(linked(tested, percent))
+    # the Jaccard distance of each member to its bucket's centre, where it was computed: a metric, so two members whose
+    # distances differ by more than a link allows are no link
+    distance = tested.select("a", "b", (1 - F.col("both") / (F.col("n_a") + F.col("n_b") - F.col("both"))).alias("d"))
+    members = stored(starred.select(*keep, *pair).join(distance, ["a", "b"], "left").select(*keep, F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.col("d")).alias("away")))
+    tested = tested.select("a", "b")
 
     open_members = _labelled(members, links)
     near = None
     for k in range(ORDERS):
         order = Window.partitionBy("bucket").orderBy(F.xxhash64("id", F.lit(k)), "id")
-        before = open_members.select("id", "n", "component", F.lag(F.struct("id", "n", "component")).over(order).alias("o"))
-        found = before.where((F.col("o.component") != F.col("component")) & _sizes_allow("n", "o.n", percent)).select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"))
+        before = open_members.select("id", "n", "shared", "component", F.lag(F.struct("id", "n", "shared", "component")).over(order).alias("o"))
+        found = before.where((F.col("o.component") != F.col("component")) & _may_link("n", "shared", "o.n", "o.shared", percent)).select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"))
         near = found if near is None else near.unionByName(found)
     fresh = stored(near.distinct().join(tested, ["a", "b"], "left_anti"))
-    links = stored(links.unionByName(confirmed(fresh, sets, percent)))
+    links = stored(links.unionByName(linked(overlaps(fresh, sets), percent)))
     tested = tested.unionByName(fresh)
 
     open_members = _labelled(members, links)
+    sizes = open_members.groupBy("bucket").agg(F.count("*").alias("size"))
+    sized = open_members.join(sizes, "bucket")
     counts = open_members.groupBy("bucket", "component").agg(F.count("*").alias("c"))
     largest = counts.groupBy("bucket").agg(F.max(F.struct("c", F.col("component").alias("largest"))).alias("x")).select("bucket", "x.largest")
-    placed = open_members.join(largest, "bucket")
+    placed = sized.where(F.col("size") < BLOCK).join(largest, "bucket")
     outside = placed.where(F.col("component") != F.col("largest"))
-    other = placed.select("bucket", F.col("id").alias("o_id"), F.col("n").alias("o_n"), F.col("component").alias("o_component"), (F.col("component") == F.col("largest")).alias("o_in"))
+    other = placed.select("bucket", F.col("id").alias("o_id"), F.col("n").alias("o_n"), F.col("shared").alias("o_shared"), F.col("away").alias("o_away"), F.col("component").alias("o_component"), (F.col("component") == F.col("largest")).alias("o_in"))
+    in_reach = F.coalesce(F.abs(F.col("away") - F.col("o_away")) <= 1 - percent / 100 + 1e-9, F.lit(True))
     rest = (
         outside.join(other, "bucket")
-        .where((F.col("component") != F.col("o_component")) & (F.col("o_in") | (F.col("id") < F.col("o_id"))) & _sizes_allow("n", "o_n", percent))
+        .where((F.col("component") != F.col("o_component")) & (F.col("o_in") | (F.col("id") < F.col("o_id"))) & _may_link("n", "shared", "o_n", "o_shared", percent) & in_reach)
         .select(F.least("id", "o_id").alias("a"), F.greatest("id", "o_id").alias("b"))
         .distinct()
         .join(tested, ["a", "b"], "left_anti")
     )
-    return links.unionByName(confirmed(rest, sets, percent))
+    large = _links_in_blocks(sized.where(F.col("size") >= BLOCK).select("bucket", "id", "component"), sets, percent)
+    return links.unionByName(linked(overlaps(rest, sets), percent)).unionByName(large)
+
+
+def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between components of large buckets, given as (bucket, id, component).
+
+    Buckets that share members are one group. Its members outside its largest
+    component are queries against all its members, block by block: a row holds
+    a block of either, and only links leave the task that counts their overlaps.
+    """
+    members = stored(members)
+    least = members.groupBy("bucket").agg(F.min("id").alias("b"))
+    grouped = components(members.join(least, "bucket").select(F.col("id").alias("a"), "b")).select(F.col("node").alias("id"), F.col("component").alias("group"))
+    rows = members.select("id", "component").distinct().join(grouped, "id")
+    counts = rows.groupBy("group", "component").agg(F.count("*").alias("c"))
+    totals = counts.groupBy("group").agg(F.ceil(F.sum("c") / BLOCK).alias("blocks"), F.max(F.struct("c", F.col("component").alias("largest"))).alias("x")).select("group", "blocks", "x.largest")
+    placed = rows.join(totals, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    full = stored(placed.join(sets.select("id", "elements"), "id").select("group", "block", "blocks", (F.col("component") != F.col("largest")).alias("asks"), F.struct("id", "component", "elements").alias("row")))
+    asked = full.groupBy("group", "block").agg(F.collect_list("row").alias("right"))
+    asking = full.where("asks").groupBy("group", F.col("block").alias("own_block")).agg(F.collect_list("row").alias("left"), F.first("blocks").alias("blocks"))
+    met = asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).join(asked, ["group", "block"]).select("left", "right")
+
+    def work(batches):
+        for batch in batches:
+            for left, right in zip(batch.column("left"), batch.column("right")):
+                found = block_links(left.as_py(), right.as_py(), percent)
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
+
+    return met.mapInArrow(work, "a bigint, b bigint")
+
+
+def block_links(left: list[dict], right: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Links between rows (id, component, elements) of two blocks whose components differ, by an inverted index of the second."""
+    sizes = np.array([len(r["elements"]) // 8 for r in right])
+    values = np.frombuffer(b"".join(r["elements"] for r in right), np.uint64)
+    owner = np.repeat(np.arange(len(right)), sizes)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    part = np.array([r["component"] for r in right])
+    found = []
+    for row in left:
+        own = np.frombuffer(row["elements"], np.uint64)
+        first, last = np.searchsorted(values, own, side="left"), np.searchsorted(values, own, side="right")
+        many = last - first
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+        both = np.bincount(owner[at], minlength=len(right))
+        hits = np.flatnonzero((100 * both >= percent * (len(own) + sizes - both)) & (part != row["component"]))
+        found += [(min(row["id"], right[i]["id"]), max(row["id"], right[i]["id"])) for i in hits.tolist()]
+    return found
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -144,10 +231,12 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = PERCENT, id_co
     linked = prints.where("n > 0 and id is not null")
     classes = linked.groupBy(*key).agg(F.min("id").alias("rep"))
     first = linked.select("id", *key, "bands").join(classes.select("rep"), F.col("id") == F.col("rep"), "left_semi").select("id", "n", F.explode(F.array_distinct("bands")).alias("bucket")).distinct()
-    shared = first.groupBy("bucket").agg(F.count("*").alias("c"), F.min("id").alias("centre")).where("c > 1").select("bucket", "centre")
-    members = stored(first.join(shared, "bucket").select("bucket", "id", "n", "centre"))
-    needed = members.select("id").distinct()
-    sets = stored(shingle_rows(docs.join(needed, "id", "left_semi"), words).dropDuplicates(["id"]))
+    met = first.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
+    candidates = stored(first.join(met, "bucket").select("bucket", "id", "n"))
+    sets = stored(shingle_rows(docs.join(candidates.select("id").distinct(), "id", "left_semi"), words).dropDuplicates(["id"]))
+    # a set of which others share less than the threshold's part has no link
+    able = reachable(sets).join(sets.select("id", F.col("n").alias("m")), "id").where(100 * F.col("shared") >= percent * F.col("m")).select("id", "shared")
+    members = stored(candidates.join(able, "id"))
     grouped = components(link_classes(members, sets, percent))
     named = classes.join(grouped, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component"))
     with_key = prints.select("id", *key)
