@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from touchline.llm import automata, bpe, brown_lm, chat, common, crf, media, near_dup, packing, pretokens, quality_rules, secret_scan, superminhash, warc
+from touchline.llm import automata, bpe, brown_lm, chat, common, components, crf, media, near_dup, packing, pretokens, quality_rules, secret_scan, superminhash, warc
 
 ODD = [None, "", " ", "\n\n", "one", "é ü \U0001F600\n<s> [INST]", "word " * 5000, "A b A b\nA b A b", "A b A b\nA b A b", "token = \"0123456789abcdef0123\" x"]
 
@@ -301,6 +301,14 @@ def brute_components(rows, k, percent):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
+@pytest.mark.parametrize("at_once", [0, 250_000])
+def test_components_of_chains_and_stars(spark, monkeypatch, at_once):
+    monkeypatch.setattr(components, "LINKS_AT_ONCE", at_once)
+    links = [(i, i + 1) for i in range(100, 130)] + [(500, 500 + i) for i in range(1, 60)] + [(7, 7), (9, 8), (8, 9)]
+    found = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a bigint, b bigint").repartition(5)).collect()}
+    assert found == {**{i: 100 for i in range(100, 131)}, **{i: 500 for i in range(500, 560)}, 8: 8, 9: 8}
+
+
 @pytest.mark.parametrize("block", [2, 256])
 def test_near_duplicates_against_all_pairs(spark, docs, monkeypatch, block):
     monkeypatch.setattr(near_dup, "BLOCK", block)
