@@ -17,6 +17,7 @@ Repeated rows are packed as often as they occur.
 
 from __future__ import annotations
 
+from array import array
 from functools import cache
 
 import numpy as np
@@ -36,7 +37,7 @@ K1, B = 1.2, 0.75
 #: Terms of a seed that query the index.
 QUERY_TERMS = 24
 #: Words whose ids a worker process remembers.
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 900_000
 
 
 class Words:
@@ -63,7 +64,7 @@ class Words:
         if len(self.known) + len(new) > KNOWN_WORDS:
             self.known, new = {}, words
         encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(new, encoded))
+        self.known.update((w, array("i", e.ids).tobytes()) for w, e in zip(new, encoded))
         each = pa.array([self.known[w] for w in words], pa.large_binary())
         stream, ends = string_buffers(pc.take(each, coded.indices))
         return np.ascontiguousarray(stream).view(np.int32), ends[rows] // 4
