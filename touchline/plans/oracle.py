@@ -174,6 +174,35 @@ def _with(parts: str, select: str) -> str:
     return f"WITH {parts} {select}"
 
 
+FACTS = """, f1 AS (SELECT match_id, team, count(*) AS n FROM poss WHERE team <> 'none' GROUP BY ALL), f2 AS (SELECT match_id, team, count(*) AS n_spells, avg((end_frame - start_frame + 1) / 25.0::DOUBLE) AS m FROM spells GROUP BY ALL
+), f3 AS (SELECT f1.match_id, f1.team, n / sum(n) OVER (PARTITION BY f1.match_id)::DOUBLE AS share, n_spells, m FROM f1 JOIN f2 USING (match_id, team)
+), f4 AS (SELECT match_id, team, sum((type = 'pass')::INT) AS p, sum((type = 'pass' AND outcome = 'complete')::INT) AS c, sum((type = 'turnover')::INT) AS t, sum((type = 'carry')::INT) AS k FROM ev GROUP BY ALL
+), facts AS (
+    SELECT match_id, 'possession.' || team || '.share' AS path, share::DOUBLE AS value FROM f3 UNION ALL SELECT match_id, 'possession.' || team || '.n_spells', n_spells FROM f3 UNION ALL SELECT match_id, 'possession.' || team || '.mean_spell_s', m FROM f3
+    UNION ALL SELECT match_id, 'events.' || team || '.passes', p FROM f4 UNION ALL SELECT match_id, 'events.' || team || '.completed', c FROM f4 UNION ALL SELECT match_id, 'events.' || team || '.turnovers', t FROM f4 UNION ALL SELECT match_id, 'events.' || team || '.carries', k FROM f4
+)"""
+
+FEATURES = _with(POSS, f""", g AS (SELECT *, avg(x) OVER w AS cx, avg(y) OVER w AS cy FROM t WHERE class = 'player' WINDOW w AS (PARTITION BY match_id, frame, team)
+        ), r AS (SELECT g.match_id, g.entity_id, g.team, g.frame, {_xa("g.x", "g.team", "g.frame")} AS xa, {_ya("g.y", "g.team", "g.frame")} AS ya, sqrt(pow(g.x - b.x, 2) + pow(g.y - b.y, 2)) AS db, sqrt(pow(g.x - cx, 2) + pow(g.y - cy, 2)) AS dc, p.holder_id, p.team AS pt
+            FROM g LEFT JOIN ball b ON b.match_id = g.match_id AND b.frame = g.frame LEFT JOIN poss p ON p.match_id = g.match_id AND p.frame = g.frame
+        ), f AS (SELECT match_id, entity_id, min(team) AS team, count(DISTINCT frame) / 25.0::DOUBLE / 60 AS minutes, avg(xa) AS mean_x, avg(ya) AS mean_y, stddev_pop(xa) AS std_x, stddev_pop(ya) AS std_y, avg(abs(ya - 34)) AS wideness,
+            quantile_cont(xa, 0.95) - quantile_cont(xa, 0.05) AS x_range, quantile_cont(ya, 0.95) - quantile_cont(ya, 0.05) AS y_range, avg((holder_id = entity_id)::INT::DOUBLE) AS poss_time_share, avg(db) AS mean_dist_ball, avg((db < 15)::INT::DOUBLE) AS near_ball_share,
+            avg(dc) AS dist_to_centroid, avg(xa) FILTER (pt = team) AS att_mean_x, avg(xa) FILTER (pt <> team AND pt <> 'none') AS def_mean_x FROM r GROUP BY ALL)
+        SELECT *, coalesce(att_mean_x, mean_x) - coalesce(def_mean_x, mean_x) AS push_up_delta FROM f""")
+
+SCALED = f"""WITH ft0 AS ({FEATURES}), lg AS (UNPIVOT (SELECT match_id, entity_id, mean_x, mean_y, std_x, std_y, wideness, x_range, y_range, poss_time_share, mean_dist_ball, near_ball_share, dist_to_centroid, att_mean_x, def_mean_x, push_up_delta FROM ft0)
+    ON COLUMNS(* EXCLUDE (match_id, entity_id)) INTO NAME feature VALUE value
+), qt AS (SELECT match_id, feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM lg GROUP BY ALL
+), zs AS (
+    SELECT match_id, entity_id, feature, CASE WHEN feature IN ('poss_time_share', 'mean_dist_ball', 'near_ball_share') THEN 'involvement' WHEN feature = 'dist_to_centroid' THEN 'interaction' WHEN feature IN ('att_mean_x', 'def_mean_x', 'push_up_delta') THEN 'phase' ELSE 'spatial' END AS grp,
+        greatest(-4, least(4, (value - q2) / CASE WHEN q3 - q1 < 1e-9 THEN 1 ELSE q3 - q1 END)) AS z FROM lg JOIN qt USING (match_id, feature)
+)"""
+
+COSINES = """cs AS (
+    SELECT a.match_id, {by}a.entity_id, b.entity_id AS other_id, CASE WHEN sqrt(sum(a.z * a.z)) < 1e-9 OR sqrt(sum(b.z * b.z)) < 1e-9 THEN 0 ELSE sum(a.z * b.z) / (sqrt(sum(a.z * a.z)) * sqrt(sum(b.z * b.z))) END AS cosine
+    FROM zs a JOIN zs b ON a.match_id = b.match_id AND a.feature = b.feature AND a.entity_id <> b.entity_id GROUP BY a.match_id, {by}a.entity_id, b.entity_id
+)"""
+
 _SQL: dict[str, str] = {
     "players_by_class": _with(LENS, "SELECT match_id, team, class, count(*) AS n, sum((x BETWEEN -2 AND 107 AND y BETWEEN -2 AND 70)::INT)::BIGINT AS on_pitch, sum((x <= 16.5 AND abs(y - 34) <= 20.16)::INT)::BIGINT AS in_left_box FROM t GROUP BY ALL"),
     "possession_frames": _with(POSS, "SELECT match_id, frame, holder_id, team, dist_m FROM poss"),
@@ -199,13 +228,7 @@ _SQL: dict[str, str] = {
         ), rw AS (SELECT match_id, team, (CASE WHEN iy + k < 0 THEN -(iy + k) - 1 WHEN iy + k >= 34 THEN 67 - iy - k ELSE iy + k END)::INT AS iy, ix, sum(n * w) AS v FROM b, kw GROUP BY ALL
         ), cw AS (SELECT match_id, team, iy, (CASE WHEN ix + k < 0 THEN -(ix + k) - 1 WHEN ix + k >= 52 THEN 103 - ix - k ELSE ix + k END)::INT AS ix, sum(v * w) AS v FROM rw, kw GROUP BY ALL)
         SELECT match_id, team, iy, ix, v / sum(v) OVER (PARTITION BY match_id, team) AS v FROM cw"""),
-    "player_features": _with(POSS, f""", g AS (SELECT *, avg(x) OVER w AS cx, avg(y) OVER w AS cy FROM t WHERE class = 'player' WINDOW w AS (PARTITION BY match_id, frame, team)
-        ), r AS (SELECT g.match_id, g.entity_id, g.team, g.frame, {_xa("g.x", "g.team", "g.frame")} AS xa, {_ya("g.y", "g.team", "g.frame")} AS ya, sqrt(pow(g.x - b.x, 2) + pow(g.y - b.y, 2)) AS db, sqrt(pow(g.x - cx, 2) + pow(g.y - cy, 2)) AS dc, p.holder_id, p.team AS pt
-            FROM g LEFT JOIN ball b ON b.match_id = g.match_id AND b.frame = g.frame LEFT JOIN poss p ON p.match_id = g.match_id AND p.frame = g.frame
-        ), f AS (SELECT match_id, entity_id, min(team) AS team, count(DISTINCT frame) / 25.0::DOUBLE / 60 AS minutes, avg(xa) AS mean_x, avg(ya) AS mean_y, stddev_pop(xa) AS std_x, stddev_pop(ya) AS std_y, avg(abs(ya - 34)) AS wideness,
-            quantile_cont(xa, 0.95) - quantile_cont(xa, 0.05) AS x_range, quantile_cont(ya, 0.95) - quantile_cont(ya, 0.05) AS y_range, avg((holder_id = entity_id)::INT::DOUBLE) AS poss_time_share, avg(db) AS mean_dist_ball, avg((db < 15)::INT::DOUBLE) AS near_ball_share,
-            avg(dc) AS dist_to_centroid, avg(xa) FILTER (pt = team) AS att_mean_x, avg(xa) FILTER (pt <> team AND pt <> 'none') AS def_mean_x FROM r GROUP BY ALL)
-        SELECT *, coalesce(att_mean_x, mean_x) - coalesce(def_mean_x, mean_x) AS push_up_delta FROM f"""),
+    "player_features": FEATURES,
     "shape_timeseries": _with(f"{POSS}, {SHAPE}", "SELECT * FROM shp"),
     "shape_summary": _with(f"{POSS}, {SHAPE}", """, s AS (SELECT match_id, team, round(avg(def_line_height_m) FILTER (in_possession), 1) AS in_line, round(avg(def_line_height_m) FILTER (NOT in_possession), 1) AS out_line, round(avg(depth_m) FILTER (in_possession), 1) AS in_depth,
         round(avg(depth_m) FILTER (NOT in_possession), 1) AS out_depth, round(avg(width_m) FILTER (in_possession), 1) AS in_width, round(avg(width_m) FILTER (NOT in_possession), 1) AS out_width FROM shp GROUP BY ALL)
@@ -264,10 +287,20 @@ _SQL: dict[str, str] = {
         FROM g JOIN k USING (match_id) JOIN c USING (match_id)"""),
     "long_tracks": _with(LENS, ", a AS (SELECT match_id, entity_id, count(*) AS n FROM t WHERE frame % (entity_id + 1) = 0 GROUP BY ALL HAVING count(*) >= 500 UNION ALL SELECT match_id, -1, count(*) FROM ball GROUP BY ALL) SELECT * FROM a"),
     "nearest_vectors": "SELECT vec_id, place, round(c, 5) AS cosine FROM (SELECT q.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS place FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) WHERE place <= 5",
+    "similar_players": f"{SCALED}, {COSINES.format(by='', keys='match_id')} SELECT match_id, entity_id, other_id, cosine, row_number() OVER (PARTITION BY match_id, entity_id ORDER BY round(cosine, 9) DESC, other_id) AS place FROM cs QUALIFY place <= 5",
+    "similarity_by_group": f"{SCALED}, {COSINES.format(by='a.grp, ', keys='match_id')} SELECT match_id, grp, entity_id, other_id, cosine FROM cs",
+    "match_facts": _with(EVENTS, FACTS + " SELECT * FROM facts"),
+    "fact_retrieval": _with(EVENTS, FACTS + """, q AS (SELECT *, 'How many passes were completed by the home team?' AS question, len(list_intersect(['how', 'many', 'passes', 'were', 'completed', 'by', 'the', 'home', 'team'], list_distinct(regexp_extract_all(lower(path), '[a-z]+')))) AS score FROM facts)
+        SELECT match_id, question, path, value, score FROM q WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY score DESC, path) <= 8"""),
 }
 
+
 #: Columns of each query and their kinds: i integer, d double (compared to six decimals), s string, b boolean.
 COLUMNS: dict[str, str] = {
+    "similar_players": "match_id:i entity_id:i other_id:i cosine:d place:i",
+    "similarity_by_group": "match_id:i grp:s entity_id:i other_id:i cosine:d",
+    "match_facts": "match_id:i path:s value:d",
+    "fact_retrieval": "match_id:i question:s path:s value:d score:i",
     "players_by_class": "match_id:i team:s class:s n:i on_pitch:i in_left_box:i",
     "possession_frames": "match_id:i frame:i holder_id:i team:s dist_m:d",
     "possession_spells": "match_id:i holder_id:i team:s start_frame:i end_frame:i",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pitch
-from ..operators import control, formations, marking, movement, passing, play, possession, tactics, tracks
+from ..operators import control, formations, marking, movement, passing, play, possession, report, style, tactics, tracks
 from ..sources import lens
 
 QUERIES: dict = {}
@@ -348,3 +348,38 @@ def long_tracks(spark, sf_dir):
 def nearest_vectors(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     return tracks.nearest_vectors(vectors, vectors.where("vec_id % 50 = 0")).select("vec_id", "place", F.round("cosine", 5).alias("cosine"))
+
+
+@query
+def similar_players(spark, sf_dir):
+    return style.similar_players(movement.player_features(*_base(spark, sf_dir)))
+
+
+@query
+def similarity_by_group(spark, sf_dir):
+    return style.attribution(movement.player_features(*_base(spark, sf_dir)))
+
+
+def _facts(spark, sf_dir):
+    seen, held = _base(spark, sf_dir)
+    shares = report.facts(possession.possession_summary(held), "possession", ["share", "n_spells", "mean_spell_s"])
+    return shares.unionByName(report.facts(play.event_counts(play.events(seen, held)), "events", ["passes", "completed", "turnovers", "carries"]))
+
+
+@query
+def match_facts(spark, sf_dir):
+    return _facts(spark, sf_dir)
+
+
+@query
+def fact_retrieval(spark, sf_dir):
+    known = _facts(spark, sf_dir)
+    return report.retrieve(known.select("match_id", F.lit("How many passes were completed by the home team?").alias("question")).distinct(), known)
+
+
+@query
+def report_audit(spark, sf_dir):
+    # a report that states every fact to two decimals, and one number that is none
+    known = _facts(spark, sf_dir)
+    lines = known.groupBy("match_id").agg(F.concat_ws(". ", F.sort_array(F.collect_list(F.concat("path", F.lit(" was "), F.format_string("%.2f", "value"))))).alias("body"))
+    return report.audit(lines.select("match_id", F.concat("body", F.lit(". In a 4-3-3, nothing was 123456.5."), F.lit("\n## Metrics Appendix\n777777")).alias("text")), known)
