@@ -198,6 +198,15 @@ def test_streaming_possession_equals_batch(spark, pass_chain, tmp_path):
     assert live == {r["frame"]: r["holder_id"] for r in possession.possession(pass_chain).collect()}
 
 
+def test_audit_flags_what_is_no_fact(spark):
+    from touchline.operators import report
+
+    known = spark.createDataFrame([(0, "possession.home.share", 0.6467), (0, "events.home.passes", 60.0)], "match_id int, path string, value double")
+    text = "Home had 64.7 of the ball and 60 passes in a 4-4-2, not 61.\n## Metrics Appendix\n999"
+    found = report.audit(spark.createDataFrame([(0, text), (1, "no numbers")], "match_id int, text string"), known).orderBy("match_id").collect()
+    assert [(r["n_claims"], r["n_grounded"], r["grounded_share"]) for r in found] == [(3, 2, 2 / 3), (0, 0, 1.0)]
+
+
 def test_config_overrides():
     changed = DEFAULT.with_overrides({"possession": {"radius_m": 3.0}, "fps": 50.0})
     assert changed.possession.radius_m == 3.0 and changed.possession.hysteresis_rows == 6 and changed.fps == 50.0
