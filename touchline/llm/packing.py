@@ -36,12 +36,14 @@ SHARD_BYTES = 2_000_000
 K1, B = 1.2, 0.75
 #: Terms of a seed that query the index.
 QUERY_TERMS = 24
+#: Bytes of text that a task splits at a time.
+BLOCK_BYTES = 2 << 20
 #: Words whose ids a worker process remembers.
 KNOWN_WORDS = 900_000
 
 
 class Words:
-    """A tokenizer of one process, and the ids (int32, as bytes) of the words that it has met."""
+    """A tokenizer of one process, and the words that it has met with their ids, kept in flat arrays of some 40 bytes a word."""
 
     def __init__(self, path: str):
         import os
@@ -51,7 +53,25 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[bytes, bytes] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.ids, self.ends = pa.array([], pa.large_binary()), np.zeros(0, np.int32), np.zeros(1, np.int64)
+
+    def _places(self, words: pa.Array) -> np.ndarray:
+        """Each distinct word's place among the known ones; new words are encoded and added."""
+        if len(self.words) + len(words) > KNOWN_WORDS:
+            self._forget()
+        places = np.asarray(pc.fill_null(pc.index_in(words, self.words), -1)).astype(np.int64)
+        new = np.flatnonzero(places < 0)
+        if len(new):
+            fresh = words.take(pa.array(new))
+            encoded = [array("i", e.ids) for e in self.tokenizer.encode_batch_fast([w.decode() for w in fresh.to_pylist()], add_special_tokens=False)]
+            places[new] = len(self.words) + np.arange(len(new))
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(e) for e in encoded])])
+            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(encoded), np.int32)])
+            self.words = pa.concat_arrays([self.words, fresh])
+        return places
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of these texts, and the n+1 offsets of each text's ids."""
@@ -59,14 +79,9 @@ class Words:
         if not len(tokens):
             return np.zeros(0, np.int32), np.zeros(len(rows), np.int64)
         coded = tokens.dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > KNOWN_WORDS:
-            self.known, new = {}, words
-        encoded = self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)
-        self.known.update((w, array("i", e.ids).tobytes()) for w, e in zip(new, encoded))
-        each = pa.array([self.known[w] for w in words], pa.large_binary())
-        stream, ends = string_buffers(pc.take(each, coded.indices))
+        places = self._places(coded.dictionary)
+        each = pa.Array.from_buffers(pa.large_binary(), len(self.words), [None, pa.py_buffer(self.ends * 4), pa.py_buffer(self.ids)])
+        stream, ends = string_buffers(pc.take(each, pa.array(places[coded.indices.to_numpy(zero_copy_only=False)])))
         return np.ascontiguousarray(stream).view(np.int32), ends[rows] // 4
 
 
@@ -83,7 +98,7 @@ def tokenize(df: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text
         own = _words(tokenizer_path)
         for batch in batches:
             texts = batch.column("text")
-            for start, end in chunks(texts):
+            for start, end in chunks(texts, BLOCK_BYTES):
                 ids, rows = own.encode(texts.slice(start, end - start))
                 closed = np.insert(ids, rows[1:], end_id).astype("<u4")
                 offsets = (rows + np.arange(len(rows))) * 4
