@@ -220,6 +220,33 @@ def test_packing_takes_lexical_neighbours():
     assert {i for i, _, _, s, _ in pieces if s == 0} == {0, 2}
 
 
+def test_packing_deals_copies_to_one_shard(spark):
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(10, 5000, 60) for _ in range(60)]
+    rows = [(i, int(rng.integers(-(2**62), 2**62)), bytearray(np.append(texts[i % 60], 1).astype("<u4").tobytes())) for i in range(120)]
+    tokens = spark.createDataFrame(rows, "doc_id bigint, place bigint, ids binary")
+    corpus = packing.corpus_of(tokens)
+    assert (corpus.n, corpus.ids, corpus.found[1]) == (120, 120 * 61, 120)
+    shard = {r["doc_id"]: r["shard"] for r in packing.dealt(tokens, corpus, 12).collect()}
+    assert 12 <= len(set(shard.values())) <= 14
+    assert sum(shard[i] == shard[i + 60] for i in range(60)) >= 60 - len(set(shard.values()))  # a pair may lie on a bound
+    pieces = packing.pack(tokens, 12, window=122).toPandas()
+    together = pieces.groupby("sequence_id")["doc_id"].agg(lambda x: {i % 60 for i in x})
+    assert sum(len(x) == 1 for x in together) >= 40
+    assert pieces["length"].sum() == corpus.ids
+
+
+def test_packing_asks_by_all_terms_and_corpus_statistics():
+    # many terms that only the seed has, each heavier than those that it shares
+    seed = np.concatenate([np.repeat(np.arange(100, 140), 3), np.arange(500, 510)])
+    other, kin = np.arange(700, 750), np.concatenate([np.arange(500, 510), np.arange(900, 940)])
+    own = packing.Corpus.of([seed, other, kin])
+    scores = packing.Index([seed, other, kin], own).scores(0)
+    assert scores[1] == 0 and scores[2] > 0
+    common = packing.Corpus(np.where(np.arange(1000) // 10 == 50, 1000, own.found.max()), 1000, own.ids * 300)
+    assert packing.Index([seed, other, kin], common).scores(0)[2] < scores[2] / 10
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "http://a b/", "x"), (2, "u", "x"), (7, "u", None), (9, "u", ""), (4, None, "long " * 40000), (None, "u", "x")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")

@@ -1,12 +1,17 @@
 """Lexical retrieval packing: fixed windows filled with a seed document's nearest unused neighbours.
 
 ``tokenize`` gives each text its ids by the tokenizers library (each distinct
-pre-token of a block is encoded once) and an end id. ``pack`` deals documents
-into shards by hash, so many that a shard holds about ``SHARD_BYTES`` of text,
-whatever the number of documents and however the files are laid out. A shard
-keeps a BM25 inverted index over the token ids of its documents. Full windows
-of long documents come first; then each seed's strongest terms query the
-index, and its unused neighbours fill the seed's window in order of score. The
+pre-token of a block is encoded once) and an end id. ``pack`` counts documents,
+ids and the documents of each term over the whole corpus, and deals documents
+into shards by content: they are ordered by their strongest terms
+(``content_key``), and the order is cut into shards of about ``SHARD_BYTES`` of
+text, whatever the number of documents and however the files are laid out. So
+copies and documents of one subject meet, and a frequent subject is cut by its
+next terms. A shard keeps a BM25 inverted index over the token ids of its
+documents, with the corpus's statistics. Full windows of long documents come
+first; then all terms of each seed query the index, and its unused neighbours
+in the shard fill the seed's window in order of score; neighbours in other
+shards are not seen. The
 neighbour that overruns is cut, and its rest stays in the index. Only the last
 window of a shard is not full; it is cut at powers of two, which take no
 padding.
@@ -18,6 +23,8 @@ Repeated rows are packed as often as they occur.
 from __future__ import annotations
 
 from array import array
+from bisect import bisect_right
+from dataclasses import dataclass
 from functools import cache
 
 import numpy as np
@@ -27,15 +34,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import chunks, modest_batches, string_buffers, table, text_or_empty
+from .common import chunks, modest_batches, stored, string_buffers, table, text_or_empty
 
 WINDOW = 2048
 END_ID = 1
 #: Bytes of text in a shard, about: some 800,000 ids.
 SHARD_BYTES = 2_000_000
 K1, B = 1.2, 0.75
-#: Terms of a seed that query the index.
-QUERY_TERMS = 24
+#: Least documents, in shards, of the terms that lead a content key, and how many of the strongest terms follow them.
+SUBJECT_SHARDS, KEY_TERMS = (3, 1), 8
 #: Bytes of text that a task splits at a time.
 BLOCK_BYTES = 2 << 20
 #: Words whose ids a worker process remembers.
@@ -109,40 +116,161 @@ def tokenize(df: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text
     return plain.mapInArrow(work, f"doc_id {kind}, place bigint, ids binary")
 
 
+@dataclass
+class Corpus:
+    """How many documents have each term, how many there are, and their ids in all; of fixed bounds, as terms are token ids."""
+
+    found: np.ndarray
+    n: int
+    ids: int
+
+    @classmethod
+    def of(cls, documents: list[np.ndarray]) -> Corpus:
+        terms = np.concatenate([np.unique(d) for d in documents]) if documents else np.zeros(0, np.int64)
+        return cls(np.bincount(terms), len(documents), sum(len(d) for d in documents))
+
+    def idf(self, terms: np.ndarray) -> np.ndarray:
+        return np.log1p((self.n - self.found[terms] + 0.5) / (self.found[terms] + 0.5))
+
+    def norm(self, sizes):
+        return K1 * (1 - B + B * sizes * self.n / self.ids)
+
+
+def corpus_of(tokens: DataFrame) -> Corpus:
+    """The statistics of all rows (ids)."""
+
+    def work(batches):
+        found, n, ids = np.zeros(0, np.int64), 0, 0
+        for batch in batches:
+            part = Corpus.of([np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(0)])
+            longer, shorter = (part.found, found) if len(part.found) > len(found) else (found, part.found)
+            longer[: len(shorter)] += shorter
+            found, n, ids = longer, n + part.n, ids + part.ids
+        terms = np.flatnonzero(found)
+        for start in range(0, len(terms), 100_000):
+            part = terms[start : start + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(found[part])], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int64()), pa.array([n, ids], pa.int64())], names=["term", "n"])
+
+    rows = tokens.select("ids").mapInArrow(work, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    by_term = dict(zip(rows.column("term").to_pylist(), rows.column("n").to_pylist()))
+    n, ids = by_term.pop(-1, 0), by_term.pop(-2, 0)
+    found = np.zeros(max(by_term, default=-1) + 1, np.int64)
+    found[list(by_term)] = list(by_term.values())
+    return Corpus(found, n, ids)
+
+
+def content_key(document: np.ndarray, corpus: Corpus, shards: int) -> bytes:
+    """Terms by which documents are ordered: the strongest of those that fill some shards, then the strongest of all, falling."""
+    terms, tf = np.unique(document, return_counts=True)
+    weight = corpus.idf(terms) * tf * (K1 + 1) / (tf + corpus.norm(len(document)))
+    found, shard = corpus.found[terms], corpus.n / shards
+    lead = [terms[np.where(found >= min(k * shard, corpus.n), weight, -1).argmax()] for k in SUBJECT_SHARDS]
+    key = np.zeros(len(SUBJECT_SHARDS) + KEY_TERMS, ">u4")
+    strongest = terms[np.argsort(-weight, kind="stable")[:KEY_TERMS]]
+    key[: len(lead)], key[len(lead) : len(lead) + len(strongest)] = lead, strongest
+    return key.tobytes()
+
+
+def keyed(tokens: DataFrame, corpus: Corpus, shards: int) -> DataFrame:
+    """(key, n): each row's content key, closed by its place, and its number of ids."""
+    shared = tokens.sparkSession.sparkContext.broadcast(corpus)
+
+    def work(batches):
+        for batch in batches:
+            documents = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("ids")]
+            keys = [content_key(d, shared.value, shards) + _place_bytes(p) for d, p in zip(documents, batch.column("place").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([len(d) for d in documents], pa.int64())], names=["key", "n"])
+
+    return tokens.select("place", "ids").mapInArrow(work, "key binary, n bigint")
+
+
+def _place_bytes(place: int) -> bytes:
+    return place.to_bytes(8, "big", signed=True)
+
+
+def bounds_of(keys: DataFrame, shards: int, most: int) -> list[bytes]:
+    """The least key of each shard but the first: the keys in order, cut where a shard would pass ``most`` ids.
+
+    Ranges of keys are cut one by one, as many as 16 shards make, so that no task holds the order of all.
+    """
+
+    def work(batches):
+        held = most
+        for batch in batches:
+            cuts = []
+            for key, n in zip(batch.column("key").to_pylist(), batch.column("n").to_pylist()):
+                if held + n > most:
+                    cuts.append(key)
+                    held = 0
+                held += n
+            yield pa.RecordBatch.from_arrays([pa.array(cuts, pa.binary())], names=["key"])
+
+    ranges = keys.repartitionByRange(-(-shards // 16), "key").sortWithinPartitions("key")
+    return sorted(ranges.mapInArrow(work, "key binary").toArrow().column("key").to_pylist())[1:]
+
+
+def dealt(tokens: DataFrame, corpus: Corpus, shards: int) -> DataFrame:
+    """The rows with their shard, by content."""
+    bounds = bounds_of(stored(keyed(tokens, corpus, shards)), shards, -(-corpus.ids // shards)) if shards > 1 else []
+    if not bounds:
+        return tokens.withColumn("shard", F.lit(0).cast("long"))
+    shared = tokens.sparkSession.sparkContext.broadcast((corpus, bounds))
+
+    def work(batches):
+        corpus, bounds = shared.value
+        for batch in batches:
+            documents = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("ids")]
+            shard = [bisect_right(bounds, content_key(d, corpus, shards) + _place_bytes(p)) for d, p in zip(documents, batch.column("place").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int64())], names=["doc_id", "place", "ids", "shard"])
+
+    kind = tokens.schema["doc_id"].dataType.simpleString()
+    return tokens.select("doc_id", "place", "ids").mapInArrow(work, f"doc_id {kind}, place bigint, ids binary, shard bigint")
+
+
 class Index:
-    """BM25 over the documents of one shard, terms being token ids."""
+    """BM25 over the documents of one shard, terms being token ids; statistics are the corpus's."""
 
-    def __init__(self, documents: list[np.ndarray]):
+    def __init__(self, documents: list[np.ndarray], corpus: Corpus):
         sizes = np.array([len(d) for d in documents])
         self.n = len(documents)
         doc = np.repeat(np.arange(self.n), sizes)
         terms, place = np.unique(np.concatenate(documents), return_inverse=True)
         pair, tf = np.unique(doc * np.int64(len(terms)) + place, return_counts=True)
-        self.doc, term = pair // len(terms), pair % len(terms)
-        found = np.bincount(term, minlength=len(terms))
-        idf = np.log1p((self.n - found + 0.5) / (found + 0.5))
-        norm = K1 * (1 - B + B * sizes / sizes.mean())
-        self.weight = idf[term] * tf * (K1 + 1) / (tf + norm[self.doc])
-        self.term = term
+        self.doc, self.term = pair // len(terms), pair % len(terms)
+        found = np.bincount(self.term, minlength=len(terms))
+        weight = corpus.idf(terms)[self.term] * tf * (K1 + 1) / (tf + corpus.norm(sizes)[self.doc])
         self.doc_rows = np.searchsorted(self.doc, np.arange(self.n + 1))
-        order = np.argsort(term, kind="stable")
-        self.posted_doc, self.posted_weight = self.doc[order], self.weight[order]
+        order = np.argsort(self.term, kind="stable")
+        self.posted_doc, self.posted_weight = self.doc[order], weight[order]
         self.term_rows = np.concatenate([[0], np.cumsum(found)])
+        # terms that many documents have are rows of a table, as their lists are long
+        frequent = np.flatnonzero(found * 8 > self.n)
+        self.table_row = np.full(len(terms), -1)
+        self.table_row[frequent] = np.arange(len(frequent))
+        self.table = np.zeros((len(frequent), self.n))
+        at = np.flatnonzero(self.table_row[self.term] >= 0)
+        self.table[self.table_row[self.term[at]], self.doc[at]] = weight[at]
 
     def scores(self, seed: int) -> np.ndarray:
-        """Every document's score for the seed's strongest terms."""
-        a, b = self.doc_rows[seed], self.doc_rows[seed + 1]
-        terms = self.term[a:b]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(self.weight[a:b], len(terms) - QUERY_TERMS)[-QUERY_TERMS:]]
-        at = np.concatenate([np.arange(self.term_rows[t], self.term_rows[t + 1]) for t in np.sort(terms)])
-        return np.bincount(self.posted_doc[at], self.posted_weight[at], minlength=self.n)
-
-
-def fill(documents: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, int, int, int, int]]:
+        """Every document's score for all terms of the seed."""
+        terms = self.term[self.doc_rows[seed] : self.doc_rows[seed + 1]]
+        row = self.table_row[terms]
+        asked = np.zeros(len(self.table))
+        asked[row[row >= 0]] = 1
+        found = asked @ self.table
+        rare = terms[row < 0]
+        if len(rare):
+            begin, size = self.term_rows[rare], self.term_rows[rare + 1] - self.term_rows[rare]
+            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+            found += np.bincount(self.posted_doc[at], self.posted_weight[at], minlength=self.n)
+        return found
+
+
+def fill(documents: list[np.ndarray], window: int = WINDOW, corpus: Corpus | None = None) -> list[tuple[int, int, int, int, int]]:
     """Pieces (document, start, length, sequence, offset): every id in exactly one piece, no gaps in a sequence.
 
-    All sequences are full but the last few, whose lengths are falling powers of two.
+    All sequences are full but the last few, whose lengths are falling powers of two. Without a corpus the documents are their own.
     """
     pieces: list[tuple[int, int, int, int, int]] = []
     sequence = 0
@@ -153,7 +281,7 @@ def fill(documents: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, i
             pieces.append((i, int(done[i]), window, sequence, 0))
             done[i] += window
             sequence += 1
-    index = Index(documents) if len(documents) > 1 else None
+    index = Index(documents, corpus or Corpus.of(documents)) if len(documents) > 1 else None
     left = int((sizes - done).sum())
     waiting = iter(range(len(documents)))
     current = None
@@ -201,15 +329,16 @@ def fill(documents: list[np.ndarray], window: int = WINDOW) -> list[tuple[int, i
 
 
 def pack(tokens: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset) of rows (doc_id, place, ids); ids: the piece's own, as uint32 in binary."""
+    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset) of rows (doc_id, place, ids), which are read three times; ids: the piece's own, as uint32 in binary."""
     kind = tokens.schema["doc_id"].dataType.simpleString()
-    dealt = tokens.withColumn("shard", F.pmod(F.col("place"), F.lit(shards)))
+    corpus = corpus_of(tokens)
+    shared = tokens.sparkSession.sparkContext.broadcast(corpus)
 
     def work(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by([("doc_id", "ascending"), ("place", "ascending")])
         ids, shard = group.column("ids"), group.column("shard")[0].as_py()
         documents = [np.frombuffer(x.as_buffer(), "<u4") for x in ids]
-        pieces = np.array(fill(documents, window), np.int64).reshape(-1, 5)
+        pieces = np.array(fill(documents, window, shared.value), np.int64).reshape(-1, 5)
         cells = [documents[i][a : a + n].tobytes() for i, a, n in pieces[:, :3].tolist()]
         sizes = np.array([len(d) for d in documents])
         return pa.table({
@@ -217,7 +346,7 @@ def pack(tokens: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
             "doc_tokens": sizes[pieces[:, 0]], "sequence_id": pieces[:, 3] + (shard << 32), "offset": pieces[:, 4],
         })
 
-    return dealt.groupBy("shard").applyInArrow(work, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return dealt(tokens, corpus, shards).groupBy("shard").applyInArrow(work, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def shards_for(df: DataFrame, text_column: str = "text", shard_bytes: int = SHARD_BYTES) -> int:
@@ -231,7 +360,7 @@ def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     modest_batches(docs.sparkSession)
-    return pack(tokenize(docs, public_tokenizers.path("byte_bpe_50k.json")), shards_for(docs))
+    return pack(stored(tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"))), shards_for(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
