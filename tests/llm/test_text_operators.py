@@ -57,6 +57,27 @@ def test_automaton_prefers_its_own_format():
     assert automata.infer([]).per_symbol("x") < 0
 
 
+def test_formats_score_what_base_spans_leave():
+    rng = random.Random(2)
+
+    def key(n):
+        return "".join(rng.choices("ABCDEFGHJKMNPQRSTVWXYZ23456789", k=n))
+
+    values = [key(rng.choice((12, 14, 40))) for _ in range(300)]
+    words = ["".join(rng.choices(["th", "er", "on", "an", "re"], k=8)) for _ in range(300)]
+    automaton = automata.infer(values)
+    least = secret_scan.least_chars({"assign": values})
+    formats = secret_scan.Formats({"assign": (automaton, sorted(map(automaton.per_symbol, values))[6] - 0.2)}, automata.infer(words), least)
+    hexes, rest, short = "0123456789abcdef", key(40), key(13)
+    text = f"see prefix-{hexes}-{rest} and {short} theronanrethon"
+    found = secret_scan.find_spans(text, formats)
+    assert least == 12 and [k for k, _, _ in found if k != "format"] == ["hex"]
+    clean = secret_scan.redacted(text, found)
+    assert rest not in clean and short not in clean and "theronanrethon" in clean
+    covered = f"token={rest}"
+    assert [k for k, _, _ in secret_scan.find_spans(covered, formats)] == ["assign"]
+
+
 def test_scan_and_redact(spark, docs, empty):
     formats = secret_scan.learn_formats(docs)
     assert {r["doc_id"]: len(r["spans"]) for r in secret_scan.scan(docs, formats).collect()}[9] == 2

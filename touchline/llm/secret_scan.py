@@ -3,9 +3,11 @@
 The patterns give the base spans. The credentials that they find in the corpus
 are labelled examples: from a bounded, deterministic sample of them one
 probabilistic automaton per kind is inferred (``automata``), and one from
-ordinary words. Every run of credential characters that no base span touches
-is then scored by its likelihood under each format against that of ordinary
-text, and becomes a ``format`` span where a format clearly wins.
+ordinary words. Every run of credential characters that base spans do not cover
+is then scored whole by its likelihood under each format against that of
+ordinary text, and becomes a ``format`` span where a format clearly wins; where
+base spans cover a part of it and the whole is no format, what they leave is
+scored piece by piece. The shortest learnt example sets how short a run may be.
 
 The sample (``SAMPLE_PER_LABEL`` strings a label of at most ``SAMPLE_CHARS``
 characters, the least by hash) bounds the fit alone; all texts are scanned
@@ -35,8 +37,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 ASSIGN_CHARS, ACCESS_CHARS, HEX_CHARS = 12, 18, 16
-#: What the automata score: long runs of the characters that credentials are made of.
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+#: What the automata score: long runs of the characters that credentials are made of, no shorter than any base kind takes.
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: Runs of so many characters are scored whatever the learnt examples' lengths.
+CANDIDATE_CHARS = 16
 ORDINARY = re.compile(r"[A-Za-z0-9+/_=-]{6,128}")
 KINDS = ("assign", "access", "hex", "format")
 
@@ -48,10 +52,11 @@ MARGIN, WORST_SHARE = 0.35, 0.02
 
 @dataclass
 class Formats:
-    """Automata by label, the least likelihood a character that each takes as its own, and that of ordinary words."""
+    """Automata by label, the least likelihood a character that each takes as its own, that of ordinary words, and the least length to score."""
 
     automata: dict[str, tuple[Automaton, float]]
     ordinary: Automaton
+    least: int = CANDIDATE_CHARS
 
     def score(self, text: str) -> float:
         """Nats a character by which the best fitting format beats ordinary text; -inf where none fits."""
@@ -80,6 +85,8 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, i
     candidates = []
     for c in CANDIDATE.finditer(text):  # a run of 16 hexadecimal digits lies in a candidate
         candidates.append(c.span())
+        if c.end() - c.start() < HEX_CHARS:
+            continue
         for m in HEX.finditer(text, c.start(), c.end()):
             if m.end() - m.start() >= HEX_CHARS:
                 found.append(("hex", m.start(), m.end()))
@@ -87,6 +94,10 @@ def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, i
     return found, candidates, labelled
 
 
+def _is_format(text: str, start: int, end: int, formats: Formats) -> bool:
+    return end - start >= formats.least and formats.score(text[start:end]) >= MARGIN
+
+
 def find_spans(text: str, formats: Formats | None) -> list[tuple[str, int, int]]:
     """All spans by start, then kind as in KINDS; base spans always stay."""
     found, candidates, _ = base_spans(text)
@@ -96,13 +107,30 @@ def find_spans(text: str, formats: Formats | None) -> list[tuple[str, int, int]]
         for start, end in candidates:
             while at < len(taken) and taken[at][1] <= start:
                 at += 1
-            if at < len(taken) and taken[at][0] < end:
-                continue
-            if formats.score(text[start:end]) >= MARGIN:
+            pieces, free = [], start
+            for s, e in taken[at:]:
+                if s >= end:
+                    break
+                if s > free:
+                    pieces.append((free, s))
+                free = max(free, e)
+            if free < end:
+                pieces.append((free, end))
+            if pieces and _is_format(text, start, end, formats):
                 found.append(("format", start, end))
+            elif pieces and pieces != [(start, end)]:
+                for s, e in pieces:
+                    s, e = s + len(text[s:e]) - len(text[s:e].lstrip("-_")), e - len(text[s:e]) + len(text[s:e].rstrip("-_"))
+                    if _is_format(text, s, e, formats):
+                        found.append(("format", s, e))
     return sorted(found, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
+def least_chars(examples: dict[str, list[str]]) -> int:
+    """The length of the shortest example, at most CANDIDATE_CHARS."""
+    return min([CANDIDATE_CHARS, *(len(v) for values in examples.values() for v in values)])
+
+
 def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
 
@@ -139,7 +167,7 @@ def learn_formats(df: DataFrame, text_column: str = "text", per_label: int = SAM
             automaton = infer(values)
             ranked = sorted(automaton.per_symbol(v) for v in values)
             automata[label] = (automaton, ranked[int(WORST_SHARE * len(ranked))])
-    return Formats(automata, ordinary) if automata else None
+    return Formats(automata, ordinary, least_chars(picked)) if automata else None
 
 
 def scan(df: DataFrame, formats: Formats | None, keep: tuple[str, ...] = ("doc_id",), text_column: str = "text") -> DataFrame:
