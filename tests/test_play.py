@@ -96,6 +96,22 @@ def test_control_leans_to_the_nearer_team(spark):
     assert len(value) == 34 * 52 and value[17, 19] > 0.9 and value[17, 32] < 0.1 and 0.35 < value[17, 26] < 0.65
 
 
+def test_voronoi_areas_of_every_frame(spark):
+    rows = queries.QUERIES["voronoi_areas"](spark, FOLDER)
+    seen = possession.players_only(lens.tracking(spark, FOLDER)).select("match_id", "frame").distinct()
+    assert rows.count() == seen.count() and rows.where("frame % 25 <> 0").count() > 0
+
+
+def test_clipped_area_matches_a_grid():
+    points = np.random.default_rng(3).uniform((0, 0), (105, 68), (22, 2))
+    points[21] = points[20]
+    areas = [control.clipped_area(points, i, 105.0, 68.0) for i in range(22)]
+    x, y = np.meshgrid((np.arange(1050) + 0.5) / 10, (np.arange(680) + 0.5) / 10)
+    nearest = ((x[..., None] - points[:21, 0]) ** 2 + (y[..., None] - points[:21, 1]) ** 2).argmin(-1)
+    assert np.abs(np.bincount(nearest.ravel(), minlength=21) / 100 - areas[:21]).max() < 2
+    assert abs(sum(areas[:21]) - 105 * 68) < 1e-6 and areas[20] == areas[21]
+
+
 def test_voronoi_square(spark):
     rows = [(0, 0, t, x, y) for t, x, y in (("home", 26.25, 17.0), ("home", 26.25, 51.0), ("away", 78.75, 17.0), ("away", 78.75, 51.0))]
     found = control.voronoi_areas(spark.createDataFrame(rows, "match_id int, frame int, team string, x double, y double")).head()

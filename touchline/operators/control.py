@@ -57,26 +57,33 @@ def mean_control(cells: DataFrame) -> DataFrame:
 
 
 def clipped_area(points: np.ndarray, own: int, length: float, width: float) -> float:
-    """Area of the pitch nearer to one point than to the others: the rectangle cut by a half-plane for each of them."""
-    shape = np.array([[0, 0], [length, 0], [length, width], [0, width]], float)
-    for j, other in enumerate(points):
-        if j == own or not len(shape):
-            continue
-        normal = other - points[own]
-        if not normal.any():
+    """Area of the pitch nearer to one point than to the others: the rectangle cut by a half-plane for each of them.
+
+    The nearest come first; one whose half-plane lies beyond all corners ends the cuts.
+    """
+    px, py = points[own].tolist()
+    others = sorted(((ox - px) ** 2 + (oy - py) ** 2, ox - px, oy - py) for ox, oy in points.tolist())
+    shape = [(-px, -py), (length - px, -py), (length - px, width - py), (-px, width - py)]
+    for square, nx, ny in others:
+        if square == 0:  # the point itself or one in the same place
             continue
-        side = (shape - (other + points[own]) / 2) @ normal
+        if not shape or square > 4 * max(x * x + y * y for x, y in shape):
+            break
         kept = []
-        for a, b, sa, sb in zip(shape, np.roll(shape, -1, 0), side, np.roll(side, -1)):
-            if sa <= 0:
-                kept.append(a)
+        ax, ay = shape[-1]
+        sa = ax * nx + ay * ny - square / 2
+        for bx, by in shape:
+            sb = bx * nx + by * ny - square / 2
             if (sa < 0 < sb) or (sb < 0 < sa):
-                kept.append(a + (b - a) * sa / (sa - sb))
-        shape = np.array(kept)
+                t = sa / (sa - sb)
+                kept.append((ax + (bx - ax) * t, ay + (by - ay) * t))
+            if sb <= 0:
+                kept.append((bx, by))
+            ax, ay, sa = bx, by, sb
+        shape = kept
     if len(shape) < 3:
         return 0.0
-    x, y = shape.T
-    return float(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2)
+    return abs(sum(ax * by - bx * ay for (ax, ay), (bx, by) in zip(shape, shape[1:] + shape[:1]))) / 2
 
 
 def voronoi_areas(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

@@ -238,7 +238,7 @@ def pitch_control_mean(spark, sf_dir):
 
 @query
 def voronoi_areas(spark, sf_dir):
-    return control.voronoi_areas(possession.players_only(lens.tracking(spark, sf_dir)).where("frame % 25 = 0").select("match_id", "frame", "team", "x", "y"))
+    return control.voronoi_areas(possession.players_only(lens.tracking(spark, sf_dir)).select("match_id", "frame", "team", "x", "y"))
 
 
 @query
