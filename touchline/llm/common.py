@@ -18,6 +18,9 @@ SPACE_BYTES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: Bytes of text that one step inside a task handles at a time.
 CHUNK_BYTES = 4 << 20
 
+#: Bytes of an Arrow batch, about, and Spark's setting for them.
+BATCH_BYTES, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
 _IS_SPACE = np.zeros(256, dtype=bool)
 _IS_SPACE[list(SPACE_BYTES)] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -29,10 +32,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Fewer rows in each Arrow batch, for tables whose rows are whole texts: bounds what a Python worker holds."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def modest_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Bounds each Arrow batch of this session by bytes, and so what a Python worker holds however long the rows are (a longer row stands alone)."""
+    if (spark.conf.get(BATCH_SETTING, None) or "").isdigit() and 0 < int(spark.conf.get(BATCH_SETTING)) <= most:
+        return
+    spark.conf.set(BATCH_SETTING, str(most))
 
 
 def text_or_empty(column: str | Column) -> Column:
