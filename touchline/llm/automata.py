@@ -5,6 +5,13 @@ two of them are statistically compatible: their ending and branching
 frequencies differ by no more than Hoeffding bounds allow, and so do those of
 their successors. What is left is a small automaton that gives a probability
 to every string. All of this is for bounded samples and runs where it is called.
+
+Where a format's characters are random, a tree over their classes thins out
+before any two states can be told apart, and all would merge into one.
+``Format`` therefore reads a string twice: the automaton sees its structure
+(a fixed beginning letter by letter, separators at fixed places, and one symbol
+for all random characters), so that lengths and places are learnt, and a
+distribution over character classes prices the random characters.
 """
 
 from __future__ import annotations
@@ -15,6 +22,8 @@ from collections import deque
 #: Symbols: classes of characters, each with its members.
 CLASSES = {"d": "0123456789", "h": "abcdef", "l": "ghijklmnopqrstuvwxyz", "H": "ABCDEF", "U": "GHIJKLMNOPQRSTUVWXYZ", "b": "+/", "e": "=", "m": "-", "u": "_", "p": "."}
 OTHER = "o"
+#: Character sets that formats are told apart by, as classes.
+CHARSETS = {"digits": "d", "hex": "dh", "upper hex": "dH", "lower": "dhl", "upper": "dHU", "letters and digits": "dhlHU", "base64": "dhlHUbe"}
 SYMBOLS = "".join(CLASSES) + OTHER
 _TO_CLASS = {ord(c): k for k, members in CLASSES.items() for c in members}
 
@@ -35,13 +44,13 @@ def symbols(text: str) -> str:
 class Automaton:
     """States 0..n-1, 0 the start; ``step[q]`` maps a symbol to (next state, log probability), ``end[q]`` is the log probability of ending there."""
 
-    def __init__(self, step: list[dict[str, tuple[int, float]]], end: list[float], unseen: list[float]):
-        self.step, self.end, self.unseen = step, end, unseen
+    def __init__(self, step: list[dict[str, tuple[int, float]]], end: list[float], unseen: list[float], read=symbols):
+        self.step, self.end, self.unseen, self.read = step, end, unseen, read
 
     def log_likelihood(self, text: str) -> float:
         """Natural log probability of the string's class sequence; an unseen move keeps the state at a smoothed price."""
         state, total = 0, 0.0
-        for symbol in symbols(text):
+        for symbol in self.read(text):
             move = self.step[state].get(symbol)
             if move is None:
                 total += self.unseen[state]
@@ -54,11 +63,12 @@ class Automaton:
         return self.log_likelihood(text) / (len(text) + 1)
 
 
-def infer(samples: list[str], alpha: float = 0.05, fewest: int = 8, smoothing: float = 0.1) -> Automaton:
+def infer(samples: list[str], alpha: float = 0.05, fewest: int = 8, smoothing: float = 0.1, read=symbols) -> Automaton:
     """The automaton that state merging finds for these strings.
 
     ``alpha``: confidence of the Hoeffding tests; states that fewer than
-    ``fewest`` samples pass have no test of their own. Deterministic for a
+    ``fewest`` samples pass have no test of their own. ``read`` turns a string
+    into its symbols. Deterministic for a
     sorted sample. No sample: one state that gives every symbol the same chance.
     """
     moves: list[dict[str, int]] = [{}]
@@ -67,7 +77,7 @@ def infer(samples: list[str], alpha: float = 0.05, fewest: int = 8, smoothing: f
     for text in sorted(samples):
         q = 0
         passed[0] += 1
-        for s in symbols(text):
+        for s in read(text):
             if s not in moves[q]:
                 moves[q][s] = len(moves)
                 moves.append({})
@@ -136,4 +146,92 @@ def infer(samples: list[str], alpha: float = 0.05, fewest: int = 8, smoothing: f
         step.append({s: (number[t], math.log((count[q][s] + smoothing) / total)) for s, t in moves[q].items() if t in number})
         end.append(math.log((ended[q] + smoothing) / total))
         unseen.append(math.log(smoothing / total))
-    return Automaton(step, end, unseen)
+    return Automaton(step, end, unseen, read)
+
+
+def class_sizes() -> dict[str, int]:
+    return {k: len(v) for k, v in CLASSES.items()} | {OTHER: 30}
+
+
+class Prices:
+    """Log probability of characters from the classes that samples hold, characters of a class being equally likely."""
+
+    def __init__(self, samples: list[str], smoothing: float = 0.5):
+        seen: dict[str, int] = {}
+        for text in samples:
+            for c in symbols(text):
+                seen[c] = seen.get(c, 0) + 1
+        total = sum(seen.values()) + smoothing * len(SYMBOLS)
+        self.of = {c: math.log((seen.get(c, 0) + smoothing) / total / n) for c, n in class_sizes().items()}
+
+    def log_likelihood(self, text: str) -> float:
+        return sum(map(self.of.__getitem__, symbols(text)))
+
+
+SEPARATORS = "-_.=:/+"
+#: A separator is structure if so many of the examples have it where most of them have it.
+STEADY = 0.9
+
+
+class Format:
+    """One format of credentials: a fixed beginning, an automaton over the structure, and prices of the random characters.
+
+    A quarter of the examples is held out; a string is of the format if its
+    likelihood a character is at most ``slack`` nats below the least of theirs.
+    Formats with fewer than eight examples hold none out.
+    """
+
+    def __init__(self, samples: list[str], slack: float = 0.3):
+        samples = sorted(samples)
+        held = samples[3::4] if len(samples) >= 8 else samples
+        fitted = [s for i, s in enumerate(samples) if i % 4 != 3] if len(samples) >= 8 else samples
+        low, high = samples[0], samples[-1]
+        self.head = low[: next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), 0)] if len(samples) > 1 else ""
+        places: dict[tuple[str, int], int] = {}
+        for text in fitted:
+            for i, c in enumerate(text):
+                if c in SEPARATORS:
+                    places[c, i] = places.get((c, i), 0) + 1
+        self.steady = {c for c in SEPARATORS if (n := [v for (x, _), v in places.items() if x == c]) and min(n) >= STEADY * len(fitted)}
+        self.prices = Prices([self.body(s) for s in fitted])
+        self.automaton = infer(fitted, read=self.structure)
+        self.floor = min(self.per_symbol(s) for s in held) - slack
+
+    def structure(self, text: str) -> str:
+        """The beginning as it is, steady separators as they are, x for the rest."""
+        n = len(self.head)
+        return text[:n] + "".join(c if c in self.steady else "x" for c in text[n:])
+
+    def body(self, text: str) -> str:
+        return "".join(c for c in text[len(self.head) :] if c not in self.steady)
+
+    def per_symbol(self, text: str) -> float:
+        """Natural log probability a character: of the structure, and of the random characters in it."""
+        return (self.automaton.log_likelihood(text) + self.prices.log_likelihood(self.body(text))) / (len(text) + 1)
+
+
+class Ordinary:
+    """Likelihood of ordinary words, character by character: an automaton over classes, with the characters of a class equally likely."""
+
+    def __init__(self, samples: list[str]):
+        self.automaton = infer(samples)
+        self.share = {c: math.log(n) for c, n in class_sizes().items()}
+
+    def per_symbol(self, text: str) -> float:
+        return (self.automaton.log_likelihood(text) - sum(map(self.share.__getitem__, symbols(text)))) / (len(text) + 1)
+
+
+def grouped(samples: list[str], least: int = 8, share: float = 0.02, head: int = 4) -> dict[str, list[str]]:
+    """The samples by format: those that share their first characters with many others, the rest by the characters that they hold."""
+    heads: dict[str, int] = {}
+    for s in samples:
+        heads[s[:head]] = heads.get(s[:head], 0) + 1
+    out: dict[str, list[str]] = {}
+    for s in samples:
+        if heads[s[:head]] >= max(least, share * len(samples)):
+            key = f"head {s[:head]}"
+        else:
+            held = set(symbols(s))
+            key = next((name for name, kinds in CHARSETS.items() if held <= set(kinds)), "any")
+        out.setdefault(key, []).append(s)
+    return out
