@@ -5,15 +5,24 @@ those of the lines before and after it. Forward-backward gives each line's
 marginal of being good, and their mean, weighted by the lines' lengths and put
 on a probability scale by a logistic fit, is the document's quality.
 
+Labels are of documents, so those of lines are latent. The fit alternates:
+it maximises the likelihood of line labels, and labels the lines anew by their
+marginals, while most (``KEEPS_LABEL``) of a document's characters keep its label.
+The first round knows no transitions, so that lines are told apart by what they
+are; later rounds learn from chains in which labels change.
+
 The fit uses a bounded sample: ``SAMPLE_PER_CLASS`` labelled documents of each
-class, the least by hash of their ids, of at most ``SAMPLE_CHARS`` characters;
-a document's label stands for its lines. Their features are computed where the
-texts are, and only features reach the driver. All documents are scored whole,
-row by row, without a shuffle.
+class, the least by hash of their ids among those that the table has, of each
+the first ``SAMPLE_LINES`` lines. Their features are computed where the texts
+are, and only features reach the driver. All documents are scored whole, row by
+row, without a shuffle.
 
 Nulls: a null text is the empty text. A text without words counts as one line
-whose features are all zero. Null labels aren't learnt from. With labels of
-fewer than two classes every score is 0.5. Other columns are left alone.
+whose features are all zero. Null labels aren't learnt from; of labels that
+contradict each other the higher counts. With labels of fewer than two classes,
+and so with an empty table, every score is 0.5. Repeated rows have equal scores,
+and ids of equal hash come by id. Texts of very many or very long lines are
+scored whole. Other columns are left alone, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,8 +36,10 @@ from pyspark.sql import functions as F
 
 from .common import chunks, in_group, modest_batches, string_buffers, table, text_or_empty
 
-SAMPLE_PER_CLASS, SAMPLE_CHARS = 1200, 20_000
-STEPS, RATE, RIDGE = 120, 0.15, 1e-3
+SAMPLE_PER_CLASS, SAMPLE_LINES = 1200, 400
+#: Rounds of labelling lines, steps of each fit, and the share of a document's characters that keeps its label.
+ROUNDS, STEPS, RATE, RIDGE = 3, 120, 0.15, 1e-3
+KEEPS_LABEL = 0.75
 BLOCK_BYTES = 1 << 20
 
 FEATURES = ("has_word", "log_chars", "log_words", "word_chars", "symbols", "bars", "upper", "digits", "exclaims", "closed", "opened", "short_words", "long_words", "commas", "copied", "distinct", "wide_bytes")
@@ -179,21 +190,41 @@ class Model:
         return 1 / (1 + np.exp(-(self.slope * self.raw(found, chars, rows) + self.intercept)))
 
 
+def line_labels(good: np.ndarray, chars: np.ndarray, rows: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Labels of lines by their marginals; in each document the lines likeliest to have its label have it until they hold ``KEEPS_LABEL`` of its characters."""
+    doc = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
+    own = label[doc] == 1
+    agree = np.where(own, good, 1 - good)
+    order = np.lexsort((-agree, doc))
+    before = np.concatenate([[0], np.cumsum(chars[order])])
+    held = before[:-1] - before[rows[:-1]][doc]
+    total = before[rows[1:]] - before[rows[:-1]]
+    keeps = np.empty(len(doc), bool)
+    keeps[order] = (agree[order] >= 0.5) | (held < KEEPS_LABEL * total[doc])
+    return np.where(keeps, own, ~own).astype(np.float64)
+
+
 def fit(found: np.ndarray, chars: np.ndarray, rows: np.ndarray, label: np.ndarray) -> Model:
-    """Maximum conditional likelihood with a ridge, by Adam over all documents at once; each document weighs by its lines, each class the same."""
+    """Maximum conditional likelihood of latent line labels with a ridge, by Adam over all documents at once."""
     x = with_neighbours(found, rows).astype(np.float64)
-    sizes = np.diff(rows)
-    y = np.repeat(label, sizes).astype(np.float64)
-    seen = np.array([[(np.where(label == 0, sizes - 1, 0)).sum(), 0], [0, np.where(label == 1, sizes - 1, 0).sum()]], np.float64)
-    w, steps = np.zeros(x.shape[1]), np.zeros((2, 2))
-    theta = np.concatenate([w, steps.ravel()])
-    first, second = np.zeros_like(theta), np.zeros_like(theta)
-    for k in range(1, STEPS + 1):
-        w, steps = theta[:-4], theta[-4:].reshape(2, 2)
-        good, expected, _ = marginals(x @ w, rows, steps)
-        slope = np.concatenate([x.T @ (y - good), (seen - expected).ravel()]) / len(x) - RIDGE * theta
-        first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
-        theta = theta + RATE * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
+    y = np.repeat(label, np.diff(rows)).astype(np.float64)
+    inner = np.ones(len(y), bool)
+    inner[rows[1:] - 1] = False
+    pair = np.flatnonzero(inner)
+    theta = np.zeros(x.shape[1] + 4)
+    for turn in range(ROUNDS):
+        seen = np.zeros((2, 2))
+        np.add.at(seen, (y[pair].astype(int), y[pair + 1].astype(int)), 1)
+        first, second = np.zeros_like(theta), np.zeros_like(theta)
+        for k in range(1, STEPS + 1):
+            w, steps = theta[:-4], theta[-4:].reshape(2, 2)
+            good, expected, _ = marginals(x @ w, rows, steps)
+            along = (seen - expected).ravel() if turn else np.zeros(4)
+            slope = np.concatenate([x.T @ (y - good), along]) / len(x) - RIDGE * theta
+            first, second = 0.9 * first + 0.1 * slope, 0.99 * second + 0.01 * slope**2
+            theta = theta + RATE * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.99**k)) + 1e-8)
+        good, _, _ = marginals(x @ theta[:-4], rows, theta[-4:].reshape(2, 2))
+        y = line_labels(good, chars, rows, label)
     model = Model(theta[:-4].copy(), theta[-4:].reshape(2, 2).copy(), 1.0, 0.0)
     raw = model.raw(found, chars, rows)
     a, b = 1.0, 0.0
@@ -213,20 +244,23 @@ def fit(found: np.ndarray, chars: np.ndarray, rows: np.ndarray, label: np.ndarra
 def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "quality") -> Model | None:
     """The model of a bounded sample of ``labels`` whose ids are in ``docs``; None unless both classes occur."""
     known = labels.where(F.col(label_column).isin(0, 1) & F.col(id_column).isNotNull()).groupBy(F.col(id_column).alias("id")).agg(F.max(label_column).cast("int").alias("label"))
-    texts = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
+    there = known.join(docs.select(F.col(id_column).alias("id")), "id", "left_semi")
+    texts = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text"))
+    schema = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("found", pa.binary()), ("chars", pa.binary())])
 
     def work(batches):
         for batch in batches:
-            found, chars, rows = line_features(batch.column("text"))
-            for i in range(batch.num_rows):
-                a, b = rows[i], rows[i + 1]
-                yield pa.RecordBatch.from_pylist([{"id": batch.column("id")[i].as_py(), "label": batch.column("label")[i].as_py(), "found": found[a:b].tobytes(), "chars": chars[a:b].tobytes()}], schema=pa.schema([("id", pa.int64()), ("label", pa.int32()), ("found", pa.binary()), ("chars", pa.binary())]))
+            for start, end in chunks(batch.column("text"), BLOCK_BYTES):
+                part = batch.slice(start, end - start)
+                found, chars, rows = line_features(part.column("text"))
+                ends = np.minimum(rows[1:], rows[:-1] + SAMPLE_LINES)
+                cells = [(found[a:b].tobytes(), chars[a:b].tobytes()) for a, b in zip(rows[:-1].tolist(), ends.tolist())]
+                yield pa.RecordBatch.from_arrays([part.column("id").cast(pa.int64()), part.column("label"), pa.array([x for x, _ in cells], pa.binary()), pa.array([y for _, y in cells], pa.binary())], schema=schema)
 
     parts = []
     for value in (0, 1):
-        picked = known.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_CLASS)
-        sample = texts.join(F.broadcast(picked), "id").select(F.col("id").cast("bigint").alias("id"), "label", "text")
-        parts.append(sample.mapInArrow(work, "id bigint, label int, found binary, chars binary"))
+        picked = there.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_CLASS)
+        parts.append(texts.join(F.broadcast(picked), "id").select("id", "label", "text").mapInArrow(work, "id bigint, label int, found binary, chars binary"))
     rows = sorted(parts[0].unionByName(parts[1]).collect(), key=lambda r: (r["id"], r["found"]))
     label = np.array([r["label"] for r in rows], np.float64)
     if len(set(label.tolist())) < 2:
