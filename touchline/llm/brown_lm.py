@@ -1,20 +1,30 @@
 """Language-model scoring with Brown's class-based bigrams.
 
 Words are lower-cased runs without white space, and each text closes with one
-end token. Counting is a Spark aggregation over all training texts. Exchange
-clustering then assigns every word to a class: the ``TOP_WORDS`` most frequent
-ones and the end token one by one, all others by groups of equal last
-characters, so that the clustering sees bigram counts of a fixed number of
-units whatever the vocabulary. A token's probability is that of its class after
-the class before it, times that of the word in its class, both smoothed.
-
-The ``BROADCAST_WORDS`` most frequent words carry their counts to every task, a
-table of fixed bounds; all rarer tokens go through one shuffle by word to meet
-their counts, summed per document and word beforehand. No word is cut off.
+end token. All words of the training texts get a class:
+
+1. Counting is a Spark aggregation. The ``TOP_WORDS`` most frequent words and
+   the end token are exchanged between classes one by one, on the counts of
+   their pairs, until the likelihood of the class bigrams stops rising.
+2. Every other word gets the class that most raises the likelihood of the
+   word's own neighbours (``assigned``): all its occurrences are gathered with
+   the classes of the tokens before and after, one row a word and block.
+
+A text then becomes the sequence of its tokens' classes (``outline``). The
+``BROADCAST_WORDS`` most frequent words carry counts and classes to every task,
+a table of fixed bounds; the distinct rarer words of each text go through one
+shuffle by word to meet theirs, and come back to the text. Transitions are
+counted over all training sequences. A token's probability is that of its
+class after the class before it, times that of the word in its class, both
+smoothed. No word is cut off.
 
 Nulls: a null text is the empty text, that is one end token. An id may be null
-or repeated: each row is scored by itself. Without training rows all counts
-are zero and scores come from smoothing alone.
+or repeated: each row is scored by itself, equal texts alike. Words that
+training never saw go to the class with most words and have the share that each
+class keeps for them. Words of equal count are ordered by their bytes, classes
+of equal gain by number. Without training rows all counts are zero and scores
+come from smoothing alone. Very long texts and words are counted whole. Other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -29,44 +39,17 @@ from pyspark.sql import functions as F
 
 from .common import chunks, in_group, modest_batches, split_words, stored, string_buffers, table, text_or_empty
 
-#: Words that the exchange moves one by one, groups of rarer words, and classes.
-TOP_WORDS, ENDING_GROUPS, CLASSES = 800, 100, 48
+#: Words that the exchange moves one by one, and classes.
+TOP_WORDS, CLASSES = 2000, 48
 EXCHANGE_ROUNDS = 6
-#: Words whose counts every task gets.
+#: Words whose counts and classes every task gets.
 BROADCAST_WORDS = 200_000
 SMOOTHING = 0.5
 BLOCK_BYTES = 4 << 20
-
-
-def _ending_groups(words: pa.Array) -> np.ndarray:
-    """Group of each word by its last three bytes."""
-    data, rows = string_buffers(words)
-    key = np.zeros(len(rows) - 1, np.uint32)
-    for back in (1, 2, 3):
-        at = rows[1:] - back
-        inside = at >= rows[:-1]
-        key = key * np.uint32(257) + np.where(inside, data[np.maximum(at, 0)].astype(np.uint32) + 1, 0).astype(np.uint32)
-    return ((key * np.uint32(2654435761)) >> np.uint32(8)).astype(np.int64) % ENDING_GROUPS
-
-
-@dataclass
-class Lexicon:
-    """Words with counts of their own, most frequent first, namely all that occur ``least`` times; the first TOP_WORDS are units of the exchange."""
-
-    words: pa.Array
-    counts: np.ndarray
-    least: int
-
-    def units(self, found: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(place among the words or -1, unit) of distinct words. Units: top words, then groups by ending; the end token is the last unit."""
-        place = np.asarray(pc.fill_null(pc.index_in(found, self.words), -1)).astype(np.int64)
-        top = min(TOP_WORDS, len(self.words))
-        unit = np.where((place >= 0) & (place < top), place, TOP_WORDS + _ending_groups(found))
-        return place, unit
-
-
-END_UNIT = TOP_WORDS + ENDING_GROUPS
-UNITS = END_UNIT + 1
+#: The unit of the end token, units in all, and what stands for a class that isn't known.
+END_UNIT = TOP_WORDS
+UNITS = TOP_WORDS + 1
+UNKNOWN = 255
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -83,38 +66,54 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(work, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def _sequences(texts: pa.Array, lexicon: Lexicon):
-    """Coded words, their offsets by text, places and units of the distinct words."""
+@dataclass
+class Lexicon:
+    """Words with their counts, most frequent first: all that occur ``least`` times."""
+
+    words: pa.Array
+    counts: np.ndarray
+    least: int
+
+    def places(self, found: pa.Array) -> np.ndarray:
+        """The place of each distinct word among these, or -1."""
+        return np.asarray(pc.fill_null(pc.index_in(found, self.words), -1)).astype(np.int64)
+
+
+def most_frequent(counts: DataFrame, most: int) -> Lexicon:
+    """The words above the least count that no more than ``most`` words reach."""
+    least = most_frequent_count(counts, most)
+    found = counts.where(F.col("n") >= least).select("word", "n").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    return Lexicon(found.column("word").combine_chunks().cast(pa.large_binary()), found.column("n").to_numpy().astype(np.int64), least)
+
+
+def _tokens(texts: pa.Array, lexicon: Lexicon) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words, their places in the lexicon, and of all tokens with the end tokens: the distinct word (-1: the end) and the offsets by text."""
     words, rows = split_words(texts, lower=True)
     coded = words.dictionary_encode()
-    place, unit = lexicon.units(coded.dictionary)
-    return coded, rows, place, unit
+    token = np.insert(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), rows[1:], -1)
+    return coded.dictionary, lexicon.places(coded.dictionary), token, rows + np.arange(len(rows))
 
 
-def _steps(codes: np.ndarray, rows: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, unit, unit before) of every token with the end tokens; a text begins after an end token."""
-    n = len(rows) - 1
-    token = np.insert(unit[codes], rows[1:], END_UNIT)
-    doc = np.repeat(np.arange(n), np.diff(rows) + 1)
-    before = np.empty_like(token)
-    before[1:] = token[:-1]
-    if len(before):
-        before[0] = END_UNIT
-    return doc, token, before
+def _before(values: np.ndarray, end) -> np.ndarray:
+    """What stands before each token; a text begins after an end token."""
+    out = np.empty_like(values)
+    out[1:] = values[:-1]
+    out[:1] = end
+    return out
 
 
-def unit_bigrams(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """(pair, n): counts of unit pairs over the texts of rows (text), pair = before * UNITS + unit; a table of fixed bounds."""
+def unit_bigrams(docs: DataFrame, top: Lexicon) -> DataFrame:
+    """(pair, n): counts of pairs of units over the texts of rows (text), pair = before * UNITS + unit; a table of fixed bounds. Pairs with other words aren't units' pairs."""
 
     def work(batches):
-        held = np.zeros(UNITS * UNITS, np.int64)
+        held = np.zeros(UNITS * UNITS, np.int32)
         for batch in batches:
             texts = batch.column(0)
             for start, end in chunks(texts, BLOCK_BYTES):
-                coded, rows, _, unit = _sequences(texts.slice(start, end - start), lexicon)
-                _, token, before = _steps(coded.indices.to_numpy(zero_copy_only=False), rows, unit)
-                pairs, counts = np.unique(before * UNITS + token, return_counts=True)
-                held[pairs] += counts
+                _, place, token, _ = _tokens(texts.slice(start, end - start), top)
+                unit = np.append(place, END_UNIT)[token]
+                before = _before(unit, END_UNIT)
+                held += np.bincount((before * UNITS + unit)[(unit >= 0) & (before >= 0)], minlength=UNITS * UNITS).astype(np.int32)
         pairs = np.flatnonzero(held)
         for start in range(0, len(pairs), 100_000):
             part = pairs[start : start + 100_000]
@@ -179,136 +178,277 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = EXCHANGE
     return of
 
 
+def contexts(docs: DataFrame, top: Lexicon, class_of: np.ndarray) -> DataFrame:
+    """(word, around) of all words but the top ones: around holds, for each occurrence in a block, the class of the token before and of that after (UNKNOWN for other words)."""
+    shared = docs.sparkSession.sparkContext.broadcast((top, class_of.astype(np.uint8)))
+
+    def work(batches):
+        top, class_of = shared.value
+        end_class = class_of[END_UNIT]
+        for batch in batches:
+            texts = batch.column(0)
+            for start, end in chunks(texts, BLOCK_BYTES):
+                words, place, token, _ = _tokens(texts.slice(start, end - start), top)
+                kind = np.append(np.where(place >= 0, class_of[np.maximum(place, 0)], UNKNOWN), end_class).astype(np.uint8)[token]
+                at = np.flatnonzero(np.append(place, 0)[token] < 0)
+                at = at[np.argsort(token[at], kind="stable")]
+                around = np.stack([_before(kind, end_class)[at], kind[at + 1]], axis=1)
+                which, first = np.unique(token[at], return_index=True)
+                cells = pa.Array.from_buffers(pa.large_binary(), len(which), [None, pa.py_buffer(2 * np.append(first, len(at)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(around))])
+                yield pa.RecordBatch.from_arrays([words.take(pa.array(which)).cast(pa.binary()), cells.cast(pa.binary())], names=["word", "around"])
+
+    return docs.select("text").mapInArrow(work, "word binary, around binary")
+
+
+def gains(by_class: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What a token before of class c, and one after of class c, adds to the log likelihood of a word in class k ([c, k] each), and a class's weight where neither is known."""
+    n, s = by_class.sum(), SMOOTHING
+    size = (by_class.sum(axis=0) + by_class.sum(axis=1)) / 2 + s * CLASSES
+    after_c = np.log((by_class + s) / size[None, :])
+    return after_c, np.log((by_class.T + s) / size[None, :]), 1e-9 * size / max(n, 1)
+
+
+def best_classes(left: np.ndarray, right: np.ndarray, by_class: np.ndarray) -> np.ndarray:
+    """The class of each word that most raises the likelihood, from the counts (words, CLASSES) of the classes before and after it."""
+    before, after, weight = gains(by_class)
+    return (left @ before + right @ after + weight).argmax(axis=1)
+
+
+def assigned(around: DataFrame, by_class: np.ndarray) -> DataFrame:
+    """(word, n, class) of each word of ``contexts``. Words come in order, so a task holds the counts of a batch of words at a time."""
+
+    def work(batches):
+        kinds = UNKNOWN + 1
+
+        def emitted(words, table):
+            left, right = table[:, 0, :CLASSES], table[:, 1, :CLASSES]
+            return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(table[:, 0].sum(axis=1), pa.int64()), pa.array(best_classes(left, right, by_class), pa.int32())], names=["word", "n", "class"])
+
+        held_word, held = None, None
+        for batch in batches:
+            words = batch.column("word")
+            for start in range(0, len(words), 4000):
+                part = batch.slice(start, 4000)
+                names = part.column("word")
+                new = np.ones(len(names), bool)
+                new[1:] = np.asarray(pc.not_equal(names.slice(1), names.slice(0, len(names) - 1)))
+                first = np.flatnonzero(new)
+                data, offsets = string_buffers(part.column("around"))
+                owner = np.repeat(np.cumsum(new) - 1, np.diff(offsets) // 2)
+                pairs = data.reshape(-1, 2).astype(np.int64)
+                table = np.stack([np.bincount(owner * kinds + pairs[:, i], minlength=len(first) * kinds).reshape(-1, kinds) for i in (0, 1)], axis=1)
+                distinct = names.take(pa.array(first)).to_pylist()
+                if held_word == distinct[0]:
+                    table[0] += held
+                elif held_word is not None:
+                    yield emitted([held_word], held[None])
+                if len(distinct) > 1:
+                    yield emitted(distinct[:-1], table[:-1])
+                held_word, held = distinct[-1], table[-1]
+        if held_word is not None:
+            yield emitted([held_word], held[None])
+
+    return around.repartition("word").sortWithinPartitions("word").mapInArrow(work, "word binary, n bigint, class int")
+
+
 @dataclass
 class Model:
-    """What scoring needs, of fixed bounds."""
+    """What scoring needs, of fixed bounds; the classes of rarer words are a table."""
 
     lexicon: Lexicon
     class_of: np.ndarray
-    transition: np.ndarray
+    end_class: int
     class_tokens: np.ndarray
     class_words: np.ndarray
     tokens: int
     vocabulary: int
     ends: int
+    transition: np.ndarray | None = None
+
+    @property
+    def unseen_class(self) -> int:
+        return int(self.class_words.argmax())
 
-    def emission(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of words with these counts in their classes; each class keeps one share for words never seen."""
-        return np.log10((counts + SMOOTHING) / (self.class_tokens[classes] + SMOOTHING * (self.class_words[classes] + 1)))
+    @property
+    def shares(self) -> np.ndarray:
+        """log10 of what a class's words divide among them; each class keeps one share for words never seen."""
+        return np.log10(self.class_tokens + SMOOTHING * (self.class_words + 1))
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + 1 * (self.vocabulary + 1)))
 
 
-def most_frequent(counts: DataFrame, most: int = BROADCAST_WORDS) -> Lexicon:
-    """The words above the least count that no more than ``most`` words reach."""
-    by_count = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toArrow()
-    n, reached = by_count.column("n").to_numpy(), np.cumsum(by_count.column("words").to_numpy())
-    fits = reached <= most
-    least = int(n[fits].min()) if fits.any() else int(n.max()) + 1 if len(n) else 1
-    found = counts.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
-    return Lexicon(found.column("word").combine_chunks().cast(pa.large_binary()), found.column("n").to_numpy().astype(np.int64), least)
-
-
-def train(docs: DataFrame) -> tuple[Model, DataFrame]:
-    """The model of rows (text), and all words' counts (word, n) as a table."""
+def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of rows (text) but for its transitions, and (word, n, class) of the words beyond its lexicon."""
     modest_batches(docs.sparkSession)
     counts = stored(word_counts(docs))
     n_docs = docs.count()
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
-    lexicon = most_frequent(counts)
-    pairs = unit_bigrams(docs, lexicon).toArrow()
+    top = most_frequent(counts, TOP_WORDS)
+    pairs = unit_bigrams(docs, top).toArrow()
     bigrams = np.zeros(UNITS * UNITS, np.int64)
     bigrams[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
     bigrams = bigrams.reshape(UNITS, UNITS)
-    class_of = exchange(bigrams)
+    unit_class = exchange(bigrams)
     member = np.zeros((UNITS, CLASSES))
-    member[np.arange(UNITS), class_of] = 1
-    by_class = member.T @ bigrams @ member
-    transition = np.log10((by_class + SMOOTHING) / (by_class.sum(axis=1, keepdims=True) + SMOOTHING * CLASSES))
-    # distinct words of each class: those of the groups are counted by their group
-    top = min(TOP_WORDS, len(lexicon.words))
-    class_words = np.bincount(class_of[:top], minlength=CLASSES).astype(np.float64)
-    class_words[class_of[END_UNIT]] += 1
-
-    def groups(batches):
-        for batch in batches:
-            words = batch.column(0).cast(pa.large_binary())
-            is_top = np.asarray(pc.is_in(words, lexicon.words.slice(0, top)))
-            found = np.bincount(_ending_groups(words)[~is_top], minlength=ENDING_GROUPS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(ENDING_GROUPS)), pa.array(found.astype(np.int64))], names=["g", "n"])
-
-    for row in counts.select("word").mapInArrow(groups, "g bigint, n bigint").groupBy("g").agg(F.sum("n").alias("n")).collect():
-        class_words[class_of[TOP_WORDS + row["g"]]] += row["n"]
-    model = Model(lexicon, class_of, transition, member.T @ bigrams.sum(axis=0), class_words, int(total[0]) + n_docs, int(total[1]) + (n_docs > 0), n_docs)
-    return model, counts
+    member[np.arange(UNITS), unit_class] = 1
+    classes = stored(assigned(contexts(docs, top, unit_class), member.T @ bigrams @ member))
+
+    sizes = {r["class"]: (r["n"], r["words"]) for r in classes.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect()}
+    tokens, words = np.zeros(CLASSES), np.zeros(CLASSES)
+    for k, (n, m) in sizes.items():
+        tokens[k], words[k] = n, m
+    own = unit_class[: len(top.words)]
+    np.add.at(tokens, own, top.counts)
+    np.add.at(words, own, 1)
+    tokens[unit_class[END_UNIT]] += n_docs
+    words[unit_class[END_UNIT]] += n_docs > 0
+
+    least = most_frequent_count(classes, BROADCAST_WORDS - len(top.words))
+    near = classes.where(F.col("n") >= least).toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+    lexicon = Lexicon(pa.concat_arrays([top.words, near.column("word").combine_chunks().cast(pa.large_binary())]), np.concatenate([top.counts, near.column("n").to_numpy().astype(np.int64)]), least)
+    class_of = np.concatenate([own, near.column("class").to_numpy().astype(np.int64)])
+    model = Model(lexicon, class_of, int(unit_class[END_UNIT]), tokens, words, int(total[0]) + n_docs, int(total[1]) + (n_docs > 0), n_docs)
+    return model, classes.where(F.col("n") < least)
+
+
+def most_frequent_count(counts: DataFrame, most: int) -> int:
+    """The least count that no more than ``most`` words reach."""
+    by_count = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).toArrow()
+    n, reached = by_count.column("n").to_numpy(), np.cumsum(by_count.column("words").to_numpy())
+    fits = reached <= most
+    return int(n[fits].min()) if fits.any() else int(n.max()) + 1 if len(n) else 1
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The ``keep`` columns, n_tokens, n_known, base_score and score (log10) of each row of ``docs`` (with text).
+def outline(docs: DataFrame, model: Model, rarer: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(kept, n_tokens, n_known, base_score, words_score, classes) of each row of ``docs`` (with text).
 
-    A task scores what its own table covers, and sends on one row for each text
-    and one for each rarer word of a text. Rows of texts have a key that no
-    word can have, so that both pass the join with the rarer words' counts.
+    words_score: the sum of log10 of the tokens' smoothed counts; classes: the
+    sequence of the tokens' classes, a byte each. A task fills in what its own
+    lexicon covers, and sends on one row for each text and one for each rarer
+    word of a text. Rows of texts have a key that no word can have, so that
+    both pass the join with the rarer words.
     """
-    plain = docs.select(F.struct(*keep).alias("kept"), F.col("text"))
+    plain = docs.select(F.struct(*(F.col(f"`{k}`") for k in keep)).alias("kept"), F.col("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    whole_type = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("total", pa.float64())])
-    names = ["row", "word", "class", "n", "kept", "whole"]
+    whole_type = pa.struct([("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("words", pa.float64()), ("classes", pa.binary()), ("rare", pa.binary())])
+    names = ["row", "word", "k", "n", "kept", "whole"]
+
+    def cells(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer((offsets * values.itemsize).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(values))]).cast(pa.binary())
 
     def work(batches):
         from pyspark import TaskContext
 
         m: Model = shared.value
         next_row = TaskContext.get().partitionId() << 36
-        end_class = m.class_of[END_UNIT : END_UNIT + 1]
-        end_base, end_emit = m.base(np.array([m.ends]))[0], m.emission(end_class, np.array([m.ends]))[0]
         for batch in batches:
             kept, texts = batch.column("kept"), batch.column("text")
             for start, end in chunks(texts, BLOCK_BYTES):
                 n = end - start
-                coded, rows, place, unit = _sequences(texts.slice(start, n), m.lexicon)
-                codes = coded.indices.to_numpy(zero_copy_only=False)
-                doc, token, before = _steps(codes, rows, unit)
-                word_doc = np.repeat(np.arange(n), np.diff(rows))
+                words, place, token, rows = _tokens(texts.slice(start, n), m.lexicon)
                 own = place >= 0
-                count = np.zeros(len(place), np.int64)
-                count[own] = m.lexicon.counts[place[own]]
-                base_word, emit_word = np.where(own, m.base(count), 0.0), np.where(own, m.emission(m.class_of[unit], count), 0.0)
-
-                def by_doc(values, of):
-                    return np.bincount(of, values, minlength=n)
-
-                base = by_doc(base_word[codes], word_doc) + end_base
-                total = by_doc(m.transition[m.class_of[before], m.class_of[token]], doc) + by_doc(emit_word[codes], word_doc) + end_emit
-                known = by_doc(own[codes], word_doc).astype(np.int64) + (m.ends > 0)
+                count = np.where(own, m.lexicon.counts[np.maximum(place, 0)], 0) if len(m.lexicon.counts) else np.zeros(len(place), np.int64)
+                kind = np.where(own, m.class_of[np.maximum(place, 0)], UNKNOWN) if len(m.class_of) else np.full(len(place), UNKNOWN)
+                count, kind, own = np.append(count, m.ends), np.append(kind, m.end_class).astype(np.uint8), np.append(own, True)
+                doc = np.repeat(np.arange(n), np.diff(rows))
+
+                def by_doc(values):
+                    return np.bincount(doc, values[token], minlength=n)
+
+                at = np.flatnonzero(~own[token])
+                pair, back, times = np.unique(doc[at] * np.int64(len(count)) + token[at], return_inverse=True, return_counts=True)
+                in_doc, which = pair // len(count), pair % len(count)
+                first = np.searchsorted(in_doc, np.arange(n + 1))
+                k = np.arange(len(pair)) - first[in_doc]
+                rare_rows = np.searchsorted(doc[at], np.arange(n + 1))
                 row = next_row + np.arange(n)
                 next_row += n
-                whole = pa.StructArray.from_arrays([pa.array(np.diff(rows) + 1), pa.array(known), pa.array(base), pa.array(total)], fields=list(whole_type))
+                known = by_doc((own & (count > 0)).astype(float)).astype(np.int64)
+                whole = pa.StructArray.from_arrays([pa.array(np.diff(rows)), pa.array(known), pa.array(by_doc(np.where(own, m.base(count), 0.0))), pa.array(by_doc(np.where(own, np.log10(count + SMOOTHING), 0.0))), cells(kind[token], rows), cells(k[back].astype("<u4"), rare_rows)], fields=list(whole_type))
                 keys = pa.array([b" " + int(x).to_bytes(8, "big") for x in row], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(row), keys, pa.array(np.zeros(n, np.int32)), pa.array(np.zeros(n, np.int64)), kept.slice(start, n), whole], names=names)
-                rare = np.flatnonzero(~own[codes])
-                pairs, times = np.unique(word_doc[rare] * np.int64(max(len(place), 1)) + codes[rare], return_counts=True)
-                which, in_doc = pairs % max(len(place), 1), pairs // max(len(place), 1)
-                words = coded.dictionary.take(pa.array(which)).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(row[in_doc]), words, pa.array(m.class_of[unit[which]], pa.int32()), pa.array(times, pa.int64()), pa.nulls(len(pairs), kept.type), pa.nulls(len(pairs), whole_type)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(row), keys, pa.nulls(n, pa.int32()), pa.array(np.zeros(n, np.int64)), kept.slice(start, n), whole], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(row[in_doc]), words.take(pa.array(which)).cast(pa.binary()), pa.array(k, pa.int32()), pa.array(times, pa.int64()), pa.nulls(len(pair), kept.type), pa.nulls(len(pair), whole_type)], names=names)
 
     kind = plain.schema["kept"].dataType.simpleString()
-    parts = plain.mapInArrow(work, f"row bigint, word binary, class int, n bigint, kept {kind}, whole struct<n_tokens:bigint,n_known:bigint,base:double,total:double>")
-    rarer = counts.where(F.col("n") < model.lexicon.least).select("word", F.col("n").alias("c"))
-    met = parts.join(rarer, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    space = F.lit(float(model.tokens + model.vocabulary + 1))
-    sizes = F.array(*(F.lit(float(x)) for x in model.class_tokens + SMOOTHING * (model.class_words + 1)))
-    priced = met.select(
-        "row",
-        "kept",
-        F.coalesce("whole.n_tokens", F.lit(0)).alias("n_tokens"),
-        F.coalesce("whole.n_known", F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("n_known"),
-        F.coalesce("whole.base", F.col("n") * F.log10((F.col("c") + 1) / space)).alias("base_score"),
-        F.coalesce("whole.total", F.col("n") * F.log10((F.col("c") + SMOOTHING) / F.get(sizes, F.col("class")))).alias("score"),
-    )
-    summed = priced.groupBy("row").agg(F.max("kept").alias("kept"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")))
-    return summed.select("kept.*", "n_tokens", "n_known", "base_score", "score")
+    parts = plain.mapInArrow(work, f"row bigint, word binary, k int, n bigint, kept {kind}, whole struct<n_tokens:bigint,n_known:bigint,base:double,words:double,classes:binary,rare:binary>")
+    met = parts.join(rarer.select("word", F.col("n").alias("c"), "class"), "word", "left")
+    found = F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "n", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(model.unseen_class)).alias("class")))).alias("found")
+    told = met.groupBy("row").agg(F.max("kept").alias("kept"), F.first("whole", ignorenulls=True).alias("whole"), found).select("kept", "whole.*", "found")
+
+    def fill(batches):
+        m: Model = shared.value
+        for batch in batches:
+            n = batch.num_rows
+            lists = batch.column("found")
+            ends = np.asarray(lists.offsets).astype(np.int64)
+            flat = lists.values.slice(ends[0], ends[-1] - ends[0])
+            ends = ends - ends[0]
+            k, times, c, group = (flat.field(x).to_numpy(zero_copy_only=False) for x in ("k", "n", "c", "class"))
+            doc = np.repeat(np.arange(n), np.diff(ends))
+            of = np.empty(len(k), np.uint8)
+            of[ends[doc] + k] = group
+
+            def by_doc(values):
+                return np.bincount(doc, values, minlength=n)
+
+            data, rows = string_buffers(batch.column("classes"))
+            rare, rare_rows = string_buffers(batch.column("rare"))
+            index = np.ascontiguousarray(rare).view("<u4").astype(np.int64) + np.repeat(ends[:-1], np.diff(rare_rows) // 4)
+            classes = data.copy()
+            classes[data == UNKNOWN] = of[index]
+            yield pa.RecordBatch.from_arrays([
+                batch.column("kept"), batch.column("n_tokens"), pa.array(batch.column("n_known").to_numpy() + by_doc(np.where(c > 0, times, 0)).astype(np.int64)),
+                pa.array(batch.column("base").to_numpy() + by_doc(times * m.base(c))), pa.array(batch.column("words").to_numpy() + by_doc(times * np.log10(c + SMOOTHING))), cells(classes, rows),
+            ], names=["kept", "n_tokens", "n_known", "base_score", "words_score", "classes"])
+
+    return told.mapInArrow(fill, f"kept {kind}, n_tokens bigint, n_known bigint, base_score double, words_score double, classes binary")
+
+
+def transitions(outlined: DataFrame, model: Model) -> np.ndarray:
+    """log10 probabilities [before, class] from the sequences of training texts."""
+    end_class = model.end_class
+
+    def work(batches):
+        held = np.zeros(CLASSES * CLASSES, np.int64)
+        for batch in batches:
+            data, _ = string_buffers(batch.column(0))
+            kind = data.astype(np.int64)
+            held += np.bincount(_before(kind, end_class) * CLASSES + kind, minlength=CLASSES * CLASSES)
+        pairs = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int32()), pa.array(held[pairs])], names=["pair", "n"])
+
+    counts = np.zeros(CLASSES * CLASSES)
+    for r in outlined.select("classes").mapInArrow(work, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        counts[r["pair"]] = r["n"]
+    counts = counts.reshape(CLASSES, CLASSES)
+    return np.log10((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * CLASSES))
+
+
+def train(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model of rows (text), and (word, n, class) of the words beyond its lexicon."""
+    model, rarer = learn(docs)
+    model.transition = transitions(outline(docs, model, rarer, keep=("text",)), model)
+    return model, rarer
+
+
+def priced(outlined: DataFrame, model: Model) -> DataFrame:
+    """The kept columns, n_tokens, n_known, base_score and score (log10) of the rows of ``outline``."""
+    kind, end_class, transition, shares = outlined.schema["kept"].dataType.simpleString(), model.end_class, model.transition, model.shares
+
+    def work(batches):
+        for batch in batches:
+            data, rows = string_buffers(batch.column("classes"))
+            each = transition[_before(data, end_class), data] - shares[data]
+            total = np.bincount(np.repeat(np.arange(batch.num_rows), np.diff(rows)), each, minlength=batch.num_rows) + batch.column("words_score").to_numpy()
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("kept", "n_tokens", "n_known", "base_score")] + [pa.array(total)], names=["kept", "n_tokens", "n_known", "base_score", "score"])
+
+    return outlined.mapInArrow(work, f"kept {kind}, n_tokens bigint, n_known bigint, base_score double, score double").select("kept.*", "n_tokens", "n_known", "base_score", "score")
+
+
+def score(docs: DataFrame, model: Model, rarer: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The ``keep`` columns, n_tokens, n_known, base_score and score (log10) of each row of ``docs`` (with text)."""
+    return priced(outline(docs, model, rarer, keep), model)
 
 
 def perplexity(score: str = "score", tokens: str = "n_tokens"):
@@ -319,6 +459,8 @@ def perplexity(score: str = "score", tokens: str = "n_tokens"):
 def query(spark, sf_dir: str) -> DataFrame:
     """op4: scores of all documents by a model of those that are not held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").alias("text"), in_group("doc_id", 7, 2).alias("held_out"))
-    model, counts = train(docs.where(~F.col("held_out")))
-    scored = score(docs, model, counts, keep=("doc_id", "held_out"))
+    model, rarer = learn(docs.where(~F.col("held_out")))
+    outlined = stored(outline(docs, model, rarer, keep=("doc_id", "held_out")))
+    model.transition = transitions(outlined.where(~F.col("kept.held_out")), model)
+    scored = priced(outlined, model)
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score", perplexity().alias("perplexity"))
