@@ -8,11 +8,22 @@ minimum rank of each word and contracts it; words without a pair are done.
 Documents are then put together from their words' ids. Decoding joins the rows
 (document, position, id) with the vocabulary and aggregates in order.
 
+The query keeps the rows of all steps, so a word costs the square of its
+length. Words over ``PIECE`` bytes are therefore contracted in pieces, and the
+seams between pieces are contracted anew (``Codec.joined``): tokens are a
+text's encoding if every two neighbours are the encoding of their own bytes,
+and inside any encoding they are. So only the seams need a look, and the
+cost grows with the length.
+
 The merge table follows from the ranks file alone. Texts are handled in blocks
-of bounded bytes; the memory of known words is bounded and emptied when full.
+of bounded bytes and queries in blocks of bounded rows, without files of their
+own; the memory of known words is bounded and emptied when full.
 
 Nulls: a null text is the empty text, without ids; null ids decode to the
-empty byte string. An id that is not in the vocabulary is an error.
+empty byte string. An id that is not in the vocabulary is an error. Ties of
+rank go to the left. Repeated rows are encoded as often as they occur. An
+empty table gives no rows. Only the named columns are read; they leave under
+their own names, beside ``ids`` or ``decoded``.
 """
 
 from __future__ import annotations
@@ -34,6 +45,10 @@ KNOWN_WORDS = 400_000
 #: Ids that one decoding query takes at a time.
 DECODE_IDS = 2_000_000
 DUCKDB_MEMORY = "300MB"
+#: Tokens of either side that a seam's window takes.
+SEAM = 6
+#: Bytes of a word that one query contracts as a whole, and rows (half the squares of the words' lengths) of one query.
+PIECE, QUERY_ROWS = 128, 3_000_000
 
 #: Both sides of a pair are below 2**17, a position below 2**32.
 CONTRACT = """
@@ -87,17 +102,34 @@ class Codec:
         import duckdb
 
         ranks = read_ranks(path)
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": DUCKDB_MEMORY, "temp_directory": ""})
         self.con.register("given_merges", merge_table(ranks))
         self.con.execute("CREATE TABLE merges AS SELECT * FROM given_merges")
         self.con.register("given_words", pa.table({"id": pa.array(list(ranks.values()), pa.int32()), "hex": [k.hex() for k in ranks]}))
         self.con.execute("CREATE TABLE vocabulary AS SELECT * FROM given_words")
         self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         self.whole = {k: np.int32(v).tobytes() for k, v in ranks.items()}
+        self.token = {v: k for k, v in ranks.items()}
         self.known: dict[bytes, bytes] = {}
 
     def contract(self, words: list[bytes]) -> list[bytes]:
         """Ids (int32, as bytes) of words that are not tokens themselves."""
+        long = [i for i, w in enumerate(words) if len(w) > PIECE]
+        if not long:
+            return self._contracted_all(words)
+        apart = set(long)
+        short = iter(self._contracted_all([w for i, w in enumerate(words) if i not in apart]))
+        return [self.joined(w) if i in apart else next(short) for i, w in enumerate(words)]
+
+    def _contracted_all(self, words: list[bytes]) -> list[bytes]:
+        """``contract`` of words as wholes, in queries of bounded rows."""
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes * (sizes + 1) // 2) // QUERY_ROWS)) + 1
+        bounds = [0, *cuts.tolist(), len(words)]
+        return [ids for x, y in zip(bounds, bounds[1:]) if y > x for ids in self._contracted(words[x:y])]
+
+    def _contracted(self, words: list[bytes]) -> list[bytes]:
+        """``contract`` of words that one query takes."""
         data, offsets = string_buffers(pa.array(words, pa.large_binary()))
         sizes = np.diff(offsets)
         letters = pa.table({
@@ -112,6 +144,45 @@ class Codec:
         raw = flat.tobytes()
         return [raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
+    def joined(self, word: bytes) -> bytes:
+        """Ids of a long word: of its pieces, with seams contracted anew until all neighbours belong together.
+
+        A window around a seam takes some tokens of either side. Where its
+        encoding begins and ends with the tokens that were there, the tokens
+        before, in and after it are all encoded with their neighbours, and the
+        seam is done. Windows of all seams are encoded at once. What fails is
+        tried in order from the left, with a window that reaches to the end of
+        its right piece and, doubled until its first token stays, into what
+        is already joined.
+        """
+        pieces = [np.frombuffer(x, np.int32).tolist() for x in self._contracted_all([word[i : i + PIECE] for i in range(0, len(word), PIECE)])]
+        windows = [left[-SEAM:] + right[:SEAM] for left, right in zip(pieces, pieces[1:])]
+        tried = self._contracted_all([self.bytes_of(w) for w in windows])
+        done = pieces[0]
+        began = 0  # tokens before this one belong to an earlier piece than the last
+        for right, old, raw in zip(pieces[1:], windows, tried):
+            new, n_right = np.frombuffer(raw, np.int32).tolist(), min(SEAM, len(right))
+            n_left = len(old) - n_right
+            if len(done) - began >= n_left and done[len(done) - n_left :] == old[:n_left] and new[0] == old[0] and new[-1] == old[-1]:
+                done = done[: len(done) - n_left]
+                began = len(done)
+                done += new + right[n_right:]
+                continue
+            width = SEAM
+            while True:
+                taken = done[-width:]
+                new = np.frombuffer(self._contracted([self.bytes_of(taken + right)])[0], np.int32).tolist()
+                if new[0] == taken[0] or width >= len(done):
+                    break
+                width *= 2
+            began = max(len(done) - len(taken), 0)
+            del done[began:]
+            done += new
+        return np.array(done, np.int32).tobytes()
+
+    def bytes_of(self, ids: list[int]) -> bytes:
+        return b"".join([self.token[i] for i in ids])
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of these texts, and the n+1 offsets of each text's ids."""
         tokens, rows = pretokens.split(texts)
