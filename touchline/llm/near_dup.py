@@ -1,14 +1,14 @@
 """Near-duplicate documents by SuperMinHash, banding, verification and union-find.
 
-1. One pass gives each document the size of its shingle set, a print of the
-   set and the band keys of its signature. Documents with equal sets are one
-   class from here on, and its least id stands for it.
+1. One pass gives each row the size of its shingle set, a print of the set
+   and the band keys of its signature. Rows with equal sets are one class from
+   here on, named by a 64-bit hash of the print (``node``).
 2. Classes that share a band key are candidates. Elements that no other
    candidate has bound what a class can share with any other, and so which
    pairs can be links at all. Each class is compared with the member of each of
    its buckets that shares most; links join components.
 3. Where a bucket still holds several components, its members are compared
-   with their neighbours in several random orders of the bucket.
+   with their neighbours in several random orders, large buckets in parts.
 4. What is then still outside the largest component of its bucket is compared
    with all members of the bucket in other components that the bounds allow,
    large buckets block by block. So no link between candidates is lost, while a group of many copies
@@ -19,7 +19,12 @@ threshold of 0.8 shares no band with a chance of 6e-7.
 
 Nulls: a null text has no words. A document without words has an empty set
 and is linked with nothing. A row without id is linked with nothing, and its
-component is null. Rows that share an id are one document; each gets a row.
+component is null. Rows that share an id are separate documents, linked only if
+their texts are: each gets a row, and a component's id is its least one. Of
+equal components' ids the row with the smaller hash of its text is the one
+that stays. Very long texts have as many shingles as they have; blocks are
+bounded by the bytes of their sets. An empty table gives no rows. Only the two
+named columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -39,16 +44,18 @@ PERCENT = 80
 ORDERS = 3
 #: Members from which a bucket is compared in blocks, and of a block.
 BLOCK = 256
+#: Bytes of the sets of a block, about.
+BLOCK_SET_BYTES = 2 << 20
 #: Bytes of text whose sets and permutations are in memory at a time.
 BLOCK_BYTES = 1 << 20
 
 
 def fingerprints(docs: DataFrame, words: int, bands: int = BANDS, band_rows: int = BAND_ROWS) -> DataFrame:
-    """(id, n, print_a, print_b, bands) of rows (id, text); a document without words has no band."""
+    """(id, text_hash, n, print_a, print_b, bands) of rows (id, text_hash, text); a document without words has no band."""
 
     def work(batches):
         for batch in batches:
-            ids, texts = batch.column("id"), batch.column("text")
+            ids, hashes, texts = batch.column("id"), batch.column("text_hash"), batch.column("text")
             for start, end in chunks(texts, BLOCK_BYTES):
                 values, rows = shingle_sets(texts.slice(start, end - start), words)
                 keys = band_keys(signatures(values, rows, bands * band_rows), bands, band_rows)
@@ -56,13 +63,14 @@ def fingerprints(docs: DataFrame, words: int, bands: int = BANDS, band_rows: int
                 flat = keys[n > 0].ravel()
                 ends = np.concatenate([[0], np.cumsum(np.where(n > 0, bands, 0))])
                 a, b = set_prints(values, rows)
-                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.array(n, pa.int64()), pa.array(a), pa.array(b), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["id", "n", "print_a", "print_b", "bands"])
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+                yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), hashes.slice(start, end - start), pa.array(n, pa.int64()), pa.array(a), pa.array(b), lists], names=["id", "text_hash", "n", "print_a", "print_b", "bands"])
 
-    return docs.mapInArrow(work, "id bigint, n bigint, print_a bigint, print_b bigint, bands array<bigint>")
+    return docs.mapInArrow(work, "id bigint, text_hash bigint, n bigint, print_a bigint, print_b bigint, bands array<bigint>")
 
 
 def shingle_rows(docs: DataFrame, words: int) -> DataFrame:
-    """(id, n, elements) of rows (id, text): the sorted 64-bit hashes of each document's set, as binary."""
+    """(id, n, elements) of rows (id, text), the id being what the set is known by: the sorted 64-bit hashes of each document's set, as binary."""
 
     def work(batches):
         for batch in batches:
@@ -144,10 +152,14 @@ def link_classes(members: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
     tested = tested.select("a", "b")
 
     open_members = _labelled(members, links)
+    # a part of a bucket has about BLOCK members; what lies apart is met in a later step
+    parts = open_members.groupBy("bucket").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    parted = open_members.join(parts, "bucket")
     near = None
     for k in range(ORDERS):
-        order = Window.partitionBy("bucket").orderBy(F.xxhash64("id", F.lit(k)), "id")
-        before = open_members.select("id", "n", "shared", "component", F.lag(F.struct("id", "n", "shared", "component")).over(order).alias("o"))
+        part = F.xxhash64("bucket", F.pmod(F.xxhash64(F.lit(k), "id"), F.col("parts")))
+        order = Window.partitionBy(part).orderBy(F.xxhash64("id", F.lit(k)), "id")
+        before = parted.select("id", "n", "shared", "component", F.lag(F.struct("id", "n", "shared", "component")).over(order).alias("o"))
         found = before.where((F.col("o.component") != F.col("component")) & _may_link("n", "shared", "o.n", "o.shared", percent)).select(F.least("id", "o.id").alias("a"), F.greatest("id", "o.id").alias("b"))
         near = found if near is None else near.unionByName(found)
     fresh = stored(near.distinct().join(tested, ["a", "b"], "left_anti"))
@@ -170,12 +182,12 @@ def link_classes(members: DataFrame, sets: DataFrame, percent: int = PERCENT) ->
         .distinct()
         .join(tested, ["a", "b"], "left_anti")
     )
-    large = _links_in_blocks(sized.where(F.col("size") >= BLOCK).select("bucket", "id", "component"), sets, percent)
+    large = _links_in_blocks(sized.where(F.col("size") >= BLOCK).select("bucket", "id", "n", "component"), sets, percent)
     return links.unionByName(linked(overlaps(rest, sets), percent)).unionByName(large)
 
 
 def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between components of large buckets, given as (bucket, id, component).
+    """Confirmed links (a, b) between components of large buckets, given as (bucket, id, n, component).
 
     Buckets that share members are one group. Its members outside its largest
     component are queries against all its members, block by block: a row holds
@@ -184,9 +196,9 @@ def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataF
     members = stored(members)
     least = members.groupBy("bucket").agg(F.min("id").alias("b"))
     grouped = components(members.join(least, "bucket").select(F.col("id").alias("a"), "b")).select(F.col("node").alias("id"), F.col("component").alias("group"))
-    rows = members.select("id", "component").distinct().join(grouped, "id")
-    counts = rows.groupBy("group", "component").agg(F.count("*").alias("c"))
-    totals = counts.groupBy("group").agg(F.ceil(F.sum("c") / BLOCK).alias("blocks"), F.max(F.struct("c", F.col("component").alias("largest"))).alias("x")).select("group", "blocks", "x.largest")
+    rows = members.select("id", "n", "component").distinct().join(grouped, "id")
+    counts = rows.groupBy("group", "component").agg(F.count("*").alias("c"), F.sum("n").alias("n"))
+    totals = counts.groupBy("group").agg(F.greatest(F.ceil(F.sum("c") / BLOCK), F.ceil(8 * F.sum("n") / BLOCK_SET_BYTES)).alias("blocks"), F.max(F.struct("c", F.col("component").alias("largest"))).alias("x")).select("group", "blocks", "x.largest")
     placed = rows.join(totals, "group").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
     full = stored(placed.join(sets.select("id", "elements"), "id").select("group", "block", "blocks", (F.col("component") != F.col("largest")).alias("asks"), F.struct("id", "component", "elements").alias("row")))
     asked = full.groupBy("group", "block").agg(F.collect_list("row").alias("right"))
@@ -222,34 +234,48 @@ def block_links(left: list[dict], right: list[dict], percent: int) -> list[tuple
     return found
 
 
-def near_duplicates(df: DataFrame, words: int = 5, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) for every row: kept is true for the least id of a component, and for rows without id."""
-    docs = df.select(F.col(id_column).cast("bigint").alias("id"), text_or_empty(text_column).alias("text"))
-    modest_batches(df.sparkSession)
-    prints = stored(fingerprints(docs, words))
-    key = ["print_a", "print_b", "n"]
+def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(id, text_hash, n, node, component, group) of rows (id, text_hash, text): component is the least id of the rows linked, group tells components apart even where ids repeat."""
+    prints = stored(fingerprints(docs, words).withColumn("node", F.xxhash64("print_a", "print_b", "n")))
     linked = prints.where("n > 0 and id is not null")
-    classes = linked.groupBy(*key).agg(F.min("id").alias("rep"))
-    first = linked.select("id", *key, "bands").join(classes.select("rep"), F.col("id") == F.col("rep"), "left_semi").select("id", "n", F.explode(F.array_distinct("bands")).alias("bucket")).distinct()
+    classes = linked.groupBy("node").agg(F.min(F.struct("id", "text_hash")).alias("rep"))
+    reps = classes.select("node", F.col("rep.id").alias("id"), F.col("rep.text_hash").alias("text_hash"))
+    first = linked.join(reps, ["node", "id", "text_hash"], "left_semi").select(F.col("node").alias("id"), "n", F.explode(F.array_distinct("bands")).alias("bucket")).distinct()
     met = first.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1").select("bucket")
     candidates = stored(first.join(met, "bucket").select("bucket", "id", "n"))
-    sets = stored(shingle_rows(docs.join(candidates.select("id").distinct(), "id", "left_semi"), words).dropDuplicates(["id"]))
+    asked = reps.join(candidates.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    sets = stored(shingle_rows(docs.join(asked, ["id", "text_hash"]).select(F.col("node").alias("id"), "text"), words).dropDuplicates(["id"]))
     # a set of which others share less than the threshold's part has no link
     able = reachable(sets).join(sets.select("id", F.col("n").alias("m")), "id").where(100 * F.col("shared") >= percent * F.col("m")).select("id", "shared")
     members = stored(candidates.join(able, "id"))
-    grouped = components(link_classes(members, sets, percent))
-    named = classes.join(grouped, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("component", "rep").alias("component"))
-    with_key = prints.select("id", *key)
-    alone = with_key.where("n = 0 or id is null").select("id", "n", F.col("id").alias("component"))
-    joined = with_key.where("n > 0 and id is not null").join(named, key).select("id", "n", "component")
-    return joined.unionByName(alone).select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
+    grouped = components(link_classes(members, sets, percent)).select("node", F.col("component").alias("group"))
+    joint = grouped.join(reps, "node").groupBy("group").agg(F.min("id").alias("component"))
+    named = reps.select("node", "id").join(grouped.join(joint, "group"), "node", "left").select("node", F.coalesce("component", "id").alias("component"), F.coalesce("group", "node").alias("group"))
+    with_key = prints.select("id", "text_hash", "n", "node")
+    alone = with_key.where("n = 0 or id is null").select("*", F.col("id").alias("component"), F.lit(None).cast("bigint").alias("group"))
+    return with_key.where("n > 0 and id is not null").join(named, "node").select("id", "text_hash", "n", "node", "component", "group").unionByName(alone)
+
+
+def _numbered(df: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return df.select(F.col(id_column).cast("bigint").alias("id"), text_or_empty(text_column).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+
+
+def near_duplicates(df: DataFrame, words: int = 5, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """(id, n_shingles, component_id, kept) for every row: kept is true for the least id of a component, and for rows without id."""
+    modest_batches(df.sparkSession)
+    found = _components(_numbered(df, id_column, text_column), words, percent)
+    return found.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def drop_near_duplicates(df: DataFrame, words: int = 5, percent: int = PERCENT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows and columns of ``df`` without all but the least id of each component; rows that repeat an id are one document, of which one row stays. Rows without id stay."""
-    kept = near_duplicates(df, words, percent, id_column, text_column).where(F.col("kept") & F.col(id_column).isNotNull()).select(id_column).distinct()
-    stay = df.join(kept, id_column, "left_semi").dropDuplicates([id_column])
-    return stay.unionByName(df.where(F.col(id_column).isNull()))
+    """The rows and columns of ``df`` without all but one row of each component: that of the least id. Of equal rows without words one stays; rows without id stay."""
+    modest_batches(df.sparkSession)
+    found = _components(_numbered(df, id_column, text_column), words, percent).where("id is not null")
+    of_groups = found.where("group is not null").groupBy("group").agg(F.min(F.struct("id", "text_hash")).alias("first")).select("first.*")
+    kept = of_groups.unionByName(found.where("group is null").select("id", "text_hash").distinct())
+    whole = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("whole"), F.col(id_column).cast("bigint").alias("id"), F.xxhash64(text_or_empty(text_column)).alias("text_hash"))
+    stay = whole.where("id is not null").join(kept, ["id", "text_hash"], "left_semi").dropDuplicates(["id", "text_hash"])
+    return stay.unionByName(whole.where("id is null")).select("whole.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
