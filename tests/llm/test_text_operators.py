@@ -7,6 +7,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from touchline.llm import automata, bpe, brown_lm, chat, common, components, crf, media, near_dup, packing, pretokens, quality_rules, secret_scan, superminhash, warc
 
@@ -57,25 +58,54 @@ def test_automaton_prefers_its_own_format():
     assert automata.infer([]).per_symbol("x") < 0
 
 
+PROSE = ["".join(random.Random(i).choices(["th", "er", "on", "an", "re", "tion"], k=random.Random(i).randint(3, 9))) for i in range(300)]
+
+
 def test_formats_score_what_base_spans_leave():
     rng = random.Random(2)
 
     def key(n):
         return "".join(rng.choices("ABCDEFGHJKMNPQRSTVWXYZ23456789", k=n))
 
-    values = [key(rng.choice((12, 14, 40))) for _ in range(300)]
-    words = ["".join(rng.choices(["th", "er", "on", "an", "re"], k=8)) for _ in range(300)]
-    automaton = automata.infer(values)
-    least = secret_scan.least_chars({"assign": values})
-    formats = secret_scan.Formats({"assign": (automaton, sorted(map(automaton.per_symbol, values))[6] - 0.2)}, automata.infer(words), least)
+    values = [key(rng.choice((12, 13, 14, 40))) for _ in range(300)]
+    formats = secret_scan.Formats({k: automata.Format(v) for k, v in automata.grouped(values).items()}, automata.Ordinary(PROSE), secret_scan.least_chars({"assign": values}))
     hexes, rest, short = "0123456789abcdef", key(40), key(13)
-    text = f"see prefix-{hexes}-{rest} and {short} theronanrethon"
+    text = f"see prefix-{hexes}-{rest} and {short} theronanrethon."
     found = secret_scan.find_spans(text, formats)
-    assert least == 12 and [k for k, _, _ in found if k != "format"] == ["hex"]
+    assert formats.least == 12 and [k for k, _, _ in found if k != "format"] == ["hex"]
     clean = secret_scan.redacted(text, found)
     assert rest not in clean and short not in clean and "theronanrethon" in clean
     covered = f"token={rest}"
-    assert [k for k, _, _ in secret_scan.find_spans(covered, formats)] == ["assign"]
+    assert [(k, covered[s:e]) for k, s, e in secret_scan.find_spans(covered, formats)] == [("assign", covered), ("format", rest)]
+
+
+def test_automata_find_planted_credentials_without_a_pattern(spark):
+    rng = random.Random(11)
+
+    def made(alphabet, n):
+        return "".join(rng.choices(alphabet, k=n))
+
+    known = [f"say token = \"{made('0123456789abcdef', 40)}\" {PROSE[i]} {PROSE[-i]}" for i in range(200)]
+    formats = secret_scan.learn_formats(spark.createDataFrame([(x,) for x in known], "text string"))
+    assert len(formats.learnt) > 10 and all(len(f.automaton.step) > 10 for f in formats.learnt.values())
+    for name in secret_scan.PUBLIC_FORMATS:
+        for value in secret_scan.public_examples(name, 130)[90:]:  # not among the learnt ones
+            text = f"{PROSE[3]} {PROSE[4]} ({value}), {PROSE[5]}."
+            spans = secret_scan.find_spans(text, formats)
+            assert ("format", text.index(value), text.index(value) + len(value)) in spans, (name, value)
+    words = [w for w in PROSE] + ["antidisestablishmentarianism", "Rindfleischetikettierungsgesetz", "2024-11-28T05:50:40", "192.168.100.200", "www.example.org/path/to/page.html", "e-mail-address_of_user", "state-of-the-art.And", "+33612345678"]
+    assert not any(secret_scan.find_spans(w, formats) for w in words)
+
+
+def test_base_spans_match_the_patterns():
+    rng = random.Random(12)
+    parts = ["token", "API-KEY", "api_key", "Secret", "passwd", "PASSWORD", "=", ":", " = ", '"', "'", " ", "\n", "AKIA", "akia", "é"]
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) if rng.random() < 0.6 else "".join(rng.choices(rng.choice(["0123456789abcdef", "ABCDEFGHIJK0123", "xyz+/_.=-"]), k=rng.randint(1, 22))) for _ in range(rng.randint(1, 9)))
+        want = [("assign", m.start(), m.end()) for m in re.finditer(r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", text, re.ASCII) if len(m[1]) >= 12]
+        want += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+        want += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 16]
+        assert secret_scan.find_spans(text, None) == sorted(want, key=lambda x: (x[1], secret_scan.KINDS.index(x[0])))
 
 
 def test_scan_and_redact(spark, docs, empty):
@@ -129,6 +159,44 @@ def test_crf_learns_junk_lines(spark):
     assert crf.train(docs, labels.where("quality = 1")) is None
 
 
+def test_crf_labels_lines_of_mixed_documents():
+    rng = random.Random(3)
+
+    def line(good):
+        return " ".join(rng.choices(["the", "of", "reading", "and", "letter"], k=12)) + "." if good else " | ".join(rng.choices(["BUY", "$$$", "###", "NOW!!"], k=12))
+
+    kinds, label = [], []
+    for i in range(160):  # runs of the other kind within documents of a kind
+        own = i % 2
+        run = rng.randint(1, 3)
+        at = rng.randint(1, 5)
+        kinds.append([own] * at + [1 - own] * run + [own] * (8 - at))
+        label.append(own)
+    texts = ["\n".join(line(k) for k in doc) for doc in kinds]
+    found, chars, rows = crf.line_features(pa.array(texts))
+    model = crf.fit(found, chars, rows, np.array(label, float))
+    good, _, _ = crf.marginals(crf.with_neighbours(found, rows) @ model.weights, rows, model.steps)
+    want = np.concatenate(kinds)
+    assert ((good >= 0.5) == want).mean() > 0.95
+    score = model.score(found, chars, rows)
+    assert ((score >= 0.5) == np.array(label)).mean() > 0.95
+
+
+def test_crf_line_labels_keep_most_of_a_document():
+    good, chars, rows = np.array([0.1, 0.2, 0.9, 0.3]), np.array([10.0, 10.0, 5.0, 100.0]), np.array([0, 3, 4])
+    assert crf.line_labels(good, chars, rows, np.array([1.0, 1.0])).tolist() == [1, 1, 1, 1]
+    assert crf.line_labels(good, chars, rows, np.array([0.0, 0.0])).tolist() == [0, 0, 1, 0]
+
+
+def test_crf_ties_and_long_texts(spark):
+    rows = [(i, ("| $$$ ###\n" if i % 2 else "plain words of a letter.\n") * (30_000 if i < 2 else 3)) for i in range(12)] * 2
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in (*range(12), 99)], "doc_id bigint, quality int")
+    model = crf.train(frame, labels)
+    found = crf.score(frame, model, ("doc_id",)).groupBy("kept.doc_id").agg(F.min("score").alias("a"), F.max("score").alias("b")).collect()
+    assert all(r["a"] == r["b"] and (r["a"] >= 0.5) == (r["doc_id"] % 2 == 0) for r in found)
+
+
 def test_crf_marginals_match_enumeration():
     rng = np.random.default_rng(0)
     gain, steps, rows = rng.normal(size=7), rng.normal(size=(2, 2)), np.array([0, 4, 5, 7])
@@ -152,28 +220,74 @@ def test_crf_scores_odd_rows(docs, empty):
     assert crf.score(empty, None, ("doc_id",)).count() == 0
 
 
-def test_language_model_against_counting(docs, empty):
-    texts = docs.select("doc_id", common.text_or_empty("text").alias("text"))
-    model, counts = brown_lm.train(texts)
-    brown_lm_counts = collections.Counter()
-    rows = [(r["doc_id"], words(low(r["text"])) + [None]) for r in texts.collect()]
-    for _, tokens in rows:
-        brown_lm_counts.update(tokens)
-    n, v = sum(brown_lm_counts.values()), len(brown_lm_counts)
-    scored = brown_lm.score(texts, model, counts).collect()
-    want = sorted(round(sum(np.log10((brown_lm_counts[w] + 1) / (n + v + 1)) for w in tokens), 6) for _, tokens in rows)
-    assert model.tokens == n and sorted(round(r["base_score"], 6) for r in scored) == want
-    assert all(r["n_known"] == r["n_tokens"] and r["score"] < 0 for r in scored)
+def brute_class_scores(texts, training, class_of):
+    """Scores by the definition, from texts (lists of words), which of them train, and each training word's class; None is the end token."""
+    seen = collections.Counter(w for t, own in zip(texts, training) if own for w in [*t, None])
+    tokens, members, pairs = collections.Counter(), collections.Counter(), collections.Counter()
+    for w, n in seen.items():
+        tokens[class_of[w]] += n
+        members[class_of[w]] += 1
+    unseen = max(range(brown_lm.CLASSES), key=lambda k: (members[k], -k))
+    kinds = [[class_of.get(w, unseen) for w in [*t, None]] for t in texts]
+    for t, own in zip(kinds, training):
+        if own:
+            pairs.update(zip([class_of[None], *t], t))
+    row = collections.Counter()
+    for (a, _), n in pairs.items():
+        row[a] += n
+    s, out = brown_lm.SMOOTHING, []
+    for t, ks in zip(texts, kinds):
+        total = 0.0
+        for w, before, k in zip([*t, None], [class_of[None], *ks], ks):
+            total += np.log10((pairs[before, k] + s) / (row[before] + s * brown_lm.CLASSES)) + np.log10((seen[w] + s) / (tokens[k] + s * (members[k] + 1)))
+        out.append(total)
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [200_000, 40])
+def test_language_model_against_counting(spark, docs, empty, monkeypatch, broadcast):
+    monkeypatch.setattr(brown_lm, "BROADCAST_WORDS", broadcast)
+    monkeypatch.setattr(brown_lm, "TOP_WORDS", 30)
+    monkeypatch.setattr(brown_lm, "END_UNIT", 30)
+    monkeypatch.setattr(brown_lm, "UNITS", 31)
+    rng = random.Random(5)
+    made = [(100 + i, " ".join(f"w{int(rng.paretovariate(0.7)) % 90}" for _ in range(rng.randint(1, 60)))) for i in range(40)]
+    texts = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id bigint, text string")).select("doc_id", common.text_or_empty("text").alias("text"), common.in_group("doc_id", 7, 2).alias("held"))
+    model, rarer = brown_lm.learn(texts.where("not held"))
+    outlined = common.stored(brown_lm.outline(texts, model, rarer, keep=("doc_id", "held", "text")))
+    model.transition = brown_lm.transitions(outlined.where("not kept.held"), model)
+    scored = brown_lm.priced(outlined, model).collect()
+    class_of = {None: model.end_class} | dict(zip((w.decode() for w in model.lexicon.words.to_pylist()), model.class_of.tolist())) | {bytes(r["word"]).decode(): r["class"] for r in rarer.collect()}
+    lists, training = [words(low(r["text"])) for r in scored], [not r["held"] for r in scored]
+    assert len(scored) == texts.count() and (broadcast > 40) == (rarer.count() == 0)
+    seen = collections.Counter(w for t, own in zip(lists, training) if own for w in [*t, None])
+    assert set(class_of) == set(seen)
+    n, v = sum(seen.values()), len(seen)
+    want = brute_class_scores(lists, training, class_of)
+    for r, t, total in zip(scored, lists, want):
+        assert (r["n_tokens"], r["n_known"]) == (len(t) + 1, sum(seen[w] > 0 for w in [*t, None]))
+        assert np.isclose(r["base_score"], sum(np.log10((seen[w] + 1) / (n + v + 1)) for w in [*t, None])) and np.isclose(r["score"], total)
+    assert model.tokens == n
     nothing, none = brown_lm.train(empty.select("text"))
-    assert all(r["n_known"] == 0 for r in brown_lm.score(texts, nothing, none).collect())
-
-
-def test_rare_words_meet_their_counts(docs, monkeypatch):
-    monkeypatch.setattr(brown_lm.most_frequent, "__defaults__", (1,))
-    texts = docs.select("doc_id", common.text_or_empty("text").alias("text"))
-    model, counts = brown_lm.train(texts)
-    assert len(model.lexicon.words) <= 1
-    assert all(r["n_known"] == r["n_tokens"] for r in brown_lm.score(texts, model, counts).collect())
+    assert all(r["n_known"] == 0 and r["score"] < 0 for r in brown_lm.score(texts, nothing, none).collect())
+
+
+def test_rare_words_get_the_class_of_their_company(spark):
+    rng, texts = random.Random(7), []
+    firsts, seconds = [f"a{i}" for i in range(6)], [f"b{i}" for i in range(6)]
+    for i in range(400):
+        text = [x for _ in range(10) for x in (rng.choice(firsts), rng.choice(seconds))]
+        if i < 40:
+            text[2 * (i % 10)], text[2 * (i % 10) + 1] = f"rare_a{i}", text[2 * (i % 10) + 1]
+        texts.append(("x", " ".join(text)))
+    frame = spark.createDataFrame(texts, "doc_id string, text string")
+    top = brown_lm.Lexicon(pa.array([w.encode() for w in firsts + seconds], pa.large_binary()), np.ones(12, np.int64), 1)
+    class_of = np.full(brown_lm.UNITS, 7)
+    class_of[:12] = [1] * 6 + [2] * 6
+    by_class = np.zeros((brown_lm.CLASSES, brown_lm.CLASSES))
+    by_class[1, 2], by_class[2, 1], by_class[2, 7], by_class[7, 1] = 4000, 3600, 400, 400
+    found = {bytes(r["word"]).decode(): (r["n"], r["class"]) for r in brown_lm.assigned(brown_lm.contexts(frame, top, class_of), by_class).collect()}
+    assert found == {f"rare_a{i}": (1, 1) for i in range(40)}
 
 
 def test_exchange_separates_alternating_words():
@@ -212,6 +326,22 @@ def test_bpe_round_trip(docs, empty):
     assert bpe.encode(empty, path).count() == 0
 
 
+def test_bpe_of_long_words_matches_tiktoken():
+    import public_tokenizers
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = bpe.read_ranks(path)
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    codec, rng = bpe.Codec(path), random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["".join(rng.choices(letters, k=20_000)), "".join(rng.choices(letters, k=200_000)), "a" * 20_001, "=" * 5003, "ab" * 4000, "é漢" * 700, "the" * 900 + "ing" * 700]
+    words += ["".join(rng.choices(rng.choice(["ab", "abc", "aeiounst", letters]), k=rng.randint(100, 700))) for _ in range(150)]
+    ids, rows = codec.encode(pa.array(words))
+    for i, w in enumerate(words):
+        assert ids[rows[i] : rows[i + 1]].tolist() == own.encode_ordinary(w), w[:50]
+
+
 def test_packing_covers_every_id(docs, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -220,7 +350,7 @@ def test_packing_covers_every_id(docs, empty):
     own = Tokenizer.from_file(path)
     own.encode_special_tokens = True
     unique = docs.where("doc_id <> 3 or doc_id is null")
-    pieces = packing.pack(packing.tokenize(unique, path), 2, window=64).toPandas()
+    pieces = packing.pack(common.stored(packing.tokenize(unique, path)), 2, window=64, kind="<u2").toPandas()
     by_sequence = pieces.groupby("sequence_id")
     for _, g in by_sequence:
         g = g.sort_values("offset")
@@ -241,14 +371,21 @@ def test_packing_takes_lexical_neighbours():
     assert {i for i, _, _, s, _ in pieces if s == 0} == {0, 2}
 
 
+def packed_rows(spark, documents):
+    """Rows of ``packing.tokenize`` of documents (id, ids), with the statistics of two tasks."""
+    rows = [(i, 7 * i, n, bytearray(np.asarray(ids).astype("<u4").tobytes()), None) for n, (i, ids) in enumerate(documents)]
+    for half in (documents[::2], documents[1::2]):
+        rows.append((None, None, None, None, bytearray(packing.Corpus.of([np.asarray(ids) for _, ids in half]).packed())))
+    return spark.createDataFrame(rows, "doc_id bigint, place bigint, row bigint, ids binary, stats binary")
+
+
 def test_packing_deals_copies_to_one_shard(spark):
     rng = np.random.default_rng(4)
     texts = [rng.integers(10, 5000, 60) for _ in range(60)]
-    rows = [(i, int(rng.integers(-(2**62), 2**62)), bytearray(np.append(texts[i % 60], 1).astype("<u4").tobytes())) for i in range(120)]
-    tokens = spark.createDataFrame(rows, "doc_id bigint, place bigint, ids binary")
+    tokens = packed_rows(spark, [(i, np.append(texts[i % 60], 1)) for i in range(120)])
     corpus = packing.corpus_of(tokens)
     assert (corpus.n, corpus.ids, corpus.found[1]) == (120, 120 * 61, 120)
-    shard = {r["doc_id"]: r["shard"] for r in packing.dealt(tokens, corpus, 12).collect()}
+    shard = {r["doc_id"]: r["shard"] for r in packing.dealt(tokens, corpus, 12, "<u4").collect()}
     assert 12 <= len(set(shard.values())) <= 14
     assert sum(shard[i] == shard[i + 60] for i in range(60)) >= 60 - len(set(shard.values()))  # a pair may lie on a bound
     pieces = packing.pack(tokens, 12, window=122).toPandas()
@@ -257,6 +394,44 @@ def test_packing_deals_copies_to_one_shard(spark):
     assert pieces["length"].sum() == corpus.ids
 
 
+def test_packing_deals_equal_rows_to_many_shards(spark):
+    tokens = packed_rows(spark, [(5, [9, 8, 7, 1])] * 400)
+    found = packing.dealt(tokens, packing.corpus_of(tokens), 10, "<u4").groupBy("shard").count().collect()
+    assert len(found) == 10 and max(r["count"] for r in found) == 40
+
+
+def test_content_keys_match_sorting():
+    rng = np.random.default_rng(8)
+    documents = [np.append(rng.zipf(1.3, rng.integers(0, 200)) % 3000 + 2, 1) for _ in range(60)]
+    corpus, shards = packing.Corpus.of(documents), 6
+    keys = packing.content_keys(np.concatenate(documents), np.concatenate([[0], np.cumsum([len(d) for d in documents])]), corpus, shards)
+    for d, key in zip(documents, keys):
+        terms, tf = np.unique(d, return_counts=True)
+        weight = corpus.idf(terms) * tf * (packing.K1 + 1) / (tf + corpus.norm(len(d)))
+        top = key[2:10][: len(terms)]
+        of = dict(zip(terms.tolist(), weight.tolist()))
+        assert np.allclose([of[t] for t in top.tolist()], np.sort(weight)[::-1][: len(top)], rtol=1e-4)
+        for lead, k in zip(key[:2].tolist(), packing.SUBJECT_SHARDS):
+            wide = corpus.found[terms] >= min(k * corpus.n / shards, corpus.found.max())
+            assert np.isclose(of[lead], weight[wide].max(), rtol=1e-4)
+
+
+def test_scores_are_bm25():
+    rng = np.random.default_rng(9)
+    documents = [rng.integers(0, 40, rng.integers(1, 60)) for _ in range(30)]
+    corpus = packing.Corpus.of(documents)
+    mean = sum(map(len, documents)) / len(documents)
+    for seed in range(30):
+        want = []
+        for d in documents:
+            total = 0.0
+            for t in set(documents[seed].tolist()) & set(d.tolist()):
+                df, tf = sum(t in x for x in documents), (d == t).sum()
+                total += np.log1p((30 - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+            want.append(total)
+        assert np.allclose(packing.Index(documents, corpus).scores(seed), want)
+
+
 def test_packing_asks_by_all_terms_and_corpus_statistics():
     # many terms that only the seed has, each heavier than those that it shares
     seed = np.concatenate([np.repeat(np.arange(100, 140), 3), np.arange(500, 510)])
@@ -292,7 +467,8 @@ def naive_measures(text):
 
 
 def test_rules_against_counting(docs, empty):
-    found = quality_rules.judged(docs.drop("kept", "n_words"))
+    found = quality_rules.judged(docs)  # its columns kept and n_words clash and are replaced
+    assert found.columns.count("kept") == 1 and set(docs.columns) <= set(found.columns)
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     for r in found.collect():
         assert tuple(r[n] for n in names) == naive_measures(r["text"]), r["text"]
@@ -302,14 +478,34 @@ def test_rules_against_counting(docs, empty):
 
 
 def test_rules_order_never_changes_a_verdict(docs):
-    rules = quality_rules.default_rules()
-    measured = quality_rules.measures(docs.select("doc_id", "text"))
-    verdicts = [sorted((str(r["doc_id"]), r["failed_rule"] is None) for r in quality_rules.cascade(measured, x).collect()) for x in (rules, rules[::-1])]
+    rules = [*quality_rules.base_rules(), *quality_rules.default_rules()]
+    texts = docs.select("doc_id", common.text_or_empty("text").alias("text"))
+    measured = quality_rules.measure_columns(F.col("text"))
+    verdicts = [sorted((str(r["doc_id"]), r["failed"] is None) for r in texts.withColumn("failed", quality_rules.first_failed(x, measured)).collect()) for x in (rules, rules[::-1])]
     assert verdicts[0] == verdicts[1]
-    ordered, seen = quality_rules.order_rules(measured, rules)
+    ordered, seen = quality_rules.order_rules(docs, rules)
     assert {r.name for r in ordered} == {r.name for r in rules} and len(seen) == len(rules)
 
 
+def test_rules_put_dear_and_idle_rules_last(spark):
+    rng = random.Random(6)
+    texts = ["# " * 80 if i % 2 else " ".join(f"word{rng.randrange(9999)}" for _ in range(1500)) for i in range(200)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    rules = [r for r in (*quality_rules.base_rules(), *quality_rules.default_rules()) if r.name in ("repeats", "symbols", "exclaiming")]
+    ordered, seen = quality_rules.order_rules(frame, rules)
+    price = {e.name: e.seconds for e in seen}
+    assert [r.name for r in ordered] == ["symbols", "repeats", "exclaiming"]  # both of the first two reject half, the last none
+    assert price["repeats"] > 3 * price["symbols"]
+
+
+def test_rules_skip_what_an_earlier_rule_settles(spark):
+    frame = spark.createDataFrame([("short",), ("bad",)], "text string")
+    dear = quality_rules.Rule("dear", lambda m: F.raise_error(F.lit("asked")).isNotNull())
+    failed = quality_rules.first_failed([quality_rules.base_rules()[0], dear], quality_rules.measure_columns(F.col("text")))
+    assert {r["f"] for r in frame.select(failed.alias("f")).collect()} == {"few_words"}
+    assert frame.where(failed.isNull()).count() == 0
+
+
 def test_chat_windows(spark):
     rows = [(1, 0, "system", "be <|kind|>"), *((1, i, "user" if i % 2 else "assistant", f"t{i} &lt; [INST] " + "x" * (37 * i % 400)) for i in range(1, 60)), (2, None, None, None), (2, 1, "assistant", ""), (2, 1, "assistant", ""), (None, 0, "ro\nle", "y" * 9000)]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
@@ -383,6 +579,17 @@ def test_near_duplicates_against_all_pairs(spark, docs, monkeypatch, block):
     assert near_dup.drop_near_duplicates(frame, words=2).count() == len({c for _, c in want.values()}) + 1
 
 
+def test_rows_that_share_an_id_lose_no_text(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a, "x"), (1, b, "x"), (2, b, "x"), (3, a, "x"), (3, a, "x"), (4, "", "x"), (4, "", "x"), (5, None, "x"), (None, a, "x")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, text_hash string").withColumn("group", F.lit(1)).withColumn("id", F.lit(2))
+    found = near_dup.near_duplicates(frame).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0) for r in found) == [(0, 0), (1, 1), (1, 1), (2, 1), (3, 1), (3, 1), (4, 4), (4, 4), (5, 5)]
+    left = near_dup.drop_near_duplicates(frame)
+    assert left.columns == frame.columns
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left.collect()) == sorted([(0, a), (1, a), (1, b), (4, ""), (5, "")])
+
+
 def test_superminhash_estimates_similarity():
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 2**63, 1000).astype(np.uint64)

@@ -6,6 +6,7 @@ right for UTF-8, whose multi-byte sequences never hold such a byte.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 
 import numpy as np
@@ -39,6 +40,27 @@ def modest_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     spark.conf.set(BATCH_SETTING, str(most))
 
 
+def _release() -> None:
+    """Gives back to the system what this process holds but does not use."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def lean(work):
+    """``work`` over a partition's Arrow batches, after which the worker gives its free memory back: Spark keeps idle workers, and several stages' workers share an executor."""
+
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            _release()
+
+    return run
+
+
 def text_or_empty(column: str | Column) -> Column:
     """The column as a string, a null as the empty string."""
     return F.coalesce((F.col(column) if isinstance(column, str) else column).cast("string"), F.lit(""))

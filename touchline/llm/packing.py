@@ -17,7 +17,12 @@ window of a shard is not full; it is cut at powers of two, which take no
 padding.
 
 Nulls: a null text is the empty text, one end id; a null document id is kept.
-Repeated rows are packed as often as they occur.
+Repeated rows are packed as often as they occur, and any number of them is
+dealt to as many shards as their ids fill. A very long text, or one long word
+without a space, is cut into windows like any other; a document longer than a
+shard is a shard of its own. Equal scores go to the smaller id, then to the
+row that was read first. An empty table packs nothing. Only the two named
+columns are read, so other columns may have any name.
 """
 
 from __future__ import annotations
@@ -34,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import chunks, modest_batches, stored, string_buffers, table, text_or_empty
+from .common import chunks, lean, modest_batches, stored, string_buffers, table, text_or_empty
 
 WINDOW = 2048
 END_ID = 1
@@ -45,12 +50,18 @@ K1, B = 1.2, 0.75
 SUBJECT_SHARDS, KEY_TERMS = (3, 1), 8
 #: Bytes of text that a task splits at a time.
 BLOCK_BYTES = 2 << 20
+#: Pre-tokens that the tokenizer gets in one string.
+LINES = 64
 #: Words whose ids a worker process remembers.
-KNOWN_WORDS = 900_000
+KNOWN_WORDS = 500_000
 
 
 class Words:
-    """A tokenizer of one process, and the words that it has met with their ids, kept in flat arrays of some 40 bytes a word."""
+    """A tokenizer of one process, and the words that it has met with their ids.
+
+    Words are known by 128-bit hashes, kept sorted in flat arrays of some 35
+    bytes a word; a look-up is a binary search and builds nothing anew.
+    """
 
     def __init__(self, path: str):
         import os
@@ -60,36 +71,78 @@ class Words:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.kind = id_type(self.tokenizer.get_vocab_size())
+        line_break = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.line_break = line_break[0] if len(line_break) == 1 else None
         self._forget()
 
     def _forget(self) -> None:
-        self.words, self.ids, self.ends = pa.array([], pa.large_binary()), np.zeros(0, np.int32), np.zeros(1, np.int64)
+        self.high, self.low, self.place = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.ends = np.zeros(0, self.kind), np.zeros(1, np.int64)
 
     def _places(self, words: pa.Array) -> np.ndarray:
         """Each distinct word's place among the known ones; new words are encoded and added."""
-        if len(self.words) + len(words) > KNOWN_WORDS:
+        import xxhash
+
+        if len(self.place) + len(words) > KNOWN_WORDS:
             self._forget()
-        places = np.asarray(pc.fill_null(pc.index_in(words, self.words), -1)).astype(np.int64)
-        new = np.flatnonzero(places < 0)
+        plain = words.to_pylist()
+        hashes = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, plain)), np.uint64).reshape(-1, 2)
+        at = np.searchsorted(self.high, hashes[:, 0])
+        near = np.minimum(at, max(len(self.high) - 1, 0))
+        hit = (self.high[near] == hashes[:, 0]) & (self.low[near] == hashes[:, 1]) if len(self.high) else np.zeros(len(plain), bool)
+        places = np.zeros(len(plain), np.int64)
+        places[hit] = self.place[near[hit]]
+        new = np.flatnonzero(~hit)
         if len(new):
-            fresh = words.take(pa.array(new))
-            encoded = [array("i", e.ids) for e in self.tokenizer.encode_batch_fast([w.decode() for w in fresh.to_pylist()], add_special_tokens=False)]
-            places[new] = len(self.words) + np.arange(len(new))
-            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum([len(e) for e in encoded])])
-            self.ids = np.concatenate([self.ids, np.frombuffer(b"".join(encoded), np.int32)])
-            self.words = pa.concat_arrays([self.words, fresh])
+            ids, sizes = self._encoded([plain[i].decode() for i in new.tolist()])
+            places[new] = len(self.ends) - 1 + np.arange(len(new))
+            self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, ids.astype(self.kind)])
+            rising = new[np.argsort(hashes[new, 0], kind="stable")]
+            self.high, self.low = np.insert(self.high, at[rising], hashes[rising, 0]), np.insert(self.low, at[rising], hashes[rising, 1])
+            self.place = np.insert(self.place, at[rising], places[rising].astype(np.int32))
         return places
 
+    def _encoded(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of these pre-tokens, and how many each has.
+
+        Pre-tokens that aren't white space are encoded many at a time, a line
+        each: a line break is a pre-token of its own before them and after
+        them, and its id marks where they end.
+        """
+        solid = np.array([not w.isspace() for w in words], bool)
+        lines = [w for w, s in zip(words, solid) if s]
+        joined = ["\n".join(lines[i : i + LINES]) + "\n" for i in range(0, len(lines), LINES)]
+        found = self._flat(joined)
+        at = np.flatnonzero(found == self.line_break) if self.line_break is not None else np.zeros(0, np.int64)
+        if len(at) != len(lines):  # this tokenizer has no line break of its own
+            each = [self._flat([w]) for w in words]
+            return np.concatenate(each), np.array([len(e) for e in each], np.int64)
+        sizes = np.zeros(len(words), np.int64)
+        sizes[solid] = np.diff(at, prepend=-1) - 1
+        spaces = [self._flat([w]) for w, s in zip(words, solid) if not s]
+        sizes[~solid] = [len(e) for e in spaces]
+        ids = np.empty(int(sizes.sum()), np.int32)
+        of_solid = np.repeat(solid, sizes)
+        ids[of_solid] = np.delete(found, at)
+        ids[~of_solid] = np.concatenate(spaces) if spaces else []
+        return ids, sizes
+
+    def _flat(self, texts: list[str]) -> np.ndarray:
+        return np.frombuffer(b"".join(array("i", e.ids) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), np.int32)
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of these texts, and the n+1 offsets of each text's ids."""
         tokens, rows = pretokens.split(texts)
         if not len(tokens):
-            return np.zeros(0, np.int32), np.zeros(len(rows), np.int64)
+            return np.zeros(0, self.kind), np.zeros(len(rows), np.int64)
         coded = tokens.dictionary_encode()
         places = self._places(coded.dictionary)
-        each = pa.Array.from_buffers(pa.large_binary(), len(self.words), [None, pa.py_buffer(self.ends * 4), pa.py_buffer(self.ids)])
+        width = self.ids.itemsize
+        each = pa.Array.from_buffers(pa.large_binary(), len(self.ends) - 1, [None, pa.py_buffer(self.ends * width), pa.py_buffer(self.ids)])
         stream, ends = string_buffers(pc.take(each, pa.array(places[coded.indices.to_numpy(zero_copy_only=False)])))
-        return np.ascontiguousarray(stream).view(np.int32), ends[rows] // 4
+        return np.ascontiguousarray(stream).view(self.kind), ends[rows] // width
 
 
 @cache
@@ -97,23 +150,48 @@ def _words(path: str) -> Words:
     return Words(path)
 
 
+def id_type(vocabulary: int) -> str:
+    """How ids of so large a vocabulary are stored: little-endian in two bytes where they fit, else in four."""
+    return "<u2" if vocabulary <= 1 << 16 else "<u4"
+
+
 def tokenize(df: DataFrame, tokenizer_path: str, id_column: str = "doc_id", text_column: str = "text", end_id: int = END_ID) -> DataFrame:
-    """(doc_id, place, ids): ids as little-endian uint32 in a binary column, ``end_id`` last; place: a hash that spreads the rows."""
-    plain = df.select(F.col(id_column).alias("doc_id"), F.xxhash64(id_column, text_column).alias("place"), text_or_empty(text_column).alias("text"))
+    """(doc_id, place, row, ids, stats): ids as the little-endian integers of ``id_type`` in a binary column, ``end_id`` last.
+
+    place: a hash of the row's content, row: what tells equal rows apart. One
+    more row a task, of which only stats is not null, holds the task's share
+    of the corpus's statistics (``Corpus.packed``).
+    """
+    plain = df.select(F.col(id_column).alias("doc_id"), F.xxhash64(id_column, text_column).alias("place"), F.monotonically_increasing_id().alias("row"), text_or_empty(text_column).alias("text"))
+    key_type = plain.select("doc_id").limit(0).toArrow().schema.field(0).type
+    schema = pa.schema([("doc_id", key_type), ("place", pa.int64()), ("row", pa.int64()), ("ids", pa.binary()), ("stats", pa.binary())])
 
     def work(batches):
         own = _words(tokenizer_path)
+        seen = Corpus(np.zeros(0, np.int64), 0, 0)
         for batch in batches:
             texts = batch.column("text")
             for start, end in chunks(texts, BLOCK_BYTES):
                 ids, rows = own.encode(texts.slice(start, end - start))
-                closed = np.insert(ids, rows[1:], end_id).astype("<u4")
-                offsets = (rows + np.arange(len(rows))) * 4
-                cells = pa.Array.from_buffers(pa.large_binary(), end - start, [None, pa.py_buffer(offsets), pa.py_buffer(closed)])
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(start, end - start), batch.column("place").slice(start, end - start), cells.cast(pa.binary())], names=["doc_id", "place", "ids"])
+                closed = np.insert(ids, rows[1:], end_id)
+                rows = rows + np.arange(len(rows))
+                seen = seen.with_block(closed, rows)
+                cells = pa.Array.from_buffers(pa.large_binary(), end - start, [None, pa.py_buffer(rows * closed.itemsize), pa.py_buffer(closed)])
+                part = batch.slice(start, end - start)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").cast(key_type), part.column("place"), part.column("row"), cells.cast(pa.binary()), pa.nulls(end - start, pa.binary())], schema=schema)
+        if seen.n:
+            yield pa.RecordBatch.from_pylist([{"stats": seen.packed()}], schema=schema)
 
     kind = plain.schema["doc_id"].dataType.simpleString()
-    return plain.mapInArrow(work, f"doc_id {kind}, place bigint, ids binary")
+    return plain.mapInArrow(lean(work), f"doc_id {kind}, place bigint, row bigint, ids binary, stats binary")
+
+
+def _pairs(ids: np.ndarray, rows: np.ndarray, terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, how often) of every document and term that it has, by document, then term."""
+    doc = np.repeat(np.arange(len(rows) - 1, dtype=np.int64), np.diff(rows))
+    pair, times = np.unique(doc * terms + ids, return_counts=True)
+    doc = pair // terms
+    return doc, pair - doc * terms, times
 
 
 @dataclass
@@ -126,8 +204,26 @@ class Corpus:
 
     @classmethod
     def of(cls, documents: list[np.ndarray]) -> Corpus:
-        terms = np.concatenate([np.unique(d) for d in documents]) if documents else np.zeros(0, np.int64)
-        return cls(np.bincount(terms), len(documents), sum(len(d) for d in documents))
+        return cls(np.zeros(0, np.int64), 0, 0).with_block(np.concatenate(documents) if documents else np.zeros(0, np.int64), np.concatenate([[0], np.cumsum([len(d) for d in documents])]).astype(np.int64))
+
+    def plus(self, other: Corpus) -> Corpus:
+        longer, shorter = (self.found, other.found) if len(self.found) >= len(other.found) else (other.found, self.found)
+        found = longer.copy()
+        found[: len(shorter)] += shorter
+        return Corpus(found, self.n + other.n, self.ids + other.ids)
+
+    def with_block(self, ids: np.ndarray, rows: np.ndarray) -> Corpus:
+        """The statistics with those of more documents, given as all their ids and the n+1 offsets."""
+        _, terms, _ = _pairs(ids, rows, int(ids.max()) + 1 if len(ids) else 1)
+        return self.plus(Corpus(np.bincount(terms), len(rows) - 1, len(ids)))
+
+    def packed(self) -> bytes:
+        return np.concatenate([[self.n, self.ids], self.found]).astype("<i8").tobytes()
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Corpus:
+        numbers = np.frombuffer(raw, "<i8")
+        return cls(numbers[2:], int(numbers[0]), int(numbers[1]))
 
     def idf(self, terms: np.ndarray) -> np.ndarray:
         return np.log1p((self.n - self.found[terms] + 0.5) / (self.found[terms] + 0.5))
@@ -137,22 +233,20 @@ class Corpus:
 
 
 def corpus_of(tokens: DataFrame) -> Corpus:
-    """The statistics of all rows (ids)."""
+    """The statistics of all documents, from the tasks' shares in ``tokens``."""
 
     def work(batches):
-        found, n, ids = np.zeros(0, np.int64), 0, 0
+        seen = Corpus(np.zeros(0, np.int64), 0, 0)
         for batch in batches:
-            part = Corpus.of([np.frombuffer(x.as_buffer(), "<u4") for x in batch.column(0)])
-            longer, shorter = (part.found, found) if len(part.found) > len(found) else (found, part.found)
-            longer[: len(shorter)] += shorter
-            found, n, ids = longer, n + part.n, ids + part.ids
-        terms = np.flatnonzero(found)
+            for raw in batch.column(0).to_pylist():
+                seen = seen.plus(Corpus.unpacked(raw))
+        terms = np.flatnonzero(seen.found)
         for start in range(0, len(terms), 100_000):
             part = terms[start : start + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(found[part])], names=["term", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int64()), pa.array([n, ids], pa.int64())], names=["term", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(seen.found[part])], names=["term", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int64()), pa.array([seen.n, seen.ids], pa.int64())], names=["term", "n"])
 
-    rows = tokens.select("ids").mapInArrow(work, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    rows = tokens.where("stats is not null").select("stats").mapInArrow(lean(work), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     by_term = dict(zip(rows.column("term").to_pylist(), rows.column("n").to_pylist()))
     n, ids = by_term.pop(-1, 0), by_term.pop(-2, 0)
     found = np.zeros(max(by_term, default=-1) + 1, np.int64)
@@ -160,33 +254,53 @@ def corpus_of(tokens: DataFrame) -> Corpus:
     return Corpus(found, n, ids)
 
 
-def content_key(document: np.ndarray, corpus: Corpus, shards: int) -> bytes:
-    """Terms by which documents are ordered: the strongest of those that fill some shards, then the strongest of all, falling."""
-    terms, tf = np.unique(document, return_counts=True)
-    weight = corpus.idf(terms) * tf * (K1 + 1) / (tf + corpus.norm(len(document)))
-    found, shard = corpus.found[terms], corpus.n / shards
-    lead = [terms[np.where(found >= min(k * shard, corpus.n), weight, -1).argmax()] for k in SUBJECT_SHARDS]
-    key = np.zeros(len(SUBJECT_SHARDS) + KEY_TERMS, ">u4")
-    strongest = terms[np.argsort(-weight, kind="stable")[:KEY_TERMS]]
-    key[: len(lead)], key[len(lead) : len(lead) + len(strongest)] = lead, strongest
-    return key.tobytes()
-
+def content_keys(ids: np.ndarray, rows: np.ndarray, corpus: Corpus, shards: int) -> np.ndarray:
+    """(documents, terms) by which documents are ordered: the strongest of those terms that fill some shards, then the strongest of all, falling; equal weights by term.
 
-def keyed(tokens: DataFrame, corpus: Corpus, shards: int) -> DataFrame:
-    """(key, n): each row's content key, closed by its place, and its number of ids."""
+    Weights are compared to 24 bits, so that one sort of integers (document, weight, term) ranks the terms of all documents.
+    """
+    n, terms = len(rows) - 1, len(corpus.found)
+    doc, term, tf = _pairs(ids, rows, terms)
+    weight = (corpus.idf(term) * tf * (K1 + 1) / (tf + corpus.norm(np.diff(rows))[doc])).astype(np.float32)
+    falling = (1 << 24) - 1 - (weight.view(np.int32).astype(np.int64) >> 7)
+    bits = terms.bit_length()
+    ranked = np.sort((doc << (24 + bits)) | (falling << bits) | term)
+    ranked_term, first = ranked & ((1 << bits) - 1), np.searchsorted(doc, np.arange(n + 1))
+    keys = np.zeros((n, len(SUBJECT_SHARDS) + KEY_TERMS), ">u4")
+    for i, k in enumerate(SUBJECT_SHARDS):
+        wide = np.flatnonzero(corpus.found[ranked_term] >= min(k * corpus.n / shards, corpus.found.max()))
+        owner = ranked[wide] >> (24 + bits)
+        lead = np.searchsorted(owner, np.arange(n))
+        has = lead < len(owner)
+        has[has] = owner[lead[has]] == np.flatnonzero(has)
+        keys[has, i] = ranked_term[wide[lead[has]]]
+    rank = np.arange(len(ranked)) - first[doc]
+    strong = np.flatnonzero(rank < KEY_TERMS)
+    keys[doc[strong], len(SUBJECT_SHARDS) + rank[strong]] = ranked_term[strong]
+    return keys
+
+
+def _keys_of(batch: pa.RecordBatch, kind: str, corpus: Corpus, shards: int) -> tuple[list[bytes], np.ndarray]:
+    """Each row's content key, closed by its place and row, and its number of ids."""
+    data, offsets = string_buffers(batch.column("ids"))
+    rows = offsets // np.dtype(kind).itemsize
+    keys = content_keys(np.ascontiguousarray(data).view(kind), rows, corpus, shards)
+    tail = np.stack([batch.column("place").to_numpy(), batch.column("row").to_numpy()], axis=1).astype(">i8")
+    raw = np.concatenate([np.ascontiguousarray(keys).view(np.uint8), np.ascontiguousarray(tail).view(np.uint8)], axis=1)
+    joined, width = raw.tobytes(), raw.shape[1]
+    return [joined[i : i + width] for i in range(0, len(joined), width)], np.diff(rows)
+
+
+def keyed(tokens: DataFrame, corpus: Corpus, shards: int, kind: str) -> DataFrame:
+    """(key, n): each row's content key and its number of ids."""
     shared = tokens.sparkSession.sparkContext.broadcast(corpus)
 
     def work(batches):
         for batch in batches:
-            documents = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("ids")]
-            keys = [content_key(d, shared.value, shards) + _place_bytes(p) for d, p in zip(documents, batch.column("place").to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([len(d) for d in documents], pa.int64())], names=["key", "n"])
-
-    return tokens.select("place", "ids").mapInArrow(work, "key binary, n bigint")
-
+            keys, n = _keys_of(batch, kind, shared.value, shards)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(n)], names=["key", "n"])
 
-def _place_bytes(place: int) -> bytes:
-    return place.to_bytes(8, "big", signed=True)
+    return tokens.select("place", "row", "ids").mapInArrow(lean(work), "key binary, n bigint")
 
 
 def bounds_of(keys: DataFrame, shards: int, most: int) -> list[bytes]:
@@ -207,25 +321,25 @@ def bounds_of(keys: DataFrame, shards: int, most: int) -> list[bytes]:
             yield pa.RecordBatch.from_arrays([pa.array(cuts, pa.binary())], names=["key"])
 
     ranges = keys.repartitionByRange(-(-shards // 16), "key").sortWithinPartitions("key")
-    return sorted(ranges.mapInArrow(work, "key binary").toArrow().column("key").to_pylist())[1:]
+    return sorted(ranges.mapInArrow(lean(work), "key binary").toArrow().column("key").to_pylist())[1:]
 
 
-def dealt(tokens: DataFrame, corpus: Corpus, shards: int) -> DataFrame:
-    """The rows with their shard, by content."""
-    bounds = bounds_of(stored(keyed(tokens, corpus, shards)), shards, -(-corpus.ids // shards)) if shards > 1 else []
+def dealt(tokens: DataFrame, corpus: Corpus, shards: int, kind: str) -> DataFrame:
+    """The documents with their shard, by content."""
+    documents = tokens.where("ids is not null").select("doc_id", "place", "row", "ids")
+    bounds = bounds_of(stored(keyed(documents, corpus, shards, kind)), shards, -(-corpus.ids // shards)) if shards > 1 else []
     if not bounds:
-        return tokens.withColumn("shard", F.lit(0).cast("long"))
+        return documents.withColumn("shard", F.lit(0).cast("long"))
     shared = tokens.sparkSession.sparkContext.broadcast((corpus, bounds))
 
     def work(batches):
         corpus, bounds = shared.value
         for batch in batches:
-            documents = [np.frombuffer(x.as_buffer(), "<u4") for x in batch.column("ids")]
-            shard = [bisect_right(bounds, content_key(d, corpus, shards) + _place_bytes(p)) for d, p in zip(documents, batch.column("place").to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int64())], names=["doc_id", "place", "ids", "shard"])
+            shard = [bisect_right(bounds, key) for key in _keys_of(batch, kind, corpus, shards)[0]]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard, pa.int64())], names=["doc_id", "place", "row", "ids", "shard"])
 
-    kind = tokens.schema["doc_id"].dataType.simpleString()
-    return tokens.select("doc_id", "place", "ids").mapInArrow(work, f"doc_id {kind}, place bigint, ids binary, shard bigint")
+    key_type = tokens.schema["doc_id"].dataType.simpleString()
+    return documents.mapInArrow(lean(work), f"doc_id {key_type}, place bigint, row bigint, ids binary, shard bigint")
 
 
 class Index:
@@ -234,14 +348,15 @@ class Index:
     def __init__(self, documents: list[np.ndarray], corpus: Corpus):
         sizes = np.array([len(d) for d in documents])
         self.n = len(documents)
-        doc = np.repeat(np.arange(self.n), sizes)
-        terms, place = np.unique(np.concatenate(documents), return_inverse=True)
-        pair, tf = np.unique(doc * np.int64(len(terms)) + place, return_counts=True)
-        self.doc, self.term = pair // len(terms), pair % len(terms)
+        self.doc, term, tf = _pairs(np.concatenate(documents), np.concatenate([[0], np.cumsum(sizes)]), len(corpus.found))
+        terms = np.flatnonzero(np.bincount(term))
+        place = np.zeros(len(corpus.found), np.int32)
+        place[terms] = np.arange(len(terms))
+        self.term = place[term]
         found = np.bincount(self.term, minlength=len(terms))
         weight = corpus.idf(terms)[self.term] * tf * (K1 + 1) / (tf + corpus.norm(sizes)[self.doc])
         self.doc_rows = np.searchsorted(self.doc, np.arange(self.n + 1))
-        order = np.argsort(self.term, kind="stable")
+        order = np.argsort(self.term.astype(np.uint16) if len(terms) <= 1 << 16 else self.term, kind="stable")  # of 16 bits: a radix sort
         self.posted_doc, self.posted_weight = self.doc[order], weight[order]
         self.term_rows = np.concatenate([[0], np.cumsum(found)])
         # terms that many documents have are rows of a table, as their lists are long
@@ -328,25 +443,28 @@ def fill(documents: list[np.ndarray], window: int = WINDOW, corpus: Corpus | Non
     return pieces
 
 
-def pack(tokens: DataFrame, shards: int, window: int = WINDOW) -> DataFrame:
-    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset) of rows (doc_id, place, ids), which are read three times; ids: the piece's own, as uint32 in binary."""
-    kind = tokens.schema["doc_id"].dataType.simpleString()
+def pack(tokens: DataFrame, shards: int, window: int = WINDOW, kind: str = "<u4") -> DataFrame:
+    """(doc_id, start, length, ids, doc_tokens, sequence_id, offset) of the rows of ``tokenize``, which are read twice; ids: the piece's own, as uint32 in binary.
+
+    ``kind``: the integers that the given ids are stored as.
+    """
+    key_type = tokens.schema["doc_id"].dataType.simpleString()
     corpus = corpus_of(tokens)
     shared = tokens.sparkSession.sparkContext.broadcast(corpus)
 
     def work(group: pa.Table) -> pa.Table:
-        group = group.combine_chunks().sort_by([("doc_id", "ascending"), ("place", "ascending")])
+        group = group.combine_chunks().sort_by([("doc_id", "ascending"), ("place", "ascending"), ("row", "ascending")])
         ids, shard = group.column("ids"), group.column("shard")[0].as_py()
-        documents = [np.frombuffer(x.as_buffer(), "<u4") for x in ids]
+        documents = [np.frombuffer(x.as_buffer(), kind) for x in ids]
         pieces = np.array(fill(documents, window, shared.value), np.int64).reshape(-1, 5)
-        cells = [documents[i][a : a + n].tobytes() for i, a, n in pieces[:, :3].tolist()]
+        cells = [documents[i][a : a + n].astype("<u4").tobytes() for i, a, n in pieces[:, :3].tolist()]
         sizes = np.array([len(d) for d in documents])
         return pa.table({
             "doc_id": group.column("doc_id").take(pa.array(pieces[:, 0])), "start": pieces[:, 1], "length": pieces[:, 2], "ids": pa.array(cells, pa.binary()),
             "doc_tokens": sizes[pieces[:, 0]], "sequence_id": pieces[:, 3] + (shard << 32), "offset": pieces[:, 4],
         })
 
-    return dealt(tokens, corpus, shards).groupBy("shard").applyInArrow(work, f"doc_id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return dealt(tokens, corpus, shards, kind).groupBy("shard").applyInArrow(work, f"doc_id {key_type}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def shards_for(df: DataFrame, text_column: str = "text", shard_bytes: int = SHARD_BYTES) -> int:
@@ -358,9 +476,11 @@ def shards_for(df: DataFrame, text_column: str = "text", shard_bytes: int = SHAR
 def packed(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) tokenised and packed."""
     import public_tokenizers
+    from tokenizers import Tokenizer
 
     modest_batches(docs.sparkSession)
-    return pack(stored(tokenize(docs, public_tokenizers.path("byte_bpe_50k.json"))), shards_for(docs))
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    return pack(stored(tokenize(docs, path)), shards_for(docs), kind=id_type(Tokenizer.from_file(path).get_vocab_size()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
