@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from touchline.config import DEFAULT
-from touchline.functions import pitch
+from touchline.functions import direction, pitch
 from touchline.functions.assignment import assign, hull_area
 from touchline.operators import control, formations, marking, movement, passing, play, possession, tactics, tracks
 from touchline.plans import oracle, queries
@@ -90,10 +90,57 @@ def test_smoothing_keeps_quadratics(spark):
 
 
 def test_control_leans_to_the_nearer_team(spark):
-    rows = [(0, 0, "home", 40.0, 34.0, 0.0, 0.0), (0, 0, "away", 65.0, 34.0, 0.0, 0.0)]
-    cells = control.control_cells(spark.createDataFrame(rows, "match_id int, frame int, team string, x double, y double, vx double, vy double")).collect()
-    value = {(r["iy"], r["ix"]): r["home"] for r in cells}
-    assert len(value) == 34 * 52 and value[17, 19] > 0.9 and value[17, 32] < 0.1 and 0.35 < value[17, 26] < 0.65
+    home, away = np.array([[[40.0, 34.0], [np.nan, np.nan]]]), np.array([[[65.0, 34.0]]])
+    value = control.control_surface(home, away)[0]
+    assert value.shape == (34, 52) and value[17, 19] > 0.9 and value[17, 32] < 0.1 and 0.35 < value[17, 26] < 0.65
+    assert (control.control_surface(home[:, :0], away) == 0.5).all()
+    near = np.hypot(*np.meshgrid((np.arange(52) + 0.5) * 105 / 52 - 40, (np.arange(34) + 0.5) * 2 - 34)) / 7.8
+    far = np.hypot(*np.meshgrid((np.arange(52) + 0.5) * 105 / 52 - 65, (np.arange(34) + 0.5) * 2 - 34)) / 7.8
+    assert np.allclose(value, 1 / (1 + np.exp((near - far) / 0.45)))
+
+
+def test_control_needs_six_players(spark):
+    rows = [(m, f, "home" if i % 2 else "away", 10.0 * i, 30.0, 0.0, 0.0) for m in (0, 1) for f in (0, 5) for i in range(6 if f == 0 else 5)]
+    moving = spark.createDataFrame(rows, "match_id int, frame int, team string, x double, y double, vx double, vy double")
+    assert {(r["match_id"], r["frame"]) for r in control.control_frames(moving).collect()} == {(0, 0), (1, 0)}
+    mean = control.mean_control(moving)
+    assert mean.count() == 2 * 52 * 34 and mean.groupBy("iy", "ix").agg(F.count_distinct("home").alias("n")).where("n <> 1").count() == 0
+
+
+def test_every_nth_distinct_frame(spark):
+    rows = [(0, e, 3 * f) for f in range(30) for e in range(2)]
+    found = control.every_nth_frame(spark.createDataFrame(rows, "match_id int, entity_id int, frame int"), 12)
+    assert sorted((r["frame"], r["entity_id"]) for r in found.collect()) == [(f, e) for f in (0, 36, 72) for e in (0, 1)]
+
+
+def test_direction_follows_the_match_table(spark):
+    matches = spark.createDataFrame([(0, 1, 50), (1, -1, 10), (2, None, None)], "match_id int, home_sign int, halftime_frame int")
+    rows = spark.createDataFrame([(m, t, f) for m in (0, 1, 2, 3) for t in ("home", "away", "none") for f in (0, 10, 50)], "match_id int, team string, frame int")
+    found = {(r["match_id"], r["team"], r["frame"]): r["s"] for r in direction.directed(rows, matches).withColumn("s", direction.sign()).collect()}
+    assert [found[0, "home", f] for f in (0, 10, 50)] == [1, 1, -1] and [found[1, "home", f] for f in (0, 10, 50)] == [-1, 1, 1]
+    assert all(found[m, "home", f] == 1 and found[m, "away", f] == -1 for m in (2, 3) for f in (0, 10, 50))
+    assert all(found[m, "away", f] == -found[m, "home", f] and found[m, "none", f] is None for m in range(4) for f in (0, 10, 50))
+    meta = spark.createDataFrame([("a", {"home": -1}, '{"halftime_frame": 7}'), ("b", {}, None)], "match_id string, attack_direction map<string,int>, extras string")
+    assert sorted(tuple(r) for r in direction.matches_of(meta).collect()) == [("a", -1, 7), ("b", 1, None)]
+
+
+def test_formation_templates_match_themselves():
+    for name in formations.FORMATIONS:
+        for sign in (1, -1):
+            own = formations.formation_slots(name, attack_sign=sign)
+            found, cost, labels = formations.match_formation(own if sign > 0 else np.array([105.0, 68.0]) - own)
+            assert (found, labels) == (name, formations.template(name)[1]) and cost < 1e-9
+    with pytest.raises(KeyError):
+        formations.formation_slots("9-0-1")
+
+
+def test_threat_is_the_fixed_point_of_its_equation():
+    rng = np.random.default_rng(2)
+    counts = rng.poisson(0.2, (192, 192)).astype(float)
+    grid = passing.value_grid(counts, 0.8)
+    assert grid.shape == (192,) and (grid > 0).all() and (grid < 1).all()
+    plain = passing.value_grid(np.zeros((192, 192)), None).reshape(12, 16)
+    assert np.allclose(plain, plain[::-1]) and plain[6, 15] > plain[6, 8] > plain[6, 0]
 
 
 def test_voronoi_areas_of_every_frame(spark):

@@ -78,9 +78,25 @@ class Control:
 
 @dataclass(frozen=True)
 class Threat:
+    """The grid, and the priors of moves, shots, goals and completion."""
+
     nx: int = 16
     ny: int = 12
-    rounds: int = 60
+    reach_m: float = 18.0
+    forward_m: float = 45.0
+    forward_cut_m: float = 30.0
+    move_weight: float = 2.0
+    shot_share: float = 0.15
+    shot_near: float = 0.9
+    shot_m: float = 40.0
+    shot_range: tuple[float, float] = (0.01, 0.85)
+    shot_weight: float = 8.0
+    goal_near: float = 0.55
+    goal_m: float = 45.0
+    goal_range: tuple[float, float] = (0.02, 0.5)
+    goal_weight: float = 3.0
+    complete: float = 0.78
+    complete_range: tuple[float, float] = (0.5, 0.95)
 
 
 @dataclass(frozen=True)

@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -15,7 +15,7 @@ def ghosts(kin: DataFrame, horizon_s: float = 1.0, tau: float = 1.5, cfg: Config
     """(match_id, entity_id, frame, x, y, vx, vy, ghost): the rows and, after each, up to the horizon of drifted ones until the entity is seen again or its match ends."""
     horizon = int(horizon_s * cfg.fps)
     last = kin.groupBy("match_id").agg(F.max("frame").alias("last"))
-    rows = kin.select("match_id", "entity_id", "frame", "x", "y", "vx", "vy").join(F.broadcast(last), "match_id").withColumn("next", F.coalesce(F.lead("frame").over(ordered("match_id", "entity_id")), F.col("last") + 1))
+    rows = kin.select("match_id", "entity_id", "frame", "x", "y", "vx", "vy").join(last, "match_id").withColumn("next", F.coalesce(F.lead("frame").over(ordered("match_id", "entity_id")), F.col("last") + 1))
     until = F.least(F.col("next") - 1, F.col("frame") + horizon)
     spread = rows.withColumn("f", F.explode(F.sequence("frame", until)))
     t = (F.col("f") - F.col("frame")) / cfg.fps
@@ -24,36 +24,86 @@ def ghosts(kin: DataFrame, horizon_s: float = 1.0, tau: float = 1.5, cfg: Config
     return spread.select("match_id", "entity_id", F.col("f").alias("frame"), (F.col("x") + F.col("vx") * drift).alias("x"), (F.col("y") + F.col("vy") * drift).alias("y"), (F.col("vx") * fade).alias("vx"), (F.col("vy") * fade).alias("vy"), (F.col("f") > F.col("frame")).alias("ghost"))
 
 
-def control_cells(moving: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(match_id, frame, iy, ix, home): probability that the home team reaches a cell first, for rows (match_id, frame, team, x, y, vx, vy).
+def every_nth_frame(kin: DataFrame, every: int = 12) -> DataFrame:
+    """The rows of every n-th distinct frame of a match."""
+    nth = F.dense_rank().over(Window.partitionBy("match_id").orderBy("frame")) - 1
+    return kin.withColumn("_nth", nth).where(F.col("_nth") % every == 0).drop("_nth")
 
-    A frame's players are one row of two short arrays, so that a frame becomes
-    as many rows as cells and not players times cells.
-    """
+
+def control_surface(home: np.ndarray, away: np.ndarray, cfg: Config = DEFAULT) -> np.ndarray:
+    """(frames, ny, nx): the probability that the home team reaches a cell first, from the projected places (frames, players, 2) of either team, missing ones being NaN."""
     c, p = cfg.control, cfg.pitch
-    reach = F.struct((F.col("x") + c.reaction_s * F.col("vx")).alias("x"), (F.col("y") + c.reaction_s * F.col("vy")).alias("y"))
-    frames = moving.groupBy("match_id", "frame").agg(*(F.collect_list(F.when(F.col("team") == t, reach)).alias(t) for t in ("home", "away")))
-    cells = frames.select("*", F.explode(F.sequence(F.lit(0), F.lit(c.nx * c.ny - 1))).alias("cell")).withColumns({"iy": F.floor(F.col("cell") / c.nx).cast("int"), "ix": F.col("cell") % c.nx})
-    cx, cy = (F.col("ix") + 0.5) * (p.length / c.nx), (F.col("iy") + 0.5) * (p.width / c.ny)
-    placed = cells.withColumns({"cx": cx, "cy": cy})
+    cx, cy = (np.arange(c.nx) + 0.5) * (p.length / c.nx), (np.arange(c.ny) + 0.5) * (p.width / c.ny)
+
+    def soonest(team: np.ndarray) -> np.ndarray:
+        best = np.full((len(team), c.ny, c.nx), np.inf)
+        for k in range(team.shape[1]):
+            dx, dy = team[:, k, 0, None] - cx, team[:, k, 1, None] - cy
+            best = np.fmin(best, np.sqrt(dx[:, None, :] ** 2 + dy[:, :, None] ** 2))
+        return best / c.speed_mps
+
+    with np.errstate(invalid="ignore", over="ignore"):
+        odds = 1 / (1 + np.exp((soonest(home) - soonest(away)) / c.sigma_s))
+    both = np.isfinite(home[:, :, 0]).any(axis=1) & np.isfinite(away[:, :, 0]).any(axis=1) if home.shape[1] and away.shape[1] else np.zeros(len(home), bool)
+    return np.where(both[:, None, None], odds, 0.5)
+
+
+def _frames(moving: DataFrame, fewest: int, cfg: Config) -> DataFrame:
+    """(match_id, frame, home, away): a frame of enough players as one row, its teams' projected places as flat arrays."""
+    c = cfg.control
+    reach = F.array(F.col("x") + c.reaction_s * F.col("vx"), F.col("y") + c.reaction_s * F.col("vy"))
+    sides = (F.flatten(F.collect_list(F.when(F.col("team") == t, reach))).alias(t) for t in ("home", "away"))
+    return moving.groupBy("match_id", "frame").agg(*sides).where(F.size("home") + F.size("away") >= 2 * fewest)
+
 
-    def soonest(team: str):
-        return F.array_min(F.transform(team, lambda q: F.sqrt((q["x"] - F.col("cx")) * (q["x"] - F.col("cx")) + (q["y"] - F.col("cy")) * (q["y"] - F.col("cy"))))) / c.speed_mps
+def _places(column: pa.Array) -> np.ndarray:
+    """Flat lists of x and y as (frames, most players, 2), filled up with NaN."""
+    sizes = np.diff(np.asarray(column.offsets)) // 2
+    flat = np.asarray(column.flatten(), float).reshape(-1, 2)
+    out = np.full((len(sizes), int(sizes.max(initial=0)), 2), np.nan)
+    out[np.repeat(np.arange(len(sizes)), sizes), np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = flat
+    return out
 
-    odds = 1 / (1 + F.exp((soonest("home") - soonest("away")) / c.sigma_s))
-    return placed.select("match_id", "frame", "iy", "ix", F.coalesce(odds, F.lit(0.5)).alias("home"))
 
+def _surfaces(batch: pa.RecordBatch, cfg: Config, most: int = 256):
+    """(first frame, end frame, surfaces) of a batch of ``_frames``, some frames at a time."""
+    home, away = _places(batch.column("home")), _places(batch.column("away"))
+    for start in range(0, batch.num_rows, most):
+        yield start, min(start + most, batch.num_rows), control_surface(home[start : start + most], away[start : start + most], cfg)
 
-def control_frames(cells: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(match_id, frame, home_control, right_third, left_third): means over all cells and over the outer 17 and 18 columns."""
+
+def control_frames(moving: DataFrame, fewest: int = 6, cfg: Config = DEFAULT) -> DataFrame:
+    """(match_id, frame, home_control, right_third, left_third) of rows (match_id, frame, team, x, y, vx, vy): means over all cells and over the outer 17 and 18 columns, in frames of six players or more."""
     nx = cfg.control.nx
-    first = -(-nx // 3)
-    return cells.groupBy("match_id", "frame").agg(F.avg("home").alias("home_control"), F.avg(F.when(F.col("ix") >= nx - nx // 3, F.col("home"))).alias("right_third"), F.avg(F.when(F.col("ix") < first, F.col("home"))).alias("left_third"))
 
+    def work(batches):
+        for batch in batches:
+            for a, b, found in _surfaces(batch, cfg):
+                means = (found.mean(axis=(1, 2)), found[:, :, nx - nx // 3 :].mean(axis=(1, 2)), found[:, :, : -(-nx // 3)].mean(axis=(1, 2)))
+                yield pa.RecordBatch.from_arrays([batch.column(c).slice(a, b - a) for c in ("match_id", "frame")] + [pa.array(m) for m in means], names=["match_id", "frame", "home_control", "right_third", "left_third"])
+
+    kinds = dict(moving.dtypes)
+    return _frames(moving, fewest, cfg).mapInArrow(work, f"match_id {kinds['match_id']}, frame {kinds['frame']}, home_control double, right_third double, left_third double")
+
+
+def mean_control(moving: DataFrame, fewest: int = 6, cfg: Config = DEFAULT) -> DataFrame:
+    """(match_id, iy, ix, home): the mean surface; a batch of frames sends on one sum for each of its matches."""
+    nx, ny = cfg.control.nx, cfg.control.ny
 
-def mean_control(cells: DataFrame) -> DataFrame:
-    """(match_id, iy, ix, home): the mean surface."""
-    return cells.groupBy("match_id", "iy", "ix").agg(F.avg("home").alias("home"))
+    def work(batches):
+        for batch in batches:
+            match = batch.column("match_id").to_pylist()
+            sums: dict = {}
+            for a, b, found in _surfaces(batch, cfg):
+                for key in dict.fromkeys(match[a:b]):
+                    own = np.array([m == key for m in match[a:b]])
+                    total, n = sums.get(key, (0.0, 0))
+                    sums[key] = (total + found[own].sum(axis=0), n + int(own.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), batch.schema.field("match_id").type), pa.array([n for _, n in sums.values()], pa.int64()), pa.array([t.ravel() for t, _ in sums.values()], pa.list_(pa.float64()))], names=["match_id", "n", "total"])
+
+    parts = _frames(moving, fewest, cfg).mapInArrow(work, f"match_id {dict(moving.dtypes)['match_id']}, n bigint, total array<double>")
+    cells = parts.select("match_id", "n", F.posexplode("total").alias("cell", "v")).groupBy("match_id", "cell").agg((F.sum("v") / F.sum("n")).alias("home"))
+    return cells.select("match_id", F.floor(F.col("cell") / nx).cast("int").alias("iy"), (F.col("cell") % nx).alias("ix"), "home")
 
 
 def clipped_area(points: np.ndarray, own: int, length: float, width: float) -> float:
@@ -87,14 +137,21 @@ def clipped_area(points: np.ndarray, own: int, length: float, width: float) -> f
 
 
 def voronoi_areas(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(match_id, frame, home_area, away_area) of rows (match_id, frame, team, x, y): null with fewer than four players. A frame is one small group."""
+    """(match_id, frame, home_area, away_area) of rows (match_id, frame, team, x, y): null with fewer than four players. A frame is one row of flat arrays."""
     p = cfg.pitch
-
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["team", "x", "y"])
-        points, teams = group[["x", "y"]].to_numpy(float), group["team"].to_numpy()
-        areas = [clipped_area(points, i, p.length, p.width) for i in range(len(points))] if len(points) >= 4 else None
-        sums = [float(sum(a for a, t in zip(areas, teams) if t == k)) if areas else None for k in ("home", "away")]
-        return pd.DataFrame([(group["match_id"].iloc[0], group["frame"].iloc[0], *sums)], columns=["match_id", "frame", "home_area", "away_area"])
-
-    return rows.groupBy("match_id", "frame").applyInPandas(work, "match_id int, frame int, home_area double, away_area double")
+    place = F.array(F.col("x"), F.col("y"))
+    frames = rows.groupBy("match_id", "frame").agg(*(F.flatten(F.sort_array(F.collect_list(F.when(F.col("team") == t, place)))).alias(t) for t in ("home", "away")))
+
+    def work(batches):
+        for batch in batches:
+            found: list[list[float | None]] = [[], []]
+            for home, away in zip(batch.column("home").to_pylist(), batch.column("away").to_pylist()):
+                points = np.array(home + away, float).reshape(-1, 2)
+                areas = [clipped_area(points, i, p.length, p.width) for i in range(len(points))] if len(points) >= 4 else None
+                n = len(home) // 2
+                found[0].append(sum(areas[:n]) if areas else None)
+                found[1].append(sum(areas[n:]) if areas else None)
+            yield pa.RecordBatch.from_arrays([batch.column("match_id"), batch.column("frame"), *(pa.array(f, pa.float64()) for f in found)], names=["match_id", "frame", "home_area", "away_area"])
+
+    kinds = dict(rows.dtypes)
+    return frames.mapInArrow(work, f"match_id {kinds['match_id']}, frame {kinds['frame']}, home_area double, away_area double")

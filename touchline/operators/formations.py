@@ -3,32 +3,42 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
 from ..functions.assignment import assign, hull_area
+from ..functions.direction import directed, sign
 from ..functions.pitch import attacking_x, attacking_y
-from ..sources.lens import sign
 from .possession import players_only
 
-#: Lines of a formation from the back: how many stand in each.
-FORMATIONS = ("4-4-2", "4-3-3", "4-2-3-1", "3-5-2", "3-4-3", "5-3-2", "5-4-1", "4-1-4-1", "4-5-1", "4-4-1-1")
+#: Means are rounded a hair above their value, so that halves go up in every engine.
+HAIR = 1e-9
+#: The places of each formation's ten outfield players (x forward, y across, from 0 to 1) and their labels.
+FORMATIONS = {
+    "4-4-2": [(0.18, 0.18, "RB"), (0.15, 0.40, "RCB"), (0.15, 0.60, "LCB"), (0.18, 0.82, "LB"), (0.45, 0.15, "RM"), (0.42, 0.40, "RCM"), (0.42, 0.60, "LCM"), (0.45, 0.85, "LM"), (0.72, 0.42, "RST"), (0.72, 0.58, "LST")],
+    "4-3-3": [(0.18, 0.18, "RB"), (0.15, 0.40, "RCB"), (0.15, 0.60, "LCB"), (0.18, 0.82, "LB"), (0.38, 0.50, "DM"), (0.50, 0.32, "RCM"), (0.50, 0.68, "LCM"), (0.72, 0.15, "RW"), (0.78, 0.50, "ST"), (0.72, 0.85, "LW")],
+    "4-2-3-1": [(0.18, 0.18, "RB"), (0.15, 0.40, "RCB"), (0.15, 0.60, "LCB"), (0.18, 0.82, "LB"), (0.38, 0.40, "RDM"), (0.38, 0.60, "LDM"), (0.58, 0.15, "RAM"), (0.60, 0.50, "CAM"), (0.58, 0.85, "LAM"), (0.78, 0.50, "ST")],
+    "4-5-1": [(0.18, 0.18, "RB"), (0.15, 0.40, "RCB"), (0.15, 0.60, "LCB"), (0.18, 0.82, "LB"), (0.42, 0.12, "RM"), (0.40, 0.35, "RCM"), (0.38, 0.50, "CM"), (0.40, 0.65, "LCM"), (0.42, 0.88, "LM"), (0.72, 0.50, "ST")],
+    "3-5-2": [(0.15, 0.28, "RCB"), (0.13, 0.50, "CB"), (0.15, 0.72, "LCB"), (0.45, 0.08, "RWB"), (0.42, 0.35, "RCM"), (0.40, 0.50, "CM"), (0.42, 0.65, "LCM"), (0.45, 0.92, "LWB"), (0.72, 0.42, "RST"), (0.72, 0.58, "LST")],
+    "3-4-3": [(0.15, 0.28, "RCB"), (0.13, 0.50, "CB"), (0.15, 0.72, "LCB"), (0.45, 0.12, "RWB"), (0.42, 0.40, "RCM"), (0.42, 0.60, "LCM"), (0.45, 0.88, "LWB"), (0.72, 0.18, "RW"), (0.76, 0.50, "ST"), (0.72, 0.82, "LW")],
+    "5-3-2": [(0.20, 0.08, "RWB"), (0.14, 0.30, "RCB"), (0.12, 0.50, "CB"), (0.14, 0.70, "LCB"), (0.20, 0.92, "LWB"), (0.42, 0.32, "RCM"), (0.40, 0.50, "CM"), (0.42, 0.68, "LCM"), (0.70, 0.42, "RST"), (0.70, 0.58, "LST")],
+    "5-4-1": [(0.20, 0.08, "RWB"), (0.14, 0.30, "RCB"), (0.12, 0.50, "CB"), (0.14, 0.70, "LCB"), (0.20, 0.92, "LWB"), (0.42, 0.15, "RM"), (0.40, 0.40, "RCM"), (0.40, 0.60, "LCM"), (0.42, 0.85, "LM"), (0.70, 0.50, "ST")],
+    "4-1-4-1": [(0.18, 0.18, "RB"), (0.15, 0.40, "RCB"), (0.15, 0.60, "LCB"), (0.18, 0.82, "LB"), (0.32, 0.50, "DM"), (0.52, 0.15, "RM"), (0.50, 0.38, "RCM"), (0.50, 0.62, "LCM"), (0.52, 0.85, "LM"), (0.75, 0.50, "ST")],
+    "4-4-1-1": [(0.18, 0.18, "RB"), (0.15, 0.40, "RCB"), (0.15, 0.60, "LCB"), (0.18, 0.82, "LB"), (0.44, 0.15, "RM"), (0.42, 0.40, "RCM"), (0.42, 0.60, "LCM"), (0.44, 0.85, "LM"), (0.60, 0.50, "SS"), (0.76, 0.50, "ST")],
+}
 
 
 def template(name: str) -> tuple[np.ndarray, list[str]]:
-    """Ten places (x forward, y across, both from 0 to 1) and their labels: lines evenly deep, players evenly wide."""
-    lines = [int(n) for n in name.split("-")]
-    places, labels = [], []
-    for i, n in enumerate(lines):
-        depth = 0.2 + 0.6 * i / (len(lines) - 1)
-        kind = "D" if i == 0 else "F" if i == len(lines) - 1 else "M"
-        for k in range(n):
-            across = (k + 0.5) / n
-            places.append((depth, across))
-            labels.append(f"{kind}{i + 1}{'L' if across < 0.4 else 'R' if across > 0.6 else 'C'}")
-    return np.array(places), labels
+    """A formation's ten places and their labels."""
+    return np.array([(x, y) for x, y, _ in FORMATIONS[name]]), [label for _, _, label in FORMATIONS[name]]
+
+
+def formation_slots(name: str, length: float = 105.0, width: float = 68.0, attack_sign: int = 1) -> np.ndarray:
+    """A formation's places in metres for a team that attacks in this direction; an unknown name is a KeyError."""
+    places = template(name)[0]
+    return (places if attack_sign >= 0 else 1 - places) * np.array([length, width])
 
 
 def match_formation(places: np.ndarray) -> tuple[str, float, list[str]]:
@@ -53,7 +63,7 @@ def match_formation(places: np.ndarray) -> tuple[str, float, list[str]]:
     return best
 
 
-def window_places(tracking: DataFrame, held: DataFrame, window_s: float = 20, cfg: Config = DEFAULT) -> DataFrame:
+def window_places(tracking: DataFrame, held: DataFrame, matches: DataFrame, window_s: float = 20, cfg: Config = DEFAULT) -> DataFrame:
     """(match_id, team, state, start_frame, entity_id, x, y): mean places of the ten most seen players of a window and state, in the direction of attack.
 
     A window needs half its frames, a state three seconds of them, and ten players.
@@ -66,25 +76,32 @@ def window_places(tracking: DataFrame, held: DataFrame, window_s: float = 20, cf
     placed = rows.join(owner, ["match_id", "frame"]).withColumn("state", state).where("state is not null").join(seen, ["match_id", "team", "start_frame"])
     key = ["match_id", "team", "state", "start_frame"]
     enough = placed.groupBy(*key).agg(F.count_distinct("frame").alias("n")).where(F.col("n") >= 3 * cfg.fps).drop("n")
-    means = placed.groupBy(*key, "entity_id").agg(F.count("*").alias("c"), F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    means = placed.groupBy(*key, "entity_id").agg(F.count("*").alias("c"), F.round(F.avg("x") + HAIR, 6).alias("mx"), F.round(F.avg("y") + HAIR, 6).alias("my"))
     ranked = means.join(enough, key).withColumn("r", F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("c"), "entity_id"))).where("r <= 10").withColumn("k", F.count("*").over(Window.partitionBy(*key))).where("k = 10")
     s = sign("team", "start_frame")
-    return ranked.select(*key, "entity_id", attacking_x(F.col("mx"), s).alias("x"), attacking_y(F.col("my"), s).alias("y"))
+    return directed(ranked, matches).select(*key, "entity_id", attacking_x(F.col("mx"), s).alias("x"), attacking_y(F.col("my"), s).alias("y"))
 
 
 def formation_windows(places: DataFrame) -> DataFrame:
-    """(match_id, team, state, start_frame, formation, cost, hull_area_m2, depth_m, width_m, players, slots); a window is a group of ten rows."""
+    """(match_id, team, state, start_frame, formation, cost, hull_area_m2, depth_m, width_m, players, slots); a window is one row of ten places."""
+    key = ["match_id", "team", "state", "start_frame"]
+    windows = places.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("entity_id", "x", "y"))).alias("ten"))
+    names = [*key, "formation", "cost", "hull_area_m2", "depth_m", "width_m", "players", "slots"]
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("entity_id")
-        points = group[["x", "y"]].to_numpy(float)
-        name, cost, slots = match_formation(points)
-        first, span = group.iloc[0], points.max(axis=0) - points.min(axis=0)
-        row = (first["match_id"], first["team"], first["state"], first["start_frame"], name, round(cost, 3), round(hull_area(points), 1), round(span[0], 1), round(span[1], 1), group["entity_id"].tolist(), slots)
-        return pd.DataFrame([row], columns=["match_id", "team", "state", "start_frame", "formation", "cost", "hull_area_m2", "depth_m", "width_m", "players", "slots"])
+    def work(batches):
+        for batch in batches:
+            rows = []
+            for ten in batch.column("ten").to_pylist():
+                points = np.array([(r["x"], r["y"]) for r in ten])
+                name, cost, slots = match_formation(points)
+                span = points.max(axis=0) - points.min(axis=0)
+                rows.append((name, round(cost, 3), round(hull_area(points), 1), *(round(float(v), 1) for v in span), [r["entity_id"] for r in ten], slots))
+            kinds = (pa.string(), *[pa.float64()] * 4, pa.list_(pa.int32()), pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in key] + [pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=names)
 
-    schema = "match_id int, team string, state string, start_frame int, formation string, cost double, hull_area_m2 double, depth_m double, width_m double, players array<int>, slots array<string>"
-    return places.groupBy("match_id", "team", "state", "start_frame").applyInPandas(work, schema)
+    kinds = dict(places.dtypes)
+    schema = f"match_id {kinds['match_id']}, team string, state string, start_frame int, formation string, cost double, hull_area_m2 double, depth_m double, width_m double, players array<int>, slots array<string>"
+    return windows.mapInArrow(work, schema)
 
 
 def formation_summary(windows: DataFrame) -> DataFrame:
@@ -92,5 +109,5 @@ def formation_summary(windows: DataFrame) -> DataFrame:
     order = Window.partitionBy("match_id", "team", "state").orderBy("start_frame")
     changed = windows.withColumn("changed", F.coalesce((F.lag("formation").over(order) != F.col("formation")).cast("int"), F.lit(0)))
     modal = changed.groupBy("match_id", "team", "state").agg(F.mode("formation", deterministic=True).alias("modal"))
-    joined = changed.join(F.broadcast(modal), ["match_id", "team", "state"])
+    joined = changed.join(modal, ["match_id", "team", "state"])
     return joined.groupBy("match_id", "team", "state", F.col("modal").alias("formation_")).agg(F.avg((F.col("formation") == F.col("modal")).cast("double")).alias("stability"), F.avg("hull_area_m2").alias("mean_hull_m2"), F.avg("width_m").alias("mean_width_m"), F.avg("depth_m").alias("mean_depth_m"), F.sum("changed").alias("n_transitions")).withColumnRenamed("formation_", "formation")

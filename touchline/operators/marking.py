@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,27 +22,33 @@ def _defence(phases: DataFrame) -> DataFrame:
 
 
 def assignments(tracking: DataFrame, phases: DataFrame, open_play: bool = True, cfg: Config = DEFAULT) -> DataFrame:
-    """(match_id, frame, defending_team, defender_id, attacker_id, dist_m): pairs of least total distance in sampled frames, each frame a small group of its own."""
+    """(match_id, frame, defending_team, defender_id, attacker_id, dist_m): pairs of least total distance in sampled frames, each frame one row of two short arrays."""
     step = max(1, int(STEP_S * cfg.fps))
     frames = _defence(phases).where("phase <> 'set_piece'" if open_play else "true")
     order = Window.partitionBy("match_id", "defending_team").orderBy("frame")
     sampled = frames.withColumn("i", F.row_number().over(order) - 1).where(F.col("i") % step == 0).select("match_id", "frame", "defending_team")
     rows = players_only(tracking, goalkeepers=False).select("match_id", "frame", "entity_id", "team", "x", "y").join(sampled, ["match_id", "frame"])
 
-    def work(group: pd.DataFrame) -> pd.DataFrame:
-        first = group.iloc[0]
-        group = group.sort_values("entity_id")
-        own = group[group["team"] == first["defending_team"]]
-        other = group[group["team"] != first["defending_team"]]
-        found = []
-        if len(own) >= FEWEST and len(other) >= FEWEST:
-            cost = np.hypot(own["x"].to_numpy()[:, None] - other["x"].to_numpy(), own["y"].to_numpy()[:, None] - other["y"].to_numpy())
-            for r, c in zip(*assign(np.where(cost > MAX_PAIR_M, cost + 1e5, cost))):
-                if cost[r, c] <= MAX_PAIR_M:
-                    found.append((first["match_id"], first["frame"], first["defending_team"], own["entity_id"].iloc[r], other["entity_id"].iloc[c], round(float(cost[r, c]), 2)))
-        return pd.DataFrame(found, columns=["match_id", "frame", "defending_team", "defender_id", "attacker_id", "dist_m"])
+    one = F.struct("entity_id", "x", "y")
+    own = F.col("team") == F.col("defending_team")
+    arrays = rows.groupBy("match_id", "frame", "defending_team").agg(F.sort_array(F.collect_list(F.when(own, one))).alias("own"), F.sort_array(F.collect_list(F.when(~own, one))).alias("other")).where((F.size("own") >= FEWEST) & (F.size("other") >= FEWEST))
 
-    return rows.groupBy("match_id", "frame", "defending_team").applyInPandas(work, "match_id int, frame int, defending_team string, defender_id int, attacker_id int, dist_m double")
+    def work(batches):
+        for batch in batches:
+            at, found = [], []
+            for i, (own, other) in enumerate(zip(batch.column("own").to_pylist(), batch.column("other").to_pylist())):
+                p, q = (np.array([(r["x"], r["y"]) for r in side]) for side in (own, other))
+                cost = np.hypot(*(p[:, None] - q[None]).transpose(2, 0, 1))
+                for r, c in zip(*assign(np.where(cost > MAX_PAIR_M, cost + 1e5, cost))):
+                    if cost[r, c] <= MAX_PAIR_M:
+                        at.append(i)
+                        found.append((own[r]["entity_id"], other[c]["entity_id"], round(float(cost[r, c]), 2)))
+            key = batch.select(["match_id", "frame", "defending_team"]).take(pa.array(at, pa.int64()))
+            cells = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*key.columns, *cells], names=[*key.schema.names, "defender_id", "attacker_id", "dist_m"])
+
+    kinds = dict(rows.dtypes)
+    return arrays.mapInArrow(work, f"match_id {kinds['match_id']}, frame {kinds['frame']}, defending_team string, defender_id int, attacker_id int, dist_m double")
 
 
 def pairs(assigned: DataFrame) -> DataFrame:
@@ -82,7 +88,7 @@ def coupling(found: DataFrame, tracking: DataFrame, phases: DataFrame, fewest: i
     own = rest.select("match_id", "frame", "defending_team", F.col("entity_id").alias("defender_id"), F.col("rx").alias("dx"), F.col("ry").alias("dy"))
     other = rest.select("match_id", "frame", F.col("entity_id").alias("attacker_id"), "rx", "ry")
     named = found.select("match_id", "defending_team", "defender_id", "attacker_id")
-    both = own.join(F.broadcast(named), ["match_id", "defending_team", "defender_id"]).join(other, ["match_id", "frame", "attacker_id"])
+    both = own.join(named, ["match_id", "defending_team", "defender_id"]).join(other, ["match_id", "frame", "attacker_id"])
     series = both.select("match_id", "defending_team", "defender_id", F.explode(F.array(F.struct(F.col("dx").alias("d"), F.col("rx").alias("a")), F.struct(F.col("dy").alias("d"), F.col("ry").alias("a")))).alias("v"))
     return series.groupBy("match_id", "defending_team", "defender_id").agg(F.corr("v.d", "v.a").alias("coupling"), F.count("*").alias("m")).where(F.col("m") >= 2 * fewest).drop("m")
 

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions.direction import directed, sign
 from ..functions.pitch import attacking_x, attacking_y, cell, third
 from ..functions.sequences import islands, ordered
-from ..sources.lens import sign
 from .possession import players_only
 
 
@@ -151,10 +151,10 @@ def blurred(grid: DataFrame, value: str, *keys: str, sigma: float = 1.5, nx: int
     start = grid.select(*keys, "iy", "ix", F.col(value).cast("double").alias("v"))
     both = along(along(start, "iy", "ix", ny), "ix", "iy", nx)
     total = both.groupBy(*keys).agg(F.sum("v").alias("total"))
-    return both.join(F.broadcast(total), list(keys)).select(*keys, "iy", "ix", (F.col("v") / F.col("total")).alias("v"))
+    return both.join(total, list(keys)).select(*keys, "iy", "ix", (F.col("v") / F.col("total")).alias("v"))
 
 
-def player_features(tracking: DataFrame, held: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def player_features(tracking: DataFrame, held: DataFrame, matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(match_id, entity_id, team, ...): spatial, involvement and interaction features of each outfield player, in the direction of attack."""
     key = ["match_id", "entity_id"]
     out = players_only(tracking, goalkeepers=False)
@@ -162,7 +162,7 @@ def player_features(tracking: DataFrame, held: DataFrame, cfg: Config = DEFAULT)
     group = Window.partitionBy("match_id", "frame", "team")
     rows = out.withColumns({"cx": F.avg("x").over(group), "cy": F.avg("y").over(group)}).join(ball, ["match_id", "frame"], "left").join(held.select("match_id", "frame", "holder_id", F.col("team").alias("poss_team")), ["match_id", "frame"], "left")
     s = sign()
-    placed = rows.withColumns({
+    placed = directed(rows, matches).withColumns({
         "xa": attacking_x(F.col("x"), s), "ya": attacking_y(F.col("y"), s),
         "db": F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2), "dc": F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2),
     })

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config, Threat
+from ..functions.direction import directed, sign
 from ..functions.pitch import attacking_x, attacking_y, cell
-from ..sources.lens import sign
 from .possession import players_only
 
 
@@ -97,43 +97,45 @@ def pass_centrality(edges: DataFrame) -> DataFrame:
     return edges.groupBy("match_id", "team").applyInPandas(work, "match_id int, team string, entity_id int, betweenness double, eigenvector double")
 
 
-def defensive_lines(tracking: DataFrame, passes: DataFrame, tolerance: int = 3, cfg: Config = DEFAULT) -> DataFrame:
+def defensive_lines(tracking: DataFrame, passes: DataFrame, matches: DataFrame, tolerance: int = 3, cfg: Config = DEFAULT) -> DataFrame:
     """(match_id, frame, team, from_id, line_x): mean depths of the defenders' lines at each pass, in the passing team's direction.
 
     Passes are spread over the frames around them, so that the defenders come
     by an equi-join. Lines part at the two widest gaps; a line has two players.
+    Depths and gaps are compared to nine decimals; of equal gaps the one further
+    forward parts, of equally deep players the smaller id stands behind.
     """
     key = ["match_id", "p_frame", "team", "from_id"]
     around = passes.select("match_id", F.col("frame").alias("p_frame"), "team", "from_id").distinct().withColumn("frame", F.explode(F.sequence(F.col("p_frame") - tolerance, F.col("p_frame") + tolerance)))
     others = players_only(tracking, goalkeepers=False).select("match_id", "frame", "entity_id", F.col("team").alias("d_team"), "x")
     mean = around.join(others, ["match_id", "frame"]).where("d_team <> team").groupBy(*key, "entity_id").agg(F.avg("x").alias("x"))
-    placed = mean.withColumn("xa", attacking_x(F.col("x"), sign("team", "p_frame")))
+    placed = directed(mean, matches).withColumn("xa", F.round(attacking_x(F.col("x"), sign("team", "p_frame")), 9))
     group = Window.partitionBy(*key)
     order = group.orderBy("xa", "entity_id")
-    gaps = placed.withColumns({"n": F.count("*").over(group), "gap": F.col("xa") - F.lag("xa").over(order), "i": F.row_number().over(order)}).where("n >= 6")
+    gaps = placed.withColumns({"n": F.count("*").over(group), "gap": F.round(F.col("xa") - F.lag("xa").over(order), 9), "i": F.row_number().over(order)}).where("n >= 6")
     wide = F.row_number().over(group.orderBy(F.desc_nulls_last("gap"), F.desc("i"))) <= 2
     lines = gaps.withColumn("cut", wide.cast("int")).withColumn("line", F.sum("cut").over(order))
     return lines.groupBy(*key, "line").agg(F.avg("xa").alias("line_x"), F.count("*").alias("m")).where("m >= 2").select("match_id", F.col("p_frame").alias("frame"), "team", "from_id", "line_x")
 
 
-def line_breaking(tracking: DataFrame, events: DataFrame, margin: float = 2.0, cfg: Config = DEFAULT) -> DataFrame:
+def line_breaking(tracking: DataFrame, events: DataFrame, matches: DataFrame, margin: float = 2.0, cfg: Config = DEFAULT) -> DataFrame:
     """(match_id, frame, team, from_id, to_id, n_lines_broken): completed passes from behind a line to beyond it."""
     passes = events.where("type = 'pass' and outcome = 'complete'")
     s = sign()
-    ends = passes.select("match_id", "frame", "team", "from_id", "to_id", attacking_x(F.col("x"), s).alias("x0"), attacking_x(F.col("end_x"), s).alias("x1"))
-    lines = defensive_lines(tracking, passes, cfg=cfg)
+    ends = directed(passes, matches).select("match_id", "frame", "team", "from_id", "to_id", attacking_x(F.col("x"), s).alias("x0"), attacking_x(F.col("end_x"), s).alias("x1"))
+    lines = defensive_lines(tracking, passes, matches, cfg=cfg)
     broken = ends.join(lines, ["match_id", "frame", "team", "from_id"]).where((F.col("x0") < F.col("line_x") - margin) & (F.col("x1") > F.col("line_x") + margin))
     return broken.groupBy("match_id", "frame", "team", "from_id", "to_id").agg(F.count("*").alias("n_lines_broken"))
 
 
-def moves(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def moves(events: DataFrame, matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(match_id, team, from_id, s, e): grid cells of completed passes and carries in the direction of attack."""
     t, p, s = cfg.threat, cfg.pitch, sign()
 
     def at(x: str, y: str):
         return cell(attacking_y(F.col(y), s), p.width, t.ny) * t.nx + cell(attacking_x(F.col(x), s), p.length, t.nx)
 
-    return events.where("type in ('pass', 'carry') and outcome = 'complete'").select("match_id", "team", "from_id", at("x", "y").alias("s"), at("end_x", "end_y").alias("e"))
+    return directed(events, matches).where("type in ('pass', 'carry') and outcome = 'complete'").select("match_id", "team", "from_id", at("x", "y").alias("s"), at("end_x", "end_y").alias("e"))
 
 
 def xt_counts(found: DataFrame) -> DataFrame:
@@ -142,30 +144,35 @@ def xt_counts(found: DataFrame) -> DataFrame:
 
 
 def value_grid(counts: np.ndarray, share_complete: float | None, t: Threat = DEFAULT.threat, length: float = 105.0, width: float = 68.0, shots: np.ndarray | None = None, goals: np.ndarray | None = None) -> np.ndarray:
-    """Threat of each cell: the chance of a goal by shot or through moves, by value iteration with priors for sparse cells."""
-    n = t.nx * t.ny
-    cx, cy = (np.tile(np.arange(t.nx), t.ny) + 0.5) / t.nx * length, (np.repeat(np.arange(t.ny), t.nx) + 0.5) / t.ny * width
-    apart = np.hypot(cx[:, None] - cx, cy[:, None] - cy)
-    prior = np.exp(-apart / 18.0 + np.clip(cx[None, :] - cx[:, None], -30, 30) / 45.0)
-    np.fill_diagonal(prior, 0)
-    moved = 2 * prior / prior.sum(axis=1, keepdims=True) + counts
-    shots, goals = (np.zeros(n) if v is None else v for v in (shots, goals))
-    to_goal = np.hypot(length - cx, width / 2 - cy)
-    total = counts.sum(axis=1) + shots + 1e-6
-    shoots = (shots + 8 * 0.15 * np.clip(0.9 - to_goal / 40, 0.01, 0.85)) / (total + 8)
-    scores = (goals + 3 * np.clip(0.55 - to_goal / 45, 0.02, 0.5)) / (shots + 3)
-    complete = 0.78 if share_complete is None else float(np.clip(share_complete, 0.5, 0.95))
-    step = (1 - shoots)[:, None] * complete * moved / moved.sum(axis=1, keepdims=True)
-    value = np.zeros(n)
-    for _ in range(t.rounds):
-        value = shoots * scores + step @ value
-    return value
-
-
-def xt_grids(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Threat v of each cell, from v = shoots * scores + (1 - shoots) * complete * M v.
+
+    M holds the chances of moving from cell to cell. Each chance is an estimate
+    that mixes what was counted with a prior worth so many observations
+    (``Threat``). The equation is linear, so it is solved and not iterated.
+    """
+    along, across = np.meshgrid((np.arange(t.nx) + 0.5) * length / t.nx, (np.arange(t.ny) + 0.5) * width / t.ny)
+    place = along.ravel() + 1j * across.ravel()
+    shots, goals = (np.zeros(len(place)) if v is None else v for v in (shots, goals))
+
+    def estimate(hits, tries, chance, weight):
+        return (hits + weight * chance) / (tries + weight)
+
+    ahead = place.real[None, :] - place.real[:, None]
+    likely = np.exp(np.clip(ahead, -t.forward_cut_m, t.forward_cut_m) / t.forward_m - abs(place[None, :] - place[:, None]) / t.reach_m)
+    np.fill_diagonal(likely, 0)
+    moving = estimate(counts, counts.sum(axis=1, keepdims=True), likely / likely.sum(axis=1, keepdims=True), t.move_weight)
+
+    to_goal = abs(place - (length + 0.5j * width))
+    shoots = estimate(shots, counts.sum(axis=1) + shots, t.shot_share * np.clip(t.shot_near - to_goal / t.shot_m, *t.shot_range), t.shot_weight)
+    scores = estimate(goals, shots, np.clip(t.goal_near - to_goal / t.goal_m, *t.goal_range), t.goal_weight)
+    complete = t.complete if share_complete is None else np.clip(share_complete, *t.complete_range)
+    return np.linalg.solve(np.eye(len(place)) - ((1 - shoots) * complete)[:, None] * moving, shoots * scores)
+
+
+def xt_grids(events: DataFrame, matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(match_id, cell, xt): one grid of each match; matches are groups of at most 192 x 192 counts, so each is solved where it lies."""
     n = cfg.threat.nx * cfg.threat.ny
-    counts = xt_counts(moves(events, cfg))
+    counts = xt_counts(moves(events, matches, cfg))
     passes = events.where("type = 'pass'").groupBy("match_id").agg(F.count("*").alias("passes"), F.avg((F.col("outcome") == "complete").cast("double")).alias("share"))
     rows = passes.join(counts, "match_id", "left")
 
@@ -180,9 +187,9 @@ def xt_grids(events: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return rows.groupBy("match_id").applyInPandas(work, "match_id int, cell int, xt double")
 
 
-def player_xt(events: DataFrame, grids: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def player_xt(events: DataFrame, grids: DataFrame, matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(match_id, entity_id, team, xt_net, xt_created, n_moves)."""
-    rows = moves(events, cfg)
+    rows = moves(events, matches, cfg)
     at = lambda c, n: grids.select("match_id", F.col("cell").alias(c), F.col("xt").alias(n))
     gained = rows.join(at("s", "x0"), ["match_id", "s"]).join(at("e", "x1"), ["match_id", "e"]).withColumn("dxt", F.col("x1") - F.col("x0"))
     return gained.groupBy("match_id", F.col("from_id").alias("entity_id"), "team").agg(F.round(F.sum("dxt"), 4).alias("xt_net"), F.round(F.sum(F.greatest("dxt", F.lit(0.0))), 4).alias("xt_created"), F.count("*").alias("n_moves"))

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions.direction import directed, sign
 from ..functions.pitch import attacking_x, distance
 from ..functions.sequences import islands, ordered
-from ..sources.lens import sign
 from .possession import ball_of, players_only
 
 
@@ -70,7 +70,7 @@ def event_counts(found: DataFrame) -> DataFrame:
     )
 
 
-def counter_attacks(found: DataFrame, ball: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def counter_attacks(found: DataFrame, ball: DataFrame, matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(match_id, frame, team, gain_m, duration_s, speed_mps): turnovers after which the ball gains ground fast.
 
     The range join goes by buckets of the window's length, so that a turnover
@@ -80,7 +80,7 @@ def counter_attacks(found: DataFrame, ball: DataFrame, cfg: Config = DEFAULT) ->
     won = found.where("type = 'turnover'").select("match_id", F.col("frame").alias("f0"), "team", F.explode(F.array(F.floor(F.col("frame") / span), F.floor(F.col("frame") / span) + 1)).alias("bucket"))
     rows = ball.withColumn("bucket", F.floor(F.col("frame") / span))
     seen = won.join(rows, ["match_id", "bucket"]).where(F.col("frame").between(F.col("f0"), F.col("f0") + span))
-    forward = seen.withColumn("xa", attacking_x(F.col("ball_x"), sign()))
+    forward = directed(seen, matches).withColumn("xa", attacking_x(F.col("ball_x"), sign()))
     runs = forward.groupBy("match_id", "f0", "team").agg(F.count("*").alias("n"), F.min_by("xa", "frame").alias("first"), F.max("xa").alias("best"), F.max(F.struct("xa", -F.col("frame")))["col2"].alias("neg_frame"))
     gain = F.col("best") - F.col("first")
     duration = (-F.col("neg_frame") - F.col("f0")) / cfg.fps

@@ -60,7 +60,7 @@ def possession_summary(held: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     seconds = (F.col("end_frame") - F.col("start_frame") + 1) / cfg.fps
     lengths = spells(held).groupBy("match_id", "team").agg(F.count("*").alias("n_spells"), F.avg(seconds).alias("mean_spell_s"), F.max(seconds).alias("max_spell_s"))
     total = frames.groupBy("match_id").agg(F.sum("frames").alias("total"))
-    return frames.join(F.broadcast(total), "match_id").join(lengths, ["match_id", "team"]).select("match_id", "team", (F.col("frames") / F.col("total")).alias("share"), "n_spells", "mean_spell_s", "max_spell_s")
+    return frames.join(total, "match_id").join(lengths, ["match_id", "team"]).select("match_id", "team", (F.col("frames") / F.col("total")).alias("share"), "n_spells", "mean_spell_s", "max_spell_s")
 
 
 def rolling_possession(held: DataFrame, seconds: float = 30, cfg: Config = DEFAULT) -> DataFrame:

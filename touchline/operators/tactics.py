@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
+from ..functions.direction import directed, sign
 from ..functions.pitch import attacking_x, distance
 from ..functions.sequences import islands, last_known, ordered
-from ..sources.lens import sign
 from .possession import ball_of, players_only
 
 
-def shape(tracking: DataFrame, held: DataFrame, every: int = 5, cfg: Config = DEFAULT) -> DataFrame:
+def shape(tracking: DataFrame, held: DataFrame, matches: DataFrame, every: int = 5, cfg: Config = DEFAULT) -> DataFrame:
     """(match_id, frame, team, def_line_height_m, depth_m, width_m, centroid_x_att, in_possession) of sampled frames with seven outfield players or more; the line is the second deepest."""
-    rows = players_only(tracking, goalkeepers=False).where(F.col("frame") % every == 0).withColumn("xa", attacking_x(F.col("x"), sign()))
+    rows = directed(players_only(tracking, goalkeepers=False).where(F.col("frame") % every == 0), matches).withColumn("xa", attacking_x(F.col("x"), sign()))
     grouped = rows.groupBy("match_id", "frame", "team").agg(F.sort_array(F.collect_list("xa")).alias("xs"), F.avg("xa").alias("centroid_x_att"), (F.max("y") - F.min("y")).alias("width_m")).where(F.size("xs") >= 7)
     owner = held.select("match_id", "frame", F.col("team").alias("owner"))
     joined = grouped.join(owner, ["match_id", "frame"], "left")
@@ -29,16 +29,16 @@ def shape_summary(shapes: DataFrame) -> DataFrame:
     return shapes.groupBy("match_id", "team").agg(*cols).withColumn("block_label", F.when(line > 40, "high line").when(line > 28, "mid block").otherwise("deep block"))
 
 
-def field_tilt(tracking: DataFrame, held: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def field_tilt(tracking: DataFrame, held: DataFrame, matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(match_id, team, final_third_share, own_third_share, mean_ball_x_att, tilt): tilt is the team's part of both teams' rounded final-third shares."""
     third = cfg.pitch.length / 3
-    rows = ball_of(tracking).join(held.where("team <> 'none'").select("match_id", "frame", "team"), ["match_id", "frame"]).withColumn("xa", attacking_x(F.col("ball_x"), sign()))
+    rows = directed(ball_of(tracking).join(held.where("team <> 'none'").select("match_id", "frame", "team"), ["match_id", "frame"]), matches).withColumn("xa", attacking_x(F.col("ball_x"), sign()))
     shares = rows.groupBy("match_id", "team").agg(F.round(F.avg((F.col("xa") > 2 * third).cast("double")), 3).alias("final_third_share"), F.round(F.avg((F.col("xa") < third).cast("double")), 3).alias("own_third_share"), F.avg("xa").alias("mean_ball_x_att"))
     total = F.sum("final_third_share").over(Window.partitionBy("match_id"))
     return shares.withColumn("tilt", F.when(total > 0, F.col("final_third_share") / total))
 
 
-def phases(tracking: DataFrame, held: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def phases(tracking: DataFrame, held: DataFrame, matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(match_id, frame, poss_team, phase, def_posture) of every ball frame."""
     p, order = cfg.phases, ordered("match_id")
     ball = ball_of(tracking).join(held.select("match_id", "frame", "team"), ["match_id", "frame"], "left").withColumn("poss_team", F.coalesce("team", F.lit("none"))).drop("team")
@@ -53,7 +53,7 @@ def phases(tracking: DataFrame, held: DataFrame, cfg: Config = DEFAULT) -> DataF
     runs = islands(moved.withColumn("since", since), F.lag("slow").over(order) != F.col("slow"), "run", "match_id")
     placed = runs.withColumn("dead", F.col("slow") & (F.row_number().over(ordered("match_id", "run")) >= p.dead_s * cfg.fps))
     centroid = players_only(tracking, goalkeepers=False).groupBy("match_id", "frame").agg(*(F.avg(F.when(F.col("team") == t, F.col("x"))).alias(f"c_{t}") for t in ("home", "away")))
-    rows = placed.join(centroid, ["match_id", "frame"], "left")
+    rows = directed(placed.join(centroid, ["match_id", "frame"], "left"), matches)
     s = sign("poss_team")
     xa = attacking_x(F.col("ball_x"), s)
     gain = xa - attacking_x(F.col("since.ball_x"), s)
@@ -89,7 +89,7 @@ def pressures(kin: DataFrame, held: DataFrame, teams: DataFrame, cfg: Config = D
     the holder's one row against the other players.
     """
     p = cfg.pressing
-    moving = kin.select("match_id", "frame", "entity_id", "x", "y", "vx", "vy").join(F.broadcast(teams.select("match_id", "entity_id", F.col("team").alias("p_team"))), ["match_id", "entity_id"])
+    moving = kin.select("match_id", "frame", "entity_id", "x", "y", "vx", "vy").join(teams.select("match_id", "entity_id", F.col("team").alias("p_team")), ["match_id", "entity_id"])
     holder = held.where("holder_id >= 0").select("match_id", "frame", F.col("holder_id").alias("target_id"), "team")
     target = holder.join(moving.select("match_id", "frame", F.col("entity_id").alias("target_id"), F.col("x").alias("hx"), F.col("y").alias("hy")), ["match_id", "frame", "target_id"])
     near = target.join(moving, ["match_id", "frame"]).where("p_team <> team")
@@ -105,17 +105,17 @@ def _other(team: str):
     return F.when(F.col(team) == "home", "away").otherwise("home")
 
 
-def ppda(events: DataFrame, press: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def ppda(events: DataFrame, press: DataFrame, matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(match_id, team, opp_buildup_passes, defensive_actions, ppda): passes that the opponent may make for each defensive action in its own zone; null without an action."""
     zone = cfg.pressing.ppda_share * cfg.pitch.length
-    passes = events.where("type = 'pass'").select("match_id", _other("team").alias("team"), F.when(attacking_x(F.col("x"), sign()) <= zone, 1).otherwise(0).alias("passes"), F.lit(0).alias("actions"))
+    passes = directed(events.where("type = 'pass'"), matches).select("match_id", _other("team").alias("team"), F.when(attacking_x(F.col("x"), sign()) <= zone, 1).otherwise(0).alias("passes"), F.lit(0).alias("actions"))
     won = events.where("type = 'turnover'").select("match_id", "frame", "team", "x").unionByName(press.select("match_id", "frame", F.col("presser_team").alias("team"), "x"))
-    acted = won.select("match_id", "team", F.lit(0).alias("passes"), F.when(attacking_x(F.col("x"), -sign()) <= zone, 1).otherwise(0).alias("actions"))
+    acted = directed(won, matches).select("match_id", "team", F.lit(0).alias("passes"), F.when(attacking_x(F.col("x"), -sign()) <= zone, 1).otherwise(0).alias("actions"))
     both = passes.unionByName(acted).groupBy("match_id", "team").agg(F.sum("passes").alias("opp_buildup_passes"), F.sum("actions").alias("defensive_actions"))
     return both.withColumn("ppda", F.col("opp_buildup_passes") / F.nullif("defensive_actions", F.lit(0)))
 
 
-def pressing_summary(press: DataFrame, events: DataFrame, n_frames: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def pressing_summary(press: DataFrame, events: DataFrame, n_frames: DataFrame, matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(match_id, team, pressures, pressures_per_min, press_height_mean_m, high_press_share, press_to_turnover_rate).
 
     Whether a turnover follows in time is a look ahead over both kinds of rows
@@ -123,7 +123,7 @@ def pressing_summary(press: DataFrame, events: DataFrame, n_frames: DataFrame, c
     """
     rows = press.select("match_id", F.col("presser_team").alias("team"), "frame", "x", F.lit(1).alias("press")).unionByName(events.where("type = 'turnover'").select("match_id", "team", "frame", F.lit(None).cast("double").alias("x"), F.lit(0).alias("press")))
     ahead = Window.partitionBy("match_id", "team").orderBy("frame").rangeBetween(0, int(cfg.pressing.win_s * cfg.fps))
-    seen = rows.withColumn("won", F.max(1 - F.col("press")).over(ahead)).where("press = 1").withColumn("xa", attacking_x(F.col("x"), sign()))
+    seen = directed(rows.withColumn("won", F.max(1 - F.col("press")).over(ahead)).where("press = 1"), matches).withColumn("xa", attacking_x(F.col("x"), sign()))
     grouped = seen.groupBy("match_id", "team").agg(F.count("*").alias("pressures"), F.avg("xa").alias("press_height_mean_m"), F.avg((F.col("xa") > 2 * cfg.pitch.length / 3).cast("double")).alias("high_press_share"), F.avg(F.col("won").cast("double")).alias("press_to_turnover_rate"))
     minutes = n_frames.select("match_id", (F.col("n_frames") / cfg.fps / 60).alias("m"))
-    return grouped.join(F.broadcast(minutes), "match_id").select("match_id", "team", "pressures", (F.col("pressures") / F.col("m")).alias("pressures_per_min"), "press_height_mean_m", "high_press_share", "press_to_turnover_rate")
+    return grouped.join(minutes, "match_id").select("match_id", "team", "pressures", (F.col("pressures") / F.col("m")).alias("pressures_per_min"), "press_height_mean_m", "high_press_share", "press_to_turnover_rate")

@@ -32,10 +32,10 @@ def jersey_votes(readings: DataFrame, least: float = 0.55, fewest: int = 2, shar
     return best.where((F.col("r") == 1) & (F.col("n") >= fewest) & (F.col("part") >= share)).select("match_id", "entity_id", "number", F.col("part").alias("weight_share"), "n")
 
 
-def attack_direction(rows: DataFrame) -> DataFrame:
-    """(match_id, home_sign): the team that stands further left on average attacks to the right."""
-    means = rows.groupBy("match_id").agg(*(F.avg(F.when(F.col("team") == t, F.col("x"))).alias(t) for t in ("home", "away")))
-    return means.select("match_id", F.when(F.col("home") <= F.col("away"), 1).otherwise(-1).alias("home_sign"))
+def attack_direction(rows: DataFrame, *parts: str) -> DataFrame:
+    """(match_id, parts, home_sign): the team that stands further left on average, in each part of the match, attacks to the right."""
+    means = rows.groupBy("match_id", *parts).agg(*(F.avg(F.when(F.col("team") == t, F.col("x"))).alias(t) for t in ("home", "away")))
+    return means.select("match_id", *parts, F.when(F.col("home") <= F.col("away"), 1).otherwise(-1).alias("home_sign"))
 
 
 def bridged(rows: DataFrame, longest: int = 25) -> DataFrame:

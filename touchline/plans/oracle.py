@@ -8,7 +8,8 @@ ORDER = "PARTITION BY match_id ORDER BY frame"
 
 
 def _sign(team: str, frame: str) -> str:
-    return f"(CASE WHEN {team} = 'home' THEN 1 ELSE -1 END * CASE WHEN {frame} >= 3000 THEN -1 ELSE 1 END)"
+    match = f"{frame.rpartition('.')[0]}.match_id".lstrip(".")
+    return f"(CASE WHEN {team} = 'home' THEN 1 ELSE -1 END * CASE WHEN {match} % 2 = 1 THEN -1 ELSE 1 END * CASE WHEN {frame} >= CASE WHEN {match} % 2 = 1 THEN 2400 ELSE 3000 END THEN -1 ELSE 1 END)"
 
 
 def _xa(x: str, team: str, frame: str) -> str:
@@ -133,15 +134,17 @@ MOVES = f"mv AS (SELECT match_id, team, from_id, {_cell('x', 'y')} AS s, {_cell(
 
 LINES = f"""lp AS (SELECT DISTINCT match_id, frame, team, from_id FROM ev WHERE type = 'pass' AND outcome = 'complete'
 ), lm AS (
-    SELECT lp.match_id, lp.frame, lp.team, lp.from_id, t.entity_id, {_xa("avg(t.x)", "lp.team", "lp.frame")} AS xa
+    SELECT lp.match_id, lp.frame, lp.team, lp.from_id, t.entity_id, round({_xa("avg(t.x)", "lp.team", "lp.frame")}, 9) AS xa
     FROM lp JOIN t ON t.match_id = lp.match_id AND t.frame BETWEEN lp.frame - 3 AND lp.frame + 3 AND t.team <> lp.team AND t.class = 'player' GROUP BY lp.match_id, lp.frame, lp.team, lp.from_id, t.entity_id
 ), lg AS (
-    SELECT *, xa - lag(xa) OVER w AS gap, row_number() OVER w AS i, count(*) OVER (PARTITION BY match_id, frame, team, from_id) AS n FROM lm WINDOW w AS (PARTITION BY match_id, frame, team, from_id ORDER BY xa, entity_id)
+    SELECT *, round(xa - lag(xa) OVER w, 9) AS gap, row_number() OVER w AS i, count(*) OVER (PARTITION BY match_id, frame, team, from_id) AS n FROM lm WINDOW w AS (PARTITION BY match_id, frame, team, from_id ORDER BY xa, entity_id)
 ), lc AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY match_id, frame, team, from_id ORDER BY gap DESC NULLS LAST, i DESC) <= 2 THEN 1 ELSE 0 END AS cut FROM lg WHERE n >= 6
 ), ll AS (SELECT *, sum(cut) OVER (PARTITION BY match_id, frame, team, from_id ORDER BY i) AS line FROM lc
 ), lines AS (SELECT match_id, frame, team, from_id, avg(xa) AS line_x FROM ll GROUP BY match_id, frame, team, from_id, line HAVING count(*) >= 2)"""
 
-CONTROL = """sm AS (SELECT k.match_id, k.frame, CASE WHEN k.entity_id <= 11 THEN 'home' ELSE 'away' END AS team, k.x + 0.7::DOUBLE * vx AS px, k.y + 0.7::DOUBLE * vy AS py FROM kin k JOIN t USING (match_id, frame, entity_id) WHERE k.frame % 50 = 0
+CONTROL = """sn AS (SELECT *, dense_rank() OVER (PARTITION BY match_id ORDER BY frame) - 1 AS nth FROM kin
+), sm AS (
+    SELECT match_id, frame, CASE WHEN entity_id <= 11 THEN 'home' ELSE 'away' END AS team, x + 0.7::DOUBLE * vx AS px, y + 0.7::DOUBLE * vy AS py FROM sn WHERE nth % 12 = 0 QUALIFY count(*) OVER (PARTITION BY match_id, frame) >= 6
 ), cl AS (SELECT c // 52 AS iy, c % 52 AS ix, (c % 52 + 0.5) * (105.0::DOUBLE / 52) AS cx, (c // 52 + 0.5) * (68.0::DOUBLE / 34) AS cy FROM (SELECT unnest(range(0, 1768)) AS c)
 ), near2 AS (
     SELECT match_id, frame, iy, ix, min(sqrt((px - cx) * (px - cx) + (py - cy) * (py - cy))) FILTER (team = 'home') / 7.8::DOUBLE AS h, min(sqrt((px - cx) * (px - cx) + (py - cy) * (py - cy))) FILTER (team = 'away') / 7.8::DOUBLE AS a
@@ -154,7 +157,7 @@ PLACES = f"""fo AS (
 ), fs AS (SELECT match_id, team, start_frame FROM fo GROUP BY ALL HAVING count(DISTINCT frame) >= 250
 ), fe AS (SELECT match_id, team, state, start_frame FROM fo WHERE state IS NOT NULL GROUP BY ALL HAVING count(DISTINCT frame) >= 75
 ), fm AS (
-    SELECT match_id, team, state, start_frame, entity_id, count(*) AS c, avg(x) AS mx, avg(y) AS my FROM fo JOIN fs USING (match_id, team, start_frame) JOIN fe USING (match_id, team, state, start_frame) GROUP BY ALL
+    SELECT match_id, team, state, start_frame, entity_id, count(*) AS c, round(avg(x) + 1e-9::DOUBLE, 6) AS mx, round(avg(y) + 1e-9::DOUBLE, 6) AS my FROM fo JOIN fs USING (match_id, team, start_frame) JOIN fe USING (match_id, team, state, start_frame) GROUP BY ALL
 ), ft AS (SELECT * FROM fm QUALIFY row_number() OVER (PARTITION BY match_id, team, state, start_frame ORDER BY c DESC, entity_id) <= 10
 ), fk AS (SELECT *, count(*) OVER (PARTITION BY match_id, team, state, start_frame) AS k FROM ft)"""
 
@@ -272,7 +275,7 @@ _SQL: dict[str, str] = {
     "jersey_votes": _with(LENS, """, r AS (SELECT match_id, entity_id, entity_id + CASE WHEN (frame * 3 + entity_id) % 5 = 0 THEN 1 ELSE 0 END AS number, sum(conf) AS w, count(*) AS n FROM t WHERE conf >= 0.55 GROUP BY ALL
         ), b AS (SELECT *, w / sum(w) OVER (PARTITION BY match_id, entity_id) AS weight_share FROM r QUALIFY row_number() OVER (PARTITION BY match_id, entity_id ORDER BY round(w, 6) DESC, number) = 1)
         SELECT match_id, entity_id, number, weight_share, n FROM b WHERE n >= 2 AND weight_share >= 0.6"""),
-    "attack_direction": _with(LENS, "SELECT match_id, CASE WHEN avg(x) FILTER (team = 'home') <= avg(x) FILTER (team = 'away') THEN 1 ELSE -1 END AS home_sign FROM t WHERE frame < 3000 GROUP BY ALL"),
+    "attack_direction": _with(LENS, "SELECT match_id, CASE WHEN frame >= CASE WHEN match_id % 2 = 1 THEN 2400 ELSE 3000 END THEN 2 ELSE 1 END AS half, CASE WHEN avg(x) FILTER (team = 'home') <= avg(x) FILTER (team = 'away') THEN 1 ELSE -1 END AS home_sign FROM t GROUP BY ALL"),
     "bridged_gaps": _with(LENS, """, n AS (SELECT *, lead(frame) OVER w AS nf, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(conf) OVER w AS nc FROM t WHERE frame % 50 < 38 WINDOW w AS (PARTITION BY match_id, entity_id ORDER BY frame)
         ), u AS (SELECT *, unnest(CASE WHEN nf - frame BETWEEN 2 AND 25 THEN range(frame, nf) ELSE [frame] END) AS f FROM n), v AS (SELECT *, (f - frame) / (nf - frame)::DOUBLE AS s FROM u)
         SELECT match_id, entity_id, f AS frame, CASE WHEN f > frame THEN x + (nx - x) * s ELSE x END AS x, CASE WHEN f > frame THEN y + (ny - y) * s ELSE y END AS y,
@@ -339,7 +342,7 @@ COLUMNS: dict[str, str] = {
     "radar_frames": "match_id:i frame:i n:i jerseys:s",
     "class_votes": "match_id:i entity_id:i class:s",
     "jersey_votes": "match_id:i entity_id:i number:i weight_share:d n:i",
-    "attack_direction": "match_id:i home_sign:i",
+    "attack_direction": "match_id:i half:i home_sign:i",
     "bridged_gaps": "match_id:i entity_id:i frame:i x:d y:d conf:d filled:b",
     "match_quality": "match_id:i n_frames:i ball_coverage:d players_median:d conf_median:d n_tracks:i track_rows_median:d ball_level:s level:s",
     "long_tracks": "match_id:i entity_id:i n:i",

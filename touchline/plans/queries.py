@@ -86,7 +86,7 @@ def event_counts(spark, sf_dir):
 @query
 def counter_attacks(spark, sf_dir):
     seen, held = _base(spark, sf_dir)
-    return play.counter_attacks(play.events(seen, held), possession.ball_of(seen))
+    return play.counter_attacks(play.events(seen, held), possession.ball_of(seen), lens.matches(spark, sf_dir))
 
 
 @query
@@ -122,32 +122,32 @@ def heatmap_blurred(spark, sf_dir):
 
 @query
 def player_features(spark, sf_dir):
-    return movement.player_features(*_base(spark, sf_dir))
+    return movement.player_features(*_base(spark, sf_dir), lens.matches(spark, sf_dir))
 
 
 @query
 def shape_timeseries(spark, sf_dir):
-    return tactics.shape(*_base(spark, sf_dir))
+    return tactics.shape(*_base(spark, sf_dir), lens.matches(spark, sf_dir))
 
 
 @query
 def shape_summary(spark, sf_dir):
-    return tactics.shape_summary(tactics.shape(*_base(spark, sf_dir)))
+    return tactics.shape_summary(tactics.shape(*_base(spark, sf_dir), lens.matches(spark, sf_dir)))
 
 
 @query
 def field_tilt(spark, sf_dir):
-    return tactics.field_tilt(*_base(spark, sf_dir))
+    return tactics.field_tilt(*_base(spark, sf_dir), lens.matches(spark, sf_dir))
 
 
 @query
 def phase_frames(spark, sf_dir):
-    return tactics.phases(*_base(spark, sf_dir))
+    return tactics.phases(*_base(spark, sf_dir), lens.matches(spark, sf_dir))
 
 
 @query
 def phase_summary(spark, sf_dir):
-    return tactics.phase_summary(tactics.phases(*_base(spark, sf_dir)))
+    return tactics.phase_summary(tactics.phases(*_base(spark, sf_dir), lens.matches(spark, sf_dir)))
 
 
 def _pressures(spark, sf_dir):
@@ -164,14 +164,14 @@ def pressures(spark, sf_dir):
 @query
 def ppda(spark, sf_dir):
     seen, held, press = _pressures(spark, sf_dir)
-    return tactics.ppda(play.events(seen, held), press)
+    return tactics.ppda(play.events(seen, held), press, lens.matches(spark, sf_dir))
 
 
 @query
 def pressing_summary(spark, sf_dir):
     seen, held, press = _pressures(spark, sf_dir)
     frames = seen.groupBy("match_id").agg((F.max("frame") + 1).alias("n_frames"))
-    return tactics.pressing_summary(press, play.events(seen, held), frames)
+    return tactics.pressing_summary(press, play.events(seen, held), frames, lens.matches(spark, sf_dir))
 
 
 @query
@@ -197,43 +197,45 @@ def pass_centrality(spark, sf_dir):
 @query
 def defensive_lines(spark, sf_dir):
     seen, held = _base(spark, sf_dir)
-    return passing.defensive_lines(seen, play.events(seen, held).where("type = 'pass' and outcome = 'complete'"))
+    return passing.defensive_lines(seen, play.events(seen, held).where("type = 'pass' and outcome = 'complete'"), lens.matches(spark, sf_dir))
 
 
 @query
 def line_breaking_passes(spark, sf_dir):
     seen, held = _base(spark, sf_dir)
-    return passing.line_breaking(seen, play.events(seen, held))
+    return passing.line_breaking(seen, play.events(seen, held), lens.matches(spark, sf_dir))
 
 
 @query
 def xt_counts(spark, sf_dir):
-    return passing.xt_counts(passing.moves(_events(spark, sf_dir)))
+    return passing.xt_counts(passing.moves(_events(spark, sf_dir), lens.matches(spark, sf_dir)))
 
 
 @query
 def xt_grid(spark, sf_dir):
-    return passing.xt_grids(_events(spark, sf_dir))
+    return passing.xt_grids(_events(spark, sf_dir), lens.matches(spark, sf_dir))
 
 
 @query
 def player_xt(spark, sf_dir):
-    found = _events(spark, sf_dir)
-    return passing.player_xt(found, passing.xt_grids(found))
+    found, matches = _events(spark, sf_dir), lens.matches(spark, sf_dir)
+    return passing.player_xt(found, passing.xt_grids(found, matches), matches)
 
 
-def _sampled(seen: DataFrame, every: int = 50) -> DataFrame:
-    return movement.kinematics(seen).where(F.col("frame") % every == 0).join(possession.players_only(seen).select("match_id", "entity_id", "frame", "team"), ["match_id", "entity_id", "frame"])
+def _sampled(seen: DataFrame) -> DataFrame:
+    """Every 12th distinct frame, as the mean surface is defined, with each player's modal team."""
+    teams = possession.players_only(seen).groupBy("match_id", "entity_id").agg(F.mode("team", deterministic=True).alias("team"))
+    return control.every_nth_frame(movement.kinematics(seen)).join(teams, ["match_id", "entity_id"])
 
 
 @query
 def pitch_control_frames(spark, sf_dir):
-    return control.control_frames(control.control_cells(_sampled(lens.tracking(spark, sf_dir))))
+    return control.control_frames(_sampled(lens.tracking(spark, sf_dir)))
 
 
 @query
 def pitch_control_mean(spark, sf_dir):
-    return control.mean_control(control.control_cells(_sampled(lens.tracking(spark, sf_dir))))
+    return control.mean_control(_sampled(lens.tracking(spark, sf_dir)))
 
 
 @query
@@ -252,23 +254,30 @@ def offscreen_ghosts(spark, sf_dir):
 
 @query
 def formation_places(spark, sf_dir):
-    return formations.window_places(*_base(spark, sf_dir))
+    return formations.window_places(*_base(spark, sf_dir), lens.matches(spark, sf_dir))
 
 
 @query
 def formation_windows(spark, sf_dir):
-    return formations.formation_windows(formations.window_places(*_base(spark, sf_dir)))
+    return formations.formation_windows(formations.window_places(*_base(spark, sf_dir), lens.matches(spark, sf_dir)))
 
 
 @query
 def formation_summary(spark, sf_dir):
-    return formations.formation_summary(formations.formation_windows(formations.window_places(*_base(spark, sf_dir))))
+    return formations.formation_summary(formations.formation_windows(formations.window_places(*_base(spark, sf_dir), lens.matches(spark, sf_dir))))
+
+
+def _moving(seen: DataFrame) -> DataFrame:
+    """Smoothed positions with each entity's modal team and class, as rows of players."""
+    of = possession.players_only(seen).groupBy("match_id", "entity_id").agg(F.mode("team", deterministic=True).alias("team"), F.mode("class", deterministic=True).alias("class"))
+    return movement.kinematics(seen).select("match_id", "frame", "entity_id", "x", "y").join(of, ["match_id", "entity_id"])
 
 
 def _marked(spark, sf_dir):
     seen, held = _base(spark, sf_dir)
-    found = tactics.phases(seen, held)
-    return seen, found, marking.assignments(seen, found)
+    found = tactics.phases(seen, held, lens.matches(spark, sf_dir))
+    moving = _moving(seen)
+    return moving, found, marking.assignments(moving, found)
 
 
 @query
@@ -290,7 +299,7 @@ def marking_scores(spark, sf_dir):
 @query
 def defensive_spread(spark, sf_dir):
     seen, held = _base(spark, sf_dir)
-    return marking.spread(seen, tactics.phases(seen, held))
+    return marking.spread(seen, tactics.phases(seen, held, lens.matches(spark, sf_dir)))
 
 
 @query
@@ -325,7 +334,8 @@ def jersey_votes(spark, sf_dir):
 
 @query
 def attack_direction(spark, sf_dir):
-    return tracks.attack_direction(_people(spark, sf_dir).where("frame < 3000"))
+    halves = _people(spark, sf_dir).join(lens.matches(spark, sf_dir), "match_id").withColumn("half", F.when(F.col("frame") >= F.col("halftime_frame"), 2).otherwise(1))
+    return tracks.attack_direction(halves, "half")
 
 
 @query
@@ -352,12 +362,12 @@ def nearest_vectors(spark, sf_dir):
 
 @query
 def similar_players(spark, sf_dir):
-    return style.similar_players(movement.player_features(*_base(spark, sf_dir)))
+    return style.similar_players(movement.player_features(*_base(spark, sf_dir), lens.matches(spark, sf_dir)))
 
 
 @query
 def similarity_by_group(spark, sf_dir):
-    return style.attribution(movement.player_features(*_base(spark, sf_dir)))
+    return style.attribution(movement.player_features(*_base(spark, sf_dir), lens.matches(spark, sf_dir)))
 
 
 def _facts(spark, sf_dir):

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FRAMES = 6000
-HALF = 3000
+HALF, EARLY_HALF = 3000, 2400
 BALL = -1
 
 
@@ -65,10 +65,11 @@ def tracking(spark: SparkSession, sf_dir: str, gaps: bool = True) -> DataFrame:
     )
 
 
-def sign(team: str = "team", frame: str = "frame"):
-    """Direction of attack: home to the right in the first half."""
-    base = F.when(F.col(team) == "home", 1).when(F.col(team) == "away", -1)
-    return F.when(F.col(frame) >= HALF, -base).otherwise(base)
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(match_id, home_sign, halftime_frame), a row a match: every other one starts on the other side and has an earlier halftime."""
+    ids = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.floor(F.col("o_orderkey") / FRAMES).cast("int").alias("match_id")).distinct()
+    odd = F.col("match_id") % 2 == 1
+    return ids.select("match_id", F.when(odd, -1).otherwise(1).alias("home_sign"), F.when(odd, EARLY_HALF).otherwise(HALF).alias("halftime_frame"))
 
 
 #: The same tables as SQL: t(match_id, frame, entity_id, class, team, x, y, conf), ball(match_id, frame, x, y) and sgn(team, half, s).
