@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pretokens
-from .common import chunks, modest_batches, string_buffers, table, text_or_empty
+from .common import chunks, lean, modest_batches, string_buffers, table, text_or_empty
 
 #: Words whose ids a worker process remembers.
 KNOWN_WORDS = 400_000
@@ -234,7 +234,7 @@ def encode(df: DataFrame, ranks_path: str, keep: tuple[str, ...] = ("doc_id",),
                 yield pa.RecordBatch.from_arrays([kept.slice(start, end - start), lists], names=["kept", "ids"])
 
     kind = plain.schema["kept"].dataType.simpleString()
-    return plain.mapInArrow(work, f"kept {kind}, ids array<int>").select("kept.*", "ids")
+    return plain.mapInArrow(lean(work), f"kept {kind}, ids array<int>").select("kept.*", "ids")
 
 
 def decode(df: DataFrame, ranks_path: str, keep: tuple[str, ...] = ("doc_id",), ids_column: str = "ids") -> DataFrame:
@@ -255,7 +255,7 @@ def decode(df: DataFrame, ranks_path: str, keep: tuple[str, ...] = ("doc_id",),
                 start = end
 
     kind = plain.schema["kept"].dataType.simpleString()
-    return plain.mapInArrow(work, f"kept {kind}, decoded binary").select("kept.*", "decoded")
+    return plain.mapInArrow(lean(work), f"kept {kind}, decoded binary").select("kept.*", "decoded")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

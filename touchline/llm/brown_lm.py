@@ -37,7 +37,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, in_group, modest_batches, split_words, stored, string_buffers, table, text_or_empty
+from .common import chunks, in_group, lean, modest_batches, split_words, stored, string_buffers, table, text_or_empty
 
 #: Words that the exchange moves one by one, and classes.
 TOP_WORDS, CLASSES = 2000, 48
@@ -63,7 +63,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                 counted = words.value_counts()
                 yield pa.RecordBatch.from_arrays([counted.field("values").cast(pa.binary()), counted.field("counts")], names=["word", "n"])
 
-    return docs.select("text").mapInArrow(work, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(work), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 @dataclass
@@ -119,7 +119,7 @@ def unit_bigrams(docs: DataFrame, top: Lexicon) -> DataFrame:
             part = pairs[start : start + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(held[part], pa.int64())], names=["pair", "n"])
 
-    return docs.select("text").mapInArrow(work, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(lean(work), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = EXCHANGE_ROUNDS) -> np.ndarray:
@@ -197,7 +197,7 @@ def contexts(docs: DataFrame, top: Lexicon, class_of: np.ndarray) -> DataFrame:
                 cells = pa.Array.from_buffers(pa.large_binary(), len(which), [None, pa.py_buffer(2 * np.append(first, len(at)).astype(np.int64)), pa.py_buffer(np.ascontiguousarray(around))])
                 yield pa.RecordBatch.from_arrays([words.take(pa.array(which)).cast(pa.binary()), cells.cast(pa.binary())], names=["word", "around"])
 
-    return docs.select("text").mapInArrow(work, "word binary, around binary")
+    return docs.select("text").mapInArrow(lean(work), "word binary, around binary")
 
 
 def gains(by_class: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -248,7 +248,7 @@ def assigned(around: DataFrame, by_class: np.ndarray) -> DataFrame:
         if held_word is not None:
             yield emitted([held_word], held[None])
 
-    return around.repartition("word").sortWithinPartitions("word").mapInArrow(work, "word binary, n bigint, class int")
+    return around.repartition("word").sortWithinPartitions("word").mapInArrow(lean(work), "word binary, n bigint, class int")
 
 
 @dataclass
@@ -371,7 +371,7 @@ def outline(docs: DataFrame, model: Model, rarer: DataFrame, keep: tuple[str, ..
                 yield pa.RecordBatch.from_arrays([pa.array(row[in_doc]), words.take(pa.array(which)).cast(pa.binary()), pa.array(k, pa.int32()), pa.array(times, pa.int64()), pa.nulls(len(pair), kept.type), pa.nulls(len(pair), whole_type)], names=names)
 
     kind = plain.schema["kept"].dataType.simpleString()
-    parts = plain.mapInArrow(work, f"row bigint, word binary, k int, n bigint, kept {kind}, whole struct<n_tokens:bigint,n_known:bigint,base:double,words:double,classes:binary,rare:binary>")
+    parts = plain.mapInArrow(lean(work), f"row bigint, word binary, k int, n bigint, kept {kind}, whole struct<n_tokens:bigint,n_known:bigint,base:double,words:double,classes:binary,rare:binary>")
     met = parts.join(rarer.select("word", F.col("n").alias("c"), "class"), "word", "left")
     found = F.collect_list(F.when(F.col("k").isNotNull(), F.struct("k", "n", F.coalesce("c", F.lit(0)).alias("c"), F.coalesce("class", F.lit(model.unseen_class)).alias("class")))).alias("found")
     told = met.groupBy("row").agg(F.max("kept").alias("kept"), F.first("whole", ignorenulls=True).alias("whole"), found).select("kept", "whole.*", "found")
@@ -402,7 +402,7 @@ def outline(docs: DataFrame, model: Model, rarer: DataFrame, keep: tuple[str, ..
                 pa.array(batch.column("base").to_numpy() + by_doc(times * m.base(c))), pa.array(batch.column("words").to_numpy() + by_doc(times * np.log10(c + SMOOTHING))), cells(classes, rows),
             ], names=["kept", "n_tokens", "n_known", "base_score", "words_score", "classes"])
 
-    return told.mapInArrow(fill, f"kept {kind}, n_tokens bigint, n_known bigint, base_score double, words_score double, classes binary")
+    return told.mapInArrow(lean(fill), f"kept {kind}, n_tokens bigint, n_known bigint, base_score double, words_score double, classes binary")
 
 
 def transitions(outlined: DataFrame, model: Model) -> np.ndarray:
@@ -419,7 +419,7 @@ def transitions(outlined: DataFrame, model: Model) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(pairs, pa.int32()), pa.array(held[pairs])], names=["pair", "n"])
 
     counts = np.zeros(CLASSES * CLASSES)
-    for r in outlined.select("classes").mapInArrow(work, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+    for r in outlined.select("classes").mapInArrow(lean(work), "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect():
         counts[r["pair"]] = r["n"]
     counts = counts.reshape(CLASSES, CLASSES)
     return np.log10((counts + SMOOTHING) / (counts.sum(axis=1, keepdims=True) + SMOOTHING * CLASSES))
@@ -443,7 +443,7 @@ def priced(outlined: DataFrame, model: Model) -> DataFrame:
             total = np.bincount(np.repeat(np.arange(batch.num_rows), np.diff(rows)), each, minlength=batch.num_rows) + batch.column("words_score").to_numpy()
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("kept", "n_tokens", "n_known", "base_score")] + [pa.array(total)], names=["kept", "n_tokens", "n_known", "base_score", "score"])
 
-    return outlined.mapInArrow(work, f"kept {kind}, n_tokens bigint, n_known bigint, base_score double, score double").select("kept.*", "n_tokens", "n_known", "base_score", "score")
+    return outlined.mapInArrow(lean(work), f"kept {kind}, n_tokens bigint, n_known bigint, base_score double, score double").select("kept.*", "n_tokens", "n_known", "base_score", "score")
 
 
 def score(docs: DataFrame, model: Model, rarer: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import lean, stored
 
 
 #: Links, some 10 MB, that one task may unite.
@@ -68,9 +68,9 @@ def _state(links: DataFrame) -> tuple:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node that a link (a, b) touches; component: the least node that it reaches."""
     schema = "u bigint, v bigint"
-    pairs = stored(links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(united, schema))
+    pairs = stored(links.where("a <> b").select(F.col("a").alias("u"), F.col("b").alias("v")).mapInArrow(lean(united), schema))
     if pairs.count() <= LINKS_AT_ONCE:
-        return pairs.coalesce(1).mapInArrow(united, schema).select(F.col("u").alias("node"), F.col("v").alias("component"))
+        return pairs.coalesce(1).mapInArrow(lean(united), schema).select(F.col("u").alias("node"), F.col("v").alias("component"))
     pairs = stored(pairs.where("u <> v").distinct())
     state = _state(pairs)
     while True:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, in_group, modest_batches, string_buffers, table, text_or_empty
+from .common import chunks, in_group, lean, modest_batches, string_buffers, table, text_or_empty
 
 SAMPLE_PER_CLASS, SAMPLE_LINES = 1200, 400
 #: Rounds of labelling lines, steps of each fit, and the share of a document's characters that keeps its label.
@@ -260,7 +260,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     parts = []
     for value in (0, 1):
         picked = there.where(F.col("label") == value).orderBy(F.xxhash64("id"), "id").limit(SAMPLE_PER_CLASS)
-        parts.append(texts.join(F.broadcast(picked), "id").select("id", "label", "text").mapInArrow(work, "id bigint, label int, found binary, chars binary"))
+        parts.append(texts.join(F.broadcast(picked), "id").select("id", "label", "text").mapInArrow(lean(work), "id bigint, label int, found binary, chars binary"))
     rows = sorted(parts[0].unionByName(parts[1]).collect(), key=lambda r: (r["id"], r["found"]))
     label = np.array([r["label"] for r in rows], np.float64)
     if len(set(label.tolist())) < 2:
@@ -282,7 +282,7 @@ def score(df: DataFrame, model: Model | None, keep: tuple[str, ...], text_column
                 yield pa.RecordBatch.from_arrays([kept.slice(start, end - start), pa.array(scores, pa.float64())], names=["kept", "score"])
 
     kind = plain.schema["kept"].dataType.simpleString()
-    return plain.mapInArrow(work, f"kept {kind}, score double")
+    return plain.mapInArrow(lean(work), f"kept {kind}, score double")
 
 
 def trained_for(spark, docs: DataFrame, sf_dir: str) -> Model | None:

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import lean, text_or_empty
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -165,7 +165,7 @@ def encode_png(df: DataFrame, id_column: str = "doc_id", text_column: str = "tex
             yield pa.RecordBatch.from_arrays([batch.column("id"), sizes, media], names=["id", "n_bytes", "media"])
 
     kind = plain.schema["id"].dataType.simpleString()
-    return plain.mapInArrow(work, f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_column)
+    return plain.mapInArrow(lean(work), f"id {kind}, n_bytes bigint, media binary").withColumnRenamed("id", id_column)
 
 
 def decode_png(df: DataFrame, keep: tuple[str, ...], media_column: str = "media") -> DataFrame:
@@ -192,7 +192,7 @@ def decode_png(df: DataFrame, keep: tuple[str, ...], media_column: str = "media"
                 names=["kept", "media", "samples", "feature", "error"],
             )
 
-    return plain.mapInArrow(work, f"kept {kept}, media binary, samples binary, feature binary, error string").select("kept.*", F.col("media").alias(media_column), "samples", "feature", "error")
+    return plain.mapInArrow(lean(work), f"kept {kept}, media binary, samples binary, feature binary, error string").select("kept.*", F.col("media").alias(media_column), "samples", "feature", "error")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import chunks, modest_batches, stored, string_buffers, table, text_or_empty
+from .common import chunks, lean, modest_batches, stored, string_buffers, table, text_or_empty
 from .components import components
 from .superminhash import band_keys, overlap, set_prints, shingle_sets, signatures
 
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, words: int, bands: int = BANDS, band_rows: int
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), hashes.slice(start, end - start), pa.array(n, pa.int64()), pa.array(a), pa.array(b), lists], names=["id", "text_hash", "n", "print_a", "print_b", "bands"])
 
-    return docs.mapInArrow(work, "id bigint, text_hash bigint, n bigint, print_a bigint, print_b bigint, bands array<bigint>")
+    return docs.mapInArrow(lean(work), "id bigint, text_hash bigint, n bigint, print_a bigint, print_b bigint, bands array<bigint>")
 
 
 def shingle_rows(docs: DataFrame, words: int) -> DataFrame:
@@ -81,7 +81,7 @@ def shingle_rows(docs: DataFrame, words: int) -> DataFrame:
                 cells = [raw[8 * x : 8 * y] for x, y in zip(rows[:-1].tolist(), rows[1:].tolist())]
                 yield pa.RecordBatch.from_arrays([ids.slice(start, end - start), pa.array(np.diff(rows), pa.int64()), pa.array(cells, pa.binary())], names=["id", "n", "elements"])
 
-    return docs.mapInArrow(work, "id bigint, n bigint, elements binary")
+    return docs.mapInArrow(lean(work), "id bigint, n bigint, elements binary")
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -95,7 +95,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("id").alias("a"), F.col("elements").alias("left"))
     right = sets.select(F.col("id").alias("b"), F.col("elements").alias("right"))
-    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(work, "a bigint, b bigint, n_a bigint, n_b bigint, both bigint")
+    return pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "left", "right").mapInArrow(lean(work), "a bigint, b bigint, n_a bigint, n_b bigint, both bigint")
 
 
 def linked(found: DataFrame, percent: int) -> DataFrame:
@@ -119,7 +119,7 @@ def reachable(sets: DataFrame) -> DataFrame:
             for a in range(0, len(values), 200_000):
                 yield pa.RecordBatch.from_arrays([pa.array(values[a : a + 200_000]), pa.array(owner[a : a + 200_000])], names=["element", "id"])
 
-    seen = sets.select("id", "elements").mapInArrow(work, "element bigint, id bigint").groupBy("element").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+    seen = sets.select("id", "elements").mapInArrow(lean(work), "element bigint, id bigint").groupBy("element").agg(F.count("*").alias("c"), F.min("id").alias("id"))
     alone = seen.where("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
     return sets.select("id", "n").join(alone, "id", "left").select("id", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("shared"))
 
@@ -211,7 +211,7 @@ def _links_in_blocks(members: DataFrame, sets: DataFrame, percent: int) -> DataF
                 found = block_links(left.as_py(), right.as_py(), percent)
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-    return met.mapInArrow(work, "a bigint, b bigint")
+    return met.mapInArrow(lean(work), "a bigint, b bigint")
 
 
 def block_links(left: list[dict], right: list[dict], percent: int) -> list[tuple[int, int]]:
@@ -248,7 +248,8 @@ def _components(docs: DataFrame, words: int, percent: int) -> DataFrame:
     # a set of which others share less than the threshold's part has no link
     able = reachable(sets).join(sets.select("id", F.col("n").alias("m")), "id").where(100 * F.col("shared") >= percent * F.col("m")).select("id", "shared")
     members = stored(candidates.join(able, "id"))
-    grouped = components(link_classes(members, sets, percent)).select("node", F.col("component").alias("group"))
+    # stored first, so that no task holds the workers of two steps
+    grouped = components(stored(link_classes(members, sets, percent))).select("node", F.col("component").alias("group"))
     joint = grouped.join(reps, "node").groupBy("group").agg(F.min("id").alias("component"))
     named = reps.select("node", "id").join(grouped.join(joint, "group"), "node", "left").select("node", F.coalesce("component", "id").alias("component"), F.coalesce("group", "node").alias("group"))
     with_key = prints.select("id", "text_hash", "n", "node")

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .automata import Format, Ordinary, grouped
-from .common import modest_batches, stored, table, text_or_empty
+from .common import lean, modest_batches, stored, table, text_or_empty
 
 ASSIGN = re.compile(r"((?i:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -209,7 +209,7 @@ def learn_formats(df: DataFrame, text_column: str = "text", per_label: int = SAM
                         values.append(word[0])
             yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(values, pa.string())], names=["label", "value"])
 
-    examples = stored(df.select(text_or_empty(text_column).alias("text")).mapInArrow(work, "label string, value string").distinct())
+    examples = stored(df.select(text_or_empty(text_column).alias("text")).mapInArrow(lean(work), "label string, value string").distinct())
     picked = {}
     for label in ("assign", "access", "hex", "ordinary"):
         rows = examples.where(F.col("label") == label).orderBy(F.xxhash64("value"), "value").limit(per_label).collect()
@@ -234,7 +234,7 @@ def scan(df: DataFrame, formats: Formats | None, keep: tuple[str, ...] = ("doc_i
             yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(spans, span)], names=["kept", "spans"])
 
     kept = plain.schema["kept"].dataType.simpleString()
-    return plain.mapInArrow(work, f"kept {kept}, spans array<struct<kind:string,start:bigint,end:bigint>>").select("kept.*", "spans")
+    return plain.mapInArrow(lean(work), f"kept {kept}, spans array<struct<kind:string,start:bigint,end:bigint>>").select("kept.*", "spans")
 
 
 def redacted(text: str, spans: list[tuple[str, int, int]], mark: str = "[SECRET]") -> str:
@@ -262,7 +262,7 @@ def redact(df: DataFrame, formats: Formats | None, text_column: str = "text", ch
             yield pa.RecordBatch.from_arrays([batch.column("kept"), pa.array(texts, pa.string())], names=["kept", "new_text"])
 
     kept = plain.schema["kept"].dataType.simpleString()
-    done = plain.mapInArrow(work, f"kept {kept}, new_text string")
+    done = plain.mapInArrow(lean(work), f"kept {kept}, new_text string")
 
     def column(name: str):
         old = F.col("kept").getField(name)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, table, text_or_empty
+from .common import lean, stored, table, text_or_empty
 
 #: Compressed bytes after which a writer begins another archive.
 ARCHIVE_BYTES = 4 << 20
@@ -105,7 +105,7 @@ def write_archives(typed: DataFrame, most: int = ARCHIVE_BYTES) -> DataFrame:
         if held:
             yield archive()
 
-    return typed.select("page_id", "uri", "payload", "refers_to").mapInArrow(work, "archive string, content binary")
+    return typed.select("page_id", "uri", "payload", "refers_to").mapInArrow(lean(work), "archive string, content binary")
 
 
 def members(data: bytes):
@@ -197,7 +197,7 @@ def read_archives(archives: DataFrame, name_column: str = "archive", content_col
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema=schema)
 
-    return archives.select(F.col(name_column).alias("archive"), F.col(content_column).alias("content")).mapInArrow(work, RECORD_SCHEMA)
+    return archives.select(F.col(name_column).alias("archive"), F.col(content_column).alias("content")).mapInArrow(lean(work), RECORD_SCHEMA)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
