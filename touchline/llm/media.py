@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lean, text_or_empty
+from .common import lean, modest_batches, text_or_empty
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -199,6 +199,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     """op2: digests of what the stored PNG files give back, for all documents."""
     from .common import table
 
+    modest_batches(spark)
     stored = encode_png(table(spark, sf_dir, "documents"))
     read = decode_png(stored, keep=("doc_id", "n_bytes"))
     tail = F.substring("samples", -64, 64)
