@@ -313,3 +313,38 @@ def test_query_without_sql_runs(spark, name):
 
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 2
+
+
+def test_hull_in_parts_and_touches(spark):
+    from touchline.operators import features
+
+    rng = np.random.default_rng(3)
+    points = [(0, e, float(x), float(y)) for e in (1, 2) for x, y in rng.normal(size=(300, 2))] + [(0, 3, float(i), 0.0) for i in range(9)] + [(0, 4, 0.0, 0.0), (0, 4, 1.0, 0.0), (0, 4, 0.0, 1.0)]
+    found = {r["entity_id"]: r["hull_area"] for r in features.hull_areas(spark.createDataFrame(points, "match_id int, entity_id int, xa double, ya double").repartition(7)).collect()}
+    for e in (1, 2):
+        assert found[e] == pytest.approx(hull_area(np.array([p[2:] for p in points if p[1] == e])))
+    assert found[3] == 0 and found[4] == 0  # on a line; fewer than four points
+    held = spark.createDataFrame([(0, f, h) for f, h in ((0, 5), (1, 5), (5, 5), (6, 6), (8, 5), (9, -1))], "match_id int, frame int, holder_id int")
+    assert {tuple(r) for r in features.touches(held).collect()} == {(0, 5, 2, 4), (0, 6, 1, 1)}
+
+
+def test_questions_meet_synonyms_or_are_refused(spark):
+    from touchline.operators import report
+
+    known = spark.createDataFrame([(0, "ppda.home.ppda", 1.25), (0, "physical.away.top_speed", 8.2), (0, "shape.home.out_line", 17.1)], "match_id int, path string, value double")
+    asked = [(0, q) for q in ("Who pressed most?", "How fast?", "Will it rain?", "")]
+    found = {r["question"]: r for r in report.answers(spark.createDataFrame(asked, "match_id int, question string"), known).collect()}
+    assert "`ppda.home.ppda` = 1.250" in found["Who pressed most?"]["answer"]
+    assert "physical.away.top_speed" in found["How fast?"]["answer"]
+    assert found["Will it rain?"]["answer"] == found[""]["answer"] == report.REFUSAL and found[""]["n_evidence"] == 0
+
+
+def test_report_is_grounded_in_its_facts(spark):
+    from touchline.operators import report
+
+    facts = [(0, "possession.home.share", 0.4833), (0, "possession.home.n_spells", 18.0), (0, "physical.home.distance_m", 2999.82), (0, "physical.home.sprints", 0.0)]
+    known = spark.createDataFrame(facts, "match_id int, path string, value double")
+    texts = report.written(known)
+    text = texts.first()["text"]
+    assert "48% of the ball, in 18 spells" in text and "ran 3000 m" in text and "away" not in text
+    assert report.audit(texts, known).first()["grounded_share"] == 1.0

@@ -47,11 +47,11 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[cols][order], cols[order]
 
 
-def hull_area(points: np.ndarray, fewest: int = 3) -> float:
-    """Area of the convex hull; 0 for fewer points or points on a line."""
+def hull(points: np.ndarray) -> np.ndarray:
+    """Corners of the convex hull in order; the distinct points themselves if there are fewer than three."""
     unique = sorted(set(map(tuple, np.asarray(points, float))))
-    if len(points) < fewest or len(unique) < 3:
-        return 0.0
+    if len(unique) < 3:
+        return np.array(unique, float).reshape(-1, 2)
 
     def chain(ordered):
         kept = []
@@ -61,8 +61,13 @@ def hull_area(points: np.ndarray, fewest: int = 3) -> float:
             kept.append(p)
         return kept[:-1]
 
-    ring = np.array(chain(unique) + chain(unique[::-1]))
-    if len(ring) < 3:
+    return np.array(chain(unique) + chain(unique[::-1]))
+
+
+def hull_area(points: np.ndarray, fewest: int = 3) -> float:
+    """Area of the convex hull; 0 for fewer points or points on a line."""
+    ring = hull(points)
+    if len(points) < fewest or len(ring) < 3:
         return 0.0
     x, y = ring.T
     return float(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2)

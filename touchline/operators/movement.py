@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.direction import directed, sign
-from ..functions.pitch import attacking_x, attacking_y, cell, third
+from ..functions.pitch import cell, third
 from ..functions.sequences import islands, ordered
 from .possession import players_only
 
@@ -152,28 +151,3 @@ def blurred(grid: DataFrame, value: str, *keys: str, sigma: float = 1.5, nx: int
     both = along(along(start, "iy", "ix", ny), "ix", "iy", nx)
     total = both.groupBy(*keys).agg(F.sum("v").alias("total"))
     return both.join(total, list(keys)).select(*keys, "iy", "ix", (F.col("v") / F.col("total")).alias("v"))
-
-
-def player_features(tracking: DataFrame, held: DataFrame, matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(match_id, entity_id, team, ...): spatial, involvement and interaction features of each outfield player, in the direction of attack."""
-    key = ["match_id", "entity_id"]
-    out = players_only(tracking, goalkeepers=False)
-    ball = tracking.where("entity_id = -1").select("match_id", "frame", F.col("x").alias("bx"), F.col("y").alias("by"))
-    group = Window.partitionBy("match_id", "frame", "team")
-    rows = out.withColumns({"cx": F.avg("x").over(group), "cy": F.avg("y").over(group)}).join(ball, ["match_id", "frame"], "left").join(held.select("match_id", "frame", "holder_id", F.col("team").alias("poss_team")), ["match_id", "frame"], "left")
-    s = sign()
-    placed = directed(rows, matches).withColumns({
-        "xa": attacking_x(F.col("x"), s), "ya": attacking_y(F.col("y"), s),
-        "db": F.sqrt((F.col("x") - F.col("bx")) ** 2 + (F.col("y") - F.col("by")) ** 2), "dc": F.sqrt((F.col("x") - F.col("cx")) ** 2 + (F.col("y") - F.col("cy")) ** 2),
-    })
-    att = F.col("poss_team") == F.col("team")
-    defending = (F.col("poss_team") != F.col("team")) & (F.col("poss_team") != "none")
-    spread = lambda c: (F.percentile(c, 0.95) - F.percentile(c, 0.05))
-    found = placed.groupBy(*key).agg(
-        F.mode("team", deterministic=True).alias("team"), (F.count_distinct("frame") / cfg.fps / 60).alias("minutes"),
-        F.avg("xa").alias("mean_x"), F.avg("ya").alias("mean_y"), F.stddev_pop("xa").alias("std_x"), F.stddev_pop("ya").alias("std_y"),
-        F.avg(F.abs(F.col("ya") - cfg.pitch.width / 2)).alias("wideness"), spread("xa").alias("x_range"), spread("ya").alias("y_range"),
-        F.avg((F.col("holder_id") == F.col("entity_id")).cast("double")).alias("poss_time_share"), F.avg("db").alias("mean_dist_ball"), F.avg((F.col("db") < 15).cast("double")).alias("near_ball_share"),
-        F.avg("dc").alias("dist_to_centroid"), F.avg(F.when(att, F.col("xa"))).alias("att_mean_x"), F.avg(F.when(defending, F.col("xa"))).alias("def_mean_x"),
-    )
-    return found.withColumn("push_up_delta", F.coalesce("att_mean_x", "mean_x") - F.coalesce("def_mean_x", "mean_x"))

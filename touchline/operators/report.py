@@ -1,13 +1,46 @@
-"""A match's facts as paths and values, retrieval from them, and an audit of text against them."""
+"""A match's facts as paths and values, answers from them, a report of them, and an audit of text against them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 NUMBER = r"(?<![A-Za-z0-9_.\-])-?\d+(?:\.\d+)?"
 FORMATION = r"\b\d(?:-\d){2,4}\b"
 APPENDIX = "## Metrics Appendix"
+REFUSAL = "The extracted analytics don't cover that."
+
+#: What else a word of a question, or a word that begins or continues it, stands for.
+SYNONYMS = {
+    "press": ["pressing", "ppda", "pressure", "pressures"],
+    "possession": ["ball share", "share"],
+    "formation": ["formations", "shape", "morph"],
+    "mark": ["marking", "man", "zonal", "scheme", "pairs"],
+    "fast": ["speed", "top_speed", "sprints"],
+    "run": ["distance", "sprints", "physical"],
+    "threat": ["xt", "expected_threat", "created"],
+    "pass": ["passes", "pass_network", "line_breaking", "combination"],
+    "role": ["roles", "discovered", "nominal"],
+    "tilt": ["field_tilt", "territory"],
+    "counter": ["counter_attacks", "transition"],
+    "block": ["shape", "def_line_height_m", "low_block", "high"],
+}
+
+#: Summaries that give facts: the query's name, the prefix of its paths, and its columns.
+SUMMARIES = (
+    ("possession_summary", "possession", ("share", "n_spells", "mean_spell_s")),
+    ("event_counts", "events", ("passes", "completed", "turnovers", "carries")),
+    ("field_tilt", "field_tilt", ("tilt", "final_third_share", "own_third_share")),
+    ("shape_summary", "shape", ("in_line", "out_line", "in_depth", "out_depth", "in_width", "out_width")),
+    ("pressing_summary", "pressing", ("pressures", "pressures_per_min", "press_height_mean_m", "high_press_share", "press_to_turnover_rate")),
+    ("ppda", "ppda", ("ppda", "opp_buildup_passes", "defensive_actions")),
+    ("pass_summary", "pass_network", ("n_passes", "n_players", "density")),
+    ("line_breaking_counts", "line_breaking", ("total",)),
+    ("counter_attack_counts", "counter_attacks", ("total",)),
+    ("team_running", "physical", ("distance_m", "sprints", "top_speed")),
+)
 
 
 def facts(summary: DataFrame, prefix: str, names: list[str]) -> DataFrame:
@@ -16,6 +49,16 @@ def facts(summary: DataFrame, prefix: str, names: list[str]) -> DataFrame:
     return summary.select("match_id", F.explode(entries).alias("f")).select("match_id", "f.path", "f.value").where("value is not null")
 
 
+def build_facts(summaries: dict[str, DataFrame]) -> DataFrame:
+    """(match_id, path, value) of all of SUMMARIES that are given, by name."""
+    return reduce(DataFrame.unionByName, (facts(summaries[name], prefix, list(columns)) for name, prefix, columns in SUMMARIES if name in summaries))
+
+
+def team_running(profiles: DataFrame, teams: DataFrame) -> DataFrame:
+    """(match_id, team, distance_m, sprints, top_speed): sums over a team's players, and its fastest."""
+    return profiles.join(teams, ["match_id", "entity_id"]).groupBy("match_id", "team").agg(F.sum("distance_m").alias("distance_m"), F.sum("n_sprints").alias("sprints"), F.max("top_speed").alias("top_speed"))
+
+
 def audit(reports: DataFrame, known: DataFrame) -> DataFrame:
     """(match_id, n_claims, n_grounded, grounded_share) of reports (match_id, text).
 
@@ -33,9 +76,65 @@ def audit(reports: DataFrame, known: DataFrame) -> DataFrame:
     return counted.withColumn("grounded_share", F.when(F.col("n_claims") == 0, 1.0).otherwise(F.col("n_grounded") / F.col("n_claims")))
 
 
+def _words(text: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)))
+
+
+def expanded(question: Column) -> Column:
+    """The words of a question and what they stand for by SYNONYMS, as one array."""
+    terms = _words(question)
+
+    def meant(key: str, words: list[str]) -> Column:
+        near = F.exists(terms, lambda t: t.startswith(key) | F.startswith(F.lit(key), t))
+        return F.when(near, F.array(*(F.lit(w.replace(" ", "_")) for w in (key, *words)))).otherwise(F.array().cast("array<string>"))
+
+    return F.array_distinct(F.concat(terms, *(meant(k, w) for k, w in SYNONYMS.items())))
+
+
 def retrieve(questions: DataFrame, known: DataFrame, k: int = 8) -> DataFrame:
-    """(match_id, question, path, value, score): the k facts of a question's match whose path shares most words with it; none without a shared word."""
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]+"), F.lit(0)))
-    met = questions.join(known, "match_id").withColumn("score", F.size(F.array_intersect(words(F.col("question")), words(F.col("path"))))).where("score > 0")
+    """(match_id, question, path, value, score): the k facts of a question's match whose path shares most words with the expanded question, ties by path; none without a shared word."""
+    met = questions.withColumn("_words", expanded(F.col("question"))).join(known, "match_id").withColumn("score", F.size(F.array_intersect("_words", _words(F.col("path"))))).where("score > 0")
     place = F.row_number().over(Window.partitionBy("match_id", "question").orderBy(F.desc("score"), "path"))
     return met.withColumn("place", place).where(F.col("place") <= k).select("match_id", "question", "path", "value", "score")
+
+
+def _said(value: Column, decimals: int) -> Column:
+    """The number as text with fixed decimals, halves up."""
+    return F.round(value, decimals).cast(f"decimal(24,{decimals})").cast("string")
+
+
+def answers(questions: DataFrame, known: DataFrame) -> DataFrame:
+    """(match_id, question, answer, n_evidence): the facts that fit best, to three decimals, or the refusal where none fits."""
+    found = retrieve(questions, known)
+    line = F.concat(F.lit("- `"), "path", F.lit("` = "), _said(F.col("value"), 3))
+    told = found.groupBy("match_id", "question").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "path", line.alias("line")))).alias("rows"))
+    text = F.concat(F.lit("Closest computed metrics:\n"), F.array_join(F.col("rows.line"), "\n"))
+    return questions.join(told, ["match_id", "question"], "left").select("match_id", "question", F.coalesce(text, F.lit(REFUSAL)).alias("answer"), F.coalesce(F.size("rows"), F.lit(0)).alias("n_evidence"))
+
+
+def written(known: DataFrame) -> DataFrame:
+    """(match_id, text): a report made of the match's facts by fixed sentences; a sentence whose facts are missing is left out."""
+    by_path = known.groupBy("match_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("path", "value")))).alias("at"))
+
+    def value(path: str, decimals: int, times: int = 1) -> Column:
+        return _said(F.try_element_at("at", F.lit(path)) * times, decimals)
+
+    def sentence(*parts) -> Column:
+        return F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+
+    lines = [F.lit("# Match Report"), F.lit("## Executive Summary")]
+    for team in ("home", "away"):
+        lines.append(sentence(f"The {team} team had ", value(f"possession.{team}.share", 0, 100), "% of the ball, in ", value(f"possession.{team}.n_spells", 0), " spells."))
+        lines.append(sentence("Its part of the field tilt was ", value(f"field_tilt.{team}.tilt", 2), "."))
+        lines.append(sentence("It let the opponent make ", value(f"ppda.{team}.ppda", 1), " passes for each defensive action."))
+    lines.append(F.lit("## Tactical Narrative"))
+    for team in ("home", "away"):
+        lines.append(sentence(f"Without the ball the {team} team's line stood ", value(f"shape.{team}.out_line", 1), " m from goal, its depth was ", value(f"shape.{team}.out_depth", 1), " m."))
+        lines.append(sentence(f"The {team} team pressed ", value(f"pressing.{team}.pressures", 0), " times, ", value(f"pressing.{team}.press_to_turnover_rate", 0, 100), "% of them with a turnover soon after."))
+        lines.append(sentence("It completed ", value(f"events.{team}.completed", 0), " of ", value(f"events.{team}.passes", 0), " passes."))
+        lines.append(sentence(f"Passes of the {team} team that broke a line: ", value(f"line_breaking.{team}.total", 0), "."))
+    lines.append(F.lit("## Physical"))
+    for team in ("home", "away"):
+        lines.append(sentence(f"The {team} team ran ", value(f"physical.{team}.distance_m", 0), " m with ", value(f"physical.{team}.sprints", 0), " sprints."))
+    every = F.transform(F.map_entries("at"), lambda e: F.concat(F.lit("- "), e["key"], F.lit(": "), _said(e["value"], 4)))
+    return by_path.select("match_id", F.concat_ws("\n", *lines, F.lit(APPENDIX), F.array_join(every, "\n")).alias("text"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from ..operators.features import GROUPS, TIMED_PHASES
+from ..operators.report import REFUSAL, SUMMARIES, SYNONYMS
 from ..sources.lens import SQL as LENS
+from .queries import QUESTIONS
 
 ORDER = "PARTITION BY match_id ORDER BY frame"
 
@@ -20,6 +23,13 @@ def _ya(y: str, team: str, frame: str) -> str:
     return f"CASE WHEN {_sign(team, frame)} > 0 THEN {y} ELSE 68 - {y} END"
 
 
+def _stored(parts: str, *names: str) -> str:
+    """The parts with these tables computed once."""
+    for name in names:
+        parts = parts.replace(f" {name} AS (", f" {name} AS MATERIALIZED (")
+    return parts
+
+
 POSS = f"""{LENS}, near AS (
     SELECT * FROM (
         SELECT t.match_id, t.frame, t.entity_id, ball.x AS bx, ball.y AS by_, sqrt((t.x - ball.x) * (t.x - ball.x) + (t.y - ball.y) * (t.y - ball.y)) AS d
@@ -177,27 +187,76 @@ def _with(parts: str, select: str) -> str:
     return f"WITH {parts} {select}"
 
 
-FACTS = """, f1 AS (SELECT match_id, team, count(*) AS n FROM poss WHERE team <> 'none' GROUP BY ALL), f2 AS (SELECT match_id, team, count(*) AS n_spells, avg((end_frame - start_frame + 1) / 25.0::DOUBLE) AS m FROM spells GROUP BY ALL
-), f3 AS (SELECT f1.match_id, f1.team, n / sum(n) OVER (PARTITION BY f1.match_id)::DOUBLE AS share, n_spells, m FROM f1 JOIN f2 USING (match_id, team)
-), f4 AS (SELECT match_id, team, sum((type = 'pass')::INT) AS p, sum((type = 'pass' AND outcome = 'complete')::INT) AS c, sum((type = 'turnover')::INT) AS t, sum((type = 'carry')::INT) AS k FROM ev GROUP BY ALL
-), facts AS (
-    SELECT match_id, 'possession.' || team || '.share' AS path, share::DOUBLE AS value FROM f3 UNION ALL SELECT match_id, 'possession.' || team || '.n_spells', n_spells FROM f3 UNION ALL SELECT match_id, 'possession.' || team || '.mean_spell_s', m FROM f3
-    UNION ALL SELECT match_id, 'events.' || team || '.passes', p FROM f4 UNION ALL SELECT match_id, 'events.' || team || '.completed', c FROM f4 UNION ALL SELECT match_id, 'events.' || team || '.turnovers', t FROM f4 UNION ALL SELECT match_id, 'events.' || team || '.carries', k FROM f4
+#: Weighted betweenness (costs 1/weight) and eigenvector centrality of each team's pass graph; of two opposite edges the one from the higher id counts as the undirected one.
+CENTRAL = """pe AS MATERIALIZED (SELECT match_id, team, from_id AS s, to_id AS t, count(*) AS w FROM ev WHERE type = 'pass' AND outcome = 'complete' GROUP BY ALL
+), pv0 AS MATERIALIZED (SELECT DISTINCT match_id, team, v FROM (SELECT match_id, team, s AS v FROM pe UNION ALL SELECT match_id, team, t FROM pe)
+), ce AS MATERIALIZED (SELECT match_id, team, s, t, 1.0::DOUBLE / w AS c FROM pe UNION ALL SELECT match_id, team, v, v, 0 FROM pv0
+), dd AS (
+    SELECT match_id, team, v AS s, v AS t, 0.0::DOUBLE AS d, 0 AS k FROM pv0
+    UNION ALL SELECT dd.match_id, dd.team, dd.s, ce.t, min(dd.d + ce.c), dd.k + 1 FROM dd JOIN ce ON ce.match_id = dd.match_id AND ce.team = dd.team AND ce.s = dd.t WHERE dd.k < 22 GROUP BY dd.match_id, dd.team, dd.s, ce.t, dd.k
+), ds AS MATERIALIZED (SELECT match_id, team, s, t, d FROM dd WHERE k = 22
+), sh0 AS MATERIALIZED (
+    SELECT a.match_id, a.team, a.s, ce.s AS v, ce.t FROM ds a JOIN ce ON ce.match_id = a.match_id AND ce.team = a.team AND ce.s = a.t JOIN ds b ON b.match_id = a.match_id AND b.team = a.team AND b.s = a.s AND b.t = ce.t
+    WHERE ce.s <> ce.t AND abs(a.d + ce.c - b.d) <= 1e-12
+), np AS (
+    SELECT match_id, team, v AS s, v AS t, 1.0::DOUBLE AS n, 0 AS k FROM pv0
+    UNION ALL SELECT np.match_id, np.team, np.s, e.t, sum(np.n), np.k + 1 FROM np JOIN sh0 e ON e.match_id = np.match_id AND e.team = np.team AND e.s = np.s AND e.v = np.t WHERE np.k < 22 GROUP BY np.match_id, np.team, np.s, e.t, np.k
+), sg AS MATERIALIZED (SELECT np.match_id, np.team, np.s, np.t, sum(np.n) AS n, min(ds.d) AS d FROM np JOIN ds ON ds.match_id = np.match_id AND ds.team = np.team AND ds.s = np.s AND ds.t = np.t WHERE np.s <> np.t GROUP BY ALL
+), bw AS (
+    SELECT a.match_id, a.team, a.t AS v, sum(a.n * b.n / w.n) AS b FROM sg a JOIN sg b ON b.match_id = a.match_id AND b.team = a.team AND b.s = a.t JOIN sg w ON w.match_id = a.match_id AND w.team = a.team AND w.s = a.s AND w.t = b.t
+    WHERE abs(a.d + b.d - w.d) <= 1e-12 GROUP BY ALL
+), um AS MATERIALIZED (SELECT match_id, team, least(s, t) AS a, greatest(s, t) AS b, max_by(w, s) AS w FROM pe GROUP BY ALL
+), mx AS MATERIALIZED (
+    SELECT match_id, team, list(cells ORDER BY v) AS m, list(v ORDER BY v) AS ids FROM (
+        SELECT p.match_id, p.team, p.v, list(coalesce(u.w, 0)::DOUBLE + (p.v = q.v)::INT ORDER BY q.v) AS cells
+        FROM pv0 p JOIN pv0 q ON q.match_id = p.match_id AND q.team = p.team LEFT JOIN um u ON u.match_id = p.match_id AND u.team = p.team AND u.a = least(p.v, q.v) AND u.b = greatest(p.v, q.v) GROUP BY p.match_id, p.team, p.v
+    ) GROUP BY match_id, team
+), ei AS (
+    SELECT match_id, team, m, ids, [1.0::DOUBLE / len(ids) FOR z IN ids] AS x, 0 AS i, false AS done FROM mx
+    UNION ALL SELECT match_id, team, m, ids, z, i + 1, list_sum([abs(g[1] - g[2]) FOR g IN list_zip(z, x)]) < len(x) * 1e-6 FROM (
+        SELECT match_id, team, m, ids, x, i, [g / sqrt(list_dot_product(y, y)) FOR g IN y] AS z FROM (SELECT match_id, team, m, ids, x, i, [list_dot_product(cells, x) FOR cells IN m] AS y FROM ei WHERE NOT done AND i < 500))
+), ev1 AS (SELECT match_id, team, unnest(ids) AS v, unnest(x) AS e FROM ei WHERE done
+), central AS (
+    SELECT p.match_id, p.team, p.v AS entity_id, CASE WHEN count(*) OVER (PARTITION BY p.match_id, p.team) > 2 THEN coalesce(bw.b, 0) / ((count(*) OVER (PARTITION BY p.match_id, p.team) - 1) * (count(*) OVER (PARTITION BY p.match_id, p.team) - 2)) ELSE 0 END AS betweenness, coalesce(ev1.e, 0) AS eigenvector
+    FROM pv0 p LEFT JOIN bw ON bw.match_id = p.match_id AND bw.team = p.team AND bw.v = p.v LEFT JOIN ev1 ON ev1.match_id = p.match_id AND ev1.team = p.team AND ev1.v = p.v
 )"""
 
-FEATURES = _with(POSS, f""", g AS (SELECT *, avg(x) OVER w AS cx, avg(y) OVER w AS cy FROM t WHERE class = 'player' WINDOW w AS (PARTITION BY match_id, frame, team)
-        ), r AS (SELECT g.match_id, g.entity_id, g.team, g.frame, {_xa("g.x", "g.team", "g.frame")} AS xa, {_ya("g.y", "g.team", "g.frame")} AS ya, sqrt(pow(g.x - b.x, 2) + pow(g.y - b.y, 2)) AS db, sqrt(pow(g.x - cx, 2) + pow(g.y - cy, 2)) AS dc, p.holder_id, p.team AS pt
-            FROM g LEFT JOIN ball b ON b.match_id = g.match_id AND b.frame = g.frame LEFT JOIN poss p ON p.match_id = g.match_id AND p.frame = g.frame
-        ), f AS (SELECT match_id, entity_id, min(team) AS team, count(DISTINCT frame) / 25.0::DOUBLE / 60 AS minutes, avg(xa) AS mean_x, avg(ya) AS mean_y, stddev_pop(xa) AS std_x, stddev_pop(ya) AS std_y, avg(abs(ya - 34)) AS wideness,
-            quantile_cont(xa, 0.95) - quantile_cont(xa, 0.05) AS x_range, quantile_cont(ya, 0.95) - quantile_cont(ya, 0.05) AS y_range, avg((holder_id = entity_id)::INT::DOUBLE) AS poss_time_share, avg(db) AS mean_dist_ball, avg((db < 15)::INT::DOUBLE) AS near_ball_share,
-            avg(dc) AS dist_to_centroid, avg(xa) FILTER (pt = team) AS att_mean_x, avg(xa) FILTER (pt <> team AND pt <> 'none') AS def_mean_x FROM r GROUP BY ALL)
-        SELECT *, coalesce(att_mean_x, mean_x) - coalesce(def_mean_x, mean_x) AS push_up_delta FROM f""")
-
-SCALED = f"""WITH ft0 AS ({FEATURES}), lg AS (UNPIVOT (SELECT match_id, entity_id, mean_x, mean_y, std_x, std_y, wideness, x_range, y_range, poss_time_share, mean_dist_ball, near_ball_share, dist_to_centroid, att_mean_x, def_mean_x, push_up_delta FROM ft0)
-    ON COLUMNS(* EXCLUDE (match_id, entity_id)) INTO NAME feature VALUE value
+#: Hulls by gift wrapping: from the lowest of the leftmost points, ever the next point with the least turn, the farthest of equals.
+HULLS = """hp AS MATERIALIZED (SELECT DISTINCT match_id, entity_id, round(xa, 9) AS xa, round(ya, 9) AS ya FROM r
+), gw AS (
+    SELECT match_id, entity_id, xa AS sx, ya AS sy, xa AS px, ya AS py, xa AS cx, ya AS cy, -pi() / 2 AS dir, 0 AS k FROM hp QUALIFY row_number() OVER (PARTITION BY match_id, entity_id ORDER BY xa, ya) = 1
+    UNION ALL SELECT match_id, entity_id, sx, sy, cx, cy, b.x, b.y, b.a, k + 1 FROM (
+        SELECT match_id, entity_id, sx, sy, cx, cy, k, min({'t': CASE WHEN turn < 0 THEN turn + 2 * pi() ELSE turn END, 'd': -far, 'x': xa, 'y': ya, 'a': ang}) AS b FROM (
+            SELECT gw.match_id, gw.entity_id, sx, sy, cx, cy, k, xa, ya, atan2(ya - cy, xa - cx) AS ang, round(atan2(ya - cy, xa - cx) - dir, 9) AS turn, (xa - cx) * (xa - cx) + (ya - cy) * (ya - cy) AS far
+            FROM gw JOIN hp ON hp.match_id = gw.match_id AND hp.entity_id = gw.entity_id WHERE NOT (k > 0 AND cx = sx AND cy = sy) AND k < 1000 AND (xa <> cx OR ya <> cy)
+        ) GROUP BY match_id, entity_id, sx, sy, cx, cy, k)
+), ha AS (SELECT match_id, entity_id, abs(sum(px * cy - py * cx)) / 2 AS hull_area FROM gw GROUP BY ALL)"""
+
+FEATURES = f"""WITH RECURSIVE {_stored(EVENTS, "poss", "ev")}, {_stored(KIN, "kin")}, {PHASES}, {PRESS}, {PROFILES}, {CENTRAL}, g AS (SELECT *, avg(x) OVER w AS cx, avg(y) OVER w AS cy FROM t WHERE class = 'player' WINDOW w AS (PARTITION BY match_id, frame, team)
+        ), r AS MATERIALIZED (SELECT g.match_id, g.entity_id, g.team, g.frame, {_xa("g.x", "g.team", "g.frame")} AS xa, {_ya("g.y", "g.team", "g.frame")} AS ya, sqrt(pow(g.x - b.x, 2) + pow(g.y - b.y, 2)) AS db, sqrt(pow(g.x - cx, 2) + pow(g.y - cy, 2)) AS dc, p.poss_team AS pt, p.phase
+            FROM g LEFT JOIN ball b ON b.match_id = g.match_id AND b.frame = g.frame LEFT JOIN ph p ON p.match_id = g.match_id AND p.frame = g.frame
+        ), {HULLS}, f AS (SELECT match_id, entity_id, min(team) AS team, count(DISTINCT frame) AS n_seen, avg(xa) AS mean_x, avg(ya) AS mean_y, stddev_pop(xa) AS std_x, stddev_pop(ya) AS std_y, avg(abs(ya - 34)) AS wideness,
+            quantile_cont(xa, 0.95) - quantile_cont(xa, 0.05) AS x_range, quantile_cont(ya, 0.95) - quantile_cont(ya, 0.05) AS y_range, coalesce(avg(db), 40) AS mean_dist_ball, coalesce(avg((db < 15)::INT::DOUBLE), 0) AS near_ball_share, avg(dc) AS dist_to_centroid,
+            {", ".join(f"coalesce(avg((phase = '{p}' AND pt = team)::INT::DOUBLE), 0) AS time_{p}" for p in TIMED_PHASES)}, coalesce(avg((pt <> team AND pt <> 'none')::INT::DOUBLE), 0) AS time_defending,
+            {", ".join(f"CASE WHEN count(*) FILTER ({of}) > 10 THEN avg({c}) FILTER ({of}) ELSE avg({c}) END AS {n}" for n, c, of in (("att_mean_x", "xa", "pt = team"), ("att_mean_y", "ya", "pt = team"), ("def_mean_x", "xa", "pt <> team AND pt <> 'none'"), ("def_mean_y", "ya", "pt <> team AND pt <> 'none'")))}
+            FROM r GROUP BY ALL
+        ), tc AS (SELECT match_id, holder_id AS entity_id, sum(fresh) AS n_touches, count(*) AS n_held FROM (SELECT *, CASE WHEN frame - lag(frame) OVER (PARTITION BY match_id, holder_id ORDER BY frame) <= 3 THEN 0 ELSE 1 END AS fresh FROM poss WHERE holder_id >= 0) GROUP BY ALL
+        ), sp AS (SELECT match_id, entity_id, quantile_cont(speed, 0.5) AS speed_p50, quantile_cont(speed, 0.9) AS speed_p90 FROM kin GROUP BY ALL
+        ), np1 AS (SELECT match_id, presser_id AS entity_id, count(*) AS n_press FROM press GROUP BY ALL
+        ), vo AS (SELECT match_id, v AS entity_id, sum(w) AS volume FROM (SELECT match_id, s AS v, w FROM pe UNION ALL SELECT match_id, t, w FROM pe) GROUP BY ALL
+        ), j AS (SELECT f.*, n_seen / 25.0::DOUBLE / 60 AS minutes, ha.hull_area, tc.n_touches, tc.n_held, sp.speed_p50, sp.speed_p90, prof.minutes AS m, prof.distance_m, prof.top_speed, prof.n_sprints, prof.hi_distance_m, prof.accel_p90, prof.n_turns, np1.n_press, vo.volume, central.betweenness, central.eigenvector
+            FROM f LEFT JOIN ha USING (match_id, entity_id) LEFT JOIN tc USING (match_id, entity_id) LEFT JOIN sp USING (match_id, entity_id) LEFT JOIN prof USING (match_id, entity_id) LEFT JOIN np1 USING (match_id, entity_id) LEFT JOIN vo USING (match_id, entity_id)
+            LEFT JOIN central ON central.match_id = f.match_id AND central.entity_id = f.entity_id
+        ) SELECT match_id, entity_id, team, minutes, mean_x, mean_y, std_x, std_y, wideness, hull_area, x_range, y_range, coalesce(distance_m / m, 0) AS dist_per_min, coalesce(top_speed, 0) AS top_speed, coalesce(speed_p50, 0) AS speed_p50, coalesce(speed_p90, 0) AS speed_p90,
+            coalesce(n_sprints / m, 0) AS sprints_per_min, coalesce(hi_distance_m / greatest(minutes, 0.1), 0) AS hi_dist_per_min, coalesce(accel_p90, 0) AS accel_p90, coalesce(n_turns / m, 0) AS dir_changes_per_min, coalesce(n_touches / minutes, 0) AS touches_per_min, coalesce(n_held / n_seen::DOUBLE, 0) AS poss_time_share,
+            mean_dist_ball, near_ball_share, coalesce(n_press / minutes, 0) AS press_per_min, {", ".join(f"time_{p}" for p in TIMED_PHASES)}, time_defending, dist_to_centroid, coalesce(volume / greatest(minutes, 0.1), 0) AS net_volume, coalesce(betweenness, 0) AS net_betweenness, coalesce(eigenvector, 0) AS net_eigenvector,
+            att_mean_x, att_mean_y, def_mean_x, def_mean_y, att_mean_x - def_mean_x AS push_up_delta, abs(att_mean_y - 34) - abs(def_mean_y - 34) AS tuck_in_delta
+        FROM j WHERE minutes >= 0.5"""
+
+SCALED = f"""WITH ft0 AS MATERIALIZED ({FEATURES}), lg AS (UNPIVOT (SELECT * EXCLUDE (team, minutes) FROM ft0) ON COLUMNS(* EXCLUDE (match_id, entity_id)) INTO NAME feature VALUE value
 ), qt AS (SELECT match_id, feature, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS q2, quantile_cont(value, 0.75) AS q3 FROM lg GROUP BY ALL
 ), zs AS (
-    SELECT match_id, entity_id, feature, CASE WHEN feature IN ('poss_time_share', 'mean_dist_ball', 'near_ball_share') THEN 'involvement' WHEN feature = 'dist_to_centroid' THEN 'interaction' WHEN feature IN ('att_mean_x', 'def_mean_x', 'push_up_delta') THEN 'phase' ELSE 'spatial' END AS grp,
+    SELECT match_id, entity_id, feature, CASE {" ".join(f"WHEN feature IN {names} THEN '{g}'" for g, names in GROUPS.items())} END AS grp,
         greatest(-4, least(4, (value - q2) / CASE WHEN q3 - q1 < 1e-9 THEN 1 ELSE q3 - q1 END)) AS z FROM lg JOIN qt USING (match_id, feature)
 )"""
 
@@ -259,6 +318,7 @@ _SQL: dict[str, str] = {
         ), b AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY match_id, team ORDER BY w DESC, s, d) = 1)
         SELECT e.match_id, e.team, sum(e.w)::BIGINT AS n_passes, min(n.n) AS n_players, CASE WHEN min(n.n) > 1 THEN count(*) / (min(n.n) * (min(n.n) - 1))::DOUBLE ELSE 0 END AS density, min(b.s) AS top_source, min(b.d) AS top_target, min(b.w) AS top_weight
         FROM e JOIN n ON n.match_id = e.match_id AND n.team = e.team JOIN b ON b.match_id = e.match_id AND b.team = e.team GROUP BY ALL"""),
+    "pass_centrality": f"WITH RECURSIVE {EVENTS}, {CENTRAL} SELECT * FROM central",
     "defensive_lines": _with(f"{EVENTS}, {LINES}", "SELECT * FROM lines"),
     "line_breaking_passes": _with(f"{EVENTS}, {LINES}", f"SELECT ev.match_id, ev.frame, ev.team, ev.from_id, ev.to_id, count(*) AS n_lines_broken FROM ev JOIN lines l ON l.match_id = ev.match_id AND l.frame = ev.frame AND l.team = ev.team AND l.from_id = ev.from_id WHERE type = 'pass' AND outcome = 'complete' AND ({_xa('ev.x', 'ev.team', 'ev.frame')}) < line_x - 2 AND ({_xa('ev.end_x', 'ev.team', 'ev.frame')}) > line_x + 2 GROUP BY ALL"),
     "xt_counts": _with(f"{EVENTS}, {MOVES}", "SELECT match_id, s, e, count(*) AS n FROM mv GROUP BY ALL"),
@@ -276,7 +336,7 @@ _SQL: dict[str, str] = {
         ), b AS (SELECT *, w / sum(w) OVER (PARTITION BY match_id, entity_id) AS weight_share FROM r QUALIFY row_number() OVER (PARTITION BY match_id, entity_id ORDER BY round(w, 6) DESC, number) = 1)
         SELECT match_id, entity_id, number, weight_share, n FROM b WHERE n >= 2 AND weight_share >= 0.6"""),
     "attack_direction": _with(LENS, "SELECT match_id, CASE WHEN frame >= CASE WHEN match_id % 2 = 1 THEN 2400 ELSE 3000 END THEN 2 ELSE 1 END AS half, CASE WHEN avg(x) FILTER (team = 'home') <= avg(x) FILTER (team = 'away') THEN 1 ELSE -1 END AS home_sign FROM t GROUP BY ALL"),
-    "bridged_gaps": _with(LENS, """, n AS (SELECT *, lead(frame) OVER w AS nf, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(conf) OVER w AS nc FROM t WHERE frame % 50 < 38 WINDOW w AS (PARTITION BY match_id, entity_id ORDER BY frame)
+    "bridged_gaps": _with(LENS, """, n AS (SELECT *, lead(frame) OVER w AS nf, lead(x) OVER w AS nx, lead(y) OVER w AS ny, lead(conf) OVER w AS nc FROM t WINDOW w AS (PARTITION BY match_id, entity_id ORDER BY frame)
         ), u AS (SELECT *, unnest(CASE WHEN nf - frame BETWEEN 2 AND 25 THEN range(frame, nf) ELSE [frame] END) AS f FROM n), v AS (SELECT *, (f - frame) / (nf - frame)::DOUBLE AS s FROM u)
         SELECT match_id, entity_id, f AS frame, CASE WHEN f > frame THEN x + (nx - x) * s ELSE x END AS x, CASE WHEN f > frame THEN y + (ny - y) * s ELSE y END AS y,
             CASE WHEN f > frame THEN least(conf, nc) * 0.5 * (0.5 + 0.5 * (1 - least(s, 1 - s) * 2)) ELSE conf END AS conf, f > frame AS filled FROM v"""),
@@ -288,21 +348,37 @@ _SQL: dict[str, str] = {
         SELECT match_id, n_frames, ball_coverage, players_median, conf_median, n_tracks, track_rows_median, CASE WHEN ball_coverage >= 0.8 THEN 'high' WHEN ball_coverage >= 0.5 THEN 'medium' ELSE 'low' END AS ball_level,
             CASE WHEN ball_coverage < 0.5 OR players_median < 12 OR conf_median < 0.4 THEN 'low' WHEN ball_coverage < 0.8 OR players_median < 18 OR conf_median < 0.7 THEN 'medium' ELSE 'high' END AS level
         FROM g JOIN k USING (match_id) JOIN c USING (match_id)"""),
-    "long_tracks": _with(LENS, ", a AS (SELECT match_id, entity_id, count(*) AS n FROM t WHERE frame % (entity_id + 1) = 0 GROUP BY ALL HAVING count(*) >= 500 UNION ALL SELECT match_id, -1, count(*) FROM ball GROUP BY ALL) SELECT * FROM a"),
+    "long_tracks": _with(LENS, ", a AS (SELECT match_id, entity_id, count(*) AS n FROM t GROUP BY ALL HAVING count(*) >= 500 UNION ALL SELECT match_id, -1, count(*) FROM ball GROUP BY ALL) SELECT * FROM a"),
     "nearest_vectors": "SELECT vec_id, place, round(c, 5) AS cosine FROM (SELECT q.vec_id, list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) AS c, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]) DESC, v.vec_id) AS place FROM embeddings q JOIN embeddings v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0) WHERE place <= 5",
     "similar_players": f"{SCALED}, {COSINES.format(by='', keys='match_id')} SELECT match_id, entity_id, other_id, cosine, row_number() OVER (PARTITION BY match_id, entity_id ORDER BY round(cosine, 9) DESC, other_id) AS place FROM cs QUALIFY place <= 5",
     "similarity_by_group": f"{SCALED}, {COSINES.format(by='a.grp, ', keys='match_id')} SELECT match_id, grp, entity_id, other_id, cosine FROM cs",
-    "match_facts": _with(EVENTS, FACTS + " SELECT * FROM facts"),
-    "fact_retrieval": _with(EVENTS, FACTS + """, q AS (SELECT *, 'How many passes were completed by the home team?' AS question, len(list_intersect(['how', 'many', 'passes', 'were', 'completed', 'by', 'the', 'home', 'team'], list_distinct(regexp_extract_all(lower(path), '[a-z]+')))) AS score FROM facts)
-        SELECT match_id, question, path, value, score FROM q WHERE score > 0 QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY score DESC, path) <= 8"""),
 }
 
+_SQL["line_breaking_counts"] = f"SELECT match_id, team, count(*) AS total FROM ({_SQL['line_breaking_passes']}) GROUP BY ALL"
+_SQL["counter_attack_counts"] = f"SELECT match_id, team, count(*) AS total FROM ({_SQL['counter_attacks']}) GROUP BY ALL"
+_SQL["team_running"] = f"SELECT match_id, CASE WHEN entity_id <= 11 THEN 'home' ELSE 'away' END AS team, sum(distance_m) AS distance_m, sum(n_sprints) AS sprints, max(top_speed) AS top_speed FROM ({_SQL['movement_profiles']}) GROUP BY ALL"
+_PARTS = " UNION ALL ".join(f"SELECT match_id, unnest([{', '.join(f"{{'p': '{prefix}.' || team || '.{c}', 'v': {c}::DOUBLE}}" for c in columns)}]) AS f FROM ({_SQL[name]})" for name, prefix, columns in SUMMARIES)
+_SQL["match_facts"] = f"SELECT match_id, f.p AS path, f.v AS value FROM ({_PARTS}) WHERE f.v IS NOT NULL"
+_ASKED = f"""WITH facts AS MATERIALIZED ({_SQL["match_facts"]}), q AS (SELECT unnest({list(QUESTIONS)}) AS question
+    ), syn AS (SELECT unnest({[{"key": k, "words": [k, *(w.replace(" ", "_") for w in words)]} for k, words in SYNONYMS.items()]}) AS s
+    ), ut AS (SELECT question, unnest(regexp_extract_all(lower(question), '[a-z]+')) AS t FROM q
+    ), ex AS (SELECT question, t AS w FROM ut UNION SELECT question, unnest(s.words) FROM ut JOIN syn ON starts_with(t, s.key) OR starts_with(s.key, t)
+    ), fw AS (SELECT DISTINCT match_id, path, value, unnest(regexp_extract_all(lower(path), '[a-z]+')) AS w FROM facts
+    ), hit AS (SELECT match_id, question, path, value, count(*) AS score FROM fw JOIN ex USING (w) GROUP BY match_id, question, path, value QUALIFY row_number() OVER (PARTITION BY match_id, question ORDER BY score DESC, path) <= 8)"""
+_SQL["fact_retrieval"] = f"{_ASKED} SELECT * FROM hit"
+_SQL["fact_answers"] = f"""{_ASKED} SELECT m.match_id, q.question, CASE WHEN count(h.path) = 0 THEN '{REFUSAL.replace("'", "''")}' ELSE 'Closest computed metrics:' || chr(10) || string_agg('- `' || path || '` = ' || round(value, 3)::DECIMAL(24, 3), chr(10) ORDER BY score DESC, path) END AS answer, count(h.path) AS n_evidence
+    FROM (SELECT DISTINCT match_id FROM facts) m CROSS JOIN q LEFT JOIN hit h ON h.match_id = m.match_id AND h.question = q.question GROUP BY m.match_id, q.question"""
+
 
 #: Columns of each query and their kinds: i integer, d double (compared to six decimals), s string, b boolean.
 COLUMNS: dict[str, str] = {
     "similar_players": "match_id:i entity_id:i other_id:i cosine:d place:i",
     "similarity_by_group": "match_id:i grp:s entity_id:i other_id:i cosine:d",
     "match_facts": "match_id:i path:s value:d",
+    "fact_answers": "match_id:i question:s answer:s n_evidence:i",
+    "line_breaking_counts": "match_id:i team:s total:i",
+    "counter_attack_counts": "match_id:i team:s total:i",
+    "team_running": "match_id:i team:s distance_m:d sprints:i top_speed:d",
     "fact_retrieval": "match_id:i question:s path:s value:d score:i",
     "players_by_class": "match_id:i team:s class:s n:i on_pitch:i in_left_box:i",
     "possession_frames": "match_id:i frame:i holder_id:i team:s dist_m:d",
@@ -319,7 +395,8 @@ COLUMNS: dict[str, str] = {
     "third_occupation": "match_id:i team:s third:i share:d",
     "heatmap_counts": "match_id:i team:s entity_id:i iy:i ix:i n:i",
     "heatmap_blurred": "match_id:i team:s iy:i ix:i v:d",
-    "player_features": "match_id:i entity_id:i team:s minutes:d mean_x:d mean_y:d std_x:d std_y:d wideness:d x_range:d y_range:d poss_time_share:d mean_dist_ball:d near_ball_share:d dist_to_centroid:d att_mean_x:d def_mean_x:d push_up_delta:d",
+    "player_features": "match_id:i entity_id:i team:s minutes:d " + " ".join(f"{n}:d" for names in GROUPS.values() for n in names),
+    "pass_centrality": "match_id:i team:s entity_id:i betweenness:d eigenvector:d",
     "shape_timeseries": "match_id:i frame:i team:s def_line_height_m:d depth_m:d width_m:d centroid_x_att:d in_possession:b",
     "shape_summary": "match_id:i team:s in_line:d out_line:d in_depth:d out_depth:d in_width:d out_width:d block_label:s",
     "field_tilt": "match_id:i team:s final_third_share:d own_third_share:d mean_ball_x_att:d tilt:d",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import pitch
-from ..operators import control, formations, marking, movement, passing, play, possession, report, style, tactics, tracks
+from ..operators import control, features, formations, marking, movement, passing, play, possession, report, style, tactics, tracks
 from ..sources import lens
 
 QUERIES: dict = {}
@@ -38,6 +38,11 @@ def query(function):
     return function
 
 
+def _stored(df: DataFrame) -> DataFrame:
+    """The rows, stored once in the session's checkpoint folder where it has one, for what several branches of a plan read."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+
+
 def _base(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     seen = lens.tracking(spark, sf_dir)
     return seen, possession.possession(seen)
@@ -120,9 +125,18 @@ def heatmap_blurred(spark, sf_dir):
     return movement.blurred(counts, "n", "match_id", "team")
 
 
+def _features(spark, sf_dir):
+    # derived matches are short, so half a minute is enough
+    seen, matches = _stored(lens.tracking(spark, sf_dir)), lens.matches(spark, sf_dir)
+    held, kin = _stored(possession.possession(seen)), _stored(movement.kinematics(seen))
+    found, press = _stored(play.events(seen, held)), tactics.pressures(kin, held, _teams(seen))
+    central = passing.pass_centrality(passing.pass_edges(found))
+    return features.player_features(seen, held, tactics.phases(seen, held, matches), kin, movement.movement_profiles(kin), press, passing.pass_nodes(found), central, matches, least_minutes=0.5)
+
+
 @query
 def player_features(spark, sf_dir):
-    return movement.player_features(*_base(spark, sf_dir), lens.matches(spark, sf_dir))
+    return _features(spark, sf_dir)
 
 
 @query
@@ -340,7 +354,7 @@ def attack_direction(spark, sf_dir):
 
 @query
 def bridged_gaps(spark, sf_dir):
-    return tracks.bridged(_people(spark, sf_dir).where("frame % 50 < 38").select("match_id", "entity_id", "frame", "x", "y", "conf"))
+    return tracks.bridged(_people(spark, sf_dir).select("match_id", "entity_id", "frame", "x", "y", "conf"))
 
 
 @query
@@ -350,8 +364,7 @@ def match_quality(spark, sf_dir):
 
 @query
 def long_tracks(spark, sf_dir):
-    rows = lens.tracking(spark, sf_dir).where("entity_id = -1 or frame % (entity_id + 1) = 0")
-    return tracks.without_fragments(rows, 500).groupBy("match_id", "entity_id").agg(F.count("*").alias("n"))
+    return tracks.without_fragments(lens.tracking(spark, sf_dir), 500).groupBy("match_id", "entity_id").agg(F.count("*").alias("n"))
 
 
 @query
@@ -362,18 +375,57 @@ def nearest_vectors(spark, sf_dir):
 
 @query
 def similar_players(spark, sf_dir):
-    return style.similar_players(movement.player_features(*_base(spark, sf_dir), lens.matches(spark, sf_dir)))
+    return style.similar_players(_features(spark, sf_dir))
 
 
 @query
 def similarity_by_group(spark, sf_dir):
-    return style.attribution(movement.player_features(*_base(spark, sf_dir), lens.matches(spark, sf_dir)))
+    return style.attribution(_features(spark, sf_dir))
 
 
-def _facts(spark, sf_dir):
+#: One question for each group of synonyms, one in plain words, and one that the facts do not answer.
+QUESTIONS = (
+    "Who pressed most?", "Which team had possession?", "What formation was it?", "Who was marked?", "How fast were they?", "How far did they run?", "Where did threat come from?",
+    "How many passes were completed by the home team?", "What roles were there?", "How did the field tilt?", "Were there counters?", "How high was the block?", "Will it rain tomorrow?",
+)
+
+
+def _teams(seen):
+    return possession.players_only(seen).groupBy("match_id", "entity_id").agg(F.mode("team", deterministic=True).alias("team"))
+
+
+@query
+def line_breaking_counts(spark, sf_dir):
     seen, held = _base(spark, sf_dir)
-    shares = report.facts(possession.possession_summary(held), "possession", ["share", "n_spells", "mean_spell_s"])
-    return shares.unionByName(report.facts(play.event_counts(play.events(seen, held)), "events", ["passes", "completed", "turnovers", "carries"]))
+    return passing.line_breaking(seen, play.events(seen, held), lens.matches(spark, sf_dir)).groupBy("match_id", "team").agg(F.count("*").alias("total"))
+
+
+@query
+def counter_attack_counts(spark, sf_dir):
+    return counter_attacks(spark, sf_dir).groupBy("match_id", "team").agg(F.count("*").alias("total"))
+
+
+@query
+def team_running(spark, sf_dir):
+    seen = lens.tracking(spark, sf_dir)
+    return report.team_running(movement.movement_profiles(movement.kinematics(seen)), _teams(seen))
+
+
+def _facts(spark, sf_dir):
+    seen = _stored(lens.tracking(spark, sf_dir))
+    held, kin, matches, teams = _stored(possession.possession(seen)), _stored(movement.kinematics(seen)), lens.matches(spark, sf_dir), _teams(seen)
+    found, press = _stored(play.events(seen, held)), _stored(tactics.pressures(kin, held, teams))
+    frames = seen.groupBy("match_id").agg((F.max("frame") + 1).alias("n_frames"))
+    total = lambda rows: rows.groupBy("match_id", "team").agg(F.count("*").alias("total"))
+    return report.build_facts({
+        "possession_summary": possession.possession_summary(held), "event_counts": play.event_counts(found), "field_tilt": tactics.field_tilt(seen, held, matches), "shape_summary": tactics.shape_summary(tactics.shape(seen, held, matches)),
+        "pressing_summary": tactics.pressing_summary(press, found, frames, matches), "ppda": tactics.ppda(found, press, matches), "pass_summary": passing.pass_summary(passing.pass_edges(found)),
+        "line_breaking_counts": total(passing.line_breaking(seen, found, matches)), "counter_attack_counts": total(play.counter_attacks(found, possession.ball_of(seen), matches)), "team_running": report.team_running(movement.movement_profiles(kin), teams),
+    })
+
+
+def _asked(known):
+    return known.select("match_id").distinct().select("match_id", F.explode(F.array(*map(F.lit, QUESTIONS))).alias("question"))
 
 
 @query
@@ -381,15 +433,29 @@ def match_facts(spark, sf_dir):
     return _facts(spark, sf_dir)
 
 
+def _stored_facts(spark, sf_dir):
+    return _stored(_facts(spark, sf_dir))
+
+
 @query
 def fact_retrieval(spark, sf_dir):
-    known = _facts(spark, sf_dir)
-    return report.retrieve(known.select("match_id", F.lit("How many passes were completed by the home team?").alias("question")).distinct(), known)
+    known = _stored_facts(spark, sf_dir)
+    return report.retrieve(_asked(known), known)
+
+
+@query
+def fact_answers(spark, sf_dir):
+    known = _stored_facts(spark, sf_dir)
+    return report.answers(_asked(known), known)
+
+
+@query
+def match_report(spark, sf_dir):
+    return report.written(_facts(spark, sf_dir))
 
 
 @query
 def report_audit(spark, sf_dir):
-    # a report that states every fact to two decimals, and one number that is none
-    known = _facts(spark, sf_dir)
-    lines = known.groupBy("match_id").agg(F.concat_ws(". ", F.sort_array(F.collect_list(F.concat("path", F.lit(" was "), F.format_string("%.2f", "value"))))).alias("body"))
-    return report.audit(lines.select("match_id", F.concat("body", F.lit(". In a 4-3-3, nothing was 123456.5."), F.lit("\n## Metrics Appendix\n777777")).alias("text")), known)
+    # the written report with one number that is no fact
+    known = _stored_facts(spark, sf_dir)
+    return report.audit(report.written(known).select("match_id", F.concat(F.lit("In a 4-3-3, nothing was 123456.5. "), "text").alias("text")), known)
