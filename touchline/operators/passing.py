@@ -97,6 +97,12 @@ def pass_centrality(edges: DataFrame) -> DataFrame:
     return edges.groupBy("match_id", "team").applyInPandas(work, "match_id int, team string, entity_id int, betweenness double, eigenvector double")
 
 
+def most_central(central: DataFrame) -> DataFrame:
+    """(match_id, team, entity_id, betweenness): the hub of each team's passes; ties, to nine decimals, go to the lowest id."""
+    best = F.min(F.struct((-F.round("betweenness", 9)).alias("b"), "entity_id", "betweenness")).alias("m")
+    return central.groupBy("match_id", "team").agg(best).select("match_id", "team", "m.entity_id", "m.betweenness")
+
+
 def defensive_lines(tracking: DataFrame, passes: DataFrame, matches: DataFrame, tolerance: int = 3, cfg: Config = DEFAULT) -> DataFrame:
     """(match_id, frame, team, from_id, line_x): mean depths of the defenders' lines at each pass, in the passing team's direction.
 

@@ -283,6 +283,8 @@ _SQL: dict[str, str] = {
     "kinematics": _with(f"{LENS}, {KIN}", "SELECT match_id, entity_id, run, frame, x, y, vx, vy, speed, accel FROM kin"),
     "movement_profiles": _with(f"{LENS}, {KIN}, {PROFILES}", "SELECT * FROM prof"),
     "top_movers": _with(f"{LENS}, {KIN}, {PROFILES}", "SELECT match_id, row_number() OVER (PARTITION BY match_id ORDER BY round(distance_m, 6) DESC, entity_id) AS place, entity_id, distance_m FROM prof WHERE minutes > 1 QUALIFY place <= 5"),
+    "most_central": f"WITH RECURSIVE {EVENTS}, {CENTRAL} SELECT match_id, team, entity_id, betweenness FROM central QUALIFY row_number() OVER (PARTITION BY match_id, team ORDER BY round(betweenness, 9) DESC, entity_id) = 1",
+    "top_speeds": _with(f"{LENS}, {KIN}, {PROFILES}", "SELECT match_id, row_number() OVER (PARTITION BY match_id ORDER BY round(top_speed, 6) DESC, entity_id) AS place, entity_id, top_speed, n_sprints FROM prof WHERE minutes > 1 QUALIFY place <= 5"),
     "third_occupation": _with(LENS, "SELECT match_id, team, k::INT AS third, avg((CASE WHEN x < 35 THEN 0 WHEN x < 70 THEN 1 ELSE 2 END = k)::INT::DOUBLE) AS share FROM t, (SELECT unnest([0, 1, 2]) AS k) GROUP BY ALL"),
     "heatmap_counts": _with(LENS, ", b AS (SELECT match_id, team, entity_id, greatest(0, least(33, trunc(y / 68 * 34)))::INT AS iy, greatest(0, least(51, trunc(x / 105 * 52)))::INT AS ix FROM t WHERE x BETWEEN 0 AND 105 AND y BETWEEN 0 AND 68) SELECT match_id, team, entity_id, iy, ix, count(*) AS n FROM b GROUP BY GROUPING SETS ((match_id, team, iy, ix), (match_id, team, entity_id, iy, ix))"),
     "heatmap_blurred": _with(LENS, """, b AS (SELECT match_id, team, greatest(0, least(33, trunc(y / 68 * 34)))::INT AS iy, greatest(0, least(51, trunc(x / 105 * 52)))::INT AS ix, count(*)::DOUBLE AS n FROM t GROUP BY ALL
@@ -391,6 +393,8 @@ COLUMNS: dict[str, str] = {
     "minutes_played": "match_id:i entity_id:i team:s minutes:d",
     "kinematics": "match_id:i entity_id:i run:i frame:i x:d y:d vx:d vy:d speed:d accel:d",
     "movement_profiles": "match_id:i entity_id:i minutes:d distance_m:d top_speed:d mean_speed:d hi_distance_m:d n_sprints:i accel_p90:d n_turns:i",
+    "most_central": "match_id:i team:s entity_id:i betweenness:d",
+    "top_speeds": "match_id:i place:i entity_id:i top_speed:d n_sprints:i",
     "top_movers": "match_id:i place:i entity_id:i distance_m:d",
     "third_occupation": "match_id:i team:s third:i share:d",
     "heatmap_counts": "match_id:i team:s entity_id:i iy:i ix:i n:i",

@@ -323,6 +323,25 @@ def top_movers(spark, sf_dir):
     return found.withColumn("place", place).where("place <= 5").select("match_id", "place", "entity_id", "distance_m")
 
 
+@query
+def top_speeds(spark, sf_dir):
+    found = movement.movement_profiles(movement.kinematics(lens.tracking(spark, sf_dir))).where("minutes > 1")
+    place = F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc(F.round("top_speed", 6)), "entity_id"))
+    return found.withColumn("place", place).where("place <= 5").select("match_id", "place", "entity_id", "top_speed", "n_sprints")
+
+
+@query
+def most_central(spark, sf_dir):
+    return passing.most_central(passing.pass_centrality(passing.pass_edges(_events(spark, sf_dir))))
+
+
+@query
+def top_threats(spark, sf_dir):
+    found = player_xt(spark, sf_dir)
+    place = F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc(F.round("xt_created", 6)), "entity_id"))
+    return found.withColumn("place", place).where("place <= 5")
+
+
 @query
 def radar_frames(spark, sf_dir):
     # three radar frames a second: every eighth frame, its players by jersey
