@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, brown_lm, chat, crf, media, near_dup, packing, quality_rules, secret_scan, warc
+from . import bpe, brown_lm, chat, crf, media, near_dup, packing, quality_rules, secret_scan, spelling, warc
 
 QUERIES = {
     "op1_secrets": secret_scan.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_quality_rules": quality_rules.query,
     "op9_chat": chat.query,
     "op10_near_dup": near_dup.query,
+    "op11_spelling_variants": spelling.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
