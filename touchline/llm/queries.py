@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, brown_lm, chat, crf, media, near_dup, packing, periodic, quality_rules, secret_scan, spelling, warc
+from . import bpe, brown_lm, chat, crf, media, near_dup, packing, periodic, quality_rules, secret_scan, spelling, suffix_dedup, warc
 
 QUERIES = {
     "op1_secrets": secret_scan.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_chat": chat.query,
     "op10_near_dup": near_dup.query,
     "op11_spelling_variants": spelling.query,
+    "op12_suffix_dedup": suffix_dedup.query,
     "op13_periodic_runs": periodic.query,
 }
 
