@@ -254,6 +254,7 @@ def test_streaming_possession_equals_batch(spark, pass_chain, tmp_path):
 
     near = possession.nearest_to_ball(pass_chain).select("match_id", "frame", "entity_id", "dist_m").orderBy("frame")
     near.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     stream = live_possession(spark.readStream.schema(near.schema).parquet(str(tmp_path / "in")))
     running = stream.writeStream.format("memory").queryName("live_held").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     running.awaitTermination(120)

@@ -99,6 +99,26 @@ class Threat:
     complete_range: tuple[float, float] = (0.5, 0.95)
 
 
+@dataclass(frozen=True)
+class Tracking:
+    sure: float = 0.5
+    unsure: float = 0.1
+    birth: float = 0.6
+    limit: float = 0.8
+    second_limit: float = 0.5
+    once_limit: float = 0.7
+    lost_frames: int = 30
+    looks_weight: float = 0.3
+    speed_mps: float = 12.5
+    aside_s: float = 8.0
+    aside_looks: float = 0.25
+    aside_m: float = 8.0
+    ball_jump_px: float = 120.0
+    ball_misses: int = 25
+    camera_share: float = 0.5
+    camera_jump: float = 0.6
+
+
 @dataclass(frozen=True)
 class Config:
     pitch: Pitch = field(default_factory=Pitch)
@@ -109,6 +129,7 @@ class Config:
     phases: Phases = field(default_factory=Phases)
     control: Control = field(default_factory=Control)
     threat: Threat = field(default_factory=Threat)
+    tracking: Tracking = field(default_factory=Tracking)
     fps: float = 25.0
 
     def with_overrides(self, overrides: dict) -> "Config":

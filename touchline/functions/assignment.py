@@ -71,3 +71,44 @@ def hull_area(points: np.ndarray, fewest: int = 3) -> float:
         return 0.0
     x, y = ring.T
     return float(abs(x @ np.roll(y, -1) - y @ np.roll(x, -1)) / 2)
+
+
+def matched(cost: np.ndarray, limit: float, strict: bool = False) -> list[tuple[int, int]]:
+    """Pairs of the least total cost, where all pairs above ``limit`` (at it too, if ``strict``) cost the same and are left out.
+
+    Rows and columns without a common pair below the limit are parts of their
+    own, so that mostly single pairs are assigned.
+    """
+    cost = np.asarray(cost, float)
+    open_ = cost < limit if strict else cost <= limit
+    found, left = [], set(np.flatnonzero(open_.any(axis=1)).tolist())
+    while left:
+        rows, cols, todo = set(), set(), [min(left)]
+        while todo:
+            r = todo.pop()
+            if r in rows:
+                continue
+            rows.add(r)
+            fresh = set(np.flatnonzero(open_[r]).tolist()) - cols
+            cols |= fresh
+            for c in fresh:
+                todo += np.flatnonzero(open_[:, c]).tolist()
+        left -= rows
+        rs, cs = sorted(rows), sorted(cols)
+        if len(rs) == 1:
+            found.append((rs[0], cs[int(np.argmin(cost[rs[0], cs]))]))
+            continue
+        part = np.ix_(rs, cs)
+        i, j = assign(np.where(open_[part], cost[part], limit if strict else limit + 1e5))
+        found += [(rs[a], cs[b]) for a, b in zip(i, j) if open_[rs[a], cs[b]]]
+    return sorted(found)
+
+
+def overlaps(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Intersection over union of every box (x1, y1, x2, y2) of one array with every box of another."""
+    a, b = np.asarray(a, float).reshape(-1, 4), np.asarray(b, float).reshape(-1, 4)
+    low, high = np.maximum(a[:, None, :2], b[None, :, :2]), np.minimum(a[:, None, 2:], b[None, :, 2:])
+    both = np.clip(high - low, 0, None).prod(axis=2)
+    size = lambda boxes: np.clip(boxes[:, 2:] - boxes[:, :2], 0, None).prod(axis=1)
+    union = size(a)[:, None] + size(b)[None, :] - both
+    return np.where(union > 0, both / np.where(union > 0, union, 1), 0.0)

@@ -52,8 +52,9 @@ def hull_areas(points: DataFrame) -> DataFrame:
         found = hull_area(rows[["xa", "ya"]].to_numpy()) if rows["n"].sum() >= 4 else 0.0
         return pd.DataFrame({"match_id": rows["match_id"][:1], "entity_id": rows["entity_id"][:1], "hull_area": [found]})
 
-    parts = points.select(*KEY, "xa", "ya").mapInPandas(corners, "match_id int, entity_id int, xa double, ya double, n long")
-    return parts.groupBy(*KEY).applyInPandas(area, "match_id int, entity_id int, hull_area double")
+    kind = dict(points.dtypes)["match_id"]
+    parts = points.select(*KEY, "xa", "ya").mapInPandas(corners, f"match_id {kind}, entity_id int, xa double, ya double, n long")
+    return parts.groupBy(*KEY).applyInPandas(area, f"match_id {kind}, entity_id int, hull_area double")
 
 
 def touches(held: DataFrame, gap: int = 3) -> DataFrame:

@@ -94,7 +94,7 @@ def pass_centrality(edges: DataFrame) -> DataFrame:
         first = group.iloc[0]
         return pd.DataFrame([(first["match_id"], first["team"], v, b, e) for v, (b, e) in found.items()], columns=["match_id", "team", "entity_id", "betweenness", "eigenvector"])
 
-    return edges.groupBy("match_id", "team").applyInPandas(work, "match_id int, team string, entity_id int, betweenness double, eigenvector double")
+    return edges.groupBy("match_id", "team").applyInPandas(work, f"match_id {dict(edges.dtypes)['match_id']}, team string, entity_id int, betweenness double, eigenvector double")
 
 
 def most_central(central: DataFrame) -> DataFrame:
@@ -190,7 +190,7 @@ def xt_grids(events: DataFrame, matches: DataFrame, cfg: Config = DEFAULT) -> Da
         grid = value_grid(table, first["share"] if first["passes"] >= 20 else None, cfg.threat, cfg.pitch.length, cfg.pitch.width)
         return pd.DataFrame({"match_id": first["match_id"], "cell": np.arange(n), "xt": grid})
 
-    return rows.groupBy("match_id").applyInPandas(work, "match_id int, cell int, xt double")
+    return rows.groupBy("match_id").applyInPandas(work, f"match_id {dict(events.dtypes)['match_id']}, cell int, xt double")
 
 
 def player_xt(events: DataFrame, grids: DataFrame, matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

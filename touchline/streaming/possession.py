@@ -2,39 +2,33 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import DEFAULT, Config
+from .live import live
 
 
-def live_possession(candidates: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(match_id, frame, holder_id) of a stream (match_id, frame, entity_id, dist_m) of nearest players, in order of frame.
-
-    The state of a match is its holder, the candidate and for how many rows it
-    has been that, so it is three numbers however long the match.
-    """
+def possession_step(cfg: Config = DEFAULT):
+    """One frame of (entity_id, dist_m) of the nearest player: who holds the ball, in three numbers of state."""
     radius, need = cfg.possession.radius_m, cfg.possession.hysteresis_rows
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        holder, candidate, run = state.get if state.exists else (-1, -1, 0)
-        rows = pd.concat(list(batches)).sort_values("frame")
-        held = []
-        for entity, dist in zip(rows["entity_id"], rows["dist_m"]):
-            now = int(entity) if dist <= radius else -1
-            run = run + 1 if now == candidate else 1
-            candidate = now
-            if now != -1 and (holder == -1 or run == need):
-                holder = now
-            held.append(holder)
-        state.update((holder, candidate, run))
-        yield pd.DataFrame({"match_id": key[0], "frame": rows["frame"], "holder_id": held})
-
-    return candidates.groupBy("match_id").applyInPandasWithState(step, "match_id int, frame int, holder_id int", "holder int, candidate int, run int", "append", GroupStateTimeout.NoTimeout)
+    def step(state: dict, match, frame: int, rows: list[dict]) -> list[tuple]:
+        row = min(rows, key=lambda r: (r["dist_m"], r["entity_id"]))
+        now = int(row["entity_id"]) if row["dist_m"] <= radius else -1
+        state["run"] = state.get("run", 0) + 1 if now == state.get("candidate", -1) else 1
+        state["candidate"] = now
+        if now != -1 and (state.get("holder", -1) == -1 or state["run"] == need):
+            state["holder"] = now
+        return [(match, frame, state.get("holder", -1))]
+
+    return step
+
+
+def live_possession(candidates: DataFrame, cfg: Config = DEFAULT, idle_ms: int = 600_000) -> DataFrame:
+    """(match_id, frame, holder_id) of a stream (match_id, frame, entity_id, dist_m) of nearest players, in order of frame; a match's state goes ``idle_ms`` after its last row."""
+    kind = dict(candidates.dtypes)["match_id"]
+    return live(candidates, dict, possession_step(cfg), f"match_id {kind}, frame int, holder_id int", idle_ms)
 
 
 def live_shares(held: DataFrame, seconds: int = 20, late: str = "10 seconds") -> DataFrame:
