@@ -183,6 +183,21 @@ PROFILES = """pf AS (
 )"""
 
 
+#: Events where the ball is missing around passes: the ball of the nearest frame that has it, the earlier one of two.
+RARE_EVENTS = (
+    EVENTS.replace("FROM ball0\n)", "FROM ball0 WHERE NOT f % 6000 % 40 BETWEEN 27 AND 33\n)")
+    .replace("hd AS (", """frs AS (SELECT DISTINCT match_id, frame FROM t UNION SELECT match_id, frame FROM ball
+), nb AS (
+    SELECT frs.match_id, frs.frame, ball.x, ball.y FROM frs JOIN ball ON ball.match_id = frs.match_id AND ball.frame BETWEEN frs.frame - 40 AND frs.frame + 40
+    QUALIFY row_number() OVER (PARTITION BY frs.match_id, frs.frame ORDER BY abs(ball.frame - frs.frame), ball.frame) = 1
+), hx AS (SELECT match_id, spell, holder_id, min(team) AS team, min(frame) AS s0, max(frame) AS s1 FROM pisl WHERE holder_id <> -1 GROUP BY ALL
+), hp AS (SELECT hx.match_id, spell, holder_id, team, nb.frame, nb.x AS bx, nb.y AS by_ FROM hx JOIN nb ON nb.match_id = hx.match_id AND nb.frame BETWEEN s0 AND s1
+), hd AS (""", 1)
+    .replace("FROM pisl p LEFT JOIN t", "FROM hp p LEFT JOIN t", 1)
+    .replace("JOIN ball o", "JOIN nb o").replace("JOIN ball i", "JOIN nb i").replace("JOIN ball n", "JOIN nb n")
+)
+
+
 def _with(parts: str, select: str) -> str:
     return f"WITH {parts} {select}"
 
@@ -274,6 +289,18 @@ _SQL: dict[str, str] = {
         SELECT match_id, team, n / sum(n) OVER (PARTITION BY match_id)::DOUBLE AS share, n_spells, mean_spell_s, max_spell_s FROM fr2 JOIN ln USING (match_id, team)"""),
     "rolling_possession": _with(POSS, f"SELECT match_id, frame, CASE WHEN count(*) OVER w >= 250 THEN avg((team = 'home')::INT::DOUBLE) OVER w END AS home_share FROM poss WINDOW w AS ({ORDER} ROWS BETWEEN 749 PRECEDING AND CURRENT ROW)"),
     "derived_events": _with(EVENTS, "SELECT * FROM ev"),
+    "rare_ball_events": _with(RARE_EVENTS, "SELECT * FROM ev"),
+    "owner_agreement": _with(POSS, """, o AS (SELECT (f // 6000)::INT AS match_id, (f % 6000)::INT AS frame, CASE WHEN f % 40 > 30 THEN 'none' WHEN 1 + (7 * (f // 40)) % 22 <= 11 THEN 'home' ELSE 'away' END AS owner FROM fr)
+        SELECT o.match_id, count(*) AS n_frames, avg((coalesce(p.team, 'none') = owner)::INT::DOUBLE) AS agreement FROM o LEFT JOIN poss p ON p.match_id = o.match_id AND p.frame = o.frame GROUP BY ALL"""),
+    "label_flips": _with(LENS, """, s AS (SELECT * FROM t WHERE frame % 25 = 0
+        ), v AS (SELECT a.match_id, CASE WHEN a.match_id % 2 = 0 THEN a.team WHEN a.team = 'home' THEN 'away' ELSE 'home' END = b.team AS same FROM s a JOIN s b ON b.match_id = a.match_id AND b.frame = a.frame
+            QUALIFY row_number() OVER (PARTITION BY a.match_id, a.frame, a.entity_id ORDER BY sqrt((a.x + 0.25 - b.x) * (a.x + 0.25 - b.x) + (a.y - b.y) * (a.y - b.y)), b.entity_id) = 1)
+        SELECT match_id, sum(same::INT)::BIGINT AS n_same, sum((NOT same)::INT)::BIGINT AS n_flipped, sum((NOT same)::INT) > sum(same::INT) AS flipped FROM v GROUP BY ALL"""),
+    "scene_cuts": _with(LENS, f""", o AS (SELECT match_id, frame, (frame >= CASE WHEN match_id % 2 = 1 THEN 2400 ELSE 3000 END) <> (frame % 1000 >= 950) AS other FROM ball
+        ), h AS (SELECT match_id, frame, list_transform(range(8), lambda i: (CASE WHEN other THEN power((i * 5) % 8, 2) ELSE power(i, 2) END + (frame * (i + 3)) % 4)::DOUBLE) AS v FROM o
+        ), b AS (SELECT *, lag(v) OVER ({ORDER}) AS w FROM h
+        ), d AS (SELECT match_id, frame, w, sqrt(greatest(1 - list_sum(list_transform(range(1, 9), lambda i: sqrt(v[i] * w[i]))) / sqrt(list_sum(v) * list_sum(w)), 0)) AS far FROM b)
+        SELECT match_id, frame, coalesce(far > 0.45, false) AS cut FROM d"""),
     "event_counts": _with(EVENTS, "SELECT match_id, team, sum((type = 'pass')::INT)::BIGINT AS passes, sum((type = 'pass' AND outcome = 'complete')::INT)::BIGINT AS completed, sum((type = 'turnover')::INT)::BIGINT AS turnovers, sum((type = 'carry')::INT)::BIGINT AS carries FROM ev GROUP BY ALL"),
     "counter_attacks": _with(EVENTS, f""", ca AS (
         SELECT e.match_id, e.frame AS f0, e.team, b.frame, {_xa("b.x", "e.team", "b.frame")} AS xa FROM ev e JOIN ball b ON b.match_id = e.match_id AND b.frame BETWEEN e.frame AND e.frame + 200 WHERE type = 'turnover'
@@ -292,6 +319,15 @@ _SQL: dict[str, str] = {
         ), rw AS (SELECT match_id, team, (CASE WHEN iy + k < 0 THEN -(iy + k) - 1 WHEN iy + k >= 34 THEN 67 - iy - k ELSE iy + k END)::INT AS iy, ix, sum(n * w) AS v FROM b, kw GROUP BY ALL
         ), cw AS (SELECT match_id, team, iy, (CASE WHEN ix + k < 0 THEN -(ix + k) - 1 WHEN ix + k >= 52 THEN 103 - ix - k ELSE ix + k END)::INT AS ix, sum(v * w) AS v FROM rw, kw GROUP BY ALL)
         SELECT match_id, team, iy, ix, v / sum(v) OVER (PARTITION BY match_id, team) AS v FROM cw"""),
+    "player_maps": _with(LENS, f""", a AS (SELECT match_id, entity_id, {_xa("x", "team", "frame")} AS xa, {_ya("y", "team", "frame")} AS ya FROM t WHERE class <> 'goalkeeper'
+        ), b AS (SELECT match_id, entity_id, greatest(0, least(15, trunc(ya / 68 * 16)))::INT AS iy, greatest(0, least(23, trunc(xa / 105 * 24)))::INT AS ix, count(*)::DOUBLE AS n FROM a GROUP BY ALL
+        ), kw AS (SELECT k, exp(-0.5 * k * k) / sum(exp(-0.5 * k * k)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS k)
+        ), rw AS (SELECT match_id, entity_id, (CASE WHEN iy + k < 0 THEN -(iy + k) - 1 WHEN iy + k >= 16 THEN 31 - iy - k ELSE iy + k END)::INT AS iy, ix, sum(n * w) AS v FROM b, kw GROUP BY ALL
+        ), cw AS (SELECT match_id, entity_id, iy, (CASE WHEN ix + k < 0 THEN -(ix + k) - 1 WHEN ix + k >= 24 THEN 47 - ix - k ELSE ix + k END)::INT AS ix, sum(v * w) AS v FROM rw, kw GROUP BY ALL)
+        SELECT match_id, entity_id, iy, ix, v / sum(v) OVER (PARTITION BY match_id, entity_id) AS v FROM cw"""),
+    "track_signatures": """WITH s AS (SELECT label AS match_id, vec_id % 40 AS track_id, embedding AS e FROM embeddings WHERE embedding IS NOT NULL
+        ), u AS (SELECT match_id, track_id, i - 1 AS i, e[i]::DOUBLE + CASE WHEN track_id % 20 = 19 THEN 9.0 WHEN track_id % 2 = 0 THEN 2.0 ELSE -2.0 END AS v FROM s, range(1, 9) r(i))
+        SELECT match_id, track_id, i, median(v) AS v, count(*) AS n FROM u GROUP BY ALL""",
     "player_features": FEATURES,
     "shape_timeseries": _with(f"{POSS}, {SHAPE}", "SELECT * FROM shp"),
     "shape_summary": _with(f"{POSS}, {SHAPE}", """, s AS (SELECT match_id, team, round(avg(def_line_height_m) FILTER (in_possession), 1) AS in_line, round(avg(def_line_height_m) FILTER (NOT in_possession), 1) AS out_line, round(avg(depth_m) FILTER (in_possession), 1) AS in_depth,
@@ -388,6 +424,12 @@ COLUMNS: dict[str, str] = {
     "possession_summary": "match_id:i team:s share:d n_spells:i mean_spell_s:d max_spell_s:d",
     "rolling_possession": "match_id:i frame:i home_share:d",
     "derived_events": "match_id:i frame:i type:s team:s from_id:i to_id:i x:d y:d end_x:d end_y:d outcome:s",
+    "rare_ball_events": "match_id:i frame:i type:s team:s from_id:i to_id:i x:d y:d end_x:d end_y:d outcome:s",
+    "player_maps": "match_id:i entity_id:i iy:i ix:i v:d",
+    "track_signatures": "match_id:i track_id:i n:i i:i v:d",
+    "owner_agreement": "match_id:i n_frames:i agreement:d",
+    "label_flips": "match_id:i n_same:i n_flipped:i flipped:b",
+    "scene_cuts": "match_id:i frame:i cut:b",
     "event_counts": "match_id:i team:s passes:i completed:i turnovers:i carries:i",
     "counter_attacks": "match_id:i frame:i team:s gain_m:d duration_s:d speed_mps:d",
     "minutes_played": "match_id:i entity_id:i team:s minutes:d",

@@ -7,9 +7,10 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT
 from ..functions import pitch
-from ..operators import control, features, formations, marking, movement, passing, play, possession, report, style, tactics, tracks
-from ..sources import lens
+from ..operators import calibration, control, embedding, evaluation, features, formations, marking, movement, passing, play, possession, report, style, tactics, teams, tracker, tracks
+from ..sources import camera, lens
 
 QUERIES: dict = {}
 
@@ -386,6 +387,73 @@ def long_tracks(spark, sf_dir):
     return tracks.without_fragments(lens.tracking(spark, sf_dir), 500).groupBy("match_id", "entity_id").agg(F.count("*").alias("n"))
 
 
+@query
+def rare_ball_events(spark, sf_dir):
+    # the ball is not seen around passes, so releases and receptions look for the nearest frame with it
+    seen = lens.rare_ball(lens.tracking(spark, sf_dir))
+    return play.events(seen, possession.possession(seen))
+
+
+@query
+def owner_agreement(spark, sf_dir):
+    return evaluation.owner_agreement(_base(spark, sf_dir)[1], lens.true_owners(spark, sf_dir))
+
+
+@query
+def pass_agreement(spark, sf_dir):
+    passes = evaluation.numbered(_events(spark, sf_dir).where("type = 'pass'"))
+    return evaluation.event_agreement(passes, lens.true_passes(spark, sf_dir))
+
+
+@query
+def radius_sweep(spark, sf_dir):
+    seen = _stored(lens.tracking(spark, sf_dir))
+    with_radius = lambda r: DEFAULT.with_overrides({"possession": {"radius_m": r}})
+    return evaluation.radius_sweep(seen, lens.true_passes(spark, sf_dir), possession.possession, play.events, (1.0, 2.0, 3.0), 40, with_radius)
+
+
+@query
+def label_flips(spark, sf_dir):
+    # labels of every other match are the wrong way round
+    true = lens.tracking(spark, sf_dir)
+    swapped = F.when(F.col("match_id") % 2 == 0, F.col("team")).when(F.col("team") == "home", "away").when(F.col("team") == "away", "home").otherwise(F.col("team"))
+    return evaluation.labels_flipped(true.withColumns({"team": swapped, "x": F.col("x") + 0.25}), true)
+
+
+@query
+def player_tracks(spark, sf_dir):
+    return tracker.tracks(camera.detections(spark, sf_dir))
+
+
+@query
+def tracking_metrics(spark, sf_dir):
+    return evaluation.tracking_metrics(camera.true_boxes(spark, sf_dir), _stored(tracker.tracks(camera.detections(spark, sf_dir))))
+
+
+@query
+def ball_track(spark, sf_dir):
+    return tracker.ball_track(camera.ball_candidates(spark, sf_dir))
+
+
+def _coefficients(found):
+    return found.select(*(c for c in found.columns if c != "homography"), *(F.get("homography", F.lit(3 * i + j)).alias(f"h{i}{j}") for i in range(3) for j in range(3)))
+
+
+@query
+def steady_homographies(spark, sf_dir):
+    return _coefficients(tracker.steady_homographies(camera.homography_estimates(spark, sf_dir)))
+
+
+@query
+def fitted_homographies(spark, sf_dir):
+    return _coefficients(calibration.fitted_homographies(camera.correspondences(spark, sf_dir)))
+
+
+@query
+def scene_cuts(spark, sf_dir):
+    return tracker.scene_cuts(camera.colour_histograms(spark, sf_dir))
+
+
 @query
 def nearest_vectors(spark, sf_dir):
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
@@ -402,6 +470,71 @@ def similarity_by_group(spark, sf_dir):
     return style.attribution(_features(spark, sf_dir))
 
 
+def _style_rows(spark, sf_dir):
+    features_ = _stored(_features(spark, sf_dir))
+    return features_, _stored(embedding.style_rows(features_, embedding.player_maps(lens.tracking(spark, sf_dir), lens.matches(spark, sf_dir))))
+
+
+@query
+def player_maps(spark, sf_dir):
+    return embedding.player_maps(lens.tracking(spark, sf_dir), lens.matches(spark, sf_dir))
+
+
+def _numbers(vectors):
+    """A row for each number of a vector."""
+    return vectors.select("match_id", "entity_id", F.posexplode("vector").alias("place", "v"))
+
+
+@query
+def style_vectors(spark, sf_dir):
+    return _numbers(embedding.match_vectors(_style_rows(spark, sf_dir)[1]))
+
+
+@query
+def style_vectors_of_all(spark, sf_dir):
+    return _numbers(embedding.all_vectors(_style_rows(spark, sf_dir)[1]))
+
+
+def _clusters(spark, sf_dir):
+    features_, rows = _style_rows(spark, sf_dir)
+    return features_, _stored(embedding.style_clusters(embedding.match_vectors(rows)))
+
+
+@query
+def cluster_traits(spark, sf_dir):
+    return embedding.cluster_traits(*_clusters(spark, sf_dir))
+
+
+@query
+def player_roles(spark, sf_dir):
+    return embedding.player_roles(*_clusters(spark, sf_dir))
+
+
+@query
+def nominal_and_actual(spark, sf_dir):
+    windows = formations.formation_windows(formations.window_places(*_base(spark, sf_dir), lens.matches(spark, sf_dir)))
+    return embedding.nominal_and_actual(embedding.player_roles(*_clusters(spark, sf_dir)), windows)
+
+
+def _looks(spark, sf_dir):
+    """Vectors as samples of the looks of tracks: forty tracks a match, whose first numbers tell the team."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    track = F.pmod(F.col("vec_id"), F.lit(40)).cast("int")
+    tinted = F.transform(F.slice("embedding", 1, 8), lambda v, i: v.cast("double") + F.when(track % 20 == 19, 9.0).when(track % 2 == 0, 2.0).otherwise(-2.0))
+    return vectors.where("embedding is not null").select(F.col("label").alias("match_id"), track.alias("track_id"), tinted.alias("signature"))
+
+
+@query
+def track_signatures(spark, sf_dir):
+    return teams.track_signatures(_looks(spark, sf_dir)).select("match_id", "track_id", "n", F.posexplode("signature").alias("i", "v"))
+
+
+@query
+def team_clusters(spark, sf_dir):
+    seen = teams.track_signatures(_looks(spark, sf_dir)).withColumns({"class": F.lit("player"), "mean_x": F.when(F.col("track_id") == 39, 4.0).otherwise(30.0 + F.col("track_id") % 2 * 40.0)})
+    return teams.assigned_teams(seen)
+
+
 #: One question for each group of synonyms, one in plain words, and one that the facts do not answer.
 QUESTIONS = (
     "Who pressed most?", "Which team had possession?", "What formation was it?", "Who was marked?", "How fast were they?", "How far did they run?", "Where did threat come from?",

@@ -72,6 +72,28 @@ def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("match_id", F.when(odd, -1).otherwise(1).alias("home_sign"), F.when(odd, EARLY_HALF).otherwise(HALF).alias("halftime_frame"))
 
 
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = F.col("o_orderkey")
+    block = F.floor(f / 40)
+    frames = spark.read.parquet(f"{sf_dir}/orders.parquet").select(f.alias("f"), (f % 40).alias("k"), (1 + (7 * block) % 22).cast("int").alias("h"), (1 + (7 * (block + 1)) % 22).cast("int").alias("n"))
+    return frames.withColumns({"match_id": F.floor(F.col("f") / FRAMES).cast("int"), "frame": (F.col("f") % FRAMES).cast("int")})
+
+
+def true_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(match_id, frame, n, from_id, to_id): each block's holder plays the ball in the last frame that it holds it."""
+    return _blocks(spark, sf_dir).where("k = 30").select("match_id", "frame", F.lit(1).alias("n"), F.col("h").alias("from_id"), F.col("n").alias("to_id"))
+
+
+def true_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(match_id, frame, team) of the block's holder, and none while the ball is on its way."""
+    return _blocks(spark, sf_dir).select("match_id", "frame", F.when(F.col("k") > 30, "none").when(F.col("h") <= 11, "home").otherwise("away").alias("team"))
+
+
+def rare_ball(tracking_rows: DataFrame) -> DataFrame:
+    """The rows without the ball in seven of forty frames, those around each pass."""
+    return tracking_rows.where(~((F.col("entity_id") == BALL) & (F.col("frame") % 40).between(27, 33)))
+
+
 #: The same tables as SQL: t(match_id, frame, entity_id, class, team, x, y, conf), ball(match_id, frame, x, y) and sgn(team, half, s).
 SQL = """
 p AS (
