@@ -158,7 +158,10 @@ def format_spans(text: str, found: list[tuple[str, int, int]], candidates: list[
         if _is_format(text, s, e, formats):
             hits.add((s, e))
             continue
-        overlaps = [(x, y) for x, y in taken[at:] if x < end and y > start] if at < len(taken) and taken[at][0] < end else []
+        overlaps, k = [], at
+        while k < len(taken) and taken[k][0] < end:
+            overlaps += [taken[k]] if taken[k][1] > start else []
+            k += 1
         pieces = _left_over(start, end, overlaps) if overlaps else []
         if "." in text[s:e]:
             pieces += [(s + m.start(), s + m.end()) for m in re.finditer(r"[^.]+", text[s:e])]
