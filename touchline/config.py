@@ -145,4 +145,11 @@ class Config:
         return hashlib.sha256(json.dumps(asdict(self), sort_keys=True).encode()).hexdigest()[:16]
 
 
+def of_match(meta: dict, base: Config | None = None) -> Config:
+    """The config of a match, with frame rate and pitch from its row of metadata where they are known."""
+    known = {k: float(meta[k]) for k in ("fps", "pitch_length", "pitch_width") if meta.get(k)}
+    pitch = {k.removeprefix("pitch_"): v for k, v in known.items() if k != "fps"}
+    return (base or Config()).with_overrides(({"pitch": pitch} if pitch else {}) | ({"fps": known["fps"]} if "fps" in known else {}))
+
+
 DEFAULT = Config()

@@ -47,6 +47,19 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[cols][order], cols[order]
 
 
+def outer(points: np.ndarray, ways: int = 32) -> np.ndarray:
+    """The points without those strictly inside the polygon of the farthest points in some directions: all corners of the hull stay."""
+    points = np.unique(np.asarray(points, float), axis=0)
+    if len(points) <= ways:
+        return points
+    angles = 2 * np.pi * np.arange(ways) / ways
+    far = (points @ np.stack([np.cos(angles), np.sin(angles)])).argmax(axis=0)
+    ring = points[[far[0], *(b for a, b in zip(far, far[1:]) if a != b)]]
+    step = np.roll(ring, -1, axis=0) - ring
+    side = step[:, 0] * (points[:, None, 1] - ring[:, 1]) - step[:, 1] * (points[:, None, 0] - ring[:, 0])
+    return points[~(side > 1e-9).all(axis=1)] if len(ring) > 2 else points
+
+
 def hull(points: np.ndarray) -> np.ndarray:
     """Corners of the convex hull in order; the distinct points themselves if there are fewer than three."""
     unique = sorted(set(map(tuple, np.asarray(points, float))))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.assignment import hull, hull_area
+from ..functions.assignment import hull, hull_area, outer
 from ..functions.direction import directed, sign
 from ..functions.pitch import attacking_x, attacking_y
 from ..functions.sequences import ordered
@@ -45,7 +45,7 @@ def hull_areas(points: DataFrame) -> DataFrame:
     def corners(frames):
         for frame in frames:
             for (match, entity), rows in frame.groupby(KEY):
-                ring = hull(rows[["xa", "ya"]].to_numpy())
+                ring = hull(outer(rows[["xa", "ya"]].to_numpy()))
                 yield pd.DataFrame({"match_id": match, "entity_id": entity, "xa": ring[:, 0], "ya": ring[:, 1], "n": np.where(np.arange(len(ring)) == 0, len(rows), 0)})
 
     def area(rows: pd.DataFrame) -> pd.DataFrame:
@@ -82,7 +82,7 @@ def player_features(tracking: DataFrame, held: DataFrame, phases: DataFrame, kin
     spread = lambda c: F.percentile(c, 0.95) - F.percentile(c, 0.05)
     enough = lambda c, of: F.when(F.count(F.when(of, 1)) > 10, F.avg(F.when(of, F.col(c)))).otherwise(F.avg(c))
     base = rows.groupBy(*KEY).agg(
-        F.mode("team", deterministic=True).alias("team"), F.count_distinct("frame").alias("n_seen"),
+        F.mode("team", deterministic=True).alias("team"), F.count("*").alias("n_seen"),
         F.avg("xa").alias("mean_x"), F.avg("ya").alias("mean_y"), F.stddev_pop("xa").alias("std_x"), F.stddev_pop("ya").alias("std_y"),
         F.avg(F.abs(F.col("ya") - cfg.pitch.width / 2)).alias("wideness"), spread("xa").alias("x_range"), spread("ya").alias("y_range"),
         F.coalesce(F.avg("db"), F.lit(40.0)).alias("mean_dist_ball"), share(F.col("db") < 15).alias("near_ball_share"), F.avg("dc").alias("dist_to_centroid"),

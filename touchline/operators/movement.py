@@ -37,39 +37,36 @@ def smoothed(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
     Inside a run the quadratic's centre is a weighted sum over the window; the
     first and last half windows take the quadratic of the run's first and last
-    full window at their own place. All of it is window sums over (x, k x, k2 x).
+    full window at their own place. A window's three moments are sums over the
+    rows before and after, so that every row carries six numbers and no list.
     """
     n = cfg.kinematics.window(cfg.fps)
     half = n // 2
     s2 = sum(k * k for k in range(-half, half + 1))
     s4 = sum(k**4 for k in range(-half, half + 1))
+    det = n * s4 - s2 * s2
     key = ["match_id", "entity_id", "run"]
-    order = ordered(*key)
-    placed = rows.withColumns({"i": F.row_number().over(order), "size": F.count("*").over(Window.partitionBy(*key))})
-    # moments of the window around row c: m0 = sum v, m1 = sum k v, m2 = sum k2 v, from sums over the row number
-    around = Window.partitionBy(*key).orderBy("i").rowsBetween(-half, half)
-    c = F.greatest(F.lit(half + 1), F.least(F.col("i"), F.col("size") - half))
-    sums = placed
-    for v in ("x", "y"):
-        sums = sums.withColumn(f"w_{v}", F.collect_list(v).over(around))
-    # each row takes the full window of its centre
-    first, last = Window.partitionBy(*key), Window.partitionBy(*key)
+    order, whole = ordered(*key), Window.partitionBy(*key)
+    placed = rows.withColumns({"i": F.row_number().over(order), "size": F.count("*").over(whole)})
+    moments = {}
     for v in ("x", "y"):
-        sums = sums.withColumns({
-            f"a_{v}": F.max(F.when(F.col("i") == half + 1, F.col(f"w_{v}"))).over(first),
-            f"b_{v}": F.max(F.when(F.col("i") == F.col("size") - half, F.col(f"w_{v}"))).over(last),
-        })
+        near = {k: F.col(v) if k == 0 else F.lag(v, -k).over(order) if k < 0 else F.lead(v, k).over(order) for k in range(-half, half + 1)}
+        for power in range(3):
+            total = F.lit(0.0)
+            for k in range(-half, half + 1):
+                if k or not power:
+                    total = total + (near[k] if not power else F.lit(k**power) * near[k])
+            moments[f"{v}{power}"] = total
+    centred = placed.withColumns(moments).withColumn("own", F.struct(*moments))
+    ends = centred.withColumns({"head": F.max(F.when(F.col("i") == half + 1, F.col("own"))).over(whole), "tail": F.max(F.when(F.col("i") == F.col("size") - half, F.col("own"))).over(whole)})
+    full = F.when(F.col("i") <= half, F.col("head")).when(F.col("i") > F.col("size") - half, F.col("tail")).otherwise(F.col("own"))
+    t = F.col("i") - F.greatest(F.lit(half + 1), F.least(F.col("i"), F.col("size") - half))
+    chosen = ends.withColumns({"m": full, "t": t})
     out = {}
     for v in ("x", "y"):
-        full = F.when(F.col("i") <= half, F.col(f"a_{v}")).when(F.col("i") > F.col("size") - half, F.col(f"b_{v}")).otherwise(F.col(f"w_{v}"))
-        m0 = F.aggregate(full, F.lit(0.0), lambda a, z: a + z)
-        weighted = lambda f: F.aggregate(F.transform(full, f), F.lit(0.0), lambda a, z: a + z)  # noqa: B023, E731
-        m1 = weighted(lambda z, j: (j - half) * z)
-        m2 = weighted(lambda z, j: (j - half) * (j - half) * z)
-        t = F.col("i") - c
-        det = n * s4 - s2 * s2
-        out[v] = (s4 * m0 - s2 * m2) / det + m1 / s2 * t + (n * m2 - s2 * m0) / det * t * t
-    return sums.withColumns(out).select(*key, "frame", "x", "y", "i", "size")
+        m0, m1, m2 = (F.col(f"m.{v}{power}") for power in range(3))
+        out[v] = (s4 * m0 - s2 * m2) / det + m1 / s2 * F.col("t") + (n * m2 - s2 * m0) / det * F.col("t") * F.col("t")
+    return chosen.withColumns(out).select(*key, "frame", "x", "y", "i", "size")
 
 
 def kinematics(tracking: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

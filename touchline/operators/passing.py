@@ -175,19 +175,37 @@ def value_grid(counts: np.ndarray, share_complete: float | None, t: Threat = DEF
     return np.linalg.solve(np.eye(len(place)) - ((1 - shoots) * complete)[:, None] * moving, shoots * scores)
 
 
+def shot_counts(events: DataFrame, matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """(match_id, s, shots, goals) by grid cell in the direction of attack."""
+    t, p, s = cfg.threat, cfg.pitch, sign()
+    at = cell(attacking_y(F.col("y"), s), p.width, t.ny) * t.nx + cell(attacking_x(F.col("x"), s), p.length, t.nx)
+    return directed(events.where("type = 'shot'"), matches).select("match_id", at.alias("s"), (F.col("outcome") == "goal").cast("int").alias("goal")).groupBy("match_id", "s").agg(F.count("*").alias("shots"), F.coalesce(F.sum("goal"), F.lit(0)).alias("goals"))
+
+
+def stored_or_fitted(stored: DataFrame, fitted: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """(match_id, cell, xt): a match's stored grid where it has a value for every cell, else the fitted one."""
+    n = cfg.threat.nx * cfg.threat.ny
+    whole = stored.where(F.col("xt").isNotNull() & F.col("cell").between(0, n - 1)).groupBy("match_id").agg(F.count_distinct("cell").alias("n")).where(F.col("n") == n).select("match_id")
+    kept = stored.join(whole, "match_id", "left_semi").where(F.col("cell").between(0, n - 1)).groupBy("match_id", "cell").agg(F.min("xt").alias("xt"))
+    return kept.unionByName(fitted.join(whole, "match_id", "left_anti").select("match_id", "cell", "xt"))
+
+
 def xt_grids(events: DataFrame, matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(match_id, cell, xt): one grid of each match; matches are groups of at most 192 x 192 counts, so each is solved where it lies."""
+    """(match_id, cell, xt): one grid of each match, from its moves, shots and goals; matches are groups of at most 192 x 192 counts, so each is solved where it lies."""
     n = cfg.threat.nx * cfg.threat.ny
-    counts = xt_counts(moves(events, matches, cfg))
+    tries = shot_counts(events, matches, cfg).select("match_id", "s", F.lit(-1).alias("e"), F.col("shots").alias("n"), "goals")
+    counts = xt_counts(moves(events, matches, cfg)).withColumn("goals", F.lit(0)).unionByName(tries)
     passes = events.where("type = 'pass'").groupBy("match_id").agg(F.count("*").alias("passes"), F.avg((F.col("outcome") == "complete").cast("double")).alias("share"))
-    rows = passes.join(counts, "match_id", "left")
+    rows = counts.join(passes, "match_id", "full")
 
     def work(group: pd.DataFrame) -> pd.DataFrame:
-        table = np.zeros((n, n))
+        table, shots, goals = np.zeros((n, n)), np.zeros(n), np.zeros(n)
         known = group.dropna(subset=["s"])
-        table[known["s"].astype(int), known["e"].astype(int)] = known["n"]
+        moved, tried = known[known["e"] >= 0], known[known["e"] < 0]
+        table[moved["s"].astype(int), moved["e"].astype(int)] = moved["n"]
+        shots[tried["s"].astype(int)], goals[tried["s"].astype(int)] = tried["n"], tried["goals"]
         first = group.iloc[0]
-        grid = value_grid(table, first["share"] if first["passes"] >= 20 else None, cfg.threat, cfg.pitch.length, cfg.pitch.width)
+        grid = value_grid(table, first["share"] if first["passes"] >= 20 else None, cfg.threat, cfg.pitch.length, cfg.pitch.width, shots, goals)
         return pd.DataFrame({"match_id": first["match_id"], "cell": np.arange(n), "xt": grid})
 
     return rows.groupBy("match_id").applyInPandas(work, f"match_id {dict(events.dtypes)['match_id']}, cell int, xt double")

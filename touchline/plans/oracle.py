@@ -319,6 +319,23 @@ _SQL: dict[str, str] = {
         ), rw AS (SELECT match_id, team, (CASE WHEN iy + k < 0 THEN -(iy + k) - 1 WHEN iy + k >= 34 THEN 67 - iy - k ELSE iy + k END)::INT AS iy, ix, sum(n * w) AS v FROM b, kw GROUP BY ALL
         ), cw AS (SELECT match_id, team, iy, (CASE WHEN ix + k < 0 THEN -(ix + k) - 1 WHEN ix + k >= 52 THEN 103 - ix - k ELSE ix + k END)::INT AS ix, sum(v * w) AS v FROM rw, kw GROUP BY ALL)
         SELECT match_id, team, iy, ix, v / sum(v) OVER (PARTITION BY match_id, team) AS v FROM cw"""),
+    "circle_tangents": _with(LENS, """, c AS (SELECT match_id, frame, x, y, x - 52.5::DOUBLE AS u, y - 34.0::DOUBLE AS v, 9.15::DOUBLE AS r FROM ball
+        ), d AS (SELECT *, u * u + v * v AS q FROM c), e AS (SELECT *, CASE WHEN q >= r * r THEN r * sqrt(q - r * r) / q END AS s, r * r / q AS k FROM d)
+        SELECT match_id, frame, 52.5 + k * u + s * v AS x1, 34 + k * v - s * u AS y1, 52.5 + k * u - s * v AS x2, 34 + k * v + s * u AS y2, x, y FROM e"""),
+    "perception_quality": _with(LENS, """, h AS (SELECT match_id, frame, frame % 5 <> 3 AS valid, CASE WHEN frame % 5 = 1 THEN 'flow' ELSE 'points' END AS method, (frame * 7 % 40)::DOUBLE AS px FROM ball
+        ), c AS (SELECT match_id, count(*) AS n_frames, avg(valid::INT::DOUBLE) AS calibrated, median(px) FILTER (valid AND method <> 'flow') AS error_px, avg((method = 'flow')::INT::DOUBLE) FILTER (valid) AS flow_share FROM h GROUP BY ALL
+        ), b AS (SELECT (f // 6000)::INT AS match_id, 1 - (f * 7 - 13) % 50 / 100.0::DOUBLE AS conf FROM fr
+        ), bs AS (SELECT b.match_id, count(*) AS ball_frames, sum((conf > q)::INT) AS sure FROM b JOIN (SELECT match_id, quantile_cont(conf, 0.9) * 0.5 AS q FROM b GROUP BY ALL) t9 ON t9.match_id = b.match_id GROUP BY ALL
+        ), tl AS (SELECT match_id, count(*) AS n_tracks, median(n) AS rows_ FROM (SELECT match_id, entity_id, count(*) AS n FROM t GROUP BY ALL) GROUP BY ALL
+        ), cr AS (SELECT match_id, median(n) AS players_median FROM (SELECT match_id, frame, count(*) AS n FROM t GROUP BY ALL) GROUP BY ALL
+        ), n AS (SELECT c.*, match_id % 3 <> 2 AS is_video, ball_frames / n_frames::DOUBLE AS ball_share, CASE WHEN match_id % 2 = 1 THEN floor(n_frames * 0.6::DOUBLE)::BIGINT ELSE sure END / n_frames::DOUBLE AS ball_seen_share,
+            match_id % 2 <> 1 AS ball_is_estimated, players_median, n_tracks, rows_ / 25.0::DOUBLE AS track_s_median, 1.0::DOUBLE + match_id % 4 AS team_separability FROM c JOIN bs USING (match_id) JOIN tl USING (match_id) JOIN cr USING (match_id)
+        ), g AS (SELECT *, least(CASE WHEN calibrated >= 0.9 THEN 2 WHEN calibrated >= 0.6 THEN 1 ELSE 0 END, CASE WHEN error_px <= 25 THEN 2 WHEN error_px <= 60 THEN 1 ELSE 0 END) AS c0, CASE WHEN ball_seen_share >= 0.7 THEN 2 WHEN ball_seen_share >= 0.45 THEN 1 ELSE 0 END AS b0,
+            CASE WHEN track_s_median >= 5 THEN 2 WHEN track_s_median >= 2 THEN 1 ELSE 0 END AS t0, CASE WHEN team_separability >= 3 THEN 2 WHEN team_separability >= 1.5 THEN 1 ELSE 0 END AS k0 FROM n
+        ), w AS (SELECT *, CASE WHEN is_video THEN c0 ELSE 2 END AS c1, CASE WHEN is_video THEN b0 ELSE 2 END AS b1, CASE WHEN is_video THEN t0 ELSE 2 END AS t1, CASE WHEN is_video THEN k0 ELSE 2 END AS k1 FROM g)
+        SELECT match_id, is_video, calibrated, error_px, flow_share, ball_share, ball_seen_share, ball_is_estimated, players_median, n_tracks, track_s_median, team_separability, ['low', 'medium', 'high'][c1 + 1] AS calibration_level, ['low', 'medium', 'high'][b1 + 1] AS ball_level,
+            ['low', 'medium', 'high'][t1 + 1] AS tracks_level, ['low', 'medium', 'high'][k1 + 1] AS teams_level, ['low', 'medium', 'high'][least(c1, b1, t1, k1) + 1] AS overall,
+            concat_ws('; ', CASE WHEN NOT is_video THEN 'positions are exact' END, CASE WHEN is_video AND b1 < 2 THEN format('ball observed in {:.0f}% of frames', 100 * ball_seen_share) END, CASE WHEN is_video AND k1 = 0 THEN 'kits are hard to tell apart' END) AS notes FROM w"""),
     "player_maps": _with(LENS, f""", a AS (SELECT match_id, entity_id, {_xa("x", "team", "frame")} AS xa, {_ya("y", "team", "frame")} AS ya FROM t WHERE class <> 'goalkeeper'
         ), b AS (SELECT match_id, entity_id, greatest(0, least(15, trunc(ya / 68 * 16)))::INT AS iy, greatest(0, least(23, trunc(xa / 105 * 24)))::INT AS ix, count(*)::DOUBLE AS n FROM a GROUP BY ALL
         ), kw AS (SELECT k, exp(-0.5 * k * k) / sum(exp(-0.5 * k * k)) OVER () AS w FROM (SELECT unnest(range(-4, 5)) AS k)
@@ -425,6 +442,8 @@ COLUMNS: dict[str, str] = {
     "rolling_possession": "match_id:i frame:i home_share:d",
     "derived_events": "match_id:i frame:i type:s team:s from_id:i to_id:i x:d y:d end_x:d end_y:d outcome:s",
     "rare_ball_events": "match_id:i frame:i type:s team:s from_id:i to_id:i x:d y:d end_x:d end_y:d outcome:s",
+    "circle_tangents": "match_id:i frame:i x1:d y1:d x2:d y2:d x:d y:d",
+    "perception_quality": "match_id:i is_video:b calibrated:d error_px:d flow_share:d ball_share:d ball_seen_share:d ball_is_estimated:b players_median:d n_tracks:i track_s_median:d team_separability:d calibration_level:s ball_level:s tracks_level:s teams_level:s overall:s notes:s",
     "player_maps": "match_id:i entity_id:i iy:i ix:i v:d",
     "track_signatures": "match_id:i track_id:i n:i i:i v:d",
     "owner_agreement": "match_id:i n_frames:i agreement:d",

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT
-from ..functions import pitch
-from ..operators import calibration, control, embedding, evaluation, features, formations, marking, movement, passing, play, possession, report, style, tactics, teams, tracker, tracks
+from ..functions import conics, pitch
+from ..operators import calibration, control, embedding, evaluation, features, formations, marking, movement, passing, play, possession, report, style, tactics, teams, tracker, tracks, trust
 from ..sources import camera, lens
 
 QUERIES: dict = {}
@@ -166,7 +166,8 @@ def phase_summary(spark, sf_dir):
 
 
 def _pressures(spark, sf_dir):
-    seen, held = _base(spark, sf_dir)
+    seen = _stored(lens.tracking(spark, sf_dir))
+    held = _stored(possession.possession(seen))
     teams = possession.players_only(seen).groupBy("match_id", "entity_id").agg(F.mode("team", deterministic=True).alias("team"))
     return seen, held, tactics.pressures(movement.kinematics(seen), held, teams)
 
@@ -340,7 +341,7 @@ def most_central(spark, sf_dir):
 def top_threats(spark, sf_dir):
     found = player_xt(spark, sf_dir)
     place = F.row_number().over(Window.partitionBy("match_id").orderBy(F.desc(F.round("xt_created", 6)), "entity_id"))
-    return found.withColumn("place", place).where("place <= 5")
+    return found.withColumn("place", place).where("place <= 6")
 
 
 @query
@@ -449,6 +450,28 @@ def fitted_homographies(spark, sf_dir):
     return _coefficients(calibration.fitted_homographies(camera.correspondences(spark, sf_dir)))
 
 
+@query
+def perception_quality(spark, sf_dir):
+    # every third match is an import; calibrations are propagated in two of five frames
+    f = F.col("frame")
+    found = camera.homography_estimates(spark, sf_dir).select("match_id", "frame", F.get("homography", F.lit(0)).alias("h00"), F.when(f % 5 == 1, "flow").otherwise("points").alias("method"), ((f * 7) % 40).cast("double").alias("reproj_error_px"))
+    m = F.col("match_id")
+    sizes = found.groupBy("match_id").agg(F.count("*").alias("n_frames"))
+    matches = sizes.select("match_id", F.when(m % 3 == 2, "import").otherwise("video:derived").alias("source"), F.lit(25.0).alias("fps"), "n_frames", (1.0 + m % 4).alias("team_separability"), F.when(m % 2 == 1, F.col("n_frames") * 0.6).cast("long").alias("ball_observed_frames"))
+    return trust.perception_quality(lens.tracking(spark, sf_dir), found, matches)
+
+
+@query
+def circle_tangents(spark, sf_dir):
+    # where tangents from the ball touch the centre circle, and where they meet the halfway line's polar
+    ball = possession.ball_of(lens.tracking(spark, sf_dir))
+    circle = conics.circle(F.lit(52.5), F.lit(34.0), F.lit(9.15))
+    line = conics.polar(circle, F.col("ball_x"), F.col("ball_y"))
+    (x1, y1), (x2, y2) = conics.meets(circle, line)
+    back = conics.pole(circle, line)
+    return ball.select("match_id", "frame", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), back[0].alias("x"), back[1].alias("y"))
+
+
 @query
 def scene_cuts(spark, sf_dir):
     return tracker.scene_cuts(camera.colour_histograms(spark, sf_dir))
