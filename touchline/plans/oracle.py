@@ -322,6 +322,16 @@ _SQL: dict[str, str] = {
     "circle_tangents": _with(LENS, """, c AS (SELECT match_id, frame, x, y, x - 52.5::DOUBLE AS u, y - 34.0::DOUBLE AS v, 9.15::DOUBLE AS r FROM ball
         ), d AS (SELECT *, u * u + v * v AS q FROM c), e AS (SELECT *, CASE WHEN q >= r * r THEN r * sqrt(q - r * r) / q END AS s, r * r / q AS k FROM d)
         SELECT match_id, frame, 52.5 + k * u + s * v AS x1, 34 + k * v - s * u AS y1, 52.5 + k * u - s * v AS x2, 34 + k * v + s * u AS y2, x, y FROM e"""),
+    "pose_profiles": _with(LENS, """, k AS (SELECT match_id, entity_id, frame, i, (100 + entity_id * 10 + (frame * (i + 3)) % 17)::DOUBLE AS x, (50 + i * 6 + (frame * 7 + entity_id * i) % 5)::DOUBLE AS y, ((frame * (i + 1) + entity_id) % 10) / 10.0::DOUBLE AS c, 120.0::DOUBLE + entity_id AS h FROM t, range(17) r(i)
+        ), w AS (SELECT match_id, entity_id, frame, min(h) AS h, list(x ORDER BY i) AS x, list(y ORDER BY i) AS y, list(c ORDER BY i) AS c FROM k GROUP BY ALL
+        ), ok AS (SELECT *, (x[6] + x[7]) / 2 AS sx, (y[6] + y[7]) / 2 AS sy, (x[12] + x[13]) / 2 AS hx, (y[12] + y[13]) / 2 AS hy FROM w WHERE least(c[6], c[7], c[12], c[13]) >= 0.3
+        ), cp AS (SELECT k.match_id, k.entity_id, k.frame, avg(sqrt(power(k.x - m.mx, 2) + power(k.y - m.my, 2))) AS spread FROM k JOIN (SELECT match_id, entity_id, frame, avg(x) AS mx, avg(y) AS my FROM k WHERE c >= 0.3 GROUP BY ALL) m
+            ON m.match_id = k.match_id AND m.entity_id = k.entity_id AND m.frame = k.frame WHERE k.c >= 0.3 GROUP BY ALL
+        ), d AS (SELECT ok.match_id, ok.entity_id, abs(atan2(hx - sx, hy - sy + 1e-9)) AS lean, CASE WHEN least(c[16], c[17]) >= 0.3 THEN sqrt(power(x[16] - x[17], 2) + power(y[16] - y[17], 2)) / h END AS stride,
+            CASE WHEN least(c[10], c[11]) >= 0.3 THEN sqrt(power(x[10] - x[11], 2) + power(y[10] - y[11], 2)) / greatest(sqrt(power(x[6] - x[7], 2) + power(y[6] - y[7], 2)), 1e-6) END AS arm_spread,
+            CASE WHEN least(c[16], c[17]) >= 0.3 THEN sqrt(power((x[16] + x[17]) / 2 - hx, 2) + power((y[16] + y[17]) / 2 - hy, 2)) / h END AS crouch, spread / h AS compact
+            FROM ok JOIN cp ON cp.match_id = ok.match_id AND cp.entity_id = ok.entity_id AND cp.frame = ok.frame)
+        SELECT match_id, entity_id, count(*) AS n_samples, """ + ", ".join(f"coalesce(avg({n}), 0) AS {n}_mean, coalesce(stddev_pop({n}), 0) AS {n}_std" for n in ("lean", "stride", "arm_spread", "crouch", "compact")) + " FROM d GROUP BY ALL HAVING count(*) >= 3"),
     "perception_quality": _with(LENS, """, h AS (SELECT match_id, frame, frame % 5 <> 3 AS valid, CASE WHEN frame % 5 = 1 THEN 'flow' ELSE 'points' END AS method, (frame * 7 % 40)::DOUBLE AS px FROM ball
         ), c AS (SELECT match_id, count(*) AS n_frames, avg(valid::INT::DOUBLE) AS calibrated, median(px) FILTER (valid AND method <> 'flow') AS error_px, avg((method = 'flow')::INT::DOUBLE) FILTER (valid) AS flow_share FROM h GROUP BY ALL
         ), b AS (SELECT (f // 6000)::INT AS match_id, 1 - (f * 7 - 13) % 50 / 100.0::DOUBLE AS conf FROM fr
@@ -443,6 +453,7 @@ COLUMNS: dict[str, str] = {
     "derived_events": "match_id:i frame:i type:s team:s from_id:i to_id:i x:d y:d end_x:d end_y:d outcome:s",
     "rare_ball_events": "match_id:i frame:i type:s team:s from_id:i to_id:i x:d y:d end_x:d end_y:d outcome:s",
     "circle_tangents": "match_id:i frame:i x1:d y1:d x2:d y2:d x:d y:d",
+    "pose_profiles": "match_id:i entity_id:i n_samples:i " + " ".join(f"{n}_{k}:d" for n in ("lean", "stride", "arm_spread", "crouch", "compact") for k in ("mean", "std")),
     "perception_quality": "match_id:i is_video:b calibrated:d error_px:d flow_share:d ball_share:d ball_seen_share:d ball_is_estimated:b players_median:d n_tracks:i track_s_median:d team_separability:d calibration_level:s ball_level:s tracks_level:s teams_level:s overall:s notes:s",
     "player_maps": "match_id:i entity_id:i iy:i ix:i v:d",
     "track_signatures": "match_id:i track_id:i n:i i:i v:d",

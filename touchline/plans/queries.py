@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import DEFAULT
 from ..functions import conics, pitch
-from ..operators import calibration, control, embedding, evaluation, features, formations, marking, movement, passing, play, possession, report, style, tactics, teams, tracker, tracks, trust
+from ..operators import calibration, control, embedding, evaluation, features, footage, formations, marking, movement, passing, play, possession, report, style, tactics, teams, tracker, tracks, trust
 from ..sources import camera, lens
 
 QUERIES: dict = {}
@@ -472,6 +472,49 @@ def circle_tangents(spark, sf_dir):
     return ball.select("match_id", "frame", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), back[0].alias("x"), back[1].alias("y"))
 
 
+@query
+def pixel_backfill(spark, sf_dir):
+    seen = lens.tracking(spark, sf_dir)
+    return footage.with_pixels(seen, camera.homography_estimates(spark, sf_dir)).select("match_id", "frame", "entity_id", "x_pixel", "y_pixel")
+
+
+@query
+def calibration_errors(spark, sf_dir):
+    return footage.calibration_errors(camera.true_boxes(spark, sf_dir), lens.tracking(spark, sf_dir), camera.homography_estimates(spark, sf_dir))
+
+
+@query
+def ball_windows(spark, sf_dir):
+    # the ball's boxes have sides of six pixels and are missing in some frames
+    people = camera.true_boxes(spark, sf_dir)
+    ball = camera.ball_candidates(spark, sf_dir).where("x is not null and conf >= 0.3 and frame % 3 <> 0").select("match_id", "frame", F.lit(99).alias("track_id"), (F.col("x") - 3).alias("x1"), (F.col("y") - 3).alias("y1"), (F.col("x") + 3).alias("x2"), (F.col("y") + 3).alias("y2"))
+    return footage.ball_windows(people.drop("class").unionByName(ball), people, 1280.0, 720.0)
+
+
+def _peaks(spark, sf_dir):
+    """The surest candidate of each frame against the ball's true pixel; every eleventh frame has none."""
+    best = camera.ball_candidates(spark, sf_dir).where("x is not null").groupBy("match_id", "frame").agg(F.max(F.struct("conf", "x", "y")).alias("b"))
+    ball = lens.tracking(spark, sf_dir).where("entity_id = -1")
+    u, v = pitch.project([F.lit(float(h)) for h in camera.TO_PIXEL.ravel()], F.col("tx"), F.col("ty"))
+    joined = ball.select("match_id", "frame", F.col("x").alias("tx"), F.col("y").alias("ty")).join(best, ["match_id", "frame"], "left")
+    return joined.select(F.coalesce("b.conf", F.lit(0.0)).alias("peak"), "b.x", "b.y", (F.col("frame") % 11 != 4).alias("has"), u.alias("true_x"), v.alias("true_y"))
+
+
+@query
+def ball_threshold_sweep(spark, sf_dir):
+    return footage.threshold_sweep(_peaks(spark, sf_dir), (0.3, 0.4, 0.5, 0.6, 0.7))
+
+
+@query
+def pose_profiles(spark, sf_dir):
+    # seventeen points about each player's place, some of them unsure
+    seen = _people(spark, sf_dir)
+    f, e = F.col("frame"), F.col("entity_id")
+    point = lambda i: F.struct((100 + e * 10 + (f * (i + 3)) % 17).cast("double").alias("x"), (50 + i * 6 + (f * 7 + e * i) % 5).cast("double").alias("y"), (((f * (i + 1) + e) % 10) / 10).alias("conf"))
+    poses = seen.select("match_id", "entity_id", "frame", F.array(*(point(i) for i in range(17))).alias("keypoints"), F.lit(40.0).alias("y1"), (160.0 + e).alias("y2"))
+    return footage.pose_profiles(footage.pose_descriptors(poses))
+
+
 @query
 def scene_cuts(spark, sf_dir):
     return tracker.scene_cuts(camera.colour_histograms(spark, sf_dir))
