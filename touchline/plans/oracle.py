@@ -435,11 +435,36 @@ _SQL["fact_answers"] = f"""{_ASKED} SELECT m.match_id, q.question, CASE WHEN cou
     FROM (SELECT DISTINCT match_id FROM facts) m CROSS JOIN q LEFT JOIN hit h ON h.match_id = m.match_id AND h.question = q.question GROUP BY m.match_id, q.question"""
 
 
+def _told(sql: str, path: str, *columns: str) -> str:
+    """Rows of facts of a query's columns; those that end in $ are words."""
+    entries = ", ".join(f"{{'p': {path} || '.{c.rstrip('$')}', 'v': {'NULL' if c.endswith('$') else c}::DOUBLE, 't': {c.rstrip('$') if c.endswith('$') else 'NULL'}::VARCHAR}}" for c in columns)
+    return f"SELECT match_id, unnest([{entries}]) AS f FROM ({sql})"
+
+
+def _label(c: str) -> str:
+    return f"'#' || {c} || CASE WHEN {c} <= 11 THEN ' (Home)' ELSE ' (Away)' END"
+
+
+def _runners(value: str) -> str:
+    return f"SELECT match_id, {_label('entity_id')} AS player, distance_m / minutes AS value_m_per_min, top_speed AS value_mps, n_sprints AS sprints, row_number() OVER (PARTITION BY match_id ORDER BY round({value}, 9) DESC, entity_id) - 1 AS place FROM ({_SQL['movement_profiles']}) WHERE minutes > 1 QUALIFY place < 5"
+
+
+_LABELLED = " UNION ALL ".join([
+    _told(_runners("value_m_per_min"), "'physical.top_distance_per_min.' || place", "player$", "value_m_per_min", "sprints"), _told(_runners("value_mps"), "'physical.top_speed.' || place", "player$", "value_mps"),
+    _told(f"SELECT match_id, team, {_label('entity_id')} AS most_central_player FROM ({_SQL['most_central']})", "'pass_network.' || team", "most_central_player$"),
+    _told(f"SELECT match_id, team, {_label('top_source')} || ' to ' || {_label('top_target')} || ' (' || top_weight || ' passes)' AS top_combination FROM ({_SQL['pass_summary']})", "'pass_network.' || team", "top_combination$"),
+    _told(_SQL["shape_summary"], "'shape.' || team", "block_label$"), _told(_SQL["phase_summary"], "'phases.' || scope || '.' || value", "share"),
+    _told(f"SELECT * REPLACE (nullif(notes, '') AS notes) FROM ({_SQL['perception_quality']})", "'data_quality'", "overall$", "calibration_level$", "ball_level$", "tracks_level$", "teams_level$", "ball_share", "players_median", "notes$"),
+])
+_SQL["labelled_facts"] = f"SELECT match_id, f.p AS path, f.v AS value, f.t AS text FROM ({_LABELLED}) WHERE f.v IS NOT NULL OR f.t IS NOT NULL"
+
+
 #: Columns of each query and their kinds: i integer, d double (compared to six decimals), s string, b boolean.
 COLUMNS: dict[str, str] = {
     "similar_players": "match_id:i entity_id:i other_id:i cosine:d place:i",
     "similarity_by_group": "match_id:i grp:s entity_id:i other_id:i cosine:d",
     "match_facts": "match_id:i path:s value:d",
+    "labelled_facts": "match_id:i path:s value:d text:s",
     "fact_answers": "match_id:i question:s answer:s n_evidence:i",
     "line_breaking_counts": "match_id:i team:s total:i",
     "counter_attack_counts": "match_id:i team:s total:i",

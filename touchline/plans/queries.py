@@ -677,3 +677,41 @@ def report_audit(spark, sf_dir):
     # the written report with one number that is no fact
     known = _stored_facts(spark, sf_dir)
     return report.audit(report.written(known).select("match_id", F.concat(F.lit("In a 4-3-3, nothing was 123456.5. "), "text").alias("text")), known)
+
+
+def _labelled(spark, sf_dir):
+    """Facts with players' names, and facts in words, that SQL can express too."""
+    seen = _stored(lens.tracking(spark, sf_dir))
+    held, matches, names = _stored(possession.possession(seen)), lens.matches(spark, sf_dir), _stored(report.labels(seen))
+    edges = _stored(passing.pass_edges(play.events(seen, held)))
+    return report.together(
+        report.running_facts(movement.movement_profiles(movement.kinematics(seen)), names), report.passing_facts(passing.pass_summary(edges), passing.most_central(passing.pass_centrality(edges)), names),
+        report.block_facts(tactics.shape_summary(tactics.shape(seen, held, matches))), report.phase_facts(tactics.phase_summary(tactics.phases(seen, held, matches))), report.quality_facts(perception_quality(spark, sf_dir)),
+    )
+
+
+@query
+def labelled_facts(spark, sf_dir):
+    return _labelled(spark, sf_dir)
+
+
+def _scouted(spark, sf_dir):
+    names = _stored(report.labels(lens.tracking(spark, sf_dir)))
+    seen, found, assigned = _marked(spark, sf_dir)
+    windows = _stored(formations.formation_windows(formations.window_places(*_base(spark, sf_dir), lens.matches(spark, sf_dir))))
+    roles = _stored(embedding.player_roles(*_clusters(spark, sf_dir)))
+    return report.together(
+        report.formation_facts(formations.formation_summary(windows)), report.threat_facts(player_xt(spark, sf_dir), names), report.marking_facts(marking.marking(_stored(assigned), seen, found), names),
+        report.role_facts(roles, embedding.nominal_and_actual(roles, windows), names),
+    )
+
+
+@query
+def scouting_facts(spark, sf_dir):
+    # formations, threat, marking and roles, whose numbers come from assignment, value iteration and clustering
+    return _scouted(spark, sf_dir)
+
+
+@query
+def match_narrative(spark, sf_dir):
+    return report.narrative(report.together(_facts(spark, sf_dir), _labelled(spark, sf_dir), _scouted(spark, sf_dir)))
