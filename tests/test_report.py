@@ -70,7 +70,7 @@ def test_answers_quote_words(spark):
 
 
 def test_narrative_of_the_derived_match_is_grounded(spark):
-    known = queries._stored(report.together(queries._facts(spark, FOLDER), queries._labelled(spark, FOLDER), queries._scouted(spark, FOLDER)))
+    known = queries._stored(queries._every_fact(spark, FOLDER))
     at = {r["path"]: r["value"] if r["text"] is None else r["text"] for r in known.where("match_id = 0").collect()}
     best = sorted((-round(r["xt_created"], 9), r["entity_id"]) for r in queries.player_xt(spark, FOLDER).where("match_id = 0").collect())[:6]
     assert [-round(at[f"expected_threat.top_players.{i}.xt_created"], 9) for i in range(len(best))] == [b for b, _ in best]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import wraps
+from functools import cached_property, wraps
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -126,13 +126,53 @@ def heatmap_blurred(spark, sf_dir):
     return movement.blurred(counts, "n", "match_id", "team")
 
 
-def _features(spark, sf_dir):
+class _Played:
+    """What several branches of a query read of the derived matches, each stored when first asked for."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir, self.matches = spark, sf_dir, lens.matches(spark, sf_dir)
+
+    @cached_property
+    def seen(self):
+        return _stored(lens.tracking(self.spark, self.sf_dir))
+
+    @cached_property
+    def held(self):
+        return _stored(possession.possession(self.seen))
+
+    @cached_property
+    def kin(self):
+        return _stored(movement.kinematics(self.seen))
+
+    @cached_property
+    def events(self):
+        return _stored(play.events(self.seen, self.held))
+
+    @cached_property
+    def phases(self):
+        return _stored(tactics.phases(self.seen, self.held, self.matches))
+
+    @cached_property
+    def press(self):
+        return _stored(tactics.pressures(self.kin, self.held, _teams(self.seen)))
+
+    @cached_property
+    def edges(self):
+        return _stored(passing.pass_edges(self.events))
+
+    @cached_property
+    def central(self):
+        return _stored(passing.pass_centrality(self.edges))
+
+    @cached_property
+    def names(self):
+        return _stored(report.labels(self.seen))
+
+
+def _features(spark, sf_dir, m: _Played | None = None):
     # derived matches are short, so half a minute is enough
-    seen, matches = _stored(lens.tracking(spark, sf_dir)), lens.matches(spark, sf_dir)
-    held, kin = _stored(possession.possession(seen)), _stored(movement.kinematics(seen))
-    found, press = _stored(play.events(seen, held)), tactics.pressures(kin, held, _teams(seen))
-    central = passing.pass_centrality(passing.pass_edges(found))
-    return features.player_features(seen, held, tactics.phases(seen, held, matches), kin, movement.movement_profiles(kin), press, passing.pass_nodes(found), central, matches, least_minutes=0.5)
+    m = m or _Played(spark, sf_dir)
+    return features.player_features(m.seen, m.held, m.phases, m.kin, movement.movement_profiles(m.kin), m.press, passing.pass_nodes(m.events), m.central, m.matches, least_minutes=0.5)
 
 
 @query
@@ -536,9 +576,10 @@ def similarity_by_group(spark, sf_dir):
     return style.attribution(_features(spark, sf_dir))
 
 
-def _style_rows(spark, sf_dir):
-    features_ = _stored(_features(spark, sf_dir))
-    return features_, _stored(embedding.style_rows(features_, embedding.player_maps(lens.tracking(spark, sf_dir), lens.matches(spark, sf_dir))))
+def _style_rows(spark, sf_dir, m: _Played | None = None):
+    m = m or _Played(spark, sf_dir)
+    features_ = _stored(_features(spark, sf_dir, m))
+    return features_, _stored(embedding.style_rows(features_, embedding.player_maps(m.seen, m.matches)))
 
 
 @query
@@ -561,8 +602,8 @@ def style_vectors_of_all(spark, sf_dir):
     return _numbers(embedding.all_vectors(_style_rows(spark, sf_dir)[1]))
 
 
-def _clusters(spark, sf_dir):
-    features_, rows = _style_rows(spark, sf_dir)
+def _clusters(spark, sf_dir, m: _Played | None = None):
+    features_, rows = _style_rows(spark, sf_dir, m)
     return features_, _stored(embedding.style_clusters(embedding.match_vectors(rows)))
 
 
@@ -629,16 +670,14 @@ def team_running(spark, sf_dir):
     return report.team_running(movement.movement_profiles(movement.kinematics(seen)), _teams(seen))
 
 
-def _facts(spark, sf_dir):
-    seen = _stored(lens.tracking(spark, sf_dir))
-    held, kin, matches, teams = _stored(possession.possession(seen)), _stored(movement.kinematics(seen)), lens.matches(spark, sf_dir), _teams(seen)
-    found, press = _stored(play.events(seen, held)), _stored(tactics.pressures(kin, held, teams))
-    frames = seen.groupBy("match_id").agg((F.max("frame") + 1).alias("n_frames"))
+def _facts(spark, sf_dir, m: _Played | None = None):
+    m = m or _Played(spark, sf_dir)
+    frames = m.seen.groupBy("match_id").agg((F.max("frame") + 1).alias("n_frames"))
     total = lambda rows: rows.groupBy("match_id", "team").agg(F.count("*").alias("total"))
     return report.build_facts({
-        "possession_summary": possession.possession_summary(held), "event_counts": play.event_counts(found), "field_tilt": tactics.field_tilt(seen, held, matches), "shape_summary": tactics.shape_summary(tactics.shape(seen, held, matches)),
-        "pressing_summary": tactics.pressing_summary(press, found, frames, matches), "ppda": tactics.ppda(found, press, matches), "pass_summary": passing.pass_summary(passing.pass_edges(found)),
-        "line_breaking_counts": total(passing.line_breaking(seen, found, matches)), "counter_attack_counts": total(play.counter_attacks(found, possession.ball_of(seen), matches)), "team_running": report.team_running(movement.movement_profiles(kin), teams),
+        "possession_summary": possession.possession_summary(m.held), "event_counts": play.event_counts(m.events), "field_tilt": tactics.field_tilt(m.seen, m.held, m.matches), "shape_summary": tactics.shape_summary(tactics.shape(m.seen, m.held, m.matches)),
+        "pressing_summary": tactics.pressing_summary(m.press, m.events, frames, m.matches), "ppda": tactics.ppda(m.events, m.press, m.matches), "pass_summary": passing.pass_summary(m.edges),
+        "line_breaking_counts": total(passing.line_breaking(m.seen, m.events, m.matches)), "counter_attack_counts": total(play.counter_attacks(m.events, possession.ball_of(m.seen), m.matches)), "team_running": report.team_running(movement.movement_profiles(m.kin), _teams(m.seen)),
     })
 
 
@@ -679,14 +718,12 @@ def report_audit(spark, sf_dir):
     return report.audit(report.written(known).select("match_id", F.concat(F.lit("In a 4-3-3, nothing was 123456.5. "), "text").alias("text")), known)
 
 
-def _labelled(spark, sf_dir):
+def _labelled(spark, sf_dir, m: _Played | None = None):
     """Facts with players' names, and facts in words, that SQL can express too."""
-    seen = _stored(lens.tracking(spark, sf_dir))
-    held, matches, names = _stored(possession.possession(seen)), lens.matches(spark, sf_dir), _stored(report.labels(seen))
-    edges = _stored(passing.pass_edges(play.events(seen, held)))
+    m = m or _Played(spark, sf_dir)
     return report.together(
-        report.running_facts(movement.movement_profiles(movement.kinematics(seen)), names), report.passing_facts(passing.pass_summary(edges), passing.most_central(passing.pass_centrality(edges)), names),
-        report.block_facts(tactics.shape_summary(tactics.shape(seen, held, matches))), report.phase_facts(tactics.phase_summary(tactics.phases(seen, held, matches))), report.quality_facts(perception_quality(spark, sf_dir)),
+        report.running_facts(movement.movement_profiles(m.kin), m.names), report.passing_facts(passing.pass_summary(m.edges), passing.most_central(m.central), m.names),
+        report.block_facts(tactics.shape_summary(tactics.shape(m.seen, m.held, m.matches))), report.phase_facts(tactics.phase_summary(m.phases)), report.quality_facts(perception_quality(spark, sf_dir)),
     )
 
 
@@ -695,14 +732,17 @@ def labelled_facts(spark, sf_dir):
     return _labelled(spark, sf_dir)
 
 
-def _scouted(spark, sf_dir):
-    names = _stored(report.labels(lens.tracking(spark, sf_dir)))
-    seen, found, assigned = _marked(spark, sf_dir)
-    windows = _stored(formations.formation_windows(formations.window_places(*_base(spark, sf_dir), lens.matches(spark, sf_dir))))
-    roles = _stored(embedding.player_roles(*_clusters(spark, sf_dir)))
+def _scouted(spark, sf_dir, m: _Played | None = None):
+    m = m or _Played(spark, sf_dir)
+    of = possession.players_only(m.seen).groupBy("match_id", "entity_id").agg(F.mode("team", deterministic=True).alias("team"), F.mode("class", deterministic=True).alias("class"))
+    moving = _stored(m.kin.select("match_id", "frame", "entity_id", "x", "y").join(of, ["match_id", "entity_id"]))
+    marked = marking.marking(_stored(marking.assignments(moving, m.phases)), moving, m.phases)
+    windows = _stored(formations.formation_windows(formations.window_places(m.seen, m.held, m.matches)))
+    roles = _stored(embedding.player_roles(*_clusters(spark, sf_dir, m)))
+    created = passing.player_xt(m.events, passing.xt_grids(m.events, m.matches), m.matches)
     return report.together(
-        report.formation_facts(formations.formation_summary(windows)), report.threat_facts(player_xt(spark, sf_dir), names), report.marking_facts(marking.marking(_stored(assigned), seen, found), names),
-        report.role_facts(roles, embedding.nominal_and_actual(roles, windows), names),
+        report.formation_facts(formations.formation_summary(windows)), report.threat_facts(_stored(created), m.names), report.marking_facts(_stored(marked), m.names),
+        report.role_facts(roles, embedding.nominal_and_actual(roles, windows), m.names),
     )
 
 
@@ -712,6 +752,11 @@ def scouting_facts(spark, sf_dir):
     return _scouted(spark, sf_dir)
 
 
+def _every_fact(spark, sf_dir):
+    m = _Played(spark, sf_dir)
+    return report.together(_facts(spark, sf_dir, m), _labelled(spark, sf_dir, m), _scouted(spark, sf_dir, m))
+
+
 @query
 def match_narrative(spark, sf_dir):
-    return report.narrative(report.together(_facts(spark, sf_dir), _labelled(spark, sf_dir), _scouted(spark, sf_dir)))
+    return report.narrative(_every_fact(spark, sf_dir))
