@@ -8,10 +8,11 @@ to every string. All of this is for bounded samples and runs where it is called.
 
 Where a format's characters are random, a tree over their classes thins out
 before any two states can be told apart, and all would merge into one.
-``Format`` therefore reads a string twice: the automaton sees its structure
-(a fixed beginning letter by letter, separators at fixed places, and one symbol
-for all random characters), so that lengths and places are learnt, and a
-distribution over character classes prices the random characters.
+``infer_by_place`` therefore merges in two passes: first states of the same
+depth, from the start on, so that counts pool before they are tested again,
+and then states of different depths. Classes are compared one by one and in
+groups, so that small samples can still be told apart by coarse differences.
+What is left keeps lengths, separators and alphabets by place.
 """
 
 from __future__ import annotations
@@ -42,18 +43,20 @@ def symbols(text: str) -> str:
 
 
 class Automaton:
-    """States 0..n-1, 0 the start; ``step[q]`` maps a symbol to (next state, log probability), ``end[q]`` is the log probability of ending there."""
+    """States 0..n-1, 0 the start; ``step[q]`` maps a symbol to (next state, log probability), ``end[q]`` is the log probability of ending there; an unseen symbol leads to ``onward[q]``, by default q itself."""
 
-    def __init__(self, step: list[dict[str, tuple[int, float]]], end: list[float], unseen: list[float], read=symbols):
-        self.step, self.end, self.unseen, self.read = step, end, unseen, read
+    def __init__(self, step: list[dict[str, tuple[int, float]]], end: list[float], unseen: list[float], onward: list[int] | None = None):
+        self.step, self.end, self.unseen = step, end, unseen
+        self.onward = list(range(len(step))) if onward is None else onward
 
     def log_likelihood(self, text: str) -> float:
-        """Natural log probability of the string's class sequence; an unseen move keeps the state at a smoothed price."""
+        """Natural log probability of the string's class sequence; an unseen move has a smoothed price."""
         state, total = 0, 0.0
-        for symbol in self.read(text):
+        for symbol in symbols(text):
             move = self.step[state].get(symbol)
             if move is None:
                 total += self.unseen[state]
+                state = self.onward[state]
             else:
                 state = move[0]
                 total += move[1]
@@ -63,12 +66,11 @@ class Automaton:
         return self.log_likelihood(text) / (len(text) + 1)
 
 
-def infer(samples: list[str], alpha: float = 0.05, fewest: int = 8, smoothing: float = 0.1, read=symbols) -> Automaton:
+def infer(samples: list[str], alpha: float = 0.05, fewest: int = 8, smoothing: float = 0.1) -> Automaton:
     """The automaton that state merging finds for these strings.
 
     ``alpha``: confidence of the Hoeffding tests; states that fewer than
-    ``fewest`` samples pass have no test of their own. ``read`` turns a string
-    into its symbols. Deterministic for a
+    ``fewest`` samples pass have no test of their own. Deterministic for a
     sorted sample. No sample: one state that gives every symbol the same chance.
     """
     moves: list[dict[str, int]] = [{}]
@@ -77,7 +79,7 @@ def infer(samples: list[str], alpha: float = 0.05, fewest: int = 8, smoothing: f
     for text in sorted(samples):
         q = 0
         passed[0] += 1
-        for s in read(text):
+        for s in symbols(text):
             if s not in moves[q]:
                 moves[q][s] = len(moves)
                 moves.append({})
@@ -146,39 +148,141 @@ def infer(samples: list[str], alpha: float = 0.05, fewest: int = 8, smoothing: f
         step.append({s: (number[t], math.log((count[q][s] + smoothing) / total)) for s, t in moves[q].items() if t in number})
         end.append(math.log((ended[q] + smoothing) / total))
         unseen.append(math.log(smoothing / total))
-    return Automaton(step, end, unseen, read)
+    return Automaton(step, end, unseen)
 
 
-def class_sizes() -> dict[str, int]:
-    return {k: len(v) for k, v in CLASSES.items()} | {OTHER: 30}
+#: Groups of classes that are compared as one: digits, small letters, capitals, marks.
+COARSE = ("d", "hl", "HU", "bemup" + OTHER)
 
 
-class Prices:
-    """Log probability of characters from the classes that samples hold, characters of a class being equally likely."""
+def infer_by_place(samples: list[str], alpha: float = 0.05, fewest: int = 8, smoothing: float = 0.1) -> Automaton:
+    """The automaton of strings whose characters are random but whose places mean something.
 
-    def __init__(self, samples: list[str], smoothing: float = 0.5):
-        seen: dict[str, int] = {}
-        for text in samples:
-            for c in symbols(text):
-                seen[c] = seen.get(c, 0) + 1
-        total = sum(seen.values()) + smoothing * len(SYMBOLS)
-        self.of = {c: math.log((seen.get(c, 0) + smoothing) / total / n) for c, n in class_sizes().items()}
+    Layer by layer from the start, compatible states of the same depth merge,
+    those below one parent first, the most frequent first. Then states of
+    different depths merge where they are compatible, nearest depths first. A
+    state that fewer than ``fewest`` samples pass is compatible with all.
+    Tests are Hoeffding's on the share that ends, on each class and on each
+    group of COARSE, of the two states and of all that follows them alike.
+    An unseen symbol goes on to where most samples go, so that the places after
+    it stay where they are. No sample: one state that gives every symbol the
+    same chance.
+    """
+    moves: list[dict[str, int]] = [{}]
+    count: list[dict[str, int]] = [{}]
+    passed, ended, depth = [0], [0], [0]
+    for text in sorted(samples):
+        q = 0
+        passed[0] += 1
+        for s in symbols(text):
+            if s not in moves[q]:
+                moves[q][s] = len(moves)
+                moves.append({})
+                count.append({})
+                passed.append(0)
+                ended.append(0)
+                depth.append(depth[q] + 1)
+            count[q][s] = count[q].get(s, 0) + 1
+            q = moves[q][s]
+            passed[q] += 1
+        ended[q] += 1
+    into = list(range(len(moves)))
+    bound = math.sqrt(0.5 * math.log(2 / alpha))
 
-    def log_likelihood(self, text: str) -> float:
-        return sum(map(self.of.__getitem__, symbols(text)))
+    def at(q: int) -> int:
+        while into[q] != q:
+            into[q] = into[into[q]]
+            q = into[q]
+        return q
+
+    def differ(a: int, b: int) -> bool:
+        n, m = passed[a], passed[b]
+        limit = bound * (1 / math.sqrt(n) + 1 / math.sqrt(m))
+        if abs(ended[a] / n - ended[b] / m) > limit:
+            return True
+        x, y = count[a], count[b]
+        if any(abs(x.get(s, 0) / n - y.get(s, 0) / m) > limit for s in x.keys() | y.keys()):
+            return True
+        return any(abs(sum(x.get(s, 0) for s in group) / n - sum(y.get(s, 0) for s in group) / m) > limit for group in COARSE)
 
+    def compatible(a: int, b: int) -> bool:
+        waiting, met = [(at(a), at(b))], set()
+        while waiting:
+            a, b = pair = waiting.pop()
+            if a == b or pair in met or passed[a] < fewest or passed[b] < fewest:
+                continue
+            met.add(pair)
+            if differ(a, b):
+                return False
+            waiting.extend((at(moves[a][s]), at(moves[b][s])) for s in moves[a].keys() & moves[b].keys())
+        return True
 
-SEPARATORS = "-_.=:/+"
-#: A separator is structure if so many of the examples have it where most of them have it.
-STEADY = 0.9
+    def merge(a: int, b: int) -> None:
+        """Makes b one with a, and what follows them by the same symbols."""
+        waiting = [(a, b)]
+        while waiting:
+            a, b = map(at, waiting.pop())
+            if a == b:
+                continue
+            into[b] = a
+            passed[a] += passed[b]
+            ended[a] += ended[b]
+            for s, below in moves[b].items():
+                count[a][s] = count[a].get(s, 0) + count[b][s]
+                if s in moves[a]:
+                    waiting.append((moves[a][s], below))
+                else:
+                    moves[a][s] = below
+
+    layer = [0]
+    while layer:
+        below = {at(q): parent for parent in layer for _, q in sorted(moves[parent].items())}
+        groups: list[tuple[int, int]] = []
+        for q in sorted(below, key=lambda q: (-passed[q], q)):
+            near = sorted(groups, key=lambda g: g[1] != below[q])
+            target = next((g for g, _ in near if compatible(g, q)), None)
+            if target is None:
+                groups.append((q, below[q]))
+            else:
+                merge(target, q)
+        layer = [g for g, _ in groups]
+
+    kept, fringe = [0], [0]
+    while fringe:
+        fringe = sorted({at(q) for r in kept for q in moves[at(r)].values()} - {at(r) for r in kept}, key=lambda q: (depth[q], q))
+        if fringe:
+            q = fringe[0]
+            target = next((r for r in sorted(kept, key=lambda r: (abs(depth[r] - depth[q]), r)) if compatible(r, q)), None)
+            if target is None:
+                kept.append(q)
+            else:
+                merge(target, q)
+                kept = sorted({at(r) for r in kept})
+    number = {q: i for i, q in enumerate(sorted(kept, key=lambda q: (q != at(0), q)))}
+    step, end, unseen, onward = [], [], [], []
+    for q in number:
+        total = passed[q] + smoothing * (len(SYMBOLS) + 1)
+        step.append({s: (number[at(t)], math.log((count[q][s] + smoothing) / total)) for s, t in moves[q].items()})
+        end.append(math.log((ended[q] + smoothing) / total))
+        unseen.append(math.log(smoothing / total))
+        reached: dict[int, int] = {}
+        for s, t in moves[q].items():
+            reached[number[at(t)]] = reached.get(number[at(t)], 0) + count[q][s]
+        onward.append(max(reached, key=lambda t: (reached[t], -t)) if reached else number[q])
+    return Automaton(step, end, unseen, onward)
+
+
+def class_sizes() -> dict[str, int]:
+    return {k: len(v) for k, v in CLASSES.items()} | {OTHER: 30}
 
 
 class Format:
-    """One format of credentials: a fixed beginning, an automaton over the structure, and prices of the random characters.
+    """One format of credentials: a fixed beginning, and an automaton over the classes of what follows, characters of a class being equally likely.
 
-    A quarter of the examples is held out; a string is of the format if its
-    likelihood a character is at most ``slack`` nats below the least of theirs.
-    Formats with fewer than eight examples hold none out.
+    A quarter of the examples is held out; a string is of the format if it
+    begins like it and the likelihood of its classes, a character, is at most
+    ``slack`` nats below the least of theirs. Formats with fewer than eight examples hold none
+    out.
     """
 
     def __init__(self, samples: list[str], slack: float = 0.3):
@@ -187,27 +291,20 @@ class Format:
         fitted = [s for i, s in enumerate(samples) if i % 4 != 3] if len(samples) >= 8 else samples
         low, high = samples[0], samples[-1]
         self.head = low[: next((i for i, (a, b) in enumerate(zip(low, high)) if a != b), 0)] if len(samples) > 1 else ""
-        places: dict[tuple[str, int], int] = {}
-        for text in fitted:
-            for i, c in enumerate(text):
-                if c in SEPARATORS:
-                    places[c, i] = places.get((c, i), 0) + 1
-        self.steady = {c for c in SEPARATORS if (n := [v for (x, _), v in places.items() if x == c]) and min(n) >= STEADY * len(fitted)}
-        self.prices = Prices([self.body(s) for s in fitted])
-        self.automaton = infer(fitted, read=self.structure)
-        self.floor = min(self.per_symbol(s) for s in held) - slack
-
-    def structure(self, text: str) -> str:
-        """The beginning as it is, steady separators as they are, x for the rest."""
-        n = len(self.head)
-        return text[:n] + "".join(c if c in self.steady else "x" for c in text[n:])
-
-    def body(self, text: str) -> str:
-        return "".join(c for c in text[len(self.head) :] if c not in self.steady)
+        self.automaton = infer_by_place([s[len(self.head) :] for s in fitted])
+        self.share = {c: math.log(n) for c, n in class_sizes().items()}
+        self.floor = min(map(self.of_classes, held)) - slack
+
+    def of_classes(self, text: str) -> float:
+        """Natural log probability of a string's classes, a character; -inf if the string begins otherwise."""
+        return self.automaton.log_likelihood(text[len(self.head) :]) / (len(text) + 1) if text.startswith(self.head) else -math.inf
+
+    def fits(self, text: str) -> bool:
+        return self.of_classes(text) >= self.floor
 
     def per_symbol(self, text: str) -> float:
-        """Natural log probability a character: of the structure, and of the random characters in it."""
-        return (self.automaton.log_likelihood(text) + self.prices.log_likelihood(self.body(text))) / (len(text) + 1)
+        """Natural log probability of its characters, a character; -inf if the string begins otherwise."""
+        return self.of_classes(text) - sum(map(self.share.__getitem__, symbols(text[len(self.head) :]))) / (len(text) + 1)
 
 
 class Ordinary:

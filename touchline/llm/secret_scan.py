@@ -92,12 +92,8 @@ class Formats:
 
     def score(self, text: str) -> float:
         """Nats a character by which the best fitting format beats ordinary text; -inf where none fits."""
-        plain, best = self.ordinary.per_symbol(text), -math.inf
-        for one in self.learnt.values():
-            likely = one.per_symbol(text)
-            if likely >= one.floor:
-                best = max(best, likely - plain)
-        return best
+        fitting = [one.per_symbol(text) for one in self.learnt.values() if one.fits(text)]
+        return max(fitting) - self.ordinary.per_symbol(text) if fitting else -math.inf
 
 
 def base_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[int, int]], list[tuple[str, str]]]:
