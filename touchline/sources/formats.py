@@ -6,7 +6,7 @@ missing column is an error. Everything is partitioned by match.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TRACKING = "match_id string, frame int, timestamp double, entity_id int, class string, team string, jersey_no smallint, x_pixel float, y_pixel float, x float, y float, conf float"
@@ -97,3 +97,49 @@ def read_boxes(spark: SparkSession, path: str) -> DataFrame:
     schema = "frame int, track_id int, left double, top double, width double, height double, conf double"
     raw = spark.read.schema(schema).option("mode", "PERMISSIVE").csv(path)
     return raw.select((F.col("frame") - 1).alias("frame"), "track_id", F.col("left").alias("x1"), F.col("top").alias("y1"), (F.col("left") + F.col("width")).alias("x2"), (F.col("top") + F.col("height")).alias("y2"), F.coalesce("conf", F.lit(1.0)).alias("conf"))
+
+
+def read_match_list(spark: SparkSession, path: str) -> DataFrame:
+    """(match_id, home, away, score, date) of a provider's JSON list of matches; a match without a score has none."""
+    schema = "match_id bigint, match_date string, home_team struct<home_team_name:string>, away_team struct<away_team_name:string>, home_score int, away_score int"
+    raw = spark.read.schema(schema).option("multiLine", True).json(path)
+    score = F.concat(F.col("home_score").cast("string"), F.lit("-"), F.col("away_score").cast("string"))
+    return raw.select(F.col("match_id").cast("string").alias("match_id"), F.col("home_team.home_team_name").alias("home"), F.col("away_team.away_team_name").alias("away"), score.alias("score"), F.col("match_date").alias("date"))
+
+
+def read_frame_rate(spark: SparkSession, path: str, default: float = 25.0) -> DataFrame:
+    """(path, fps) of sequence descriptions in ini form; ``default`` where the section or the rate is missing."""
+    text = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    section = F.regexp_extract("value", r"(?s)\[Sequence\](.*?)(?:\n\s*\[|$)", 1)
+    rate = F.regexp_extract(section, r"(?mi)^\s*frameRate\s*[=:]\s*([0-9]+(?:\.[0-9]+)?)", 1)
+    return text.select("path", F.coalesce(F.nullif(rate, F.lit("")).cast("double"), F.lit(default)).alias("fps"))
+
+
+def read_calibration_samples(spark: SparkSession, folder: str) -> DataFrame:
+    """(sample, image, lines): pictures (.jpg) with the labelled lines of the JSON file of the same name, as line to points; pictures without one are left out.
+
+    A folder without pictures is an error when it is read, as for every file source.
+    """
+    stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.[^./]+$", 1)
+    pictures = spark.read.format("binaryFile").option("pathGlobFilter", "*.jpg").load(folder).select(stem.alias("sample"), F.col("content").alias("image"))
+    marks = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json").select(stem.alias("sample"), F.from_json("value", "map<string,array<struct<x:double,y:double>>>").alias("lines"))
+    return pictures.join(marks.where("lines is not null"), "sample")
+
+
+STATUS = "match_id string, state string, stage string, progress double, message string, updated_at double"
+
+
+def add_status(rows: DataFrame, path: str) -> None:
+    """Appends states of jobs (STATUS) as JSON lines; progress is kept between 0 and 1, to four decimals."""
+    progress = F.round(F.least(F.greatest(F.coalesce(F.col("progress"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)), 4)
+    coerced(rows.withColumn("frame", F.lit(0)), STATUS + ", frame int").drop("frame").withColumn("progress", progress).write.mode("append").json(path)
+
+
+def latest_status(spark: SparkSession, path: str, matches: DataFrame) -> DataFrame:
+    """The last state of each of the matches; 'unknown' where there is none. Lines that are no JSON are passed over; of states of one moment the furthest counts."""
+    rows = spark.read.schema(STATUS + ", _bad string").option("columnNameOfCorruptRecord", "_bad").json(path).where("_bad is null and match_id is not null").drop("_bad")
+    order = Window.partitionBy("match_id").orderBy(F.desc_nulls_last("updated_at"), F.desc_nulls_last("progress"), "state", "stage", "message")
+    last = rows.withColumn("r", F.row_number().over(order)).where("r = 1").drop("r")
+    default = {"state": F.lit("unknown"), "stage": F.lit(""), "progress": F.lit(0.0), "message": F.lit("")}
+    wanted = matches.select(F.col("match_id").cast("string").alias("match_id")).distinct()
+    return wanted.join(last, "match_id", "left").withColumns({c: F.coalesce(c, v) for c, v in default.items()})
