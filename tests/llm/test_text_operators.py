@@ -4,6 +4,8 @@ import collections
 import math
 import random
 import re
+import tracemalloc
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -485,6 +487,33 @@ def test_packing_asks_by_all_terms_and_corpus_statistics():
     assert packing.Index([seed, other, kin], common).scores(0)[2] < scores[2] / 10
 
 
+def test_warc_members_stop_at_the_stated_length():
+    payload = bytes(random.Random(3).randbytes(300_000)) + b"z" * 500_000
+    one, two = warc.record(1, "u", payload, None), warc.record(2, "u", b"", None)
+    found = list(warc.members(one + two))
+    assert [at for at, _ in found] == [0, len(one)] and warc.parse_record(found[0][1])["payload"] == payload and warc.parse_record(found[1][1])["payload"] == b""
+    packer = zlib.compressobj(9, zlib.DEFLATED, 31)
+    bomb = packer.compress(b"WARC/1.1\r\nContent-Length: 5\r\n\r\n" + b"0" * 50_000_000) + packer.flush()
+    headless = zlib.compressobj(9, zlib.DEFLATED, 31)
+    endless = headless.compress(b"WARC/1.1\r\n" + b"0" * 50_000_000) + headless.flush()
+    for bad, why in ((bomb, "length"), (endless, "head"), (one[:-9], "cut off"), (one[:1000], "cut off"), (b"no gzip at all", "header")):
+        tracemalloc.start()
+        with pytest.raises(ValueError, match=why):
+            list(warc.members(bad))
+        assert tracemalloc.get_traced_memory()[1] < 8 << 20
+        tracemalloc.stop()
+    assert list(warc.members(b"")) == []
+
+
+def test_warc_types_with_repeated_and_null_ids(spark):
+    rows = [(5, "u", "same"), (3, "u", "same"), (3, "u", "same"), (3, "u", "other"), (None, "u", "same"), (9, "u", "same"), (9, "u", "same"), (9, "u", None), (8, "u", ""), (7, "u", "alone")]
+    typed = warc.assign_types(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    want = sorted([(5, "same", 3), (3, "same", None), (3, "same", None), (3, "other", None), (None, "same", None), (9, "same", 3), (9, "same", 3), (9, "", 8), (8, "", None), (7, "alone", None)], key=str)
+    assert sorted([(r["page_id"], bytes(r["payload"]).decode(), r["refers_to"]) for r in typed.collect()], key=str) == want
+    clashing = spark.createDataFrame(rows[:0], "page_id long, url string, html string").selectExpr("*", "1 AS sha", "2 AS size", "3 AS payload", "4 AS refers_to")
+    assert warc.assign_types(clashing).count() == 0 and warc.read_archives(warc.write_archives(warc.assign_types(clashing))).count() == 0
+
+
 def test_warc_round_trip(spark):
     rows = [(5, "http://a b/", "x"), (2, "u", "x"), (7, "u", None), (9, "u", ""), (4, None, "long " * 40000), (None, "u", "x")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")

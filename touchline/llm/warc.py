@@ -28,6 +28,8 @@ from .common import lean, modest_batches, stored, table, text_or_empty
 ARCHIVE_BYTES = 4 << 20
 #: Bytes that the reader hands to zlib at a time.
 READ_BYTES = 1 << 16
+#: Bytes within which a record's head must end.
+HEAD_BYTES = 1 << 20
 #: A payload of fewer bytes is always stored in full.
 REVISIT_FROM_BYTES = 0
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,19 +45,22 @@ def base32_sha1(data: bytes) -> str:
 def assign_types(pages: DataFrame, id_column: str = "page_id", text_column: str = "html", uri_column: str = "url", least: int = REVISIT_FROM_BYTES) -> DataFrame:
     """(page_id, uri, payload, refers_to): refers_to is the smallest id with an equal payload, null where that is the page itself.
 
-    Ids of repeated payloads are found by a pre-aggregated group on (SHA-1,
-    length), so a payload that a third of the pages share is summed up before
-    the shuffle; the join back is one that AQE may split.
+    Payloads stay out of the search: ids, SHA-1 and length alone are grouped
+    (summed up before the shuffle) and joined with the first ids, and only the
+    later pages of repeated payloads come out of it. Pages meet those by id and
+    digest, so a payload that a third of the pages share is no hot key.
     """
     rows = pages.select(F.col(id_column).cast("bigint").alias("page_id"), F.coalesce(F.col(uri_column).cast("string"), F.lit("")).alias("uri"), text_or_empty(text_column).cast("binary").alias("payload"))
     key = [F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size")]
+    named = rows.select("*", *key)
+    narrow = named.select("page_id", "sha", "size").where(F.col("size") >= least)
     firsts = (
-        rows.select("page_id", *key).where(F.col("size") >= least)
-        .groupBy("sha", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+        narrow.groupBy("sha", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
         .where("n > 1 and first_id is not null")
         .select("sha", "size", "first_id")
     )
-    return rows.select("*", *key).join(firsts, ["sha", "size"], "left").select("page_id", "uri", "payload", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id")).alias("refers_to"))
+    later = narrow.join(firsts, ["sha", "size"]).where("page_id > first_id").select("page_id", "sha", "size", F.col("first_id").alias("refers_to")).distinct()
+    return named.join(later, ["page_id", "sha", "size"], "left").select("page_id", "uri", "payload", "refers_to")
 
 
 def _uri(text: str) -> str:
@@ -108,21 +113,45 @@ def write_archives(typed: DataFrame, most: int = ARCHIVE_BYTES) -> DataFrame:
     return typed.select("page_id", "uri", "payload", "refers_to").mapInArrow(lean(work), "archive string, content binary")
 
 
+def _whole_size(seen: bytes) -> int | None:
+    """Bytes of the record that begins so, by its Content-Length; None while its head has not ended."""
+    end = seen.find(b"\r\n\r\n")
+    if end < 0:
+        if len(seen) > HEAD_BYTES:
+            raise ValueError("a record's head does not end")
+        return None
+    size = _fields(bytes(seen[:end])).get("content-length", "")
+    if not size.isdigit():
+        raise ValueError("the content length differs")
+    return end + 4 + int(size) + 4
+
+
 def members(data: bytes):
-    """(offset, bytes) of each gzip member, inflated piece by piece; ValueError on damage."""
+    """(offset, bytes) of each gzip member, inflated piece by piece up to the record's stated length; ValueError on damage.
+
+    A member that inflates to more than its head says is damage, found before
+    the rest is inflated.
+    """
     view, at = memoryview(data), 0
     while at < len(data):
-        inflater, parts, start = zlib.decompressobj(31), [], at
+        inflater, found, start, size, piece = zlib.decompressobj(31), bytearray(), at, None, b""
         while not inflater.eof:
-            piece = view[at : at + READ_BYTES]
             if not piece:
-                raise ValueError("a member is cut off")
+                piece = view[at : at + READ_BYTES]
+                at += len(piece)
             try:
-                parts.append(inflater.decompress(piece))
+                got = inflater.decompress(piece, READ_BYTES)
             except zlib.error as error:
                 raise ValueError(str(error)) from error
-            at += len(piece) - len(inflater.unused_data)
-        yield start, b"".join(parts)
+            if not (got or inflater.eof or len(piece)):
+                raise ValueError("a member is cut off")
+            found += got
+            piece = inflater.unconsumed_tail
+            size = _whole_size(found) if size is None else size
+            if size is not None and len(found) > size:
+                raise ValueError("the content length differs")
+        at -= len(inflater.unused_data)
+        yield start, bytes(found)
 
 
 def _fields(head: bytes) -> dict[str, str]:
