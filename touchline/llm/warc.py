@@ -45,22 +45,20 @@ def base32_sha1(data: bytes) -> str:
 def assign_types(pages: DataFrame, id_column: str = "page_id", text_column: str = "html", uri_column: str = "url", least: int = REVISIT_FROM_BYTES) -> DataFrame:
     """(page_id, uri, payload, refers_to): refers_to is the smallest id with an equal payload, null where that is the page itself.
 
-    Payloads stay out of the search: ids, SHA-1 and length alone are grouped
-    (summed up before the shuffle) and joined with the first ids, and only the
-    later pages of repeated payloads come out of it. Pages meet those by id and
-    digest, so a payload that a third of the pages share is no hot key.
+    Ids of repeated payloads are found by a pre-aggregated group on (SHA-1,
+    length), so a payload that a third of the pages share is summed up before
+    the shuffle; the join back is one that AQE may split.
     """
     rows = pages.select(F.col(id_column).cast("bigint").alias("page_id"), F.coalesce(F.col(uri_column).cast("string"), F.lit("")).alias("uri"), text_or_empty(text_column).cast("binary").alias("payload"))
     key = [F.sha1("payload").alias("sha"), F.octet_length("payload").alias("size")]
     named = rows.select("*", *key)
-    narrow = named.select("page_id", "sha", "size").where(F.col("size") >= least)
     firsts = (
-        narrow.groupBy("sha", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+        named.select("page_id", "sha", "size").where(F.col("size") >= least)
+        .groupBy("sha", "size").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
         .where("n > 1 and first_id is not null")
         .select("sha", "size", "first_id")
     )
-    later = narrow.join(firsts, ["sha", "size"]).where("page_id > first_id").select("page_id", "sha", "size", F.col("first_id").alias("refers_to")).distinct()
-    return named.join(later, ["page_id", "sha", "size"], "left").select("page_id", "uri", "payload", "refers_to")
+    return named.join(firsts, ["sha", "size"], "left").select("page_id", "uri", "payload", F.when(F.col("page_id") > F.col("first_id"), F.col("first_id")).alias("refers_to"))
 
 
 def _uri(text: str) -> str:
