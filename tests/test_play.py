@@ -353,3 +353,12 @@ def test_report_is_grounded_in_its_facts(spark):
     text = texts.first()["text"]
     assert "48% of the ball, in 18 spells" in text and "ran 3000 m" in text and "away" not in text
     assert report.audit(texts, known).first()["grounded_share"] == 1.0
+
+
+def test_events_look_ahead_in_one_pass(spark):
+    rows = spark.createDataFrame([(1, f, -1, "ball", "none", float(f), 1.0) for f in (2, 5)] + [(1, f, 3, "player", "home", 1.0, 1.0) for f in range(8)], "match_id int, frame int, entity_id int, class string, team string, x double, y double")
+    found = play.nearest_ball(rows)
+    assert [(r.frame, r.ball_frame) for r in found.orderBy("frame").collect()] == [(0, 2), (1, 2), (2, 2), (3, 2), (4, 5), (5, 5), (6, 5), (7, 5)]
+    # a frame that ends with its partition is summed anew for each row
+    plan = play.events(rows, possession.possession(rows))._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan
