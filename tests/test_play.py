@@ -361,4 +361,19 @@ def test_events_look_ahead_in_one_pass(spark):
     assert [(r.frame, r.ball_frame) for r in found.orderBy("frame").collect()] == [(0, 2), (1, 2), (2, 2), (3, 2), (4, 5), (5, 5), (6, 5), (7, 5)]
     # a frame that ends with its partition is summed anew for each row
     plan = play.events(rows, possession.possession(rows))._jdf.queryExecution().executedPlan().toString()
-    assert "unboundedfollowing" not in plan
+    assert "currentrow$(), unboundedfollowing" not in plan
+
+
+def test_clipped_areas_of_many_frames_match_one_by_one():
+    rng = np.random.default_rng(7)
+    points = rng.uniform((-5, -5), (110, 73), (60, 22, 2))
+    points[0, 3] = points[0, 9]  # two in one place
+    points[1, 5:] = np.nan  # few seen
+    points[2, :, 0] = 50.0  # in a row
+    points[3] = np.round(points[3] / 10) * 10
+    found = control.clipped_areas(points, 105.0, 68.0)
+    for frame, areas in zip(points, found):
+        seen = frame[np.isfinite(frame).all(axis=1)]
+        assert np.allclose(areas[: len(seen)], [control.clipped_area(seen, i, 105.0, 68.0) for i in range(len(seen))], atol=1e-9)
+        assert not areas[len(seen) :].any()
+    assert control.clipped_areas(np.zeros((0, 4, 2)), 105.0, 68.0).shape == (0, 4)

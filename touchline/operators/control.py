@@ -136,22 +136,64 @@ def clipped_area(points: np.ndarray, own: int, length: float, width: float) -> f
     return abs(sum(ax * by - bx * ay for (ax, ay), (bx, by) in zip(shape, shape[1:] + shape[:1]))) / 2
 
 
-def voronoi_areas(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+def clipped_areas(points: np.ndarray, length: float, width: float) -> np.ndarray:
+    """(frames, players) ``clipped_area`` of all points (frames, players, 2) at once, missing ones being NaN: all cells are cut by their next nearest point until it is too far to matter."""
+    frames, players, _ = points.shape
+    away = points[:, None] - points[:, :, None]
+    square = np.nan_to_num((away**2).sum(axis=3), nan=np.inf)
+    order = square.argsort(axis=2, kind="stable")
+    away = np.take_along_axis(away, order[..., None], axis=2).reshape(-1, players, 2)
+    square = np.take_along_axis(square, order, axis=2).reshape(-1, players)
+    areas = np.zeros(frames * players)
+    cell = np.flatnonzero(np.isfinite(points).all(axis=2).ravel())
+    own = points.reshape(-1, 2)[cell]
+    # corners of the cells that are still cut, cell after cell, around their points
+    x = np.stack([-own[:, 0], length - own[:, 0], length - own[:, 0], -own[:, 0]], axis=1).ravel()
+    y = np.stack([-own[:, 1], -own[:, 1], width - own[:, 1], width - own[:, 1]], axis=1).ravel()
+    n = np.full(len(cell), 4)
+    for k in range(players + 1):
+        if not len(cell):
+            break
+        starts = np.cumsum(n) - n
+        before = np.arange(len(x)) - 1
+        before[starts] = starts + n - 1
+        over = square[cell, k] > 4 * np.maximum.reduceat(x * x + y * y, starts) if k < players else np.ones(len(cell), bool)
+        if over.any():
+            areas[cell[over]] = abs(np.add.reduceat(x[before] * y - x * y[before], starts)[over]) / 2
+            keep = np.repeat(~over, n)
+            x, y, cell, n = x[keep], y[keep], cell[~over], n[~over]
+            if not len(cell):
+                break
+            starts = np.cumsum(n) - n
+            before = np.arange(len(x)) - 1
+            before[starts] = starts + n - 1
+        at = np.repeat(cell, n)
+        s = x * away[at, k, 0] + y * away[at, k, 1] - square[at, k] / 2
+        sa, ax, ay = s[before], x[before], y[before]
+        crossed = ((sa < 0) & (s > 0)) | ((s < 0) & (sa > 0))
+        t = np.divide(sa, sa - s, out=np.zeros_like(s), where=crossed)
+        made = np.stack([crossed, s <= 0], axis=1)
+        n = np.add.reduceat(made.sum(axis=1), starts)
+        x, y = (np.stack([a + (b - a) * t, b], axis=1)[made] for a, b in ((ax, x), (ay, y)))
+        cell, n = cell[n > 0], n[n > 0]
+    return areas.reshape(frames, players)
+
+
+def voronoi_areas(rows: DataFrame, cfg: Config = DEFAULT, most: int = 512) -> DataFrame:
     """(match_id, frame, home_area, away_area) of rows (match_id, frame, team, x, y): null with fewer than four players. A frame is one row of flat arrays."""
     p = cfg.pitch
     place = F.array(F.col("x"), F.col("y"))
     frames = rows.groupBy("match_id", "frame").agg(*(F.flatten(F.sort_array(F.collect_list(F.when(F.col("team") == t, place)))).alias(t) for t in ("home", "away")))
 
     def work(batches):
-        for batch in batches:
-            found: list[list[float | None]] = [[], []]
-            for home, away in zip(batch.column("home").to_pylist(), batch.column("away").to_pylist()):
-                points = np.array(home + away, float).reshape(-1, 2)
-                areas = [clipped_area(points, i, p.length, p.width) for i in range(len(points))] if len(points) >= 4 else None
-                n = len(home) // 2
-                found[0].append(sum(areas[:n]) if areas else None)
-                found[1].append(sum(areas[n:]) if areas else None)
-            yield pa.RecordBatch.from_arrays([batch.column("match_id"), batch.column("frame"), *(pa.array(f, pa.float64()) for f in found)], names=["match_id", "frame", "home_area", "away_area"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, most):
+                batch = whole.slice(start, most)
+                home, away = _places(batch.column("home")), _places(batch.column("away"))
+                areas = clipped_areas(np.concatenate([home, away], axis=1), p.length, p.width)
+                few = np.diff(np.asarray(batch.column("home").offsets)) + np.diff(np.asarray(batch.column("away").offsets)) < 8
+                sides = (areas[:, : home.shape[1]].sum(axis=1), areas[:, home.shape[1] :].sum(axis=1))
+                yield pa.RecordBatch.from_arrays([batch.column("match_id"), batch.column("frame"), *(pa.array(v, pa.float64(), mask=few) for v in sides)], names=["match_id", "frame", "home_area", "away_area"])
 
     kinds = dict(rows.dtypes)
     return frames.mapInArrow(work, f"match_id {kinds['match_id']}, frame {kinds['frame']}, home_area double, away_area double")
