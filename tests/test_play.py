@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from touchline.config import DEFAULT
-from touchline.functions import direction, pitch
+from touchline.functions import conics, direction, pitch
 from touchline.functions.assignment import assign, hull_area
 from touchline.operators import control, formations, marking, movement, passing, play, possession, tactics, tracks
 from touchline.plans import oracle, queries
@@ -377,3 +377,20 @@ def test_clipped_areas_of_many_frames_match_one_by_one():
         assert np.allclose(areas[: len(seen)], [control.clipped_area(seen, i, 105.0, 68.0) for i in range(len(seen))], atol=1e-9)
         assert not areas[len(seen) :].any()
     assert control.clipped_areas(np.zeros((0, 4, 2)), 105.0, 68.0).shape == (0, 4)
+
+
+def test_tangents_equal_their_sql_to_the_last_bit(spark, duck):
+    rows = queries.circle_tangents(spark, FOLDER).orderBy("match_id", "frame").collect()
+    assert [tuple(r) for r in rows] == duck.execute(f"{oracle._SQL['circle_tangents']} ORDER BY match_id, frame").fetchall()
+    centre = spark.createDataFrame([(0.0, 0.0, 5.0)], "p double, q double, r double")
+    (x1, y1), _ = conics.meets(conics.circle(F.lit(52.5), F.lit(34.0), F.lit(9.15)), (F.col("p"), F.col("q"), F.col("r")))
+    assert tuple(centre.select(x1, y1).head()) == (None, None)
+
+
+def test_shape_means_round_halves_up_in_any_order(spark):
+    # the mean is 25.35, but sums of doubles fall short of it or not by their order
+    values = next(v for v in itertools.product([x / 100 for x in range(2520, 2550)], repeat=3) if round(sum(v) * 100) == 7605 and sum(v) / 3 < 25.35)
+    rows = [(1, f, "home", v, v, v, 30.0, own) for f, v in enumerate(values) for own in (True, False)]
+    shapes = spark.createDataFrame(rows, "match_id int, frame int, team string, def_line_height_m double, depth_m double, width_m double, centroid_x_att double, in_possession boolean").coalesce(1)
+    found = tactics.shape_summary(shapes).head()
+    assert {found[c] for c in ("in_line", "out_line", "in_depth", "out_depth", "in_width", "out_width")} == {25.4}
