@@ -394,3 +394,11 @@ def test_shape_means_round_halves_up_in_any_order(spark):
     shapes = spark.createDataFrame(rows, "match_id int, frame int, team string, def_line_height_m double, depth_m double, width_m double, centroid_x_att double, in_possession boolean").coalesce(1)
     found = tactics.shape_summary(shapes).head()
     assert {found[c] for c in ("in_line", "out_line", "in_depth", "out_depth", "in_width", "out_width")} == {25.4}
+
+
+def test_pressures_compute_the_motion_once(spark):
+    seen = lens.tracking(spark, FOLDER)
+    teams = possession.players_only(seen).groupBy("match_id", "entity_id").agg(F.min("team").alias("team"))
+    held = spark.createDataFrame([(0, 5, 3, "home")], "match_id int, frame int, holder_id int, team string")
+    plan = tactics.pressures(movement.kinematics(seen), held, teams)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(sequence") == 1
