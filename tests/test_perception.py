@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from touchline.config import DEFAULT
@@ -270,3 +271,27 @@ def test_foot_boxes_and_scene_cuts(spark):
     rows = [("m1", f, [1.0, 0.0, 9.0] if f < 5 else [9.0, 0.0, 1.0]) for f in range(9)] + [("m2", 0, [0.0, 1.0, 0.0])]
     cuts = {(r["match_id"], r["frame"]) for r in tracker.scene_cuts(spark.createDataFrame(rows, "match_id string, frame int, histogram array<double>")).where("cut").collect()}
     assert cuts == {("m1", 5)} and DEFAULT.tracking.limit == 0.8
+
+
+def test_folds_use_all_tasks_and_the_camera_many_frames_at_once(spark):
+    """Small rows are not dealt to a few tasks; what ready and finish do for many frames is what a step does for one."""
+    from touchline.functions.folds import fold
+    from touchline.sources.camera import TO_PITCH
+
+    def where(state, match, frame, rows):
+        return [(match, TaskContext.get().partitionId())]
+
+    few = spark.createDataFrame([(m, f) for m in range(40) for f in range(3)], "match_id int, frame int")
+    assert len({r["task"] for r in fold(few, dict, where, "match_id int, task int").collect()}) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rng, rows = np.random.default_rng(3), []
+    for f in range(60):
+        h = TO_PITCH + np.outer([f % 7 / 20, 0, 0], TO_PITCH[2]) + rng.normal(0, 1e-6, (3, 3))
+        flat = None if f % 5 == 3 else [0.0] * 9 if f in (0, 12) else h.ravel().tolist()
+        rows.append({"homography": flat, "cut": f == 31, "shift": [1.0, 0.0, 0.5, 0.0, 1.0, 0.0] if flat is None else None})
+    one, many = tracker.Camera(), tracker.Camera()
+    alone = [r for f, row in enumerate(rows) for r in tracker.camera_step()(one, 0, f, [dict(row)])]
+    tracker.camera_ready()(rows)
+    step = tracker.camera_step(fitted=False)
+    together = tracker.camera_finish()([r for f, row in enumerate(rows) for r in step(many, 0, f, [row])])
+    assert [r[:2] for r in alone] == [r[:2] for r in together] and len(alone) == 59
+    assert np.allclose([r[2] for r in alone], [r[2] for r in together], rtol=1e-12)

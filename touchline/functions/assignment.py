@@ -94,7 +94,9 @@ def matched(cost: np.ndarray, limit: float, strict: bool = False) -> list[tuple[
     """
     cost = np.asarray(cost, float)
     open_ = cost < limit if strict else cost <= limit
-    found, left = [], set(np.flatnonzero(open_.any(axis=1)).tolist())
+    single = open_ & (open_.sum(axis=1, keepdims=True) == 1) & (open_.sum(axis=0, keepdims=True) == 1)
+    found = list(zip(*(v.tolist() for v in np.nonzero(single))))
+    left = set(np.flatnonzero(open_.any(axis=1)).tolist()) - {r for r, _ in found}
     while left:
         rows, cols, todo = set(), set(), [min(left)]
         while todo:

@@ -12,23 +12,46 @@ from pyspark.sql.pandas.types import to_arrow_schema
 ROWS = 10_000
 
 
-def fold(rows: DataFrame, start: Callable, step: Callable, schema: str) -> DataFrame:
+def _values(column: pa.Array) -> list:
+    """The column as Python values; numbers and lists of numbers without nulls go by NumPy, which is faster."""
+    kind = column.type
+    if not column.null_count and (pa.types.is_integer(kind) or pa.types.is_floating(kind)):
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if not column.null_count and pa.types.is_list(kind) and pa.types.is_floating(kind.value_type) and not column.values.null_count:
+        values, ends = column.values.to_numpy(zero_copy_only=False).tolist(), column.offsets.to_pylist()
+        return [values[a:b] for a, b in zip(ends, ends[1:])]
+    return column.to_pylist()
+
+
+def _dicts(batch: pa.RecordBatch) -> list[dict]:
+    names = batch.schema.names
+    return [dict(zip(names, row)) for row in zip(*map(_values, batch.columns))]
+
+
+def fold(rows: DataFrame, start: Callable, step: Callable, schema: str, ready: Callable | None = None, finish: Callable | None = None) -> DataFrame:
     """What ``step(state, match_id, frame, rows)`` gives for the frames of each match in order; the state is ``start()`` at first.
 
     Matches are dealt by id and each one's frames come in order, a batch at a
     time, so a task holds one state and one batch however long the match is.
+    The number of tasks is given, since steps cost far more than their rows'
+    bytes tell. What needs no state is done for many frames at once: ``ready``
+    adds to the rows of a batch, ``finish`` turns what steps gave into rows.
     """
     spark = rows.sparkSession
     shape = to_arrow_schema(spark.createDataFrame([], schema).schema)
     names = shape.names
 
     def give(found: list[tuple]) -> pa.RecordBatch:
+        found = found if finish is None else finish(found)
         return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], shape.field(i).type) for i in range(len(names))], names=names)
 
     def work(batches):
         match, state, at, waiting, found = None, None, None, [], []
         for batch in batches:
-            for row in batch.to_pylist():
+            taken = _dicts(batch)
+            if ready is not None:
+                ready(taken)
+            for row in taken:
                 key = (row["match_id"], row["frame"])
                 if key != at:
                     if waiting:
@@ -44,4 +67,4 @@ def fold(rows: DataFrame, start: Callable, step: Callable, schema: str) -> DataF
             found += step(state, *at, waiting)
         yield give(found)
 
-    return rows.repartition("match_id").sortWithinPartitions("match_id", "frame").mapInArrow(work, schema)
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "match_id").sortWithinPartitions("match_id", "frame").mapInArrow(work, schema)
