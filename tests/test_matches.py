@@ -122,3 +122,12 @@ def test_outer_points_keep_the_hull():
             assert np.array_equal(hull(points), hull(outer(points)))
     line = np.stack([np.arange(90.0), np.arange(90.0)], axis=1)
     assert np.array_equal(hull(line), hull(outer(line)))
+
+
+@pytest.mark.parametrize("name,most", [("line_breaking_passes", 6), ("xt_grid", 4), ("player_xt", 6), ("pass_agreement", 4), ("pass_summary", 2)])
+def test_events_read_more_than_once_are_computed_once(spark, name, most):
+    """The given frames are read anew by each branch that computes events; stored events leave few reads."""
+    from touchline.plans.queries import QUERIES
+
+    plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [o_orderkey") <= most
