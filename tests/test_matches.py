@@ -131,3 +131,11 @@ def test_events_read_more_than_once_are_computed_once(spark, name, most):
 
     plan = QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Relation [o_orderkey") <= most
+
+
+def test_marking_scores_read_stored_assignments_and_phases(spark):
+    """Pairs, stability and coupling share the assignments, which need the motion of all players."""
+    from touchline.plans.queries import QUERIES
+
+    plan = QUERIES["marking_scores"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("Relation [o_orderkey") <= 4
