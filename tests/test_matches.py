@@ -139,3 +139,17 @@ def test_marking_scores_read_stored_assignments_and_phases(spark):
 
     plan = QUERIES["marking_scores"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" not in plan and plan.count("Relation [o_orderkey") <= 4
+
+
+def test_matches_are_dealt_to_as_many_tasks_as_their_frames_need(spark, monkeypatch):
+    # a task would get more frames, the larger the tables are, and sort them on disk
+    monkeypatch.setattr(lens, "TASK_FRAMES", 1000)
+    before = spark.conf.get(lens.TASKS, None)
+    try:
+        lens.keep_matches(spark, "/root/testdata/sf0.01")
+        assert lens.tracking(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == 15
+        monkeypatch.setattr(lens, "TASK_FRAMES", 10**9)
+        lens.keep_matches(spark, "/root/testdata/sf0.01")
+        assert lens.tracking(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.unset(lens.TASKS) if before is None else spark.conf.set(lens.TASKS, before)

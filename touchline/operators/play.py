@@ -26,15 +26,16 @@ def held_rows(tracking: DataFrame, held: DataFrame) -> DataFrame:
     """All frames inside spells, with the spell's number, the ball of the nearest frame that has one (the earlier of two), and its distance to the holder (infinite where the holder isn't seen).
 
     A frame without a ball has no row of possession, so it belongs to the spell
-    of the rows on either side. Both lookups are windows over a row a frame.
+    of the rows on either side. Both lookups are windows over a row a frame,
+    and players' rows meet these by a hash of the frames, unsorted.
     """
     runs = islands(held, F.lag("holder_id").over(ordered("match_id")) != F.col("holder_id"), "spell", "match_id")
     where = players_only(tracking).select("match_id", "frame", F.col("entity_id").alias("holder_id"), F.col("x").alias("px"), F.col("y").alias("py"))
     own = runs.select("match_id", "frame", F.struct("spell", "holder_id", "team").alias("own"))
-    frames = tracking.select("match_id", "frame").distinct().join(own, ["match_id", "frame"], "left").join(nearest_ball(tracking), ["match_id", "frame"])
+    frames = nearest_ball(tracking).join(own, ["match_id", "frame"], "left")
     before, after = last_known(F.col("own"), "match_id"), next_known(F.col("own"), "match_id")
     inside = frames.withColumns({"before": before, "after": after}).where("before.spell = after.spell and before.holder_id <> -1").select("match_id", "frame", "before.*", "ball_x", "ball_y")
-    joined = inside.join(where, ["match_id", "frame", "holder_id"], "left")
+    joined = inside.hint("shuffle_hash").join(where, ["match_id", "frame", "holder_id"], "left")
     return joined.withColumn("d", F.coalesce(distance("ball_x", "ball_y", "px", "py"), F.lit(float("inf"))))
 
 
@@ -96,7 +97,7 @@ def counter_attacks(found: DataFrame, ball: DataFrame, matches: DataFrame, cfg:
     span = int(cfg.events.counter_window_s * cfg.fps)
     won = found.where("type = 'turnover'").select("match_id", F.col("frame").alias("f0"), "team", F.explode(F.array(F.floor(F.col("frame") / span), F.floor(F.col("frame") / span) + 1)).alias("bucket"))
     rows = ball.withColumn("bucket", F.floor(F.col("frame") / span))
-    seen = won.join(rows, ["match_id", "bucket"]).where(F.col("frame").between(F.col("f0"), F.col("f0") + span))
+    seen = won.hint("shuffle_hash").join(rows, ["match_id", "bucket"]).where(F.col("frame").between(F.col("f0"), F.col("f0") + span))
     forward = directed(seen, matches).withColumn("xa", attacking_x(F.col("ball_x"), sign()))
     runs = forward.groupBy("match_id", "f0", "team").agg(F.count("*").alias("n"), F.min_by("xa", "frame").alias("first"), F.max("xa").alias("best"), F.max(F.struct("xa", -F.col("frame")))["col2"].alias("neg_frame"))
     gain = F.col("best") - F.col("first")
