@@ -153,3 +153,12 @@ def test_matches_are_dealt_to_as_many_tasks_as_their_frames_need(spark, monkeypa
         assert lens.tracking(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     finally:
         spark.conf.unset(lens.TASKS) if before is None else spark.conf.set(lens.TASKS, before)
+
+
+def test_clusters_of_players_are_found_in_as_many_tasks_as_shuffles_have(spark):
+    # a few bytes a match were all put into one task
+    rng = np.random.default_rng(4)
+    rows = [(m, e, rng.normal(size=16).tolist()) for m in range(40) for e in range(8)]
+    found = embedding.style_clusters(spark.createDataFrame(rows, "match_id int, entity_id int, vector array<double>"), 3)
+    used = found.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
+    assert found.count() == len(rows) and used == int(spark.conf.get("spark.sql.shuffle.partitions"))
