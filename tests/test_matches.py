@@ -162,3 +162,11 @@ def test_clusters_of_players_are_found_in_as_many_tasks_as_shuffles_have(spark):
     found = embedding.style_clusters(spark.createDataFrame(rows, "match_id int, entity_id int, vector array<double>"), 3)
     used = found.withColumn("task", F.spark_partition_id()).select("task").distinct().count()
     assert found.count() == len(rows) and used == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_queries_use_no_generated_methods_that_java_would_interpret(spark):
+    # poses were described in one method of more than 8000 bytes, which took five times as long
+    from touchline.plans import queries
+
+    assert queries.QUERIES["pose_profiles"](spark, FOLDER).count() > 0
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,6 +71,8 @@ def threshold_sweep(peaks: DataFrame, thresholds: tuple[float, ...]) -> DataFram
 
 
 POSE = ("lean", "stride", "arm_spread", "crouch", "compact")
+#: Keypoints of a pose.
+POINTS = 17
 
 
 def pose_descriptors(poses: DataFrame, least: float = 0.3) -> DataFrame:
@@ -78,10 +83,11 @@ def pose_descriptors(poses: DataFrame, least: float = 0.3) -> DataFrame:
     gap = lambda a, b: F.hypot(k(a, "x") - k(b, "x"), k(a, "y") - k(b, "y"))
     h = F.greatest(F.col("y2") - F.col("y1"), F.lit(1e-6))
     lean = F.abs(F.atan2(mid(11, 12, "x") - mid(5, 6, "x"), mid(11, 12, "y") - mid(5, 6, "y") + 1e-9))
-    seen = F.filter("keypoints", lambda p: p["conf"] >= least)
-    mean = lambda c: F.aggregate(F.col("seen"), F.lit(0.0), lambda s, p: s + p[c]) / F.size("seen")
-    rows = poses.where(sure(5, 6, 11, 12)).withColumn("seen", seen).withColumns({"mx": mean("x"), "my": mean("y")})
-    spread = F.aggregate(F.transform("seen", lambda p: F.hypot(p["x"] - F.col("mx"), p["y"] - F.col("my"))), F.lit(0.0), lambda s, d: s + d) / F.size("seen")
+    # sums are written out point by point: functions over arrays are interpreted, element by element, for every row
+    total = lambda of: reduce(add, (F.when(k(i, "conf") >= least, of(i)).otherwise(0.0) for i in range(POINTS)), F.lit(0.0))
+    n = total(lambda i: F.lit(1.0))
+    rows = poses.where(sure(5, 6, 11, 12)).withColumns({"n": n, "mx": total(lambda i: k(i, "x")) / n, "my": total(lambda i: k(i, "y")) / n})
+    spread = total(lambda i: F.hypot(k(i, "x") - F.col("mx"), k(i, "y") - F.col("my"))) / F.col("n")
     ankle = F.hypot(mid(15, 16, "x") - mid(11, 12, "x"), mid(15, 16, "y") - mid(11, 12, "y"))
     return rows.select(
         "match_id", "entity_id", "frame", lean.alias("lean"), F.when(sure(15, 16), gap(15, 16) / h).alias("stride"),
