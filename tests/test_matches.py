@@ -170,3 +170,18 @@ def test_queries_use_no_generated_methods_that_java_would_interpret(spark):
 
     assert queries.QUERIES["pose_profiles"](spark, FOLDER).count() > 0
     assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) <= 8000
+
+
+def test_boxes_are_not_sorted_to_find_the_ball(spark, capsys):
+    from touchline.operators import footage
+
+    boxes = spark.createDataFrame([(1, f, t, 0.0, 0.0, 1.0 + t, 1.0) for f in range(4) for t in (5, 7)], "match_id int, frame int, track_id int, x1 double, y1 double, x2 double, y2 double")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = footage.ball_windows(boxes, boxes, 10.0, 10.0)
+        found.explain()
+        assert "BroadcastHashJoin [match_id" in capsys.readouterr().out
+        assert [r["x"] for r in found.orderBy("frame").collect()] == [0.3, 0.3]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

@@ -52,7 +52,8 @@ def ball_windows(boxes: DataFrame, frames: DataFrame, width: float, height: floa
     size = (F.col("x2") - F.col("x1")) * (F.col("y2") - F.col("y1"))
     medians = boxes.groupBy("match_id", "track_id").agg(F.percentile(size, 0.5).alias("area"))
     ball = medians.groupBy("match_id").agg(F.min(F.struct("area", "track_id"))["track_id"].alias("track_id"))
-    own = boxes.join(ball, ["match_id", "track_id"]).select("match_id", "frame", ((F.col("x1") + F.col("x2")) / 2 / width).alias("x"), ((F.col("y1") + F.col("y2")) / 2 / height).alias("y"))
+    # a row a match goes to all tasks, so that no box is shuffled for it
+    own = boxes.join(F.broadcast(ball), ["match_id", "track_id"]).select("match_id", "frame", ((F.col("x1") + F.col("x2")) / 2 / width).alias("x"), ((F.col("y1") + F.col("y2")) / 2 / height).alias("y"))
     order = ordered("match_id")
     placed = frames.select("match_id", "frame").distinct().withColumns({"first": F.lag("frame", 2).over(order), "second": F.lag("frame", 1).over(order)}).where("first is not null")
     return placed.join(own, ["match_id", "frame"], "left")
