@@ -185,3 +185,13 @@ def test_boxes_are_not_sorted_to_find_the_ball(spark, capsys):
         assert [r["x"] for r in found.orderBy("frame").collect()] == [0.3, 0.3]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_ghosts_compute_the_motion_once_and_sort_it_once(spark):
+    """Smoothing took a dozen windows of two orders, and the last frame of a match computed the motion anew."""
+    from touchline.plans.queries import QUERIES
+
+    plan = QUERIES["offscreen_ghosts"](spark, FOLDER)._jdf.queryExecution()
+    assert plan.optimizedPlan().toString().count("Generate explode(sequence") == 2
+    # the gaps' window, groups of an entity, the ghosts' window
+    assert plan.sparkPlan().toString().count("FlatMapGroupsInArrow") == 1 and plan.sparkPlan().toString().count("Window [") == 3

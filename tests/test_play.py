@@ -402,3 +402,20 @@ def test_pressures_compute_the_motion_once(spark):
     held = spark.createDataFrame([(0, 5, 3, "home")], "match_id int, frame int, holder_id int, team string")
     plan = tactics.pressures(movement.kinematics(seen), held, teams)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Generate explode(sequence") == 1
+
+
+def test_motion_of_runs_gaps_and_short_runs(spark):
+    """Runs are numbered over all, short ones included, but left out; observations in any order; filled rows don't make a run longer."""
+    rng = np.random.default_rng(3)
+    frames = [*range(5), *range(20, 60), 62, 65, *range(66, 80), *range(100, 136, 3)]
+    rows = [row(f, 1, "home", *rng.uniform(10, 60, 2)) for f in frames]
+    found = movement.kinematics(spark.createDataFrame([rows[i] for i in rng.permutation(len(rows))], SCHEMA)).orderBy("frame").collect()
+    assert [r["frame"] for r in found] == list(range(20, 80)) and {r["run"] for r in found} == {2}
+    known = {r[1]: r[7] for r in rows}
+    x = np.interp(np.arange(20, 80), sorted(f for f in known), [known[f] for f in sorted(known)])
+    want = [np.polyval(np.polyfit(np.arange(13), x[c - 6 : c + 7], 2), i - c + 6) for i in range(60) for c in [min(max(i, 6), 53)]]
+    assert np.allclose([r["x"] for r in found], want) and np.allclose([r["vx"] for r in found], np.gradient(want) * 25)
+    speeds = [r["speed"] for r in found]
+    assert None in speeds and all(v is None or v <= 11 for v in speeds)
+    assert np.allclose([r["accel"] for r in found], np.gradient([v or 0.0 for v in speeds]) * 25)
+    assert movement.kinematics(spark.createDataFrame(rows[:5], SCHEMA)).count() == 0

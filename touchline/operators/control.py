@@ -14,9 +14,9 @@ from ..functions.sequences import ordered
 def ghosts(kin: DataFrame, horizon_s: float = 1.0, tau: float = 1.5, cfg: Config = DEFAULT) -> DataFrame:
     """(match_id, entity_id, frame, x, y, vx, vy, ghost): the rows and, after each, up to the horizon of drifted ones until the entity is seen again or its match ends."""
     horizon = int(horizon_s * cfg.fps)
-    last = kin.groupBy("match_id").agg(F.max("frame").alias("last"))
-    rows = kin.select("match_id", "entity_id", "frame", "x", "y", "vx", "vy").join(last, "match_id").withColumn("next", F.coalesce(F.lead("frame").over(ordered("match_id", "entity_id")), F.col("last") + 1))
-    until = F.least(F.col("next") - 1, F.col("frame") + horizon)
+    # the match's end is a window over rows that lie by match already, so that the motion is computed once
+    rows = kin.select("match_id", "entity_id", "frame", "x", "y", "vx", "vy").withColumn("next", F.lead("frame").over(ordered("match_id", "entity_id"))).withColumn("last", F.max("frame").over(Window.partitionBy("match_id")))
+    until = F.least(F.coalesce(F.col("next") - 1, F.col("last")), F.col("frame") + horizon)
     spread = rows.withColumn("f", F.explode(F.sequence("frame", until)))
     t = (F.col("f") - F.col("frame")) / cfg.fps
     fade = F.exp(-t / tau)

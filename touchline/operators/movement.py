@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
@@ -20,68 +22,94 @@ def minutes_played(tracking: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def resampled(tracking: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(match_id, entity_id, run, frame, x, y): observation runs without long gaps, every frame filled in linearly; runs shorter than the smoothing window are left out."""
-    window, key = cfg.kinematics.window(cfg.fps), ["match_id", "entity_id"]
-    rows = players_only(tracking).select(*key, "frame", "x", "y")
-    broken = islands(rows, (F.col("frame") - F.lag("frame").over(ordered(*key))) > cfg.kinematics.gap_frames, "run", *key)
-    ahead = ordered(*key, "run")
-    nexts = broken.withColumns({f"n_{c}": F.lead(c).over(ahead) for c in ("frame", "x", "y")}).withColumn("size", F.count("*").over(Window.partitionBy(*key, "run")))
-    filled = nexts.where(F.col("size") >= window).withColumn("f", F.explode(F.sequence(F.col("frame"), F.coalesce(F.col("n_frame") - 1, F.col("frame")))))
-    share = F.coalesce((F.col("f") - F.col("frame")) / (F.col("n_frame") - F.col("frame")), F.lit(0.0))
-    mix = lambda c: F.col(c) + F.coalesce(F.col(f"n_{c}") - F.col(c), F.lit(0.0)) * share
-    return filled.select(*key, "run", F.col("f").alias("frame"), mix("x").alias("x"), mix("y").alias("y"))
-
-
-def smoothed(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """The rows with x and y smoothed by local quadratics.
+    """(match_id, entity_id, frame, x, y, seen): the observations, and between those that no long gap parts every frame, filled in linearly; ``seen`` tells observations from filled rows."""
+    key = ["match_id", "entity_id"]
+    rows = players_only(tracking).where("frame is not null").select(*key, "frame", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    nexts = rows.withColumns({f"n_{c}": F.lead(c).over(ordered(*key)) for c in ("frame", "x", "y")})
+    bridged = F.col("n_frame") - F.col("frame") <= cfg.kinematics.gap_frames
+    filled = nexts.withColumn("f", F.explode(F.sequence("frame", F.when(bridged, F.greatest(F.col("n_frame") - 1, F.col("frame"))).otherwise(F.col("frame")))))
+    share = F.coalesce((F.col("f") - F.col("frame")) / F.nullif(F.col("n_frame") - F.col("frame"), F.lit(0)), F.lit(0.0))
+    mix = lambda c: F.col(c) + F.when(bridged, F.col(f"n_{c}") - F.col(c)).otherwise(0.0) * share
+    return filled.select(*key, F.col("f").alias("frame"), mix("x").alias("x"), mix("y").alias("y"), (F.col("f") == F.col("frame")).alias("seen"))
+
+
+def _runs(rows: pa.Table, cfg: Config) -> tuple[np.ndarray, ...]:
+    """Frame, run, place in the run (from 0), the run's size, x and y of an entity's rows in order; runs of fewer observations than the smoothing window are left out."""
+    frame, seen, x, y = (rows.column(c).to_numpy() for c in ("frame", "seen", "x", "y"))
+    order = np.argsort(frame, kind="stable")
+    frame, seen, x, y = (v[order] for v in (frame, seen, x, y))
+    run = np.cumsum(np.concatenate([[True], np.diff(frame) > cfg.kinematics.gap_frames]))
+    kept = (np.bincount(run, weights=seen) >= cfg.kinematics.window(cfg.fps))[run]
+    frame, run, x, y = (v[kept] for v in (frame, run, x, y))
+    start = np.flatnonzero(np.diff(run, prepend=0))
+    size = np.diff(np.append(start, len(run)))
+    return frame, run, np.arange(len(run)) - np.repeat(start, size), np.repeat(size, size), x, y
+
+
+def _quadratics(v: np.ndarray, i: np.ndarray, size: np.ndarray, n: int) -> np.ndarray:
+    """The values smoothed by local quadratics over n rows.
 
     Inside a run the quadratic's centre is a weighted sum over the window; the
     first and last half windows take the quadratic of the run's first and last
-    full window at their own place. A window's three moments are sums over the
-    rows before and after, so that every row carries six numbers and no list.
+    full window at their own place.
     """
-    n = cfg.kinematics.window(cfg.fps)
     half = n // 2
     s2 = sum(k * k for k in range(-half, half + 1))
     s4 = sum(k**4 for k in range(-half, half + 1))
     det = n * s4 - s2 * s2
-    key = ["match_id", "entity_id", "run"]
-    order, whole = ordered(*key), Window.partitionBy(*key)
-    placed = rows.withColumns({"i": F.row_number().over(order), "size": F.count("*").over(whole)})
-    moments = {}
-    for v in ("x", "y"):
-        near = {k: F.col(v) if k == 0 else F.lag(v, -k).over(order) if k < 0 else F.lead(v, k).over(order) for k in range(-half, half + 1)}
-        for power in range(3):
-            total = F.lit(0.0)
-            for k in range(-half, half + 1):
-                if k or not power:
-                    total = total + (near[k] if not power else F.lit(k**power) * near[k])
-            moments[f"{v}{power}"] = total
-    centred = placed.withColumns(moments).withColumn("own", F.struct(*moments))
-    ends = centred.withColumns({"head": F.max(F.when(F.col("i") == half + 1, F.col("own"))).over(whole), "tail": F.max(F.when(F.col("i") == F.col("size") - half, F.col("own"))).over(whole)})
-    full = F.when(F.col("i") <= half, F.col("head")).when(F.col("i") > F.col("size") - half, F.col("tail")).otherwise(F.col("own"))
-    t = F.col("i") - F.greatest(F.lit(half + 1), F.least(F.col("i"), F.col("size") - half))
-    chosen = ends.withColumns({"m": full, "t": t})
-    out = {}
-    for v in ("x", "y"):
-        m0, m1, m2 = (F.col(f"m.{v}{power}") for power in range(3))
-        out[v] = (s4 * m0 - s2 * m2) / det + m1 / s2 * F.col("t") + (n * m2 - s2 * m0) / det * F.col("t") * F.col("t")
-    return chosen.withColumns(out).select(*key, "frame", "x", "y", "i", "size")
+    padded, totals = np.pad(v, half), []
+    for power in range(3):
+        total = np.zeros(len(v))
+        for k in range(-half, half + 1):
+            if k or not power:
+                near = padded[half + k : half + k + len(v)]
+                total += k**power * near if power else near
+        totals.append(total)
+    t = i - np.clip(i, half, size - half - 1)
+    m0, m1, m2 = (total[np.arange(len(v)) - t] for total in totals)
+    return (s4 * m0 - s2 * m2) / det + m1 / s2 * t + (n * m2 - s2 * m0) / det * t * t
+
+
+def _by_entity(rows: DataFrame, work, columns: str, cfg: Config) -> DataFrame:
+    """(match_id, entity_id and the columns) that ``work`` finds in the runs of each entity of a match."""
+    kinds = dict(rows.dtypes)
+
+    def one(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+        found = work(*_runs(group, cfg))
+        n = len(next(iter(found.values())))
+        return pa.table({"match_id": pa.repeat(key[0], n), "entity_id": pa.repeat(key[1], n), **found})
+
+    return rows.groupBy("match_id", "entity_id").applyInArrow(one, f"match_id {kinds['match_id']}, entity_id {kinds['entity_id']}, {columns}")
+
+
+def smoothed(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """(match_id, entity_id, run, frame, x, y) of ``resampled`` rows, smoothed by local quadratics; an entity of a match is one group of numbers."""
+    n, kind = cfg.kinematics.window(cfg.fps), dict(rows.dtypes)["frame"]
+
+    def work(frame, run, i, size, x, y):
+        return {"run": run, "frame": frame, "x": _quadratics(x, i, size, n), "y": _quadratics(y, i, size, n)}
+
+    return _by_entity(rows, work, f"run long, frame {kind}, x double, y double", cfg)
 
 
 def kinematics(tracking: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     """(match_id, entity_id, run, frame, x, y, vx, vy, speed, accel): central differences inside a run, one-sided at its ends; a speed over the cap is null, and counts as 0 in accel."""
-    order = ordered("match_id", "entity_id", "run")
+    rows = resampled(tracking, cfg)
+    n, kind = cfg.kinematics.window(cfg.fps), dict(rows.dtypes)["frame"]
+
+    def work(frame, run, i, size, x, y):
+        x, y = (_quadratics(v, i, size, n) for v in (x, y))
+
+        def slope(v: np.ndarray) -> np.ndarray:
+            before, after = np.roll(v, 1), np.roll(v, -1)
+            return np.where(i == 0, after - v, np.where(i == size - 1, v - before, (after - before) / 2)) * cfg.fps
 
-    def slope(c: str):
-        before, after = F.lag(c).over(order), F.lead(c).over(order)
-        both = (after - before) / 2
-        return F.coalesce(both, after - F.col(c), F.col(c) - before) * cfg.fps
+        vx, vy = slope(x), slope(y)
+        raw = np.sqrt(vx * vx + vy * vy)
+        capped = raw <= cfg.kinematics.cap_mps
+        return {"run": run, "frame": frame, "x": x, "y": y, "vx": vx, "vy": vy, "speed": pa.array(raw, mask=~capped), "accel": slope(np.where(capped, raw, 0.0))}
 
-    moved = smoothed(resampled(tracking, cfg), cfg).withColumns({"vx": slope("x"), "vy": slope("y")})
-    raw = F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy"))
-    capped = moved.withColumn("speed", F.when(raw <= cfg.kinematics.cap_mps, raw)).withColumn("_s", F.coalesce("speed", F.lit(0.0)))
-    return capped.withColumn("accel", slope("_s")).select("match_id", "entity_id", "run", "frame", "x", "y", "vx", "vy", "speed", "accel")
+    return _by_entity(rows, work, f"run long, frame {kind}, x double, y double, vx double, vy double, speed double, accel double", cfg)
 
 
 def movement_profiles(kin: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
