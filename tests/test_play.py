@@ -419,3 +419,15 @@ def test_motion_of_runs_gaps_and_short_runs(spark):
     assert None in speeds and all(v is None or v <= 11 for v in speeds)
     assert np.allclose([r["accel"] for r in found], np.gradient([v or 0.0 for v in speeds]) * 25)
     assert movement.kinematics(spark.createDataFrame(rows[:5], SCHEMA)).count() == 0
+
+
+def test_many_assignments_equal_one_by_one():
+    from touchline.functions.assignment import assign_many
+
+    rng = np.random.default_rng(5)
+    for n, m in ((10, 10), (5, 8), (9, 6), (1, 1)):
+        cost = np.concatenate([rng.uniform(0, 9, (20, n, m)), rng.integers(0, 3, (20, n, m)).astype(float)])
+        for own, cols in zip(cost, assign_many(cost)):
+            rows, want = assign(own)
+            assert [(r, c) for r, c in enumerate(cols.tolist()) if c >= 0] == list(zip(rows.tolist(), want.tolist()))
+    assert assign_many(np.zeros((0, 3, 3))).shape == (0, 3)

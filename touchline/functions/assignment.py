@@ -47,6 +47,47 @@ def assign(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner[cols][order], cols[order]
 
 
+def assign_many(cost: np.ndarray) -> np.ndarray:
+    """(b, n): the column of each row, -1 for none, of b matrices of n rows; every one is assigned as by ``assign``, all at once."""
+    cost = np.asarray(cost, float)
+    b, n, m = cost.shape
+    if n > m:
+        rows, found = assign_many(cost.transpose(0, 2, 1)), np.full((b, n), -1)
+        np.put_along_axis(found, rows, np.arange(m)[None], axis=1)
+        return found
+    price_row, price_col = np.zeros((b, n)), np.zeros((b, m))
+    owner = np.full((b, m), -1)
+    for row in range(n):
+        short, came = np.full((b, m), np.inf), np.full((b, m), -1)
+        done = np.zeros((b, m), bool)
+        at, base, last = np.full(b, row), np.zeros(b), np.full(b, -1)
+        open_ = np.arange(b)
+        while len(open_):
+            k = at[open_]
+            offer = base[open_, None] + cost[open_, k] - price_row[open_, k][:, None] - price_col[open_]
+            better = ~done[open_] & (offer < short[open_])
+            short[open_] = np.where(better, offer, short[open_])
+            came[open_] = np.where(better, last[open_, None], came[open_])
+            col = np.where(done[open_], np.inf, short[open_]).argmin(axis=1)
+            done[open_, col], base[open_], last[open_], at[open_] = True, short[open_, col], col, owner[open_, col]
+            open_ = open_[owner[open_, col] >= 0]
+        price_row[:, row] += base
+        i, c = np.nonzero(done & (owner >= 0))
+        rise = base[i] - short[i, c]
+        price_row[i, owner[i, c]] += rise
+        price_col[i, c] -= rise
+        open_ = np.arange(b)
+        while len(open_):
+            c = last[open_]
+            before = came[open_, c]
+            owner[open_, c] = np.where(before >= 0, owner[open_, before], row)
+            last[open_], open_ = before, open_[before >= 0]
+    found = np.full((b, n), -1)
+    i, c = np.nonzero(owner >= 0)
+    found[i, owner[i, c]] = c
+    return found
+
+
 def outer(points: np.ndarray, ways: int = 32) -> np.ndarray:
     """The points without those strictly inside the polygon of the farthest points in some directions: all corners of the hull stay."""
     points = np.unique(np.asarray(points, float), axis=0)
