@@ -431,3 +431,36 @@ def test_many_assignments_equal_one_by_one():
             rows, want = assign(own)
             assert [(r, c) for r, c in enumerate(cols.tolist()) if c >= 0] == list(zip(rows.tolist(), want.tolist()))
     assert assign_many(np.zeros((0, 3, 3))).shape == (0, 3)
+
+
+def test_defenders_of_uneven_teams_are_assigned_frame_by_frame(spark):
+    from touchline.operators.marking import MAX_PAIR_M
+
+    rng = np.random.default_rng(6)
+    rows = [row(f, e, "home" if e < 20 else "away", *rng.uniform(20, 50, 2)) for f in range(0, 200, 25) for e in (*range(5 + f // 25 % 3), *range(20, 25 + f // 25 % 2))]
+    phases = spark.createDataFrame([(0, f, "away", "progression") for f in range(200)], "match_id int, frame int, poss_team string, phase string")
+    found = {(r["frame"], r["defender_id"], r["attacker_id"], r["dist_m"]) for r in marking.assignments(spark.createDataFrame(rows, SCHEMA), phases).collect()}
+    want = set()
+    for f in range(0, 200, 25):
+        own, other = ([r for r in rows if r[1] == f and (r[3] < 20) == home] for home in (True, False))
+        cost = np.array([[np.hypot(a[7] - b[7], a[8] - b[8]) for b in other] for a in own])
+        want |= {(f, own[r][3], other[c][3], round(float(cost[r, c]), 2)) for r, c in zip(*assign(np.where(cost > MAX_PAIR_M, cost + 1e5, cost))) if cost[r, c] <= MAX_PAIR_M}
+    assert found == want
+
+
+def test_modal_values_ignore_nulls_and_take_the_least_on_ties(spark):
+    rows = [(0, f, f / 25, 1, "player", team, number, 1.0, 1.0, 1.0) for f, (team, number) in enumerate([("home", None), ("away", 7), ("away", None), ("home", 3), ("home", None)])]
+    assert [tuple(r) for r in possession.modal(spark.createDataFrame(rows, SCHEMA), "team", "jersey_no").select("team", "jersey_no").collect()] == [("home", 3)]
+
+
+@pytest.mark.parametrize("name,sorts", [("formation_places", 0), ("marking_pairs", 1)])
+def test_players_of_a_frame_meet_it_unsorted(spark, name, sorts):
+    """Rows of all players were sorted by frame for joins, and by player for the most frequent values; only the motion needs an order."""
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+        assert "mode(" not in plan and "count(distinct" not in plan and plan.count("strategy=shuffle_hash") >= 1
+        assert plan.count("Generate explode(sequence") == sorts
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)

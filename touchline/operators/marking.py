@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import DEFAULT, Config
-from ..functions.assignment import assign
+from ..functions.assignment import assign_many
 from ..functions.pitch import distance
 from .possession import players_only
 
@@ -27,7 +27,7 @@ def assignments(tracking: DataFrame, phases: DataFrame, open_play: bool = True,
     frames = _defence(phases).where("phase <> 'set_piece'" if open_play else "true")
     order = Window.partitionBy("match_id", "defending_team").orderBy("frame")
     sampled = frames.withColumn("i", F.row_number().over(order) - 1).where(F.col("i") % step == 0).select("match_id", "frame", "defending_team")
-    rows = players_only(tracking, goalkeepers=False).select("match_id", "frame", "entity_id", "team", "x", "y").join(sampled, ["match_id", "frame"])
+    rows = players_only(tracking, goalkeepers=False).select("match_id", "frame", "entity_id", "team", "x", "y").join(sampled.hint("shuffle_hash"), ["match_id", "frame"])
 
     one = F.struct("entity_id", "x", "y")
     own = F.col("team") == F.col("defending_team")
@@ -35,16 +35,26 @@ def assignments(tracking: DataFrame, phases: DataFrame, open_play: bool = True,
 
     def work(batches):
         for batch in batches:
-            at, found = [], []
-            for i, (own, other) in enumerate(zip(batch.column("own").to_pylist(), batch.column("other").to_pylist())):
-                p, q = (np.array([(r["x"], r["y"]) for r in side]) for side in (own, other))
-                cost = np.hypot(*(p[:, None] - q[None]).transpose(2, 0, 1))
-                for r, c in zip(*assign(np.where(cost > MAX_PAIR_M, cost + 1e5, cost))):
-                    if cost[r, c] <= MAX_PAIR_M:
-                        at.append(i)
-                        found.append((own[r]["entity_id"], other[c]["entity_id"], round(float(cost[r, c]), 2)))
-            key = batch.select(["match_id", "frame", "defending_team"]).take(pa.array(at, pa.int64()))
-            cells = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.int32(), pa.int32(), pa.float64()))]
+            sides = [batch.column(c) for c in ("own", "other")]
+            n, m = (side.value_lengths().to_numpy() for side in sides)
+            starts = [np.cumsum(v) - v for v in (n, m)]
+            ids = [side.flatten().field("entity_id").to_numpy() for side in sides]
+            places = [np.stack([side.flatten().field(c).to_numpy() for c in "xy"], axis=1) for side in sides]
+            found = []
+            # frames of equally many players are assigned at once
+            for size in sorted(set(zip(n.tolist(), m.tolist()))):
+                at = np.flatnonzero((n == size[0]) & (m == size[1]))
+                own, other = (start[at, None] + np.arange(k) for start, k in zip(starts, size))
+                apart = places[0][own][:, :, None] - places[1][other][:, None]
+                cost = np.hypot(apart[..., 0], apart[..., 1])
+                cols = assign_many(np.where(cost > MAX_PAIR_M, cost + 1e5, cost))
+                dist = np.where(cols >= 0, np.take_along_axis(cost, np.maximum(cols, 0)[:, :, None], axis=2)[:, :, 0], np.inf)
+                i, r = np.nonzero(dist <= MAX_PAIR_M)
+                found.append((at[i], r, ids[0][own[i, r]], ids[1][other[i, cols[i, r]]], dist[i, r]))
+            at, r, own, other, dist = (np.concatenate(v) for v in zip(*found)) if found else [np.zeros(0, int)] * 5
+            order = np.lexsort((r, at))
+            key = batch.select(["match_id", "frame", "defending_team"]).take(pa.array(at[order], pa.int64()))
+            cells = [pa.array(own[order], pa.int32()), pa.array(other[order], pa.int32()), pa.array([round(d, 2) for d in dist[order].tolist()], pa.float64())]
             yield pa.RecordBatch.from_arrays([*key.columns, *cells], names=[*key.schema.names, "defender_id", "attacker_id", "dist_m"])
 
     kinds = dict(rows.dtypes)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.segments import player_label
-from .possession import players_only
+from .possession import modal
 
 NUMBER = r"(?<![A-Za-z0-9_.\-])-?\d+(?:\.\d+)?"
 #: What looks like a number and is none: formations, and shirts.
@@ -65,7 +65,7 @@ def team_running(profiles: DataFrame, teams: DataFrame) -> DataFrame:
 
 def labels(tracking: DataFrame) -> DataFrame:
     """(match_id, entity_id, label): how a player is called, by most frequent number and team."""
-    rows = players_only(tracking).groupBy("match_id", "entity_id").agg(F.mode("jersey_no", deterministic=True).alias("jersey_no"), F.mode("team", deterministic=True).alias("team"))
+    rows = modal(tracking, "jersey_no", "team")
     return rows.select("match_id", "entity_id", player_label(F.col("entity_id"), F.col("jersey_no"), F.col("team")).alias("label"))
 
 
