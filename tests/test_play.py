@@ -464,3 +464,14 @@ def test_players_of_a_frame_meet_it_unsorted(spark, name, sorts):
         assert plan.count("Generate explode(sequence") == sorts
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_postures_at_a_bound_do_not_depend_on_the_order_of_rows(spark):
+    """The away players' mean is 34 added by id and a little less from the last to the first, in which order the rows come."""
+    places = [28.6, 44.0, 28.7, 46.3, 22.4]
+    rows = [row(f, e, t, x, 30) for f in range(2) for e, t, x in ((-1, "none", 50), (1, "home", 50), *((20 - i, "away", x) for i, x in enumerate(reversed(places), 1)))]
+    held = spark.createDataFrame([(0, f, 1, "home", 0.0) for f in range(2)], "match_id int, frame int, holder_id int, team string, dist_m double")
+    matches = spark.createDataFrame([(0, -1, 3000)], "match_id int, home_sign int, halftime_frame int")
+    for found in (rows, rows[::-1]):
+        seen = spark.createDataFrame(found, SCHEMA).coalesce(1)
+        assert {r["def_posture"] for r in tactics.phases(seen, held, matches).collect()} == {"mid_block"}

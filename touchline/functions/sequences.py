@@ -28,3 +28,9 @@ def last_known(value: Column, *keys: str, by: str = "frame") -> Column:
 def next_known(value: Column, *keys: str, by: str = "frame") -> Column:
     """The first value that is not null, from this row on: the last one so far in the opposite order, since a frame that ends with the partition is summed anew for every row."""
     return F.last(value, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(F.desc(by)).rowsBetween(Window.unboundedPreceding, 0))
+
+
+def ordered_mean(value: str, by: str, of: Column) -> Column:
+    """The aggregated mean of the values of some rows, added in the order of ``by``: a sum of doubles in no fixed order differs in its last digits, which decides comparisons at a bound."""
+    rows = F.sort_array(F.collect_list(F.when(of & F.col(value).isNotNull(), F.struct(by, F.col(value).cast("double").alias("v")))))
+    return F.aggregate(rows, F.lit(0.0), lambda total, row: total + row["v"]) / F.nullif(F.size(rows), F.lit(0))

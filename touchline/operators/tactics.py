@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULT, Config
 from ..functions.direction import directed, sign
 from ..functions.pitch import attacking_x, distance
-from ..functions.sequences import islands, last_known, ordered
+from ..functions.sequences import islands, last_known, ordered, ordered_mean
 from .formations import HAIR
 from .possession import ball_of, players_only
 
@@ -40,7 +40,7 @@ def field_tilt(tracking: DataFrame, held: DataFrame, matches: DataFrame, cfg: Co
 
 
 def phases(tracking: DataFrame, held: DataFrame, matches: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(match_id, frame, poss_team, phase, def_posture) of every ball frame."""
+    """(match_id, frame, poss_team, phase, def_posture) of every ball frame; a team's middle adds its players by id, so that a posture at a bound is the same in every run."""
     p, order = cfg.phases, ordered("match_id")
     ball = ball_of(tracking).join(held.select("match_id", "frame", "team"), ["match_id", "frame"], "left").withColumn("poss_team", F.coalesce("team", F.lit("none"))).drop("team")
 
@@ -53,7 +53,7 @@ def phases(tracking: DataFrame, held: DataFrame, matches: DataFrame, cfg: Config
     since = last_known(F.when(F.col("changed"), F.struct("frame", "ball_x")), "match_id")
     runs = islands(moved.withColumn("since", since), F.lag("slow").over(order) != F.col("slow"), "run", "match_id")
     placed = runs.withColumn("dead", F.col("slow") & (F.row_number().over(ordered("match_id", "run")) >= p.dead_s * cfg.fps))
-    centroid = players_only(tracking, goalkeepers=False).groupBy("match_id", "frame").agg(*(F.avg(F.when(F.col("team") == t, F.col("x"))).alias(f"c_{t}") for t in ("home", "away")))
+    centroid = players_only(tracking, goalkeepers=False).groupBy("match_id", "frame").agg(*(ordered_mean("x", "entity_id", F.col("team") == t).alias(f"c_{t}") for t in ("home", "away")))
     rows = directed(placed.join(centroid, ["match_id", "frame"], "left"), matches)
     s = sign("poss_team")
     xa = attacking_x(F.col("ball_x"), s)
