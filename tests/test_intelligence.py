@@ -159,3 +159,29 @@ def test_every_operator_takes_string_ids(spark):
         assert all(dict(t.dtypes).get("match_id", "string") == ("int" if name == 0 else "string") for t in tables.values())
     for n in results[0]:
         assert results[0][n] == results[1][n], n
+
+
+def test_player_grids_are_the_blurred_counts(spark):
+    """A product for each axis gives what passes over tables of cells give, edges included; who is only off the pitch has no map."""
+    places = [(1, 0.0, 0.0), (1, 105.0, 68.0), (1, 0.1, 67.9), (1, 52.5, 34.0), (1, 52.6, 34.0), (1, 110.0, 34.0), (2, 3.0, 30.0), (3, -5.0, 10.0)]
+    seen = spark.createDataFrame([(0, f, e, "player", "home", x, y) for f, (e, x, y) in enumerate(places)], "match_id int, frame int, entity_id int, class string, team string, x double, y double")
+    matches = spark.createDataFrame([(0, 1, 3000)], "match_id int, home_sign int, halftime_frame int")
+    counts = spark.createDataFrame([(0, 1, 0, 0, 1), (0, 1, 15, 23, 1), (0, 1, 15, 0, 1), (0, 1, 8, 12, 2), (0, 2, 7, 0, 1)], "match_id int, entity_id int, iy int, ix int, n long")
+    want = {tuple(r[:4]): r["v"] for r in movement.blurred(counts, "n", "match_id", "entity_id", sigma=1.0, nx=24, ny=16).collect()}
+    maps = embedding.player_maps(seen, matches)
+    found = {tuple(r[:4]): r["v"] for r in maps.collect()}
+    assert found.keys() == want.keys() and all(abs(found[k] - want[k]) < 1e-12 for k in want)
+    assert maps._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+    rows = spark.createDataFrame([(0, e, 0.0) for e in (1, 2, 3)], "match_id int, entity_id int, z double")
+    features_ = rows.select("match_id", "entity_id", *(F.col("z").alias(n) for n in embedding.NAMES))
+    a, b = ({r["entity_id"]: r["x"] for r in embedding.style_rows(features_, m).collect()} for m in (maps, embedding.player_grids(seen, matches)))
+    assert a.keys() == b.keys() == {1, 2, 3} and all(np.allclose(a[e], b[e], rtol=0, atol=1e-9) for e in a) and not any(a[3])
+
+
+@pytest.mark.parametrize("name", ["similar_players", "similarity_by_group"])
+def test_similarities_read_stored_features(spark, name):
+    """Scaling and pairing read the features four times; the matches themselves must not be read for each."""
+    from touchline.plans import queries
+
+    plan = queries.QUERIES[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "o_orderkey" not in plan

@@ -64,7 +64,9 @@ def assignments(tracking: DataFrame, phases: DataFrame, open_play: bool = True,
 def pairs(assigned: DataFrame) -> DataFrame:
     """(match_id, defending_team, defender_id, attacker_id, share, mean_dist_m, n): each defender's most frequent attacker, the lowest id on ties."""
     key = ["match_id", "defending_team", "defender_id"]
-    counted = assigned.groupBy(*key, "attacker_id").agg(F.count("*").alias("c"), F.avg("dist_m").alias("mean_dist_m"))
+    # distances are whole centimetres, whose sum is the same in every order
+    mean = F.sum(F.round(100 * F.col("dist_m")).cast("long")) / (100 * F.count("*"))
+    counted = assigned.groupBy(*key, "attacker_id").agg(F.count("*").alias("c"), mean.alias("mean_dist_m"))
     best = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("c"), "attacker_id"))
     total = F.sum("c").over(Window.partitionBy(*key))
     return counted.withColumns({"r": best, "n": total}).where("r = 1").select(*key, "attacker_id", (F.col("c") / F.col("n")).alias("share"), "mean_dist_m", "n")
