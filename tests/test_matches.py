@@ -195,3 +195,27 @@ def test_ghosts_compute_the_motion_once_and_sort_it_once(spark):
     assert plan.optimizedPlan().toString().count("Generate explode(sequence") == 2
     # the gaps' window, groups of an entity, the ghosts' window
     assert plan.sparkPlan().toString().count("FlatMapGroupsInArrow") == 1 and plan.sparkPlan().toString().count("Window [") == 3
+
+
+def test_outer_points_of_waves_are_few():
+    """The farthest point in the last direction may be that in the first, which kept all points."""
+    f = np.arange(6000)
+    for sx, sy, ph in ((7, 4, 12345), (24, 17, 777), (13, 9, 40000)):
+        points = np.stack([np.abs((f * sx + ph) % 21000 - 10500) / 100, np.abs((f * sy + 5 * ph) % 13600 - 6800) / 100], axis=1)
+        assert len(outer(points)) < 3500 and np.array_equal(hull(points), hull(outer(points)))
+    assert outer(np.zeros((0, 2))).shape == (0, 2)
+
+
+def test_hull_areas_of_many_players(spark):
+    """Tasks and their number do not change the areas; three rows or rows on a line have none."""
+    from touchline.functions.assignment import hull_area
+    from touchline.operators.features import hull_areas
+
+    rng = np.random.default_rng(5)
+    rows = [(m, e, float(x), float(y)) for m in range(3) for e in range(5) for x, y in rng.normal(0, 10, (3 if e == 4 else 50, 2)).round(2)]
+    points = spark.createDataFrame(rows, "match_id int, entity_id int, xa double, ya double").repartition(7)
+    found = {(r["match_id"], r["entity_id"]): r["hull_area"] for r in hull_areas(points).collect()}
+    want = {(m, e): hull_area(np.array([r[2:] for r in rows if r[:2] == (m, e)]), 4) for m in range(3) for e in range(5)}
+    assert found.keys() == want.keys() and all(np.isclose(found[k], want[k]) for k in want)
+    plan = hull_areas(points)._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "REPARTITION_BY_NUM" in plan

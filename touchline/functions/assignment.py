@@ -89,16 +89,22 @@ def assign_many(cost: np.ndarray) -> np.ndarray:
 
 
 def outer(points: np.ndarray, ways: int = 32) -> np.ndarray:
-    """The points without those strictly inside the polygon of the farthest points in some directions: all corners of the hull stay."""
-    points = np.unique(np.asarray(points, float), axis=0)
-    if len(points) <= ways:
-        return points
-    angles = 2 * np.pi * np.arange(ways) / ways
-    far = (points @ np.stack([np.cos(angles), np.sin(angles)])).argmax(axis=0)
-    ring = points[[far[0], *(b for a, b in zip(far, far[1:]) if a != b)]]
-    step = np.roll(ring, -1, axis=0) - ring
-    side = step[:, 0] * (points[:, None, 1] - ring[:, 1]) - step[:, 1] * (points[:, None, 0] - ring[:, 0])
-    return points[~(side > 1e-9).all(axis=1)] if len(ring) > 2 else points
+    """The distinct points without those strictly inside the polygon of the farthest points in some directions, first in a few of them: all corners of the hull stay."""
+    points = np.asarray(points, float)
+    for n in (8, ways):
+        if len(points) <= ways:
+            break
+        angles = 2 * np.pi * np.arange(n) / n
+        far = (points @ np.stack([np.cos(angles), np.sin(angles)])).argmax(axis=0)
+        ring = points[far[far != np.roll(far, 1)]]  # the last direction's point may be the first one's
+        if len(ring) < 3:
+            break
+        x, y = points.T
+        inside = np.ones(len(points), bool)
+        for (px, py), (dx, dy) in zip(ring, np.roll(ring, -1, axis=0) - ring):
+            inside &= dx * (y - py) - dy * (x - px) > 1e-9
+        points = points[~inside]
+    return np.unique(points, axis=0)
 
 
 def hull(points: np.ndarray) -> np.ndarray:

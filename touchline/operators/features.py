@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,13 +66,20 @@ def hull_areas(points: DataFrame) -> DataFrame:
         if waiting:
             yield reduced(waiting)
 
-    def area(rows: pd.DataFrame) -> pd.DataFrame:
-        found = hull_area(rows[["xa", "ya"]].to_numpy()) if rows["n"].sum() >= 4 else 0.0
-        return pd.DataFrame({"match_id": rows["match_id"][:1], "entity_id": rows["entity_id"][:1], "hull_area": [found]})
+    def areas(batches):
+        for batch in batches:
+            found = batch.column("corners")
+            xy = np.stack([found.flatten().field(c).to_numpy() for c in ("xa", "ya")], axis=1)
+            parts = np.split(xy, np.cumsum(found.value_lengths().to_numpy())[:-1]) if batch.num_rows else []
+            area = [hull_area(part) if n >= 4 else 0.0 for part, n in zip(parts, batch.column("n").to_pylist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in KEY), pa.array(area, pa.float64())], names=[*KEY, "hull_area"])
 
     kind = dict(points.dtypes)["match_id"]
     parts = points.select(*KEY, "xa", "ya").mapInArrow(corners, f"match_id {kind}, entity_id int, xa double, ya double, n long")
-    return parts.groupBy(*KEY).applyInPandas(area, f"match_id {kind}, entity_id int, hull_area double")
+    # areas cost more than the few bytes of their corners tell, so the number of tasks is given
+    dealt = parts.repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), *KEY)
+    rings = dealt.groupBy(*KEY).agg(F.collect_list(F.struct("xa", "ya")).alias("corners"), F.sum("n").alias("n"))
+    return rings.mapInArrow(areas, f"match_id {kind}, entity_id int, hull_area double")
 
 
 def touches(held: DataFrame, gap: int = 3) -> DataFrame:
