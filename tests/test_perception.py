@@ -295,3 +295,33 @@ def test_folds_use_all_tasks_and_the_camera_many_frames_at_once(spark):
     together = tracker.camera_finish()([r for f, row in enumerate(rows) for r in step(many, 0, f, [row])])
     assert [r[:2] for r in alone] == [r[:2] for r in together] and len(alone) == 59
     assert np.allclose([r[2] for r in alone], [r[2] for r in together], rtol=1e-12)
+
+
+def test_frames_of_many_matches_are_one_step(spark):
+    """Tracks of several matches at once are those of each match alone: crossings, losses, cuts, frames without boxes or of some matches only, missing classes."""
+    rng, rows = np.random.default_rng(3), []
+    to_pitch = [float(v) for v in camera.TO_PITCH.ravel()]
+    at, by = rng.uniform([100, 60], [1200, 600], (4, 22, 2)), rng.normal(0, 3, (4, 22, 2))
+    for f in range(90):
+        at = at + by
+        for m in range(4):
+            if (f * 7 + m) % 23 == 0:
+                rows += [(f"m{m}", f, *[None] * 6, None, False)] if m % 2 else []
+                continue
+            for e in np.flatnonzero(rng.random(22) > 0.08).tolist():
+                (x, y), h, (dx, dy) = at[m, e], 30 + at[m, e, 1] / 12, rng.normal(0, 1, 2)
+                kind = ["player", "player", "goalkeeper", "ball", None][rng.integers(5)]
+                rows.append((f"m{m}", f, x - h / 5 + dx, y - h + dy, x + h / 5 + dx, y + dy, float(rng.choice([0.2, 0.55, 0.7, 0.9])), kind, to_pitch if m != 2 else None, f == 37 and m == 1))
+    rows = [tuple(float(v) if isinstance(v, np.floating) else v for v in r) for r in rows]
+    names = ["match_id", "frame", "x1", "y1", "x2", "y2", "conf", "class", "homography", "cut"]
+    step, want = tracker.track_step(), []
+    for m in range(4):
+        state = tracker.Tracks()
+        for f in range(90):
+            found = [dict(zip(names, r)) for r in rows if r[:2] == (f"m{m}", f)]
+            want += step(state, f"m{m}", f, found) if found else []
+    schema = "match_id string, frame int, x1 double, y1 double, x2 double, y2 double, conf double, class string, homography array<double>, cut boolean"
+    table = tracker.tracks(spark.createDataFrame(rows, schema).coalesce(1))
+    order = lambda r: tuple(str(v) for v in r)
+    assert len(want) > 3000 and sorted(map(tuple, table.collect()), key=order) == sorted(want, key=order)
+    assert tracker.tracks(spark.createDataFrame([], schema)).count() == 0

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -68,3 +69,36 @@ def fold(rows: DataFrame, start: Callable, step: Callable, schema: str, ready: C
         yield give(found)
 
     return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "match_id").sortWithinPartitions("match_id", "frame").mapInArrow(work, schema)
+
+
+def fold_together(rows: DataFrame, start: Callable, step: Callable, schema: str) -> DataFrame:
+    """What ``step(state, frame, rows)`` gives for the frames in order, where ``rows`` are those of all matches of a task that have the frame.
+
+    The state is ``start()`` at first, one for all matches of the task; step
+    gives a record batch or none. A task holds this state, an Arrow batch and
+    one frame's rows, and work in Python is shared by its matches. Frames whose
+    rows come in several batches wait for the rest.
+    """
+    conf = rows.sparkSession.conf
+
+    def work(batches):
+        state, waiting = start(), None
+        for batch in batches:
+            table = pa.Table.from_batches([batch] if waiting is None else [waiting, batch])
+            together = table.combine_chunks().to_batches()
+            if not together:
+                continue
+            frames = together[0].column("frame").to_numpy()
+            ends = np.flatnonzero(np.diff(frames)) + 1
+            found = [step(state, int(frames[a]), together[0].slice(a, b - a)) for a, b in zip([0, *ends], ends)]
+            waiting = together[0].slice(ends[-1] if len(ends) else 0)
+            yield from (f for f in found if f is not None)
+        if waiting is not None:
+            found = step(state, int(waiting.column("frame")[0].as_py()), waiting)
+            if found is not None:
+                yield found
+
+    # the more matches a task has, the less a frame costs, but a task sorts what it has: twice what other steps give to a task
+    parts = int(conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(parts, int(conf.get("spark.touchline.matchTasks", str(parts))) // 2)
+    return rows.repartition(tasks, "match_id").sortWithinPartitions("frame", "match_id").mapInArrow(work, schema)
