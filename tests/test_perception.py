@@ -325,3 +325,28 @@ def test_frames_of_many_matches_are_one_step(spark):
     order = lambda r: tuple(str(v) for v in r)
     assert len(want) > 3000 and sorted(map(tuple, table.collect()), key=order) == sorted(want, key=order)
     assert tracker.tracks(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_boxes_of_many_matches_are_matched_in_one_step(spark):
+    """Pairs of several matches at once are those of each match alone: near boxes, changed ids, ids that a frame has twice."""
+    rng, rows = np.random.default_rng(4), []
+    at, by = rng.uniform([100, 60], [500, 300], (3, 12, 2)), rng.normal(0, 4, (3, 12, 2))
+    for f in range(40):
+        at = at + by
+        for m in range(3):
+            for e in range(12):
+                (x, y), h, d = at[m, e], 30 + at[m, e, 1] / 12, rng.normal(0, 2, 2)
+                rows.append((f"m{m}", f, 0 if e == 11 else e, *(float(v) for v in (x - h / 5, y - h, x + h / 5, y)), True))
+                if rng.random() < 0.9:
+                    rows.append((f"m{m}", f, 0 if e == 10 else e + 100 * (f // 15 * (e % 3 == 0)), *(float(v) for v in (x - h / 5 + d[0], y - h + d[1], x + h / 5 + d[0], y + d[1])), False))
+    names, want = ["match_id", "frame", "track_id", "x1", "y1", "x2", "y2", "true"], []
+    step = evaluation.match_step(0.5)
+    for m in range(3):
+        last = {}
+        for f in range(40):
+            want += step(last, f"m{m}", f, [dict(zip(names, r)) for r in rows if r[:2] == (f"m{m}", f)])
+    table = spark.createDataFrame(rows, "match_id string, frame int, track_id int, x1 double, y1 double, x2 double, y2 double, true boolean").coalesce(1)
+    pairs = evaluation.matched_boxes(table.where(F.col("true")), table.where(~F.col("true")))
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, pairs.collect())) == sorted(want) and any(r[4] for r in want)
+    assert "Sort [frame" in plan
