@@ -219,3 +219,21 @@ def test_hull_areas_of_many_players(spark):
     assert found.keys() == want.keys() and all(np.isclose(found[k], want[k]) for k in want)
     plan = hull_areas(points)._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapGroupsInPandas" not in plan and "REPARTITION_BY_NUM" in plan
+
+
+def test_marked_motion_has_the_profiles_of_sorted_motion(spark):
+    """Sprints and turns that are marked while an entity's rows are in order count as those found by windows, over runs, null speeds and turns across half a circle."""
+    rng, rows = np.random.default_rng(2), []
+    for e in range(4):
+        x, y, way = 50.0, 30.0, 0.0
+        for f in range(900):
+            if e == 3 and 300 <= f < 340:
+                continue
+            way, v = way + rng.normal(0, 0.4), (9.0 if f // 60 % 2 else 2.0) + (6.0 if f % 200 == 150 else 0.0)
+            x, y = x + v / 25 * np.cos(way * (e > 0)), y + v / 25 * np.sin(way * (e > 0))
+            dx, dy = rng.normal(0, 1.5, 2) * (e == 2)
+            rows.append((0, f, e, "player", "home", float(x + dx), float(y + dy)))
+    seen = spark.createDataFrame(rows, "match_id int, frame int, entity_id int, class string, team string, x double, y double")
+    plain, marked = (sorted(map(tuple, movement.movement_profiles(movement.kinematics(seen, marks=m)).collect())) for m in (False, True))
+    assert [r[7] for r in plain] == [r[7] for r in marked] and [r[9] for r in plain] == [r[9] for r in marked] and any(r[7] for r in plain) and any(r[9] for r in plain)
+    assert np.allclose(plain, marked)

@@ -92,8 +92,19 @@ def smoothed(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     return _by_entity(rows, work, f"run long, frame {kind}, x double, y double", cfg)
 
 
-def kinematics(tracking: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """(match_id, entity_id, run, frame, x, y, vx, vy, speed, accel): central differences inside a run, one-sided at its ends; a speed over the cap is null, and counts as 0 in accel."""
+def _marks(vx: np.ndarray, vy: np.ndarray, speed: np.ndarray, cfg: Config) -> dict[str, np.ndarray]:
+    """1 where a run of fast rows of an entity reaches a sprint's length, and where its heading changes while it moves; rows are in order, a speed over the cap is not a number."""
+    k, at = cfg.kinematics, np.arange(len(speed))
+    with np.errstate(invalid="ignore"):
+        fast, moves = speed >= k.sprint_mps, speed > k.turn_mps
+    began = np.maximum.accumulate(np.where(np.append(True, fast[1:] != fast[:-1])[: len(at)], at, 0)) if len(at) else at
+    turned = np.abs(np.diff(np.arctan2(vy, vx), prepend=np.nan))
+    turned = np.degrees(np.where(turned > math.pi, 2 * math.pi - turned, turned))
+    return {"sprint": (fast & (at - began + 1 == max(1, int(k.sprint_s * cfg.fps)))).astype(np.int32), "turn": (moves & (turned > k.turn_deg)).astype(np.int32)}
+
+
+def kinematics(tracking: DataFrame, cfg: Config = DEFAULT, marks: bool = False) -> DataFrame:
+    """(match_id, entity_id, run, frame, x, y, vx, vy, speed, accel): central differences inside a run, one-sided at its ends; a speed over the cap is null, and counts as 0 in accel. With ``marks`` also sprint and turn, which ``movement_profiles`` counts: an entity's rows are in order here, so it need not sort them again."""
     rows = resampled(tracking, cfg)
     n, kind = cfg.kinematics.window(cfg.fps), dict(rows.dtypes)["frame"]
 
@@ -107,9 +118,10 @@ def kinematics(tracking: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
         vx, vy = slope(x), slope(y)
         raw = np.sqrt(vx * vx + vy * vy)
         capped = raw <= cfg.kinematics.cap_mps
-        return {"run": run, "frame": frame, "x": x, "y": y, "vx": vx, "vy": vy, "speed": pa.array(raw, mask=~capped), "accel": slope(np.where(capped, raw, 0.0))}
+        found = {"run": run, "frame": frame, "x": x, "y": y, "vx": vx, "vy": vy, "speed": pa.array(raw, mask=~capped), "accel": slope(np.where(capped, raw, 0.0))}
+        return found | _marks(vx, vy, np.where(capped, raw, np.nan), cfg) if marks else found
 
-    return _by_entity(rows, work, f"run long, frame {kind}, x double, y double, vx double, vy double, speed double, accel double", cfg)
+    return _by_entity(rows, work, f"run long, frame {kind}, x double, y double, vx double, vy double, speed double, accel double{', sprint int, turn int' if marks else ''}", cfg)
 
 
 def movement_profiles(kin: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
@@ -119,14 +131,16 @@ def movement_profiles(kin: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
     length; turns are changes of heading while moving.
     """
     k, key = cfg.kinematics, ["match_id", "entity_id"]
-    fast = F.coalesce(F.col("speed") >= k.sprint_mps, F.lit(False))
-    order = ordered(*key)
-    runs = islands(kin.withColumn("fast", fast), F.lag("fast").over(order) != F.col("fast"), "bout", *key)
-    in_bout = F.row_number().over(ordered(*key, "bout"))
-    heading = F.atan2("vy", "vx")
-    turned = F.abs(heading - F.lag(heading).over(order))
-    wrapped = F.when(turned > math.pi, 2 * math.pi - turned).otherwise(turned)
-    marked = runs.withColumns({"sprint": (F.col("fast") & (in_bout == max(1, int(k.sprint_s * cfg.fps)))).cast("int"), "turn": (F.coalesce(F.degrees(wrapped) > k.turn_deg, F.lit(False)) & F.coalesce(F.col("speed") > k.turn_mps, F.lit(False))).cast("int")})
+    marked = kin
+    if "sprint" not in kin.columns:
+        fast = F.coalesce(F.col("speed") >= k.sprint_mps, F.lit(False))
+        order = ordered(*key)
+        runs = islands(kin.withColumn("fast", fast), F.lag("fast").over(order) != F.col("fast"), "bout", *key)
+        in_bout = F.row_number().over(ordered(*key, "bout"))
+        heading = F.atan2("vy", "vx")
+        turned = F.abs(heading - F.lag(heading).over(order))
+        wrapped = F.when(turned > math.pi, 2 * math.pi - turned).otherwise(turned)
+        marked = runs.withColumns({"sprint": (F.col("fast") & (in_bout == max(1, int(k.sprint_s * cfg.fps)))).cast("int"), "turn": (F.coalesce(F.degrees(wrapped) > k.turn_deg, F.lit(False)) & F.coalesce(F.col("speed") > k.turn_mps, F.lit(False))).cast("int")})
     return marked.groupBy(*key).agg(
         (F.count("*") / cfg.fps / 60).alias("minutes"),
         (F.sum("speed") / cfg.fps).alias("distance_m"),
